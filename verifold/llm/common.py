@@ -40,7 +40,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def count_words(text: Column) -> Column:
