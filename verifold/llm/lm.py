@@ -107,7 +107,8 @@ class Block:
 
 def _tokenised(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words per text, and the flat words, A-Z lower-cased."""
-    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))))
+    # lowered before the cast: ascii_lower misreads a slice that was cast
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())))
     flat = pc.list_flatten(split)
     sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     if (lone := pc.equal(flat, "")) and pc.any(lone).as_py():  # an empty text splits into one empty word
