@@ -55,13 +55,13 @@ def test_matches_brute_force(spark):
     rnd = random.Random(11)
     items, vocab = items_of(rnd)
     docs = []
-    for i in range(150):
-        parts = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([0, 3, 70, 300]))) for _ in range(2)]
+    for i in range(700):
+        parts = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([0, 3, 30, 150]))) for _ in range(2)]
         k = rnd.choice(items)
         leak = [k[1], k[1].upper(), " ".join(k[1].split()[:-3]), k[1].split("\n")[0], ""][i % 5]
         docs.append((i, parts[0] + "\n" + leak + " " + parts[1]))
     docs += [(900, None), (901, ""), (902, " \t"), (903, "long " * 60000 + items[3][1] + " tail" * 20000), (904, items[0][1]), (904, items[0][1])]
-    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string").repartition(3)
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string").coalesce(1)
     it = spark.createDataFrame([*items, (77, None), (78, ""), items[0]], "item_id long, text string")
     got = [(r.doc_id, r.item_id) for r in dc.contaminated(df, it).collect()]
     want = plain_contaminated(docs, items)
@@ -69,7 +69,7 @@ def test_matches_brute_force(spark):
     assert got.count((904, 0)) == 2
     assert {(i, d) for i, d in want if i in (903, 904)} == {(903, 3), (904, 0)}
     # the same from an index in several blocks, but for idf, which is a block's own
-    whole = {(i, docs[i][1]) for i in range(0, 150, 5)}
+    whole = {(i, docs[i][1]) for i in range(0, 700, 5)}
     parts = {(r.doc_id, r.item_id) for r in dc.contaminated(df, it, most=13).collect()}
     assert {i for i, _ in whole} <= {i for i, _ in parts}
     kept = dc.without_contaminated(df, it)

@@ -143,7 +143,8 @@ def matcher(index: ItemIndex, overlap: float):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("passages", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
     def of_slice(ids: pa.Array, texts: pa.Array) -> Iterator[tuple]:
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+        # lowered before the cast: ascii_lower misreads a slice that was cast
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
         flat = pc.list_flatten(split)
         sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         codes = pc.fill_null(pc.index_in(flat.cast(pa.large_binary()).cast(pa.binary()), value_set=value_set), unknown).to_numpy(zero_copy_only=False)
