@@ -1,10 +1,10 @@
 """Benchmark decontamination: a BM25 index of the test items, block-max WAND, then overlap of question and answer.
 
 Test items are the documents of the index, passages of training documents are the queries. An item's scores are divided
-by its score against itself, so that one threshold serves all items. A passage can only reach the threshold if it holds
-one of the item's essential terms (any set of terms that carries more than 1 - threshold of its weight) and if the
-largest impacts of its terms add up to the threshold; both tests are done for all passages at once, and the passages
-that remain walk the postings by block-max WAND.
+by its score against itself, so that one threshold serves all items. An item's essential terms are its longest words,
+all but a rest of its weight; a passage that reaches the threshold has at least threshold - rest from them alone. That
+sum is taken for all passages and items at once, over the essential postings; the passages that remain for any item walk
+all postings by block-max WAND, which finds every item at the threshold or above.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ K1, B = 1.2, 0.75
 #: Items are indexed in blocks of at most so many, and of so many bytes of text; each block is sent to all tasks.
 ITEMS, ITEM_BYTES = 20_000, 16_000_000
 THRESHOLD, OVERLAP, SHINGLE, BLOCK = 0.6, 0.5, 5, 16
+#: The share of the threshold that unessential terms may carry.
+REST = 2 / 3
 
 SCHEMA = "doc_id long, item_id long, score double, passages long, question_overlap double, answer_overlap double, first_word long, last_word long"
 
@@ -53,7 +55,8 @@ class ItemIndex:
     """Inverted index of one block of items, with block maxima."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, block: int = BLOCK, shingle: int = SHINGLE):
-        self.threshold, self.block, self.shingle = threshold, block, shingle
+        self.threshold, self.block, self.shingle, rest = threshold, block, shingle, REST * threshold
+        self.needed = threshold - rest
         split = [(i, *question_and_answer(t)) for i, t in items]
         self.items = [(i, q, a) for i, q, a in split if q or a]
         bags = [Counter(q + a) for _, q, a in self.items]
@@ -71,7 +74,7 @@ class ItemIndex:
                     post.append([])
                     essential.append(False)
                 post[at].append((k, weight[t] / own))
-                if left >= threshold - 1e-9:
+                if left > rest:
                     essential[at] = True
                     left -= weight[t] / own
         self.docs = [[k for k, _ in p] for p in post]
@@ -79,7 +82,10 @@ class ItemIndex:
         self.most = [max(p) for p in self.impacts]
         self.blocks = [[max(p[i : i + block]) for i in range(0, len(p), block)] for p in self.impacts]
         self.essential = np.array([*essential, False])
-        self.bound = np.array([*self.most, 0.0])
+        sizes = [len(d) if e else 0 for d, e in zip(self.docs, essential)] + [0]
+        self.post_size, self.post_start = np.array(sizes), np.cumsum([0, *sizes[:-1]])  # essential postings, term by term
+        self.post_item = np.array([k for d, e in zip(self.docs, essential) if e for k in d], np.int64)
+        self.post_impact = np.array([x for p, e in zip(self.impacts, essential) if e for x in p], np.float64)
         self.longest = max((len(q) + len(a) for _, q, a in self.items), default=1)
         self.shingled = [(shingles(q, max(1, min(shingle, len(q)))), shingles(a, max(1, min(shingle, len(a))))) for _, q, a in self.items]
 
@@ -148,29 +154,35 @@ def matcher(index: ItemIndex, overlap: float):
         flat = pc.list_flatten(split)
         sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         codes = pc.fill_null(pc.index_in(flat.cast(pa.large_binary()).cast(pa.binary()), value_set=value_set), unknown).to_numpy(zero_copy_only=False)
-        impact = np.concatenate(([0.0], np.cumsum(index.bound[codes])))
-        essential = np.concatenate(([0], np.cumsum(index.essential[codes])))
         ends = np.cumsum(sizes)
+        begin = ends - sizes
         count = np.maximum(1, -(-(sizes - stride) // stride)) * (sizes > 0)  # windows of a text: each starts where a stride does
+        base = np.cumsum(count) - count
         doc = np.repeat(np.arange(len(sizes)), count)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        start = (ends - sizes)[doc] + nth * stride
+        start = begin[doc] + (np.arange(len(doc)) - base[doc]) * stride
         stop = np.minimum(start + window, ends[doc])
-        maybe = np.flatnonzero((essential[stop] > essential[start]) & (impact[stop] - impact[start] >= index.threshold - 1e-6))
+        # essential terms: each stands in the window that its stride begins and in the one before
+        at = np.flatnonzero(index.essential[codes])
+        own = np.searchsorted(ends, at, side="right")
+        nth = (at - begin[own]) // stride
+        term = codes[at]
+        in_window = np.concatenate((base[own] + nth, base[own] + nth - 1))[(inside := np.concatenate((nth < count[own], nth > 0)))]
+        term = np.concatenate((term, term))[inside]
+        n = index.post_size[term]
+        post = np.repeat(index.post_start[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pairs, which = np.unique(np.repeat(in_window, n) * len(index.items) + index.post_item[post], return_inverse=True)
+        sums = np.bincount(which, weights=index.post_impact[post], minlength=len(pairs))
+        maybe = np.unique(pairs[sums >= index.needed - 1e-6] // max(1, len(index.items)))
         found: dict = {}
         for m in maybe.tolist():
             s, e, d = int(start[m]), int(stop[m]), int(doc[m])
             own = codes[s:e]
-            terms = np.unique(own[own < unknown])
-            if index.bound[terms].sum() < index.threshold - 1e-9:
-                continue
-            for item, score in index.search(terms.tolist()):
+            for item, score in index.search(np.unique(own[own < unknown]).tolist()):
                 passage = flat.slice(s, e - s).cast(pa.large_binary()).to_pylist()
                 q, a = index.overlaps(item, passage)
                 if q >= overlap and a >= overlap:
                     was = found.get((d, item), (0.0, 0, 0.0, 0.0, s, e))
                     found[d, item] = (max(was[0], score), was[1] + 1, max(was[2], q), max(was[3], a), min(was[4], s), max(was[5], e))
-        begin = ends - sizes
         for (d, item), (score, n, q, a, s, e) in found.items():
             yield ids[d].as_py(), index.items[item][0], score, n, q, a, s - int(begin[d]), e - int(begin[d])
 
