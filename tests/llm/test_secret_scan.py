@@ -32,9 +32,16 @@ def test_base_spans_match_brute_force(spark):
         assert r.l == want[r.text] == r.every, r.text
 
 
+def corpus(spark):
+    """Ordinary words enough to learn from."""
+    rnd = random.Random(5)
+    parts = "in ter na tion al or gan is a co der pre for mat re spon si bil i ty en vi ron ment con sid er struc ture the quick brown fox and with".split()
+    docs = [(100 + i, " ".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 6))) for _ in range(80))) for i in range(150)]
+    return spark.createDataFrame(docs, "doc_id long, text string")
+
+
 def test_model_tells_random_strings_from_identifiers(spark):
-    words = "the quick brown fox jumps over lazy dogs while international organisations discuss environmental responsibilities and infrastructure considerations"
-    docs = spark.createDataFrame([(i, words) for i in range(20)], "doc_id long, text string")
+    docs = corpus(spark)
     ratio = ss.chain_ratio(ss.random_strings(spark).unionByName(ss.identifiers(docs)))
     odd = ss.random_strings(spark, 400, seed=7).select("sample", F.lit(True).alias("random"))
     plain = spark.createDataFrame([(w,) for w in ["international_organisation_list", "considerationsInfrastructure", "/responsibilities/environmental", "international-responsibilities"]], "sample string").select("sample", F.lit(False).alias("random"))
@@ -49,10 +56,11 @@ def test_added_spans_and_redaction(spark):
     words = "plain words of an ordinary text with internationalorganisations in it"
     text = f"é {words} {key} and token=abc123xyz end"
     df = spark.createDataFrame([(1, text, len(text), "en"), (2, words, len(words), "en"), (3, None, None, None)], "doc_id long, text string, n_chars long, lang string")
-    spans = {r.doc_id: r.s for r in ss.scan(df).select("doc_id", ss.listed(ss.KINDS).alias("s")).collect()}
+    ratio = ss.chain_ratio(ss.random_strings(spark).unionByName(ss.identifiers(corpus(spark))))
+    spans = {r.doc_id: r.s for r in ss.scan(df, ratio=ratio).select("doc_id", ss.listed(ss.KINDS).alias("s")).collect()}
     at, tk = text.index(key), text.index("token=")
     assert spans == {1: f"markov:{at}:{at + len(key)},assign:{tk}:{tk + len('token=abc123xyz')}", 2: "", 3: ""}
-    clean = ss.redacted(df)
+    clean = ss.redacted(df, ratio=ratio)
     assert clean.columns == df.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
     want = f"é {words} [SECRET] and [SECRET] end"
