@@ -30,7 +30,7 @@ from .common import crc_fold, frozen
 
 MU = 4.0
 #: A block is closed at so many tokens; memory follows it. An exchange part has about so many n-grams.
-BLOCK_TOKENS, PART_GRAMS = 4_000_000, 2_000_000
+BLOCK_TOKENS, PART_GRAMS = 1_500_000, 1_000_000
 FOLDS, HELD_OUT = 7, 2
 END, BEGIN = 0xE5D0000000000001, 0xBE61000000000002
 
