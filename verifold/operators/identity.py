@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import frozen
+
 DIMENSIONS = 1536
 #: At most so many vectors of a type meet in one task on each side.
 BLOCK = 2048
@@ -95,7 +97,7 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.95, top: int = 5,
     The newer of the two is the source, the older the target; at one time the hit is the source.
     """
     vectors = entities.select("id", "kind", "vec")
-    hits = similar(vectors, vectors, threshold, top).withColumn("similarity", F.round("similarity", digits))
+    hits = similar(vectors, vectors, threshold, top).withColumn("_whole", F.col("similarity")).withColumn("similarity", F.round("similarity", digits))
     w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), F.when(F.col("left_id") == F.col("right_id"), 0).otherwise(1), "right_id")
     near = hits.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= top) & (F.col("left_id") != F.col("right_id")))
     facts = entities.select("id", "name", "created_at")
@@ -104,7 +106,7 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.95, top: int = 5,
     same = F.lower("_ln") == F.lower("_rn")
     return both.select(
         "left_id", "right_id", "similarity", F.when(newer, F.col("left_id")).otherwise(F.col("right_id")).alias("source_id"), F.when(newer, F.col("right_id")).otherwise(F.col("left_id")).alias("target_id"),
-        F.concat(F.format_string("Vector similarity %.4f", "similarity"), F.when(same, " + Exact name match").otherwise("")).alias("reason"),
+        F.concat(F.format_string("Vector similarity %.4f", "_whole"), F.when(same, " + Exact name match").otherwise("")).alias("reason"),
     )
 
 
@@ -151,10 +153,11 @@ def merge_log(proposals: DataFrame, at: Column) -> DataFrame:
 
 def canonical(merges: DataFrame, max_rounds: int = 32) -> DataFrame:
     """(id, canonical_id) for rows (id, merged_into): the end of each chain, by doubling the pointers. Chains that close end at their smallest id."""
+    merges = frozen(merges.select("id", "merged_into"), "merges")
     at = merges.where("merged_into is not null").select("id", F.col("merged_into").alias("to"))
     size = at.count()
     for _ in range(min(max_rounds, max(1, size).bit_length() + 1)):
-        at = at.join(at.select(F.col("id").alias("_i"), F.col("to").alias("_t")), F.col("to") == F.col("_i"), "left").select("id", F.coalesce("_t", "to").alias("to"))
+        at = frozen(at.join(at.select(F.col("id").alias("_i"), F.col("to").alias("_t")), F.col("to") == F.col("_i"), "left").select("id", F.coalesce("_t", "to").alias("to")), "merges")
     return merges.select("id").join(at, "id", "left").select("id", F.coalesce("to", "id").alias("canonical_id"))
 
 

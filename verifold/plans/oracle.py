@@ -91,12 +91,12 @@ OEDGE = """oe AS (
   SELECT CAST(o_custkey AS VARCHAR) AS source_id, o_orderpriority AS target_id, CAST(o_orderkey % 100 / 1e2 AS DOUBLE) AS confidence, o_orderkey % 2 = 0 AS is_inferred, o_orderstatus AS k, CAST(o_orderkey AS VARCHAR) AS v, o_orderkey AS ord FROM orders)"""
 
 DUPS = """hits AS (
-  SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS similarity
+  SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS whole, round(whole, 5) AS similarity
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.35
 ), top AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, CASE WHEN left_id = right_id THEN 0 ELSE 1 END, right_id) AS n FROM hits) WHERE n <= 5 AND left_id <> right_id
 ), dups AS (
-  SELECT left_id, right_id, similarity, greatest(left_id, right_id) AS source_id, least(left_id, right_id) AS target_id, printf('Vector similarity %.4f', similarity) AS reason FROM top
+  SELECT left_id, right_id, similarity, greatest(left_id, right_id) AS source_id, least(left_id, right_id) AS target_id, printf('Vector similarity %.4f', whole) AS reason FROM top
 )"""
 
 ASKED = "asked(query_id, query) AS (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{q}')" for i, q in QUERIES) + ")"

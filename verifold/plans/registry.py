@@ -12,6 +12,7 @@ from ..functions import truth
 from ..operators import conflict, graph, history, identity, maintain, retrieval, state
 from ..sources import lens
 from ..sources.lens import as_of, events, table
+from ..sources.shared import frozen
 from ..streaming import ingest
 
 DIGITS = 6
@@ -199,8 +200,8 @@ def duplicate_greedy(s: SparkSession, d: str) -> DataFrame:
 
 def merge_apply(s: SparkSession, d: str) -> DataFrame:
     ents = lens.vectors(s, d).select("id", F.lit(None).cast("bigint").alias("merged_into"), F.lit(None).cast("timestamp").alias("updated_at"))
-    done = identity.merge(ents, duplicate_pairs(s, d), as_of())
-    return identity.canonical(done.select("id", "merged_into")).join(done.select("id", "merged_into"), "id").select("id", "merged_into", "canonical_id")
+    done = frozen(identity.merge(ents, duplicate_pairs(s, d), as_of()).select("id", "merged_into"), "merged")
+    return identity.canonical(done).join(done, "id").select("id", "merged_into", "canonical_id")
 
 
 def bool_flip(s: SparkSession, d: str) -> DataFrame:
