@@ -195,7 +195,7 @@ def duplicate_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_greedy(s: SparkSession, d: str) -> DataFrame:
-    return identity.greedy(duplicate_pairs(s, d)).withColumn("band", identity.band(F.col("similarity")))
+    return identity.greedy(frozen(duplicate_pairs(s, d), "pairs")).withColumn("band", identity.band(F.col("similarity")))
 
 
 def merge_apply(s: SparkSession, d: str) -> DataFrame:
