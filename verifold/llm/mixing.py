@@ -164,7 +164,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, mos
     low = F.greatest(F.col("block_no") * block, F.col("start"))
     high = F.least((F.col("block_no") + 1) * block, F.col("start") + F.col("size"))
     pieces = pieces.select("source_no", "block_no", "doc_id", "start", (low - F.col("start")).alias("first_word"), (high - low).alias("n_words"))
-    return laid, slots(spark, plan, shard_slots, seed).join(pieces, ["source_no", "block_no"])
+    # both sides grow with the corpus, and the size of exploded pieces is underrated: never broadcast
+    return laid, slots(spark, plan, shard_slots, seed).join(pieces.hint("merge"), ["source_no", "block_no"])
 
 
 def taken(laid: DataFrame, placements: DataFrame) -> DataFrame:
