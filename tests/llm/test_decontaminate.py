@@ -89,3 +89,13 @@ def test_question_and_answer():
     assert dc.question_and_answer("First one. Second two.") == ([b"first", b"one"], [b"second", b"two"])
     assert dc.question_and_answer("a b c d e f") == ([b"a", b"b", b"c", b"d"], [b"e", b"f"])
     assert dc.question_and_answer(None) == ([], [])
+
+
+def test_every_item_alone_is_flagged_against_itself(spark):
+    items = [(1, "The tall grey tower stands on stnt. Lor esa min."), (2, "Who is it? Anna."), (3, "One two three four five six seven"), (4, "Is it (really) so?\nYes, it is."), (5, "First part here. Last - part !"), (6, "\u00a0 odd lead. tail")]
+    it = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, t) for i, t in items] + [(10 + i, "before it " * 40 + '"' + t + '.%%% and after' + " it" * 90) for i, t in items] + [(20 + i, t.rstrip(".!? ")) for i, t in items]
+    got = {(r.doc_id, r.item_id) for r in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), it).collect()}
+    assert {(k + i, i) for i, _ in items for k in (0, 10, 20)} <= got
+    for i, t in items:
+        assert [x[0] for x in dc.ItemIndex([(i, t)]).items] == [i] and sum(map(len, dc.parts(t))) == len(t.encode().split()) - (i == 5)

@@ -10,6 +10,7 @@ all postings by block-max WAND, which finds every item at the threshold or above
 from __future__ import annotations
 
 import math
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,24 +30,41 @@ REST = 2 / 3
 SCHEMA = "doc_id long, item_id long, score double, passages long, question_overlap double, answer_overlap double, first_word long, last_word long"
 
 
-def split_words(text: str | None) -> list[bytes]:
+#: What is stripped off the edges of words, in items and passages alike; a word of nothing else stays as it is.
+EDGES = string.punctuation
+
+
+def raw_words(text: str | None) -> list[bytes]:
     """Words of a text, A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def split_words(text: str | None) -> list[bytes]:
+    """Words of a text, A-Z lower-cased, without punctuation at their edges."""
+    return [w.strip(EDGES.encode()) or w for w in raw_words(text)]
+
+
 def question_and_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
     """The last line of an item is its answer; of a single line, the last sentence; of a single sentence, its last third."""
     t = (text or "").strip()
     head, sep, tail = t.rpartition("\n")
     if not sep:
         head, sep, tail = t.rstrip(".!? ").rpartition(". ")
-    if sep and split_words(head) and split_words(tail):
-        return split_words(head), split_words(tail)
-    w = split_words(t)
+    if sep and raw_words(head) and raw_words(tail):
+        return raw_words(head), raw_words(tail)
+    w = raw_words(t)
     cut = len(w) - len(w) // 3
     return w[:cut], w[cut:]
 
 
+def parts(text: str | None) -> tuple[list[bytes], list[bytes]]:
+    """The words of an item as split_words() has them, cut where question_and_answer() cuts. None is lost but lone punctuation at the end."""
+    w, cut = split_words(text), len(question_and_answer(text)[0])
+    while len(w) > cut + 1 and not w[-1].strip(EDGES.encode()):
+        w.pop()
+    return w[:cut], w[cut:]
+
+
 def shingles(w: list[bytes], n: int) -> set:
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
 
@@ -57,7 +75,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, block: int = BLOCK, shingle: int = SHINGLE):
         self.threshold, self.block, self.shingle, rest = threshold, block, shingle, REST * threshold
         self.needed = threshold - rest
-        split = [(i, *question_and_answer(t)) for i, t in items]
+        split = [(i, *parts(t)) for i, t in items]
         self.items = [(i, q, a) for i, q, a in split if q or a]
         bags = [Counter(q + a) for _, q, a in self.items]
         df = Counter(t for b in bags for t in b)
@@ -153,6 +171,8 @@ def matcher(index: ItemIndex, overlap: float):
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
         flat = pc.list_flatten(split)
         sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        bare = pc.ascii_trim(flat, characters=EDGES)
+        flat = pc.if_else(pc.equal(bare, ""), flat, bare)
         codes = pc.fill_null(pc.index_in(flat.cast(pa.large_binary()).cast(pa.binary()), value_set=value_set), unknown).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         begin = ends - sizes
