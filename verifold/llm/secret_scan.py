@@ -1,8 +1,9 @@
 """Secret scans: three fixed patterns, then character Markov models. DataFrame functions only.
 
 Two first-order Markov chains over characters are trained from labelled samples, one of random strings, one of ordinary
-identifiers. A candidate token that no pattern covers is a secret if the mean log-likelihood ratio of its character
-pairs reaches a threshold. Positions are code points, end exclusive.
+identifiers. What the patterns leave of a candidate token is a secret if the mean log-likelihood ratio of its character
+pairs reaches a threshold; else those of its stretches are that reach it, so that a name or path before a secret does not
+hide it. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ ASSIGN_LEAST = 6
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Generated random strings of 20 characters score 2.5 or more in 99 of 100 cases, ordinary words and identifiers below 1.
 THRESHOLD = 2.5
+#: A stretch is long enough from LEAST characters on. It goes on while the ratios, less FLOOR each, sum to more than 0 and
+#: to no more than DROP below their peak, where it ends; a piece of up to SNAP characters to the next separator is its own.
+LEAST, FLOOR, DROP, SNAP = 20, 1.0, 10.0, 4
 #: Bounds of the labelled samples.
 RANDOM_ROWS, DOC_ROWS, WORD_ROWS = 4000, 2000, 20_000
 
@@ -147,6 +151,51 @@ def outside(spans: list[Column], x: Column) -> Column:
     return clear
 
 
+def left_over(spans: list[Column], x: Column) -> Column:
+    """The parts of a candidate that no span covers, where they are long enough."""
+    own = F.sort_array(F.concat(*[F.transform(F.filter(k, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])), lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"))) for k in spans]))
+    part = lambda s, e: F.struct(s.alias("s"), e.alias("e"), F.substring(x["m"], s - x["s"] + 1, e - s).alias("m"))
+    zero = F.struct(x["s"].alias("at"), no_spans().alias("out"))
+    step = lambda a, y: F.struct(F.greatest(a["at"], y["e"]).alias("at"), F.when(y["s"] - a["at"] >= LEAST, F.array_append(a["out"], part(a["at"], y["s"]))).otherwise(a["out"]).alias("out"))
+    rest = F.aggregate(own, zero, step, lambda a: F.when(x["e"] - a["at"] >= LEAST, F.array_append(a["out"], part(a["at"], x["e"]))).otherwise(a["out"]))
+    return F.when(outside(spans, x), F.array(x)).otherwise(rest)
+
+
+def stretches(v: Column) -> Column:
+    """Where the ratios v of a string's pairs stay high, as (s, e); one pass."""
+    span = lambda a: F.when((a["peak"] > 0) & (a["e"] - a["s"] >= LEAST - 2 * SNAP), F.array_append(a["out"], F.struct(a["s"].alias("s"), a["e"].alias("e")))).otherwise(a["out"])
+
+    def step(a: Column, r: Column) -> Column:
+        over = (a["now"] <= 0) | (a["now"] < a["peak"] - DROP)
+        now, peak = F.when(over, F.lit(0.0)).otherwise(a["now"]) + r - FLOOR, F.when(over, F.lit(0.0)).otherwise(a["peak"])
+        return F.struct(
+            (a["i"] + 1).alias("i"), now.alias("now"), F.greatest(peak, now).alias("peak"), F.when(over, a["i"]).otherwise(a["s"]).alias("s"),
+            F.when(now > peak, a["i"] + 1).when(over, a["i"]).otherwise(a["e"]).alias("e"), F.when(over, span(a)).otherwise(a["out"]).alias("out"),
+        )
+
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("now"), F.lit(0.0).alias("peak"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    return F.aggregate(v, zero, step, span)
+
+
+def random_parts(x: Column, ratio: list[float], threshold: float) -> Column:
+    """A candidate as a whole if its mean ratio reaches the threshold, else its stretches that do."""
+
+    def judged(v: Column) -> Column:
+        mean = lambda s, e: F.aggregate(F.slice(v, s + 1, e - s), F.lit(0.0), lambda a, r: a + r) / F.greatest(e - s, F.lit(1))
+
+        def snapped(y: Column) -> Column:
+            before = F.length(F.regexp_extract(F.substring(x["m"], F.lit(1), y["s"]), "[^/=_-]*$", 0))
+            after = F.length(F.regexp_extract(F.substring(x["m"], y["e"] + 1, F.length(x["m"])), "^[^/=_-]*", 0))
+            s, e = y["s"] - F.when(before <= SNAP, before).otherwise(F.lit(0)), y["e"] + F.when(after <= SNAP, after).otherwise(F.lit(0))
+            return F.struct(s.alias("s"), e.alias("e"))
+
+        high = F.filter(F.transform(stretches(v), snapped), lambda y: (y["e"] - y["s"] >= LEAST) & (mean(y["s"], y["e"]) >= threshold))
+        placed = F.transform(high, lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), F.substring(x["m"], y["s"] + 1, y["e"] - y["s"]).alias("m")))
+        return F.when(mean(F.lit(0), F.size(v)) >= threshold, F.array(x)).otherwise(placed)
+
+    return let(F.transform(pairs(x["m"]), lambda t: F.get(numbers(ratio), t)), judged)
+
+
 def with_spans(docs: DataFrame, ratio: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with assign, access, hex and markov: arrays of (s, e, m) beside their own columns.
 
@@ -156,7 +205,8 @@ def with_spans(docs: DataFrame, ratio: list[float], text_col: str = "text", thre
     text = F.coalesce(F.col(text_col), F.lit(""))
     based = docs.withColumns(dict(zip(KINDS, kind_spans(text))))
     base = [F.col(k) for k in KINDS[:3]]
-    found = F.filter(matches(text, CANDIDATE), lambda x: (mean_ratio(x["m"], ratio) >= threshold) & outside(base, x))
+    rest = F.flatten(F.transform(matches(text, CANDIDATE), lambda x: left_over(base, x)))
+    found = F.flatten(F.transform(rest, lambda x: random_parts(x, ratio, threshold)))
     return based.withColumn("markov", F.when(text.rlike(CANDIDATE), found).otherwise(no_spans()))
 
 
