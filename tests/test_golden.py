@@ -113,6 +113,13 @@ def test_transfer_and_causes(spark):
     assert {(r.id, r.cause): r.depth for r in history.causes(ev).collect()} == {("c", "b"): 1, ("c", "a"): 2, ("b", "a"): 1, ("d", "b"): 1, ("d", "a"): 1}
 
 
+def test_causes_have_no_depth_limit(spark):
+    ev = spark.createDataFrame([(i, [i - 1] if i else []) for i in range(41)] + [(100, [40, 3]), (200, [201]), (201, [200])], "id long, antecedents array<long>")
+    got = {(r.id, r.cause): r.depth for r in history.causes(ev).collect()}
+    want = {(i, j): i - j for i in range(41) for j in range(i)} | {(100, j): 41 - j if j > 3 else 4 - j for j in range(41)}
+    assert got == want | {(200, 201): 1, (201, 200): 1, (200, 200): 2, (201, 201): 2}
+
+
 def test_consolidation(spark):
     acts = ["ADD", "ADD", "ADD", "REMOVE"]
     rows = [(1, T0 + timedelta(hours=i), i, "USER", a, "trees", 10.0, None, 0.9, 1.0, 1.0, 0.0) for i, a in enumerate(acts)]

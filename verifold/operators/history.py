@@ -62,17 +62,21 @@ def running_ancestry(events: DataFrame) -> DataFrame:
     return events.withColumn("chain_length", F.count(F.lit(1)).over(w))
 
 
-def causes(events: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(id, cause, depth): every event that an event's antecedents lead to, by the shortest way; joins level by level."""
-    step = frozen(events.select("id", F.explode("antecedents").alias("cause")).distinct(), "causes")
-    found = frontier = step.withColumn("depth", F.lit(1))
-    for depth in range(2, max_depth + 1):
-        after = frontier.select("id", F.col("cause").alias("_m")).join(step.select(F.col("id").alias("_m"), "cause"), "_m").select("id", "cause").distinct()
-        frontier = frozen(after.join(found.select("id", "cause"), ["id", "cause"], "left_anti").withColumn("depth", F.lit(depth)), "causes")
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+def causes(events: DataFrame) -> DataFrame:
+    """(id, cause, depth): every event that an event's antecedents lead to, by the shortest way.
+
+    Each round doubles the depth covered: what lies further than `reach` begins with a way of just that length.
+    """
+    step = events.select("id", F.explode("antecedents").alias("cause")).distinct()
+    found, reach = frozen(step.withColumn("depth", F.lit(1)), "causes"), 1
+    while True:
+        far = found.where(F.col("depth") == reach).select("id", F.col("cause").alias("_m"))
+        on = far.join(found.select(F.col("id").alias("_m"), "cause", F.col("depth").alias("_more")), "_m")
+        after = on.groupBy("id", "cause").agg((F.min("_more") + F.lit(reach)).alias("depth"))
+        after = frozen(after.join(found.select("id", "cause"), ["id", "cause"], "left_anti"), "causes")
+        if after.isEmpty():
+            return found
+        found, reach = frozen(found.unionByName(after), "causes"), 2 * reach
 
 
 def transfers(roots: DataFrame, known: DataFrame) -> DataFrame:
