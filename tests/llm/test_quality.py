@@ -44,33 +44,72 @@ def corpus():
     return out
 
 
+def plain_buckets(spark, words, n):
+    ones, twos = list(words), list(zip(words, words[1:]))
+    kinds = sorted({(w,) for w in ones} | set(twos))
+    rows = spark.createDataFrame([(k[0], k[1] if len(k) > 1 else None, len(k)) for k in kinds], "a string, b string, n int")
+    hashes = {(r.a,) if r.n == 1 else (r.a, r.b): r.h for r in rows.selectExpr("a", "b", "n", "if(n = 1, xxhash64(a), xxhash64(a, b)) as h").collect()}
+    return [hashes[k] % n for k in [*((w,) for w in ones), *twos]]
+
+
+def plain_llr(spark, docs, trusted, n, prior):
+    """Scores of all documents from plain counts."""
+    grams = [plain_buckets(spark, plain_words(t), n) if plain_words(t) else [] for _, t in docs]
+    t, r = [0] * n, [0] * n
+    for (i, _), g in zip(docs, grams):
+        for b in g:
+            r[b] += 1
+            t[b] += i in trusted
+    share = sum(t) / sum(r)
+    weight = [math.log((a + prior) / (b * share + prior)) if sum(t) else 0.0 for a, b in zip(t, r)]
+    return weight, [sum(weight[b] for b in g) / len(g) if g else 0.0 for g in grams]
+
+
+def some_labels(spark):
+    rows = [(i, 1 if i % 3 else 0, 0) for i in range(120)] + [(None, 1, 0), (3, None, 0), (1, 1, 0), (4, 1, 1)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
 def test_rules_match_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, kept string").repartition(4)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120) if i % 3] + [(None, 1, 0), (3, None, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = some_labels(spark)
     got = quality.judge(df, labels).collect()
     assert sorted(((r.doc_id, r.text or ""), (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in got if r.doc_id is not None) == sorted(((i, t or ""), plain_rules(t)) for i, t in docs if i is not None)
-    assert all(r.kept is (not r.base_failed and r.llr >= quality.THRESHOLD) for r in got)
-    good = [r.llr for r in got if r.doc_id is not None and r.doc_id < 120 and r.doc_id % 3 and r.n_words]
-    junk = [r.llr for r in got if r.doc_id is not None and r.doc_id < 120 and r.doc_id % 3 == 0 and r.n_words]
-    assert min(good) > max(junk)
-
-
-def test_weights_match_plain_counts(spark):
+    # scores and threshold, counted anew
+    trusted = {r.doc_id for r in quality.trusted_ids(labels).collect()}
+    fitting = {r.doc_id: r.good for r in quality.fitting_ids(labels).collect()}
+    assert not trusted & set(fitting) and 4 not in trusted and 4 not in fitting and {i for i in range(120) if i % 3} - {4} <= trusted | set(fitting)
+    assert {i for i, g in fitting.items() if not g} == set(range(0, 120, 3))
+    _, scores = plain_llr(spark, docs, trusted, quality.BUCKETS, quality.PRIOR)
+    assert sorted((r.doc_id or -1, r.text or "", round(r.llr, 4)) for r in got) == sorted((i or -1, t or "", pytest.approx(s, abs=2e-4)) for (i, t), s in zip(docs, scores))
+    passed = [(fitting[i], s) for (i, t), s in zip(docs, scores) if i in fitting and not plain_rules(t)[-1]]
+    cut = quality.cut(passed)
+    share = lambda c: sum(g and v >= c for g, v in passed) / sum(g for g, _ in passed) - sum(not g and v >= c for g, v in passed) / sum(not g for g, _ in passed)
+    assert share(cut) == pytest.approx(max(share(v) for _, v in passed))
+    assert all(r.kept is (not r.base_failed and r.llr >= cut) for r in got if abs(r.llr - cut) > 1e-3)
+    # caller's columns survive in the pipeline's form, whatever they are called
+    plain = quality.accepted(df.withColumn("llr", df["doc_id"]).withColumn("_own_kept", df["text"]), labels)
+    assert plain.columns == ["doc_id", "text", "kept", "llr", "_own_kept"]
+    kept = plain.collect()
+    assert {r.kept for r in kept} == {"clash"} and all(r.llr == r.doc_id and r._own_kept == r.text for r in kept)
+    assert sorted(r.doc_id or -1 for r in kept) == sorted(r.doc_id or -1 for r in got if r.kept)
+
+
+def test_cut():
+    assert quality.cut([(True, 1.0), (False, 0.0)]) == 0.5
+    assert quality.cut([(True, 1.0), (True, 2.0)]) == quality.cut([(False, 1.0)]) == quality.cut([]) == -math.inf
+    assert quality.cut([(False, 0.0), (False, 0.2), (True, 0.1), (True, 0.4), (True, 0.6)]) == pytest.approx(0.3)
+    assert quality.cut([(False, 0.5), (True, 0.5)]) == -math.inf  # ties can't be parted
+
+
+def test_weights_shrink_where_little_is_known(spark):
     docs = [(1, "a b c a"), (2, "x y"), (3, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    trusted = quality.trusted_ids(spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int"))
-    w = quality.bucket_weights(df, trusted, 64)
-    h = {tuple(r): b % 64 for r, b in [((x,), spark.sql(f"select xxhash64('{x}')").first()[0]) for x in "abcxy"]}
-    h |= {(x, y): spark.sql(f"select xxhash64('{x}', '{y}')").first()[0] % 64 for x, y in ["ab", "bc", "ca", "xy"]}
-    t, r = [0] * 64, [0] * 64
-    for g in [("a",), ("b",), ("c",), ("a",), ("a", "b"), ("b", "c"), ("c", "a")]:
-        t[h[g]] += 1
-        r[h[g]] += 1
-    for g in [("x",), ("y",), ("x", "y")]:
-        r[h[g]] += 1
-    share = [(b + 1) / (10 + 64) for b in r]
-    assert w == pytest.approx([math.log((a + 64 * q) / (7 + 64)) - math.log(q) for a, q in zip(t, share)])
+    trusted = spark.createDataFrame([(1,)], "doc_id long")
+    weight, _ = plain_llr(spark, docs, {1}, 64, 0.5)
+    assert quality.bucket_weights(df, trusted, 64) == pytest.approx(weight)
+    assert quality.bucket_weights(df, trusted.limit(0), 64) == [0.0] * 64
 
 
 def test_no_labels_and_empty_table(spark):

@@ -34,6 +34,14 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def private(df: DataFrame) -> str:
+    """A prefix that no column of df begins with, whatever its case."""
+    p = "_own_"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p = "_" + p
+    return p
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

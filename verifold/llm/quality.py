@@ -1,10 +1,10 @@
 """Quality rules: fixed text rules, then a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-Unigrams and bigrams of word endings are hashed into a fixed number of buckets; endings, as whole words are too many for
-a small trusted sample, whose model would then hold new words against a document. Two multinomials over the buckets are
-counted, one over a bounded sample of trusted documents, one over all documents; a document's score is the mean over its
-n-grams of log(target / raw). It passes if the mean reaches a fixed threshold, so that the verdict on a text needs
-nothing but the two count tables.
+Words and pairs of words are hashed into a fixed number of buckets. Two multinomials over the buckets are counted, one
+over a bounded sample of trusted documents, one over all documents; a document's score is the mean over its n-grams of
+log(target / raw). A bucket's ratio has a Gamma prior of mean 1, so that a bucket that the trusted sample is too small to
+tell about weighs next to nothing. The threshold is fitted on labelled documents that the weights were not counted on:
+it is the cut that parts good from bad best. The verdict on a text needs nothing but the weights and the threshold.
 """
 
 from __future__ import annotations
@@ -14,16 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import SPACE, private, words
 
-BUCKETS = 16384
-#: At most so many trusted rows are used, those whose ids hash lowest.
-TRUSTED_ROWS = 20_000
-#: Between junk and the rest: over the labelled tables of three sizes no other text of 50 words scores below -0.31, no junk above -0.97.
-THRESHOLD = -0.6
+BUCKETS = 65536
+#: Bounds of the labelled samples, those whose ids hash lowest: trusted documents, and documents of each class that the threshold is fitted on.
+TRUSTED_ROWS, FITTING_ROWS = 20_000, 4_000
+#: Shape of the prior of a bucket's ratio: so many expected occurrences weigh as much as it does.
+PRIOR = 0.5
 MIN_WORDS = 50
-#: So many last characters of a word are its ending.
-ENDING = 2
 
 
 def let(value: Column, body) -> Column:
@@ -31,10 +29,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def endings(w: Column, size: int = ENDING) -> Column:
-    return F.transform(w, lambda x: F.right(x, F.lit(size)))
-
-
 def bucket_at(w: Column, i: Column, buckets: int) -> tuple[Column, Column]:
     """Buckets of the word at i and of the pair that begins there."""
     one = F.pmod(F.xxhash64(F.get(w, i)), F.lit(buckets)).cast("int")
@@ -50,36 +44,73 @@ def grams(w: Column, buckets: int) -> Column:
     return F.concat(ones, twos)
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, good, half) of each labelled id: good if a label calls it so and none calls it toxic; half deals good ids to counting (0) and fitting (1)."""
+    toxic = F.max(F.coalesce("toxic", F.lit(0))) if "toxic" in labels.columns else F.lit(0)
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"), toxic.alias("_t"))
+    good = F.when((F.col("_q") == 1) & (F.col("_t") != 1), True).when(F.col("_q") != 1, False)
+    half = F.when(F.col("_q") == 1, F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2))).otherwise(F.lit(1))
+    return known.select("doc_id", good.alias("good"), half.cast("int").alias("half")).where("good is not null")
+
+
+def lowest(ids: DataFrame, most: int) -> DataFrame:
+    """At most `most` ids, by the order of their hash."""
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of rows labelled good, at most `most` of them, by the order of their hash."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return lowest(labelled(labels).where("good and half = 0").select("doc_id"), most)
+
 
+def fitting_ids(labels: DataFrame, most: int = FITTING_ROWS) -> DataFrame:
+    """(doc_id, good) of at most `most` ids of each class that no weight is counted on."""
+    rest = labelled(labels).where("half = 1").select("doc_id", "good")
+    return lowest(rest.where("good"), most).unionByName(lowest(rest.where("not good"), most))
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """log(target / raw) of each bucket; all 0 if no trusted document has a word.
 
-    Raw counts are smoothed by one, and the target by as many draws from the raw multinomial as there are buckets, so
-    that a bucket that the trusted sample is too small to tell about weighs nothing.
+def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
+    """log((t + prior) / (e + prior)) of each bucket; all 0 if no trusted document has a word.
 
-    Counts cover all of docs in one pass. `trusted` is bounded, so it is broadcast; what comes back to the driver is one
-    row per bucket.
+    t are the bucket's n-grams in trusted documents, e as many as its share of all n-grams leads to expect. Counts cover
+    all of docs in one pass. `trusted` is bounded, so it is broadcast; the driver gets one row per bucket.
     """
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_good", F.lit(1))), "doc_id", "left")
-    each = marked.select(F.coalesce("_good", F.lit(0)).alias("good"), endings(words(F.col("text"))).alias("w")).select("good", F.explode(grams(F.col("w"), buckets)).alias("b"))
+    each = marked.select(F.coalesce("_good", F.lit(0)).alias("good"), words(F.col("text")).alias("w")).select("good", F.explode(grams(F.col("w"), buckets)).alias("b"))
     counts = each.groupBy("b").agg(F.sum("good").cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("r"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0.0)
-    found = every.select("b", "t", "r").collect()
+    found = counts.collect()
     t, r = sum(x.t for x in found), sum(x.r for x in found)
-    if not t:
-        return [0.0] * buckets
     out = [0.0] * buckets
-    for x in found:
-        share = (x.r + 1) / (r + buckets)
-        out[x.b] = math.log((x.t + buckets * share) / (t + buckets)) - math.log(share)
+    for x in found if t else ():
+        out[x.b] = math.log((x.t + prior) / (x.r * t / r + prior))
     return out
 
 
+def cut(scored: list[tuple[bool, float]]) -> float:
+    """The threshold that parts good from bad scores best: the largest difference of the shares of good and of bad at or above it.
+
+    Between two scores it lies in the middle; of equally good cuts the lowest counts. Without scores of a class: minus infinity.
+    """
+    good = sum(g for g, _ in scored)
+    bad = len(scored) - good
+    if not good or not bad:
+        return -math.inf
+    rows = sorted(scored, key=lambda x: x[1])
+    best, at, below_good, below_bad = 0.0, -math.inf, 0, 0
+    for k, (g, v) in enumerate(rows):
+        below_good, below_bad = below_good + g, below_bad + (not g)
+        gain = below_bad / bad - below_good / good
+        if gain > best + 1e-12 and k + 1 < len(rows) and rows[k + 1][1] > v:
+            best, at = gain, (v + rows[k + 1][1]) / 2
+    return at
+
+
+def fitted_threshold(docs: DataFrame, fitting: DataFrame, weights: list[float], min_words: int = MIN_WORDS) -> float:
+    """cut() over the documents of `fitting` that pass the fixed rules; the driver gets a row per id, at most twice FITTING_ROWS."""
+    some = docs.select("doc_id", "text").join(F.broadcast(fitting), "doc_id")
+    judged = with_rules(some, weights, min_words=min_words).where("not base_failed").groupBy("doc_id", "good").agg(F.min("llr").alias("llr"))
+    return cut([(r.good, r.llr) for r in judged.collect()])
+
+
 def numbers(values: list[float]) -> Column:
     """A constant array; as text it is one literal, folded once on the driver."""
     return F.split(F.lit(",".join(format(v, ".6f") for v in values)), ",").cast("array<double>")
@@ -117,27 +148,39 @@ def repeated_words(w: Column) -> Column:
     return F.coalesce(let(hashes, count), F.lit(0).cast("long"))
 
 
-def with_rules(docs: DataFrame, weights: list[float], text_col: str = "text", threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def with_rules(docs: DataFrame, weights: list[float], text_col: str = "text", threshold: float = -math.inf, min_words: int = MIN_WORDS, prefix: str = "") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept beside their own columns.
 
     A null text counts as empty: no words, so base_failed. Rows are judged one by one: repeated ids, ties and null ids
-    change nothing, an empty table stays empty. A column of docs with one of these names is replaced.
+    change nothing, an empty table stays empty. `prefix` goes before the new names; a column of docs with one of them is
+    replaced. Repeated three-word windows are told by 64-bit hashes.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    name = lambda c: F.col(prefix + c)
     # each rule splits the text for itself and binds its words, so that a filter pushed below costs a split, not one per word
-    counted = docs.withColumns({
+    rules = {
         "n_words": F.size(words(text)).cast("long"),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
         "n_repeat_words": let(words(text), repeated_words),
-        "llr": let(endings(words(text)), lambda w: ratio(w, weights)),
-    })
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+        "llr": let(words(text), lambda w: ratio(w, weights)),
+    }
+    counted = docs.withColumns({prefix + k: v for k, v in rules.items()})
+    failed = (name("n_words") < min_words) | (100 * name("n_repeat_words") > 50 * name("n_words"))
+    return counted.withColumn(prefix + "base_failed", failed).withColumn(prefix + "kept", ~name("base_failed") & (name("llr") >= threshold))
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None, prefix: str = "") -> DataFrame:
+    """with_rules() under weights counted on docs and a threshold fitted on its labels."""
+    weights = bucket_weights(docs, trusted_ids(labels))
+    if threshold is None:
+        threshold = fitted_threshold(docs, fitting_ids(labels), weights)
+    return with_rules(docs, weights, threshold=threshold, prefix=prefix)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """with_rules() under weights fitted on docs and its labels."""
-    return with_rules(docs, bucket_weights(docs, trusted_ids(labels)), threshold=threshold)
+def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs that judge() keeps, with their own columns only, whatever their names."""
+    p = private(docs)
+    return judge(docs, labels, prefix=p, **how).where(F.col(p + "kept")).select(*docs.columns)
