@@ -106,3 +106,84 @@ def test_components_of_chains(spark):
     assert got == {i: 0 for i in range(1, n + 1)} | {2001: 2000}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def five(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_guide(t):
+    """Guide and wide bits of a text, counted bit by bit."""
+    w = (t or "").encode().lower().split()
+    if not w:
+        return (0, 0, 0, 0, 0)
+    m = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    def hashes(k):
+        out = []
+        for i in range(max(1, len(w) - k + 1)):
+            h = min(k, len(w))
+            for x in w[i : i + k]:
+                h = mixed((h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(x, 42)) & m)
+            out.append(h)
+        return out
+
+    def bits(h):
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    return (bits(hashes(2)), *(bits([mixed((x + k + 1) & m) for x in hashes(5)]) for k in range(4)))
+
+
+def test_near_copies_match_brute_force(spark):
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 300
+    docs, sims = [], []
+    for i in range(60):
+        w = [rnd.choice(vocab) for _ in range(rnd.choice([60, 150, 400]))]
+        docs.append((10 * i, " ".join(w)))
+        for k in range(rnd.randrange(4)):
+            v = list(w)
+            for _ in range(rnd.randrange(1, 1 + len(w) // 25)):
+                v[rnd.randrange(len(v))] = "edit%d" % rnd.randrange(1000)
+            docs.append((10 * i + 1 + k, "\n".join(v).upper() if k == 1 else " ".join(v)))
+    docs += [(7000, None), (7001, ""), (7002, " \t"), (None, "lone words here"), (5, docs[0][1]), (5, docs[0][1]), (8000, "long " * 70000)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, g string, component_id int").repartition(5)
+    got = simhash.near_copies(df, block=16).collect()
+    assert sorted(r.id or -1 for r in got) == sorted(i or -1 for i, _ in docs)
+    own = {r.id: r.component_id for r in got}
+    assert own[7000] == own[7001] == own[7002] == 7000 and own[None] is None and own[5] == own[0] == 0 and own[8000] == 8000
+    marks = [(i, plain_guide(t), five(t)) for i, t in docs[: len(docs) - 7]]
+    linked, found, similar, caught = 0, 0, 0, 0
+    reach = {i: {i} for i, _, _ in marks}
+    for a in range(len(marks)):
+        for b in range(a):
+            (i, x, p), (j, y, q) = marks[a], marks[b]
+            link = (x[0] ^ y[0]).bit_count() <= simhash.GUIDE_RADIUS and sum((u ^ v).bit_count() for u, v in zip(x[1:], y[1:])) <= simhash.WIDE_RADIUS
+            same = own[i] == own[j]
+            linked, found = linked + link, found + (link and same)
+            if link:
+                for z in reach[i] | reach[j]:
+                    reach[z] = reach[i] | reach[j]
+                    for u in reach[z]:
+                        reach[u] = reach[z]
+            if len(p & q) >= 0.8 * len(p | q):
+                similar, caught = similar + 1, caught + same
+    assert linked > 20 and found >= 0.85 * linked and similar > 15 and caught >= 0.9 * similar
+    assert all(own[i] in reach[i] and own[i] <= i for i in reach)  # nothing is joined that no links join
+    kept = simhash.keep_first(df, simhash.near_copies(df))
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted({own[i] if i is not None else -1 for i, _ in docs})
+    assert simhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_groups_and_choices_grow_with_rows():
+    assert simhash.groups_for(10**5, 3) == 6 < simhash.groups_for(10**10, 3)
+    few, many = simhash.choices_for(1000), simhash.choices_for(10**10)
+    size = lambda m: (m % (1 << 64)).bit_count() // 2
+    assert size(few[0]) == 8 < size(many[0]) and len(few) < len(many) < 100

@@ -6,16 +6,24 @@ dealt to G groups; within distance 3, at least G - 3 groups agree in all their c
 in a grid cell made of some G - 3 groups. Cells are an equi-join key; pairs in a cell are tested by the Manhattan bound
 and then exactly. Of a cell only a spanning forest leaves the task, never all its pairs, and a cell with more than
 `block` fingerprints is split into pairs of blocks that separate tasks compare.
+
+Three bits of 64 are far less than a similarity of 0.8 between sets of five-word shingles allows: such texts differ in
+about 15 of 100 bits. near_copies() is the same embedding and grid for that: a guide of 64 bits over pairs of words, which
+edits touch least, is met in seeded choices of segments instead of all choices of groups, and what meets there and passes
+the Manhattan bound is checked exactly on the guide and on 256 bits over five-word shingles.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +33,14 @@ from .common import connected_components, frozen, shuffle_width
 LOW = 0x5555555555555555
 SEED = 42
 
+#: near_copies(): shingle widths of the guide and of the checked bits, 64-bit words of the latter, radii of both.
+GUIDE_SHINGLE, SHINGLE, WIDE = 2, 5, 4
+GUIDE_RADIUS, WIDE_RADIUS = 14, 50
+#: Share of a guide's bits that near copies typically differ in, and the recall that the number of cells is set for.
+FLIP, CELL_RECALL = 0.1, 0.98
+GUIDE = "g"
+WORDS = tuple(f"w{k}" for k in range(WIDE))
+
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
@@ -137,27 +153,39 @@ def _edges(radius: int):
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3, groups: int = 6, block: int = 4096) -> DataFrame:
-    """Edges (a, b) that span all links at `radius` or fewer bits among the distinct longs of column fp.
+def groups_for(n: int, radius: int) -> int:
+    """Groups that leave a cell few of n fingerprints by chance: a coordinate carries 1.5 bits, a cell all but radius / groups of 48."""
+    groups = radius + 3
+    while groups < 16 and n > 64 * 2 ** (48 * (groups - radius) / groups):
+        groups += 1
+    return groups
 
-    More groups make more cells per fingerprint and fewer false meetings in each; 6 suits up to about 10^8
-    fingerprints, 8 beyond. `block` bounds the fingerprints that one task compares at once.
-    """
-    width = shuffle_width(fps.sparkSession)
-    emb = embedding(F.col("fp"))
-    cells = fps.select(F.explode(F.array(*[F.xxhash64(F.lit(i), emb.bitwiseAND(F.lit(m))) for i, m in enumerate(cell_masks(groups, radius))])).alias("key"), "fp")
+
+def met_in_cells(rows: DataFrame, emb: Column, masks: list[int], columns: list[str], block: int) -> DataFrame:
+    """(key, *columns), dealt by key and sorted: each row once for each mask. A cell of more than `block` rows becomes pairs of blocks."""
+    width = shuffle_width(rows.sparkSession)
+    cells = rows.select(F.explode(F.array(*[F.xxhash64(F.lit(i), emb.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("key"), *columns)
     hot = cells.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
     hot = frozen(hot, "hot-cells")
     dealt = cells
     if not hot.isEmpty():
-        own = F.pmod(F.xxhash64("fp"), F.col("n").cast("long")).cast("int")
+        own = F.pmod(F.xxhash64(*columns), F.col("n").cast("long")).cast("int")
         met = F.when(F.col("n").isNull(), F.array(F.col("key"))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own))))
-        dealt = cells.join(hot, "key", "left").select(F.explode(met).alias("key"), "fp")
-    dealt = dealt.repartition(width, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_edges(radius), "a long, b long")
+        dealt = cells.join(hot, "key", "left").select(F.explode(met).alias("key"), *columns)
+    return dealt.repartition(width, "key").sortWithinPartitions("key")
+
 
+def fingerprint_links(fps: DataFrame, radius: int = 3, groups: int | None = None, block: int = 4096) -> DataFrame:
+    """Edges (a, b) that span all links at `radius` or fewer bits among the distinct longs of column fp.
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, groups: int = 6, block: int = 4096) -> DataFrame:
+    More groups make more cells per fingerprint and fewer false meetings in each; unless given, their number follows
+    from the number of fingerprints. `block` bounds the fingerprints that one task compares at once.
+    """
+    masks = cell_masks(groups or groups_for(fps.count(), radius), radius)
+    return met_in_cells(fps, embedding(F.col("fp")), masks, ["fp"], block).mapInArrow(_edges(radius), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, groups: int | None = None, block: int = 4096) -> DataFrame:
     """Rows (id, fp, component_id), one for each row of docs.
 
     component_id is the smallest id reachable over links, the own one included. Equal texts have equal fingerprints and
@@ -166,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as they came; an empty table gives an empty result.
     """
     rows = frozen(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
-    fps = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
+    fps = frozen(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
     parts = connected_components(fingerprint_links(fps.select("fp"), radius, groups, block))
     rooted = fps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -174,14 +202,164 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective scramble of unsigned longs; sums wrap."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-word shingles of an array of word hashes; of fewer words, of the whole."""
+    n = max(1, len(w) - k + 1)
+    out = np.full(n, len(w) if len(w) < k else k, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(min(k, len(w))):
+            out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n])
+    return out
+
+
+def majority_bits(h: np.ndarray) -> np.uint64:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65536):
+        part = np.ascontiguousarray(h[at : at + 65536])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def guide_and_wide(w: np.ndarray) -> list[int]:
+    """The guide and the WIDE words of a text's word hashes; all zero without words."""
+    if not len(w):
+        return [0] * (1 + WIDE)
+    five = shingle_hashes(w, SHINGLE)
+    return [int(majority_bits(h)) for h in (shingle_hashes(w, GUIDE_SHINGLE), *(_mixed(five + np.uint64(k + 1)) for k in range(WIDE)))]
+
+
+def _guides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("id", pa.int64()), *[(c, pa.int64()) for c in (GUIDE, *WORDS)]])
+    for x in batches:
+        for at in range(0, x.num_rows, 256):
+            s = x.slice(at, 256)
+            # lowered before the cast: ascii_lower misreads a slice that was cast
+            split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(s.column(1), "")).cast(pa.large_string()))
+            sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+            d = pc.list_flatten(split).cast(pa.large_binary()).dictionary_encode()
+            own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in d.dictionary.to_pylist()), np.uint64, len(d.dictionary))
+            empty = np.array([len(w) == 0 for w in d.dictionary.to_pylist()], bool)  # what splitting leaves at a text's edges
+            code = d.indices.to_numpy()
+            ends = np.cumsum(sizes)
+            rows = [guide_and_wide(own[c[~empty[c]]]) for c in (code[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist()))]
+            bits = np.array(rows, np.uint64).reshape(len(rows), 1 + WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([s.column(0), *[pa.array(bits[:, k]) for k in range(1 + WIDE)]], schema=schema)
+
+
+def choices_for(n: int) -> list[int]:
+    """Masks of seeded choices of segments: so many in each that a cell holds some 500 of n guides by chance, and so many
+    choices that guides which differ in FLIP of their bits agree in one with CELL_RECALL."""
+    segments = min(30, max(8, math.ceil((math.log2(max(n, 2)) - 9) / 1.5)))
+    same = ((1 - FLIP) ** 2 + FLIP**2 / 2) ** segments
+    rnd = random.Random(SEED)
+    return [_signed(sum(3 << (2 * k) for k in rnd.sample(range(32), segments))) for _ in range(math.ceil(math.log(1 - CELL_RECALL) / math.log(1 - same)))]
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows (guide, wide words): the Manhattan bound, then both exact distances."""
+    out = manhattan(x[..., 0], y[..., 0]) <= GUIDE_RADIUS
+    out[out] = np.bitwise_count(x[out, 0] ^ (y[out, 0] if y.ndim > 1 else y[0])) <= GUIDE_RADIUS
+    out[out] = np.bitwise_count(x[out, 1:] ^ (y[out, 1:] if y.ndim > 1 else y[1:])).sum(1, dtype=np.int64) <= WIDE_RADIUS
+    return out
+
+
+def spanning(rows: np.ndarray) -> list[tuple[int, int]]:
+    """Index pairs that span the components of rows (guide, wide words)."""
+    rest, out = np.arange(len(rows)), []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            near = np.flatnonzero(_near(rows[rest], rows[at]))
+            if len(near):
+                found = rest[near]
+                out += [(at, int(x)) for x in found]
+                queue += found.tolist()
+                rest = np.delete(rest, near)
+    return out
+
+
+def _copy_edges(few: int = 32):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def settle(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+        size = ends - starts
+        small = np.repeat(size <= few, size)
+        a, b, root = [], [], {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        at = np.flatnonzero(small)
+        for k in range(1, min(few, int(size.max()))):  # small cells: all rows against those k places on
+            at = at[at + k < len(key)]
+            at = at[key[at + k] == key[at]]
+            for i in at[_near(bits[at], bits[at + k])].tolist() if len(at) else ():
+                if (x := find(i)) != (y := find(i + k)):
+                    root[x] = y
+                    a.append(i)
+                    b.append(i + k)
+        for s, e in zip(starts[size > few].tolist(), ends[size > few].tolist()):
+            pairs = spanning(bits[s:e])
+            a += [s + i for i, _ in pairs]
+            b += [s + j for _, j in pairs]
+        return pa.RecordBatch.from_arrays([pa.array(node[np.array(v, np.int64)]) for v in (a, b)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 3 + WIDE), np.int64)
+        for x in batches:
+            held = np.concatenate((held, np.stack([c.to_numpy() for c in x.columns], axis=1)))
+            if len(held) and held[0, 0] != held[-1, 0]:
+                last = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last cell may go on in the next batch
+                yield settle(held[:last, 0], held[:last, 1], np.ascontiguousarray(held[:last, 2:]).view(np.uint64))
+                held = held[last:]
+        if len(held):
+            yield settle(held[:, 0], held[:, 1], np.ascontiguousarray(held[:, 2:]).view(np.uint64))
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+    """Rows (id, component_id), one for each row of docs: near copies by five-word shingles at a similarity of 0.8 or more.
+
+    Two texts are linked if their guides differ in GUIDE_RADIUS or fewer bits and their five-word bits in WIDE_RADIUS or
+    fewer, which 95 of 100 pairs of similarity 0.8 do, and if they meet in a cell. Nulls, wordless texts, ties, repeated
+    rows and empty tables are as in near_duplicates(). Rows are known by a 64-bit hash of their fingerprints.
+    """
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    bits = ", ".join(f"{c} long" for c in (GUIDE, *WORDS))
+    rows = frozen(text.mapInArrow(_guides, f"id long, {bits}").withColumn("node", F.xxhash64(GUIDE, *WORDS)), "guides")
+    kinds = frozen(rows.groupBy("node", GUIDE, *WORDS).agg(F.min("id").alias("first_id")), "distinct-guides")
+    met = met_in_cells(kinds, embedding(F.col(GUIDE)), choices_for(kinds.count()), ["node", GUIDE, *WORDS], block)
+    parts = connected_components(met.mapInArrow(_copy_edges(), "a long, b long"))
+    rooted = kinds.select(F.col("node").alias("_n"), "first_id").join(parts, F.col("_n") == F.col("node"), "left").select("_n", "first_id", F.coalesce("root", "_n").alias("root"))
+    roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = frozen(rooted.join(roots, "root").select(F.col("_n").alias("node"), "component_id").distinct(), "components")
+    return rows.join(named, "node").select("id", "component_id")
+
+
+def keep_first(docs: DataFrame, found: DataFrame | None = None, **how) -> DataFrame:
     """The rows of docs without near-duplicates: of each component, the row with the smallest doc_id stays.
 
+    found: (id, component_id) of near_duplicates() or near_copies(); near_duplicates(docs, **how) unless given.
+
     Of rows that repeat that doc_id, one stays, the one with the smallest text; rows with a null id that no id
     represents stay, as nothing tells them apart.
     """
     width = shuffle_width(docs.sparkSession)
-    found = near_duplicates(docs, **how)
+    found = near_duplicates(docs, **how) if found is None else found
     firsts = found.where("id = component_id").select(F.col("id").alias("_keep")).distinct().repartition(width)
     kept = docs.join(firsts, docs["doc_id"] == F.col("_keep"), "left_semi")
     again = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
