@@ -178,7 +178,7 @@ def test_near_copies_match_brute_force(spark):
     assert all(own[i] in reach[i] and own[i] <= i for i in reach)  # nothing is joined that no links join
     kept = simhash.keep_first(df, simhash.near_copies(df))
     assert kept.columns == df.columns
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted({own[i] if i is not None else -1 for i, _ in docs})
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted({own[i] if i is not None else -1 for i, _ in docs})
     assert simhash.near_copies(df.limit(0)).count() == 0
 
 
