@@ -20,8 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WORD, frozen
+
 K1, B = 1.2, 0.75
-#: Items are indexed in blocks of at most so many, and of so many bytes of text; each block is sent to all tasks.
+#: Items are indexed in blocks of at most so many, and of so many bytes of text; each block is sent to all tasks. Document
+#: frequencies, the number of items and their mean length are those of all items, so that blocks don't change a score.
 ITEMS, ITEM_BYTES = 20_000, 16_000_000
 THRESHOLD, OVERLAP, SHINGLE, BLOCK = 0.6, 0.5, 5, 16
 #: The share of the threshold that unessential terms may carry.
@@ -70,16 +73,18 @@ def shingles(w: list[bytes], n: int) -> set:
 
 
 class ItemIndex:
-    """Inverted index of one block of items, with block maxima."""
+    """Inverted index of one block of items, with block maxima.
+
+    stats: document frequencies of at least the block's terms, number of items and their mean length; the block's own unless given.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, block: int = BLOCK, shingle: int = SHINGLE):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, block: int = BLOCK, shingle: int = SHINGLE, stats: tuple[dict, int, float] | None = None):
         self.threshold, self.block, self.shingle, rest = threshold, block, shingle, REST * threshold
         self.needed = threshold - rest
         split = [(i, *parts(t)) for i, t in items]
         self.items = [(i, q, a) for i, q, a in split if q or a]
         bags = [Counter(q + a) for _, q, a in self.items]
-        df = Counter(t for b in bags for t in b)
-        n, mean = len(bags), sum(sum(b.values()) for b in bags) / max(1, len(bags))
+        df, n, mean = stats or (Counter(t for b in bags for t in b), len(bags), sum(sum(b.values()) for b in bags) / max(1, len(bags)))
         idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
         self.ids, post, essential = {}, [], []
         for k, b in enumerate(bags):
@@ -104,7 +109,6 @@ class ItemIndex:
         self.post_size, self.post_start = np.array(sizes), np.cumsum([0, *sizes[:-1]])  # essential postings, term by term
         self.post_item = np.array([k for d, e in zip(self.docs, essential) if e for k in d], np.int64)
         self.post_impact = np.array([x for p, e in zip(self.impacts, essential) if e for x in p], np.float64)
-        self.longest = max((len(q) + len(a) for _, q, a in self.items), default=1)
         self.shingled = [(shingles(q, max(1, min(shingle, len(q)))), shingles(a, max(1, min(shingle, len(a))))) for _, q, a in self.items]
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
@@ -158,9 +162,9 @@ class ItemIndex:
         return found[0], found[1]
 
 
-def matcher(index: ItemIndex, overlap: float):
-    """Arrow batches of (doc_id, text) to rows of SCHEMA."""
-    window = max(64, 2 * index.longest)
+def matcher(index: ItemIndex, overlap: float, longest: int):
+    """Arrow batches of (doc_id, text) to rows of SCHEMA; longest: words of the longest item of all blocks."""
+    window = max(64, 2 * longest)
     stride = window // 2
     value_set = pa.array(list(index.ids), pa.binary())
     unknown = len(index.ids)
@@ -216,10 +220,14 @@ def matcher(index: ItemIndex, overlap: float):
     return run
 
 
+def known_items(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+
+
 def item_blocks(items: DataFrame, most: int = ITEMS, most_bytes: int = ITEM_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The test items, fetched in id order in blocks of bounded size; blocks are cut by the driver as rows arrive."""
     block, size = [], 0
-    for r in items.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
+    for r in items.orderBy("item_id", "text").toLocalIterator():
         if block and (len(block) >= most or size + len(r.text) > most_bytes):
             yield block
             block, size = [], 0
@@ -229,6 +237,30 @@ def item_blocks(items: DataFrame, most: int = ITEMS, most_bytes: int = ITEM_BYTE
         yield block
 
 
+def term_statistics(items: DataFrame) -> DataFrame:
+    """(term, n, total) over all items with words: how many have a term, and how often in all; the empty term stands for the items themselves."""
+    schema = pa.schema([("term", pa.binary()), ("tf", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for t in x.column(0):
+                bag = Counter(w for part in parts(t.as_py()) for w in part)
+                if bag:
+                    bag[b""] = sum(bag.values())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(bag), pa.binary()), pa.array(list(bag.values()), pa.int64())], schema=schema)
+
+    return items.select("text").mapInArrow(run, "term binary, tf long").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("total"))
+
+
+def statistics_of(block: list[tuple[int, str]], terms: DataFrame) -> tuple[dict, int, float]:
+    """What ItemIndex needs to know about all items, for the terms of a block, which ITEM_BYTES bounds."""
+    own = {b""} | {w for _, t in block for part in parts(t) for w in part}
+    wanted = terms.sparkSession.createDataFrame(pa.table({"term": pa.array(sorted(own), pa.binary())}))
+    found = {bytes(r.term): (r.n, r.total) for r in terms.join(F.broadcast(wanted), "term", "left_semi").collect()}
+    n, total = found.pop(b"", (0, 0))
+    return {t: k for t, (k, _) in found.items()}, n, total / max(1, n)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, most: int = ITEMS) -> DataFrame:
     """Rows of SCHEMA: a document and a test item whose question and answer one of its passages holds.
 
@@ -236,20 +268,22 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     that any stretch as long as an item lies whole in one. score is the largest over passages, passages how many
     matched, first_word and last_word their extent in words. Null and wordless texts and items match nothing; repeated
     documents give repeated rows; a null doc_id is kept; extra columns are not read; no items give an empty result.
+    Scores don't depend on how items fall into blocks; passages are as long as the longest item of all needs.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = frozen(known_items(items), "items")
+    terms = frozen(term_statistics(known), "item-terms")
+    longest = known.agg(F.max(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     out = None
-    for block in item_blocks(items, most):
-        index = ItemIndex(block, threshold)
+    for block in item_blocks(known, most):
+        index = ItemIndex(block, threshold, stats=statistics_of(block, terms))
         if index.items:
-            part = rows.mapInArrow(matcher(index, overlap), SCHEMA)
+            part = rows.mapInArrow(matcher(index, overlap, longest), SCHEMA)
             out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of docs that hold no test item. Rows with a null id can't be told apart: all go if one of them holds an item."""
-    from .common import frozen
-
     ids = frozen(contaminated(docs, items, **how).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
