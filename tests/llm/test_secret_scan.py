@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from verifold.llm import secret_scan as ss
@@ -86,6 +88,98 @@ def test_names_paths_and_base_spans_do_not_hide_secrets(spark):
         assert not any(k[j : j + 4] in clean[i] for j in range(len(k) - 3))
 
 
+def plain_ratio(samples):
+    """Transition ratios from samples, counted by a loop."""
+    n = ss.STATES
+    state = lambda c: ss.ALPHABET.index(c) + 1 if c in ss.ALPHABET else n - 1
+    seen = {True: [0] * (n * n), False: [0] * (n * n)}
+    for text, random_ in samples:
+        last = 0
+        for c in text:
+            seen[random_][last * n + state(c)] += 1
+            last = state(c)
+    chains = []
+    for counts in (seen[True], seen[False]):
+        follows = [0.5 + sum(counts[a * n + b] for a in range(n)) for b in range(n)]
+        chains.append([(counts[a * n + b] + 5.0 * follows[b] / sum(follows)) / (sum(counts[a * n : a * n + n]) + 5.0) for a in range(n) for b in range(n)])
+    return [math.log(x) - math.log(y) for x, y in zip(*chains)]
+
+
+def plain_markov(t, ratio):
+    """Spans of the method in a text: candidates, what base spans leave of them, whole or by stretches."""
+    n = ss.STATES
+    state = lambda c: ss.ALPHABET.index(c) + 1 if c in ss.ALPHABET else n - 1
+    base, out = [(s, e) for s, _, e in plain_base(t)], []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        pieces, at = [], m.start()
+        for s, e in sorted(x for x in base if x[0] < m.end() and m.start() < x[1]):
+            if s - at >= ss.LEAST:
+                pieces.append((at, s))
+            at = max(at, e)
+        if m.end() - at >= ss.LEAST:
+            pieces.append((at, m.end()))
+        for s, e in pieces:
+            w = t[s:e]
+            v = [ratio[(state(w[i - 1]) if i else 0) * n + state(c)] for i, c in enumerate(w)]
+            if sum(v) / len(v) >= ss.THRESHOLD:
+                out.append((s, e))
+                continue
+            found, begin, now, peak, end = [], 0, 0.0, 0.0, 0
+            for i, r in enumerate(v):
+                if now <= 0 or now < peak - ss.DROP:
+                    if peak > 0 and end - begin >= ss.LEAST - 2 * ss.SNAP:
+                        found.append((begin, end))
+                    begin, end, now, peak = i, i, 0.0, 0.0
+                now += r - ss.FLOOR
+                if now > peak:
+                    peak, end = now, i + 1
+            if peak > 0 and end - begin >= ss.LEAST - 2 * ss.SNAP:
+                found.append((begin, end))
+            for a, b in found:
+                before, after = len(re.search("[^/=_-]*$", w[:a])[0]), len(re.match("[^/=_-]*", w[b:])[0])
+                a, b = a - (before if before <= ss.SNAP else 0), b + (after if after <= ss.SNAP else 0)
+                if b - a >= ss.LEAST and sum(v[a:b]) / (b - a) >= ss.THRESHOLD:
+                    out.append((s + a, s + b))
+    return out
+
+
+def test_markov_spans_match_a_loop(spark):
+    samples = ss.random_strings(spark).unionByName(ss.identifiers(corpus(spark)))
+    ratio = ss.chain_ratio(samples)
+    assert ratio == pytest.approx(plain_ratio([(r.sample, r.random) for r in samples.collect()]))
+    rnd = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = ["international", "considerations", "/", "_", "-", "=", " ", "\n", "é", "token=", "AKIA" + "QWERTY0123456789", "0123456789abcdef" * 2]
+    docs = []
+    for i in range(400):
+        parts = [rnd.choice(some) if rnd.random() < 0.7 else "".join(rnd.choice(chars) for _ in range(rnd.randrange(8, 50))) for _ in range(rnd.randrange(1, 12))]
+        docs.append((i, "".join(parts)))
+    got = {r.doc_id: [(x.s, x.e) for x in r.markov] for r in ss.scan(spark.createDataFrame(docs, "doc_id long, text string"), ratio=ratio).collect()}
+    want = {i: plain_markov(t, ratio) for i, t in docs}
+    assert got == want and sum(map(len, want.values())) > 100
+    # recall and precision of the method alone: tokens of 24 to 40 random characters among ordinary words
+    hidden = [(i, "see international " + "".join(rnd.choice(chars) for _ in range(rnd.randrange(24, 41))) + " considerations") for i in range(300)]
+    plain = [(1000 + i, " ".join("/".join(rnd.choice(some[:2]) for _ in range(rnd.randrange(2, 5))) for _ in range(30))) for i in range(100)]
+    found = {r.doc_id: len(r.markov) for r in ss.scan(spark.createDataFrame(hidden + plain, "doc_id long, text string"), ratio=ratio).collect()}
+    assert sum(found[i] == 1 for i, _ in hidden) >= 0.97 * len(hidden) and not any(found[i] for i, _ in plain)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "token=abc123xyz", 15, "h", "m", 2)], "doc_id long, text string, n_chars int, hex string, markov string, _own_clean int")
+    out = ss.redacted(df, ratio=[0.0] * ss.STATES**2)
+    assert out.schema == df.schema
+    assert tuple(out.first()) == (1, "[SECRET]", 8, "h", "m", 2)
+
+
+def test_identifiers_come_from_the_lowest_ids(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    got = {r.sample for r in ss.identifiers(docs, 50).collect()}
+    assert len(got) == 50
+    ids = docs.orderBy(F.xxhash64("doc_id")).limit(50).select("text").collect()
+    assert all(any(r.text.lower() in g.lower() for g in got) for r in ids)
+    assert ss.identifiers(docs.limit(0)).count() == 0 and ss.identifiers(docs, 5000).count() == 3000
+
+
 def test_empty_tables_and_native_plan(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ss.scan(empty).count() == 0

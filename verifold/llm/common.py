@@ -34,6 +34,25 @@ def frozen(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_bound(df: DataFrame, columns: list[str], most: int) -> int:
+    """The most-th lowest xxhash64 of the distinct values of some columns; the largest long if there are no more of them.
+
+    Only hashes below a share of the range that holds some 2 * most of them are sorted, so no task gathers more than that
+    from all partitions; the share grows until it suffices, and the result is exact.
+    """
+    hashes = df.select(F.xxhash64(*columns).alias("h"))
+    n = hashes.agg(F.approx_count_distinct("h")).first()[0]
+    share = 2 * most / max(1, n)
+    while share < 1:
+        low = hashes.where(F.col("h") <= -(1 << 63) + int(share * 2**64)).distinct().orderBy("h").limit(most)
+        found, last = low.agg(F.count(F.lit(1)), F.max("h")).first()
+        if found == most:
+            return last
+        share *= 4
+    found, last = hashes.distinct().orderBy("h").limit(most).agg(F.count(F.lit(1)), F.max("h")).first()
+    return last if found == most else (1 << 63) - 1
+
+
 def private(df: DataFrame) -> str:
     """A prefix that no column of df begins with, whatever its case."""
     p = "_own_"

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, private, words
+from .common import SPACE, hash_bound, private, words
 
 BUCKETS = 65536
 #: Bounds of the labelled samples, those whose ids hash lowest: trusted documents, and documents of each class that the threshold is fitted on.
@@ -54,8 +54,8 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def lowest(ids: DataFrame, most: int) -> DataFrame:
-    """At most `most` ids, by the order of their hash."""
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """At most `most` ids, those whose hashes are lowest."""
+    return ids.where(F.xxhash64("doc_id") <= hash_bound(ids, ["doc_id"], most))
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import hash_bound, private, words
 from .quality import let, numbers
 
 # Fixed values of the contract: kinds, in order, and their patterns.
@@ -102,9 +102,11 @@ def random_strings(spark: SparkSession, rows: int = RANDOM_ROWS, seed: int = 42)
 def identifiers(docs: DataFrame, doc_rows: int = DOC_ROWS, word_rows: int = WORD_ROWS) -> DataFrame:
     """A labelled sample of ordinary identifiers: words of at most `doc_rows` documents, alone and joined as code and paths join them.
 
-    The documents are those whose ids hash lowest, the words those that hash lowest.
+    The documents are those whose ids hash lowest, the words those that hash lowest. Ids are chosen without their texts,
+    which then stay where they are until they are cut into words.
     """
-    some = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(doc_rows)
+    known = docs.select("doc_id", "text").where("text is not null")
+    some = known.where(F.xxhash64("doc_id") <= hash_bound(known, ["doc_id"], doc_rows))
     plain = some.select(F.explode(words(F.col("text"))).alias("w")).where(F.col("w").rlike("^[A-Za-z]{2,40}$")).distinct().orderBy(F.xxhash64("w")).limit(word_rows)
     low, form = F.lower("w"), F.pmod(F.xxhash64(F.lit(7), "w"), F.lit(6))
     half = F.substring(low, 1, 12)
@@ -196,44 +198,46 @@ def random_parts(x: Column, ratio: list[float], threshold: float) -> Column:
     return let(F.transform(pairs(x["m"]), lambda t: F.get(numbers(ratio), t)), judged)
 
 
-def with_spans(docs: DataFrame, ratio: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def with_spans(docs: DataFrame, ratio: list[float], text_col: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
     """docs with assign, access, hex and markov: arrays of (s, e, m) beside their own columns.
 
     A null text is empty and has no spans. Rows are judged one by one; repeated rows, ties and null ids change nothing.
-    Columns of docs with one of these names are replaced.
+    `prefix` goes before the new names; a column of docs with one of them is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    based = docs.withColumns(dict(zip(KINDS, kind_spans(text))))
-    base = [F.col(k) for k in KINDS[:3]]
+    based = docs.withColumns({prefix + k: v for k, v in zip(KINDS, kind_spans(text))})
+    base = [F.col(prefix + k) for k in KINDS[:3]]
     rest = F.flatten(F.transform(matches(text, CANDIDATE), lambda x: left_over(base, x)))
     found = F.flatten(F.transform(rest, lambda x: random_parts(x, ratio, threshold)))
-    return based.withColumn("markov", F.when(text.rlike(CANDIDATE), found).otherwise(no_spans()))
+    return based.withColumn(prefix + "markov", F.when(text.rlike(CANDIDATE), found).otherwise(no_spans()))
 
 
-def listed(kinds: tuple[str, ...]) -> Column:
+def listed(kinds: tuple[str, ...], prefix: str = "") -> Column:
     """kind:start:end of all spans, by start, then kind as listed, comma-joined."""
 
     def of(n: int, kind: str) -> Column:
-        return F.transform(F.col(kind), lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("n"), F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")).alias("t")))
+        return F.transform(F.col(prefix + kind), lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("n"), F.concat_ws(":", F.lit(kind), x["s"].cast("string"), x["e"].cast("string")).alias("t")))
 
     each = [of(n, kind) for n, kind in enumerate(kinds)]
     return F.array_join(F.transform(F.sort_array(F.concat(*each)), lambda x: x["t"]), ",")
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, ratio: list[float] | None = None) -> DataFrame:
+def scan(docs: DataFrame, threshold: float = THRESHOLD, ratio: list[float] | None = None, prefix: str = "") -> DataFrame:
     """with_spans() under a model trained from generated random strings and from identifiers of docs themselves."""
     if ratio is None:
         ratio = chain_ratio(random_strings(docs.sparkSession).unionByName(identifiers(docs)))
-    return with_spans(docs, ratio, threshold=threshold)
+    return with_spans(docs, ratio, threshold=threshold, prefix=prefix)
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
     """docs with every span of the scan replaced by `mark` in text, and n_chars set anew where text changed.
 
-    Spans that overlap are replaced as one. A null text stays null. The columns of docs stay as they are named.
+    Spans that overlap are replaced as one. A null text stays null, repeated rows stay, an empty table stays empty. The
+    other columns of docs keep their values, whatever they are called.
     """
-    spans = scan(docs, **how)
-    every = F.sort_array(F.concat(*[F.transform(F.col(k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS]))
+    p = private(docs)
+    spans = scan(docs, prefix=p, **how)
+    every = F.sort_array(F.concat(*[F.transform(F.col(p + k), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in KINDS]))
     # pieces of text between spans, from left to right
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -245,7 +249,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", **how) -> DataFrame:
         return F.concat(F.array_join(a["out"], ""), F.col("text").substr(a["at"] + 1, F.length("text")))
 
     clean = F.when(F.size(every) > 0, F.aggregate(every, zero, step, join)).otherwise(F.col("text"))
-    out = spans.withColumn("_clean", clean)
+    out = spans.withColumn(p + "clean", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_clean") == F.col("text"), F.col("n_chars")).otherwise(F.length("_clean").cast("long")))
-    return out.withColumn("text", F.col("_clean")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(p + "clean").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(p + "clean").cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn("text", F.col(p + "clean")).select(*docs.columns)
