@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -71,6 +72,87 @@ def test_em_matches_a_loop():
         assert value[d] == pytest.approx(np.log((np.exp(own.astype(float)) * p).sum(1)).sum(), rel=1e-5)
 
 
+def plain_infer(like, rounds=langid.ROUNDS, penalty=langid.PENALTY):
+    """Language and share of one document from its words' likelihoods: EM and the choice of the set by loops."""
+
+    def em(langs):
+        p = {k: 1 / len(langs) for k in langs}
+        for _ in range(rounds):
+            sums = dict.fromkeys(langs, 0.0)
+            for row in like:
+                top = max(row)
+                part = {k: math.exp(row[k] - top) * p[k] for k in langs}
+                whole = max(sum(part.values()), 1e-300)
+                for k in langs:
+                    sums[k] += part[k] / whole
+            p = {k: v / len(like) for k, v in sums.items()}
+        value = sum(math.log(max(sum(math.exp(row[k] - max(row)) * p[k] for k in langs), 1e-300)) + max(row) for row in like)
+        return p, value
+
+    n = len(like[0])
+    single = [sum(row[k] for row in like) for k in range(n)]
+    first = single.index(max(single))
+    full, _ = em(range(n))
+    order = [first, *sorted((k for k in range(n) if k != first), key=lambda k: (-full[k], k))]
+    best = (single[first], first, 1.0)
+    if n == 1 or full[order[1]] * len(like) < 1:
+        return best[1], best[2]
+    for size in range(2, n + 1):
+        p, value = em(order[:size])
+        value -= penalty * (size - 1) * math.log(len(like) + 1) / 2
+        if value <= best[0]:
+            break
+        top = max(range(n), key=lambda k: (p.get(k, 0), -k))
+        best = (value, top, p[top])
+    return best[1], best[2]
+
+
+def test_sets_match_a_loop():
+    rnd = np.random.default_rng(4)
+    docs = []
+    for _ in range(60):  # words of two or three languages, or of one
+        main = rnd.integers(0, 4, rnd.integers(1, 4))
+        docs.append(np.array([rnd.normal(-20, 1, 4) + 4 * (np.arange(4) == rnd.choice(main)) for _ in range(rnd.integers(1, 40))], np.float32))
+    sizes = np.array([len(d) for d in docs])
+    lang, share = langid.infer(np.concatenate(docs), sizes)
+    want = [plain_infer(d.astype(float).tolist()) for d in docs]
+    assert lang.tolist() == [k for k, _ in want]
+    assert share == pytest.approx([x for _, x in want], rel=1e-3)
+    assert sum(x < 0.999 for x in share) > 10
+    # words by their counts are the words themselves
+    times = rnd.integers(1, 5, int(sizes.sum()))
+    many = np.repeat(np.concatenate(docs), times, axis=0)
+    own = np.repeat(np.arange(len(docs)), sizes)
+    a, b = langid.infer(np.concatenate(docs), sizes, times=times), langid.infer(many, np.bincount(np.repeat(own, times)))
+    assert a[0].tolist() == b[0].tolist() and a[1] == pytest.approx(b[1], rel=1e-4)
+
+
+def test_small_batches_and_many_languages(spark, monkeypatch):
+    out, mixed, odd = corpus()
+    df = spark.createDataFrame(out + mixed + odd, "doc_id long, text string, lang string").coalesce(2)
+    model = langid.train(df)
+    texts = pa.array([t for _, t, _ in out + mixed + odd], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([True] * len(texts)), texts], names=["a", "b", "c"])
+    run = lambda cells: [r for b in langid.predictor(*model, langid.PENALTY, cells)([batch]) for r in b.to_pylist()]
+    assert run(1 << 22) == run(60)
+    assert langid.buckets_for(4) == langid.BUCKETS and langid.buckets_for(600) == 8192 and langid.buckets_for(10**5) == langid.LEAST_BUCKETS
+    # 600 languages of a word each
+    word = lambda k: "".join("bcdfghjklm"[int(c)] + "aeiou"[int(c) % 5] for c in f"{k * 7919 % 1000:03d}") + "x" * (k % 7)
+    rows = [(3 * k + j, " ".join([word(k)] * 5), f"l{k:03d}") for k in range(600) for j in range(6)]
+    many = spark.createDataFrame([(i, t, lang) for i, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = langid.predict(many).join(many, "doc_id").collect()
+    assert len(got) == len(rows) and sum(r.lang_pred == r.lang for r in got) >= 0.9 * len(got)
+
+
+def test_training_rows_are_the_lowest_hashes(spark):
+    df = spark.createDataFrame([(i, f"text {i % 4000}", "aa" if i % 10 else "bb") for i in range(9000)] + [(1, "hot", "aa")] * 3000, "doc_id long, text string, lang string")
+    got = langid.training_rows(df, most=40).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got}["bb"] == 40
+    marks = df.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").selectExpr("lang", "text", "xxhash64(doc_id, text) as m").distinct().collect()
+    want = {(r.lang, r.text) for lang in ("aa", "bb") for r in sorted((r for r in marks if r.lang == lang), key=lambda r: r.m)[:40]}
+    assert {(r.lang, r.text) for r in langid.training_rows(df, most=40).collect()} == want
+
+
 def test_no_labels_and_empty_table(spark):
     df = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.predict(df).collect()] == [("und", 0)]
