@@ -48,7 +48,7 @@ def plain_buckets(spark, words, n):
     ones, twos = list(words), list(zip(words, words[1:]))
     kinds = sorted({(w,) for w in ones} | set(twos))
     rows = spark.createDataFrame([(k[0], k[1] if len(k) > 1 else None, len(k)) for k in kinds], "a string, b string, n int")
-    hashes = {(r.a,) if r.n == 1 else (r.a, r.b): r.h for r in rows.selectExpr("a", "b", "n", "if(n = 1, xxhash64(a), xxhash64(a, b)) as h").collect()}
+    hashes = {(r.a,) if r.n == 1 else (r.a, r.b): r.h for r in rows.selectExpr("a", "b", "n", "if(n = 1, xxhash64(a), xxhash64(xxhash64(a), xxhash64(b))) as h").collect()}
     return [hashes[k] % n for k in [*((w,) for w in ones), *twos]]
 
 

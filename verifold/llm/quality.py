@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hash_bound, private, words
+from .common import hash_bound, private, words
 
 BUCKETS = 65536
 #: Bounds of the labelled samples, those whose ids hash lowest: trusted documents, and documents of each class that the threshold is fitted on.
@@ -29,18 +29,26 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def bucket_at(w: Column, i: Column, buckets: int) -> tuple[Column, Column]:
-    """Buckets of the word at i and of the pair that begins there."""
-    one = F.pmod(F.xxhash64(F.get(w, i)), F.lit(buckets)).cast("int")
-    two = F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1)), F.lit(buckets)).cast("int")
-    return one, two
+def word_hashes(w: Column) -> Column:
+    """The 64-bit hashes of an array of words: each string is hashed once, windows of words by their words' hashes."""
+    return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def grams(w: Column, buckets: int) -> Column:
-    """The buckets of all unigrams and bigrams of an array of words."""
-    n = F.size(w)
-    ones = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    twos = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(2)) - 2), lambda i: bucket_at(w, i, buckets)[1])).otherwise(F.array().cast("array<int>"))
+def bucket(h: Column, buckets: int) -> Column:
+    """The bucket of a hash; buckets is a power of two."""
+    return h.bitwiseAND(F.lit(buckets - 1).cast("long")).cast("int")
+
+
+def pair(h: Column, i: Column) -> Column:
+    """The hash of the two words that begin at i."""
+    return F.xxhash64(F.get(h, i), F.get(h, i + 1))
+
+
+def grams(h: Column, buckets: int) -> Column:
+    """The buckets of all words and pairs of words of an array of word hashes."""
+    n = F.size(h)
+    ones = F.transform(h, lambda x: bucket(x, buckets))
+    twos = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(2)) - 2), lambda i: bucket(pair(h, i), buckets))).otherwise(F.array().cast("array<int>"))
     return F.concat(ones, twos)
 
 
@@ -75,7 +83,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     all of docs in one pass. `trusted` is bounded, so it is broadcast; the driver gets one row per bucket.
     """
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_good", F.lit(1))), "doc_id", "left")
-    each = marked.select(F.coalesce("_good", F.lit(0)).alias("good"), words(F.col("text")).alias("w")).select("good", F.explode(grams(F.col("w"), buckets)).alias("b"))
+    each = marked.select(F.coalesce("_good", F.lit(0)).alias("good"), let(word_hashes(words(F.col("text"))), lambda h: grams(h, buckets)).alias("g")).select("good", F.explode("g").alias("b"))
     counts = each.groupBy("b").agg(F.sum("good").cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("r"))
     found = counts.collect()
     t, r = sum(x.t for x in found), sum(x.r for x in found)
@@ -107,8 +115,9 @@ def cut(scored: list[tuple[bool, float]]) -> float:
 def fitted_threshold(docs: DataFrame, fitting: DataFrame, weights: list[float], min_words: int = MIN_WORDS) -> float:
     """cut() over the documents of `fitting` that pass the fixed rules; the driver gets a row per id, at most twice FITTING_ROWS."""
     some = docs.select("doc_id", "text").join(F.broadcast(fitting), "doc_id")
-    judged = with_rules(some, weights, min_words=min_words).where("not base_failed").groupBy("doc_id", "good").agg(F.min("llr").alias("llr"))
-    return cut([(r.good, r.llr) for r in judged.collect()])
+    # no filter here: it would be pushed below the join and judge every document
+    found = some.select("doc_id", "good", measured(F.coalesce("text", F.lit("")), weights).alias("m")).groupBy("doc_id", "good").agg(F.min("m").alias("m"))
+    return cut([(r.good, r.m.llr) for r in found.collect() if not fails(r.m.n_words, r.m.n_repeat_words, min_words)])
 
 
 def numbers(values: list[float]) -> Column:
@@ -116,22 +125,22 @@ def numbers(values: list[float]) -> Column:
     return F.split(F.lit(",".join(format(v, ".6f") for v in values)), ",").cast("array<double>")
 
 
-def ratio(w: Column, weights: list[float]) -> Column:
-    """The mean weight of a document's n-grams; 0 without words."""
-    n, k = F.size(w), len(weights)
+def ratio(h: Column, weights: list[float]) -> Column:
+    """The mean weight of the n-grams of an array of word hashes; 0 without words."""
+    n, k = F.size(h), len(weights)
 
     def add(acc: Column, i: Column) -> Column:
-        one, two = bucket_at(w, i, k)
-        return acc + F.get(numbers(weights), one) + F.when(i < n - 1, F.get(numbers(weights), two)).otherwise(F.lit(0.0))
+        one = F.get(numbers(weights), bucket(F.get(h, i), k))
+        return acc + F.when(i < n - 1, one + F.get(numbers(weights), bucket(pair(h, i), k))).otherwise(one)
 
     total = F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(0.0), add)
     return F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0))
 
 
-def repeated_words(w: Column) -> Column:
+def repeated_words(h: Column) -> Column:
     """How many words stand in a three-word window that the text has twice or more; sorting, so n log n for any text."""
-    n = F.size(w)
-    hashes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(3)) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    n = F.size(h)
+    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(3)) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))))
 
     def covered(order: Column) -> Column:
         same = lambda x, k: F.coalesce(F.get(order, k)["h"] == x["h"], F.lit(False))
@@ -141,11 +150,36 @@ def repeated_words(w: Column) -> Column:
         step = lambda a, i: F.struct((a["n"] + (i + 3 - F.greatest(i, a["end"]))).alias("n"), (i + 3).alias("end"))
         return F.aggregate(at, start, step, lambda a: a["n"])
 
-    def count(h: Column) -> Column:
-        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(ordered, covered)).otherwise(F.lit(0).cast("long"))
+    def count(v: Column) -> Column:
+        ordered = F.sort_array(F.transform(v, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(v)) < F.size(v), let(ordered, covered)).otherwise(F.lit(0).cast("long"))
+
+    return F.coalesce(let(windows, count), F.lit(0).cast("long"))
+
+
+def measured(text: Column, weights: list[float]) -> Column:
+    """n_words, word_chars, n_repeat_words and llr of a text as a struct, from one split and one hash of each word."""
+
+    def of(w: Column) -> Column:
+        fields = lambda h: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(h).alias("n_repeat_words"), ratio(h, weights).alias("llr"))
+        return let(word_hashes(w), fields)
+
+    return let(words(text), of)
 
-    return F.coalesce(let(hashes, count), F.lit(0).cast("long"))
+
+def fails(n_words, n_repeat_words, min_words: int = MIN_WORDS):
+    """The fixed rule: too few words, or more than half of them in repeated windows."""
+    return (n_words < min_words) | (100 * n_repeat_words > 50 * n_words)
+
+
+def passes(text: Column, weights: list[float], threshold: float, min_words: int = MIN_WORDS) -> Column:
+    """The verdict alone, as one expression that a filter may hold: a text that fails the fixed rule isn't scored."""
+
+    def of(h: Column) -> Column:
+        n = F.size(h)
+        return F.when(fails(n, F.when(n < min_words, F.lit(0).cast("long")).otherwise(repeated_words(h)), min_words), F.lit(False)).otherwise(ratio(h, weights) >= threshold)
+
+    return let(word_hashes(words(text)), of)
 
 
 def with_rules(docs: DataFrame, weights: list[float], text_col: str = "text", threshold: float = -math.inf, min_words: int = MIN_WORDS, prefix: str = "") -> DataFrame:
@@ -155,32 +189,31 @@ def with_rules(docs: DataFrame, weights: list[float], text_col: str = "text", th
     change nothing, an empty table stays empty. `prefix` goes before the new names; a column of docs with one of them is
     replaced. Repeated three-word windows are told by 64-bit hashes.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, m = F.coalesce(F.col(text_col), F.lit("")), private(docs) + "m"
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     name = lambda c: F.col(prefix + c)
-    # each rule splits the text for itself and binds its words, so that a filter pushed below costs a split, not one per word
-    rules = {
-        "n_words": F.size(words(text)).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "n_repeat_words": let(words(text), repeated_words),
-        "llr": let(words(text), lambda w: ratio(w, weights)),
-    }
-    counted = docs.withColumns({prefix + k: v for k, v in rules.items()})
-    failed = (name("n_words") < min_words) | (100 * name("n_repeat_words") > 50 * name("n_words"))
-    return counted.withColumn(prefix + "base_failed", failed).withColumn(prefix + "kept", ~name("base_failed") & (name("llr") >= threshold))
-
-
-def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None, prefix: str = "") -> DataFrame:
-    """with_rules() under weights counted on docs and a threshold fitted on its labels."""
+    counted = docs.withColumn(m, measured(text, weights)).withColumns({
+        prefix + "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+        prefix + "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        **{prefix + c: F.col(m)[c] for c in ("n_words", "word_chars", "n_repeat_words", "llr")},
+    })
+    judged = counted.withColumn(prefix + "base_failed", fails(name("n_words"), name("n_repeat_words"), min_words))
+    return judged.withColumn(prefix + "kept", ~name("base_failed") & (name("llr") >= threshold)).drop(m)
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[list[float], float]:
+    """The weights counted on docs and the threshold fitted on its labels."""
     weights = bucket_weights(docs, trusted_ids(labels))
-    if threshold is None:
-        threshold = fitted_threshold(docs, fitting_ids(labels), weights)
+    return weights, fitted_threshold(docs, fitting_ids(labels), weights)
+
+
+def judge(docs: DataFrame, labels: DataFrame, prefix: str = "") -> DataFrame:
+    """with_rules() under fitted()."""
+    weights, threshold = fitted(docs, labels)
     return with_rules(docs, weights, threshold=threshold, prefix=prefix)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, with their own columns only, whatever their names."""
-    p = private(docs)
-    return judge(docs, labels, prefix=p, **how).where(F.col(p + "kept")).select(*docs.columns)
+    weights, threshold = fitted(docs, labels)
+    return docs.where(passes(F.coalesce(F.col("text"), F.lit("")), weights, threshold))
