@@ -1,22 +1,26 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is a bigram model smoothed towards the add-one unigram model:
+The model interpolates orders 1 to ORDER, each smoothed towards the one below, the lowest by adding one:
 
-    p(w | h) = (c(h w) + MU p1(w)) / (c(h) + MU),    p1(w) = (c(w) + 1) / (N + V + 1)
+    p(w | h) = (c(h w) + MU p(w | h')) / (c(h) + MU),    p(w) = (c(w) + 1) / (N + V + 1)
 
-As an automaton: a state for each context h and one for no context; a state's arcs are the n-grams seen after it, and its
-failure arc, of weight MU / (c(h) + MU), leads to the state of no context, whose arcs carry p1. Reading a text from left to
-right takes one arc per token, after a failure arc where the state has none, and adds up log10 of the weights.
+where h' is h without its first word. As an automaton: a state for each context h of one word that training texts hold and
+of more words that they hold LEAST times, and one for no context; a state's arcs are the n-grams seen after it, and its
+failure arc, of weight MU / (c(h) + MU), leads to the state of h'. Reading a text from left to right, a token takes
+failure arcs until the state has an arc for it, then that arc, and leaves the state of the longest context that ends in it;
+log10 of the weights adds up.
 
 The counts grow with the corpus, so the model is on no machine as a whole. Documents form blocks of bounded size. A
-block lists its distinct n-grams; their counts are exchanged by n-gram hash, and each block gets back the corpus counts
-of its own n-grams: the part of the automaton that its texts can reach, on which it then runs all its texts. What is
-shuffled are sorted arrays of n-grams, not rows.
+block lists its distinct n-grams; their counts are exchanged by ranges of the n-grams' hashes, and each block gets back
+the corpus counts of its own n-grams: the part of the automaton that its texts can reach, on which it then runs all its
+texts, many stretches of text side by side. What is shuffled are sorted arrays of n-grams, not rows. A sender deals its
+n-grams to at most FAN ranges; where more are needed, what FAN senders sent to a range is summed and dealt further, so
+that the number of rows follows the number of n-grams.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,26 +32,40 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, frozen
 
-MU = 4.0
-#: A block is closed at so many tokens; memory follows it. An exchange part has about so many n-grams.
-BLOCK_TOKENS, PART_GRAMS = 1_500_000, 1_000_000
+ORDER, MU, LEAST = 3, 4.0, 2
+#: A block is closed at so many tokens; memory follows it. A range of the exchange has about so many n-grams.
+BLOCK_TOKENS, PART_GRAMS, FAN = 1_000_000, 2_000_000, 512
+#: n-grams are exchanged by so many bits of their hash beyond those that number them: one in 2^22 meets another.
+SPARE_BITS = 22
+#: Tokens that one lane reads of a text.
+STRETCH = 256
 FOLDS, HELD_OUT = 7, 2
 END, BEGIN = 0xE5D0000000000001, 0xBE61000000000002
 
 BLOCKS = "block long, doc_ids binary, held binary, sizes binary, tokens binary, vocab binary, grams long"
-KEYS = "part int, block long, keys binary, counts binary"
-TOTALS = "block long, part int, totals binary, seen long, token_sum long"
+KEYS = "part long, sender long, keys binary, counts binary"
+TOTALS = "sender long, part long, totals binary, seen long, token_sum long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+_CODEC = pa.Codec("zstd", 1)
+
 
 def packed(x: np.ndarray) -> bytes:
-    """An array of longs as compressed bytes, each byte place by itself."""
-    return zlib.compress(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """An array of longs as compressed bytes: its length, then each byte place by itself, as far as any is used."""
+    raw = np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8)
+    used = 8
+    while used and not raw[:, used - 1].any():
+        used -= 1
+    body = np.ascontiguousarray(raw[:, :used].T).tobytes()
+    return len(x).to_bytes(8, "little") + bytes([used]) + (_CODEC.compress(body, asbytes=True) if body else b"")
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.int64)
+    n, used = int.from_bytes(b[:8], "little"), b[8]
+    out = np.zeros((n, 8), np.uint8)
+    if n and used:
+        out[:, :used] = np.frombuffer(_CODEC.decompress(b[9:], decompressed_size=n * used, asbytes=True), np.uint8).reshape(used, n).T
+    return out.reshape(-1).view(np.int64)
 
 
 def packed_keys(x: np.ndarray) -> bytes:
@@ -60,7 +78,7 @@ def unpacked_keys(b: bytes) -> np.ndarray:
 
 
 def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of a bigram from those of its words."""
+    """A 64-bit hash of an n-gram from those of its context and its last word."""
     with np.errstate(over="ignore"):
         x = context * np.uint64(0x9E3779B97F4A7C15) ^ (word << np.uint64(31) | word >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -69,40 +87,92 @@ def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Tokens of some documents as places in a vocabulary of hashes; token 0 is the end, token 1 the beginning."""
-
-    def __init__(self, sizes: np.ndarray, tokens: np.ndarray, vocab: np.ndarray, held: np.ndarray):
-        self.sizes, self.tokens, self.vocab, self.held = sizes, tokens, vocab, held
-        first = np.cumsum(sizes) - sizes
-        self.first = first
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[first] = 1
-        code = before * len(vocab) + tokens
-        kinds, self.pair_at = np.unique(code, return_inverse=True)
-        self.pair_context, self.pair_word = kinds // len(vocab), kinds % len(vocab)
+    """Tokens of some documents as places in a vocabulary of hashes, each text between the beginning (1) and the end (0).
+
+    ids[n] numbers, at each token, the distinct n + 1-gram that ends there, -1 where the text is too short for one; the
+    n + 1-gram has a context, the n-gram before its last word, and a suffix, the n-gram without its first word.
+    """
+
+    def __init__(self, sizes: np.ndarray, tokens: np.ndarray, vocab: np.ndarray, held: np.ndarray, order: int = ORDER):
+        self.sizes, self.tokens, self.vocab, self.held, self.order = sizes, tokens, vocab, held, order
+        self.first = np.cumsum(sizes) - sizes
         self.learns = np.repeat(~held, sizes)
+        depth = np.arange(len(tokens)) - np.repeat(self.first, sizes)
+        self.ids, self.hashes, self.context, self.suffix = [tokens], [vocab], [None], [None]
+        for n in range(1, order):
+            at = np.flatnonzero(depth >= n)
+            kinds, where, own = np.unique(self.ids[-1][at - 1] * len(vocab) + tokens[at], return_index=True, return_inverse=True)
+            ids = np.full(len(tokens), -1, np.int64)
+            ids[at] = own
+            self.context.append(kinds // len(vocab))
+            self.suffix.append(self.ids[-1][at[where]])
+            self.hashes.append(pair_hash(self.hashes[-1][self.context[-1]], vocab[kinds % len(vocab)]))
+            self.ids.append(ids)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of all unigrams (the beginning as context among them) and bigrams, their counts in training texts, and a 1 for each unigram but the beginning."""
-        uni = np.bincount(self.tokens[self.learns], minlength=len(self.vocab))
-        uni[1] = np.count_nonzero(~self.held)
-        pairs = np.bincount(self.pair_at[self.learns], minlength=len(self.pair_word))
-        keys = np.concatenate((self.vocab, pair_hash(self.vocab[self.pair_context], self.vocab[self.pair_word])))
-        word = np.zeros(len(keys), np.int64)
+        """Hashes of all n-grams (the beginning among the words, as a context), their counts in training texts, and a 1 for each word but the beginning."""
+        counts = [np.bincount(i[self.learns & (i >= 0)], minlength=len(h)) for i, h in zip(self.ids, self.hashes)]
+        word = np.zeros(sum(map(len, counts)), np.int64)
         word[: len(self.vocab)] = 1
         word[1] = 0
-        return keys, np.concatenate((uni, pairs)).astype(np.int64), word
-
-    def scores(self, totals: np.ndarray, n: int, v: int, mu: float) -> tuple[np.ndarray, ...]:
+        return np.concatenate(self.hashes), np.concatenate(counts).astype(np.int64), word
+
+    def automaton(self, totals: np.ndarray, n: int, v: int, mu: float, least: int) -> tuple[list, list, list, list]:
+        """Per order: whether an n-gram is an arc, log10 of its weight, whether it is a state, log10 of its failure arc."""
+        counts = [x.astype(np.float64) for x in np.split(totals, np.cumsum([len(h) for h in self.hashes])[:-1])]
+        p = (counts[0] + 1) / (n + v + 1)
+        arc, weight = [np.ones(len(p), bool)], [np.log10(p)]
+        state = [c >= (least if k else 1) for k, c in enumerate(counts)]
+        fail = [np.log10(mu / (c + mu)) for c in counts]
+        for k in range(1, self.order):
+            lower = p[self.suffix[k]]
+            c, h, known = counts[k], counts[k - 1][self.context[k]], state[k - 1][self.context[k]]
+            p = np.where(known, (c + mu * lower) / (h + mu), lower)
+            arc.append(known & (c > 0))
+            weight.append(np.log10(p))
+        return arc, weight, state, fail
+
+    def scores(self, totals: np.ndarray, n: int, v: int, mu: float = MU, least: int = LEAST, stretch: int = STRETCH) -> tuple[np.ndarray, ...]:
         """Per document: tokens, known tokens, base score, model score. totals are corpus counts in the order of grams()."""
-        uni, pairs = totals[: len(self.vocab)].astype(np.float64), totals[len(self.vocab) :].astype(np.float64)
-        p1 = (uni + 1) / (n + v + 1)
-        fail = mu / (uni + mu)  # of each state; the state of a word never seen in training is the one without context
-        fail[uni == 0] = 1.0
-        arc = np.where(pairs > 0, (pairs + mu * p1[self.pair_word]) / (uni[self.pair_context] + mu), fail[self.pair_context] * p1[self.pair_word])
+        arc, weight, state, fail = self.automaton(totals, n, v, mu, least)
+        last = self.first + self.sizes
         add = lambda x: np.add.reduceat(x, self.first) if len(self.first) else x[:0]
-        return self.sizes, add((uni[self.tokens] > 0).astype(np.int64)), add(np.log10(p1)[self.tokens]), add(np.log10(arc)[self.pair_at])
+        real = self.tokens != 1
+        known = real & (totals[: len(self.vocab)] > 0)[self.tokens]
+        base = np.where(real, weight[0][self.tokens], 0.0)
+        # a text is read in stretches, each by a lane that first reads the order - 1 tokens before it, which settle its state
+        pieces = -(-(self.sizes - 1) // stretch)
+        doc = np.repeat(np.arange(len(self.sizes)), pieces)
+        begin = self.first[doc] + 1 + stretch * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        stop = np.minimum(begin + stretch, last[doc])
+        at = np.maximum(begin - (self.order - 1), self.first[doc])
+        order = np.argsort(at - stop, kind="stable")  # the longest first, so that those still reading are the first lanes
+        doc, begin, stop, at = doc[order], begin[order], stop[order], at[order]
+        total, length = np.zeros(len(doc)), np.zeros(len(doc), np.int64)  # length: words of the state's context
+        step, lanes = 0, len(doc)
+        while True:
+            lanes = int(np.searchsorted(at[:lanes] + step - stop[:lanes], 0))
+            if not lanes:
+                break
+            here, k, gain = at[:lanes] + step, length[:lanes].copy(), np.zeros(lanes)
+            for m in range(self.order - 1, 0, -1):  # failure arcs, from the longest context down
+                some = np.flatnonzero(k == m)
+                if len(some):
+                    missing = some[~arc[m][self.ids[m][here[some]]]]
+                    gain[missing] += fail[m - 1][self.ids[m - 1][here[missing] - 1]]
+                    k[missing] -= 1
+            for m in range(self.order):
+                some = np.flatnonzero(k == m)
+                gain[some] += weight[m][self.ids[m][here[some]]]
+            counted = here >= begin[:lanes]
+            total[:lanes][counted] += gain[counted]
+            k = np.minimum(k + 1, self.order - 1)
+            for m in range(self.order - 1, 0, -1):
+                some = np.flatnonzero(k == m)
+                k[some[~state[m - 1][self.ids[m - 1][here[some]]]]] -= 1
+            length[:lanes] = k
+            step += 1
+        return self.sizes - 1, add(known.astype(np.int64)), add(base), np.bincount(doc, weights=total, minlength=len(self.sizes))
 
 
 def _tokenised(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -118,7 +188,7 @@ def _tokenised(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return sizes, flat
 
 
-def block_writer(block_tokens: int):
+def block_writer(block_tokens: int, order: int):
     schema = pa.schema([("block", pa.int64()), *[(k, pa.binary()) for k in ("doc_ids", "held", "sizes", "tokens", "vocab")], ("grams", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,17 +200,17 @@ def block_writer(block_tokens: int):
         def close() -> pa.RecordBatch:
             nonlocal nth, total
             vocab = np.fromiter((END, BEGIN, *(xxhash.xxh64_intdigest(w, 42) for w in words)), np.uint64, len(words) + 2)
-            n = np.concatenate(sizes) + 1
-            ends = np.cumsum(n) - 1
+            n = np.concatenate(sizes) + 2
+            ends = np.cumsum(n)
             tokens = np.zeros(int(n.sum()), np.int64)
+            tokens[ends - n] = 1
             place = np.ones(len(tokens), bool)
-            place[ends] = False
+            place[ends - n] = place[ends - 1] = False
             tokens[place] = np.concatenate(codes) + 2
             # doc ids: a flag for null, and the id
             own = pa.concat_arrays(ids)
             flags = np.concatenate(held).astype(np.int64) | own.is_null().to_numpy(zero_copy_only=False).astype(np.int64) << 1
-            block = Block(n, tokens, vocab, (flags & 1).astype(bool))
-            row = [part * 1_000_000 + nth, packed(pc.fill_null(own, 0).to_numpy()), packed(flags), packed(n), packed(tokens), packed(vocab.view(np.int64)), len(vocab) + len(block.pair_word)]
+            row = [part * 1_000_000 + nth, packed(pc.fill_null(own, 0).to_numpy()), packed(flags), packed(n), packed(tokens), packed(vocab.view(np.int64)), len(vocab) + (order - 1) * len(tokens)]
             nth, total = nth + 1, 0
             for x in (ids, held, sizes, codes, words):
                 x.clear()
@@ -165,51 +235,94 @@ def block_writer(block_tokens: int):
     return run
 
 
-def _load(x: dict) -> tuple[np.ndarray, np.ndarray, Block]:
+def _load(x: dict, order: int) -> tuple[np.ndarray, np.ndarray, Block]:
     flags = unpacked(x["held"])
-    return unpacked(x["doc_ids"]), flags, Block(unpacked(x["sizes"]), unpacked(x["tokens"]), unpacked(x["vocab"]).view(np.uint64), (flags & 1).astype(bool))
+    return unpacked(x["doc_ids"]), flags, Block(unpacked(x["sizes"]), unpacked(x["tokens"]), unpacked(x["vocab"]).view(np.uint64), (flags & 1).astype(bool), order)
 
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _part(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """The range of each key; parts is a power of two."""
+    return (keys >> np.uint64(bits - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
 
 
-def key_writer(parts: int):
-    """A block's n-grams, dealt to parts by ranges of their hash and sorted."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_KEY_SCHEMA = pa.schema([("part", pa.int64()), ("sender", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TOTAL_SCHEMA = pa.schema([("sender", pa.int64()), ("part", pa.int64()), ("totals", pa.binary()), ("seen", pa.int64()), ("token_sum", pa.int64())])
+
+
+def _dealt(sender: int, keys: np.ndarray, what: np.ndarray, parts: int, span: int, bits: int) -> pa.Table:
+    """Sorted keys of a sender, cut at ranges of `span` parts each."""
+    own = _part(keys, parts, bits) // span
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)])) if len(own) else np.zeros(1, np.int64)
+    rows = [(int(own[s]), sender, packed_keys(keys[s:e]), packed(what[s:e])) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_KEY_SCHEMA)], schema=_KEY_SCHEMA)
+
+
+def key_writer(parts: int, span: int, bits: int, order: int):
+    """A block's n-grams, dealt to ranges of their hash and sorted; a count's lowest bit says whether it is a word's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.to_pylist():
-                keys, counts, word = _load(x)[2].grams()
-                order = np.argsort(keys)
-                keys, what = keys[order], counts[order] << 1 | word[order]
-                cuts = np.searchsorted(_part(keys, parts), np.arange(parts + 1))
-                rows = [(p, x["block"], packed_keys(keys[s:e]), packed(what[s:e])) for p, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if e > s]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+                keys, counts, word = _load(x, order)[2].grams()
+                keys = keys >> np.uint64(64 - bits)
+                at = np.argsort(keys, kind="stable")
+                yield from _dealt(x["block"], keys[at], counts[at] << 1 | word[at], parts, span, bits).to_batches()
 
     return run
 
 
-def totals_of_part(table: pa.Table) -> pa.Table:
-    """Of all blocks' n-grams in a part: the sums over blocks, handed back to each block in the order of its own keys."""
-    blocks, counts = table.column("block").to_pylist(), []
+def _joined(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of what several senders sent: each one's keys, the distinct keys, where each key is among them, their sums and word marks."""
     keys = [unpacked_keys(x) for x in table.column("keys").to_pylist()]
-    counts = [unpacked(x) for x in table.column("counts").to_pylist()]
+    each = np.concatenate([unpacked(x) for x in table.column("counts").to_pylist()])
     kinds, at = np.unique(np.concatenate(keys), return_inverse=True)
-    each = np.concatenate(counts)
-    sums = np.bincount(at, weights=each >> 1, minlength=len(kinds)).astype(np.int64)  # exact below 2^53
+    sums = np.zeros(len(kinds), np.int64)
+    np.add.at(sums, at, each >> 1)
     word = np.zeros(len(kinds), np.int64)
-    word[at] = each & 1
+    word[at[(each & 1) == 1]] = 1
+    return keys, kinds, at, sums, word
+
+
+def _returned(table: pa.Table, keys: list[np.ndarray], own: np.ndarray, seen: int, token_sum: int) -> pa.Table:
+    """Each sender's totals in the order of its own keys; what a range knows of all words goes with its first row."""
+    senders, part = table.column("sender").to_pylist(), table.column("part").to_pylist()
+    cut = np.split(own, np.cumsum([len(k) for k in keys])[:-1])
+    first = [1] + [0] * (len(senders) - 1)
+    cols = [senders, part, [packed(x) for x in cut], [seen * f for f in first], [token_sum * f for f in first]]
+    return pa.table([pa.array(c, f.type) for c, f in zip(cols, _TOTAL_SCHEMA)], schema=_TOTAL_SCHEMA)
+
+
+def totals_of_part(table: pa.Table) -> pa.Table:
+    """Of all n-grams in a range: the sums over senders, handed back to each."""
+    keys, _, at, sums, word = _joined(table)
     seen, token_sum = int(((sums > 0) & (word == 1)).sum()), int(sums[word == 1].sum())
-    own = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
-    part = table.column("part")[0].as_py()
-    first = [1] + [0] * (len(blocks) - 1)  # seen and token_sum belong to the part
-    cols = [blocks, [part] * len(blocks), [packed(x) for x in own], [seen * f for f in first], [token_sum * f for f in first]]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["block", "part", "totals", "seen", "token_sum"])
+    return _returned(table, keys, sums[at], seen, token_sum)
+
+
+def summed(sent: DataFrame, parts: int, span: int, senders: int, bits: int, fan: int) -> DataFrame:
+    """TOTALS for rows of KEYS that were dealt by ranges of `span` parts: what a bundle of senders sent to a range is summed
+    and dealt to `fan` smaller ranges, until a range is one part."""
+    ranges = parts // span
+    if span == 1:
+        return frozen(sent.repartition(ranges, "part").groupBy("part").applyInArrow(totals_of_part, TOTALS), "totals")
+    bundles, below = -(-senders // fan), max(1, span // fan)
+
+    def bundle(table: pa.Table) -> pa.Table:
+        _, kinds, _, sums, word = _joined(table)
+        return _dealt(table.column("bundle")[0].as_py(), kinds, sums << 1 | word, parts, below, bits)
+
+    def unbundle(down: pa.Table, up: pa.Table) -> pa.Table:
+        keys, _, at, _, _ = _joined(down)
+        back = sorted(zip(up.column("part").to_pylist(), up.column("totals").to_pylist()))
+        own = np.concatenate([unpacked(t) for _, t in back])[at]
+        return _returned(down, keys, own, sum(up.column("seen").to_pylist()), sum(up.column("token_sum").to_pylist()))
+
+    sent = frozen(sent.withColumn("bundle", F.col("part") * bundles + F.pmod(F.xxhash64("sender"), F.lit(bundles))), "sent")
+    up = summed(sent.groupBy("bundle").applyInArrow(bundle, KEYS), parts, below, ranges * bundles, bits, fan)
+    return frozen(sent.groupBy("bundle").cogroup(up.groupBy("sender")).applyInArrow(unbundle, TOTALS), "totals")
 
 
-def scorer(n: int, v: int, mu: float):
+def scorer(n: int, v: int, mu: float, least: int, order: int, bits: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -217,11 +330,11 @@ def scorer(n: int, v: int, mu: float):
         parts = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist()))
         found = np.concatenate([unpacked(t) for _, t in parts]) if parts else np.empty(0, np.int64)
         for x in left.to_pylist():
-            ids, flags, block = _load(x)
-            keys = block.grams()[0]
+            ids, flags, block = _load(x, order)
+            keys = np.concatenate(block.hashes) >> np.uint64(64 - bits)
             totals = np.empty(len(keys), np.int64)
-            totals[np.argsort(keys)] = found
-            size, known, base, score = block.scores(totals, n, v, mu)
+            totals[np.argsort(keys, kind="stable")] = found
+            size, known, base, score = block.scores(totals, n, v, mu, least)
             cols = [pa.array(ids, mask=(flags & 2).astype(bool)), pa.array((flags & 1).astype(bool)), pa.array(size), pa.array(known), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(score)]
             out.append(pa.table(cols, schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
@@ -229,20 +342,24 @@ def scorer(n: int, v: int, mu: float):
     return run
 
 
-def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, mu: float = MU, block_tokens: int = BLOCK_TOKENS, part_grams: int = PART_GRAMS) -> DataFrame:
+def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, mu: float = MU, least: int = LEAST, block_tokens: int = BLOCK_TOKENS, part_grams: int = PART_GRAMS, fan: int = FAN) -> DataFrame:
     """Rows of SCORES, one for each row of docs, under a model of the documents whose fold isn't `held_out`.
 
     A null text is empty: one token, its end. A null id falls into the fold of the empty id. Rows that repeat count as
-    often as they stand. With no training document every count is 0. n-grams are known by 64-bit hashes, so that two
-    n-grams are taken for one at odds of about n^2 / 2^65 for n of them. Extra columns are not read.
+    often as they stand. With no training document every count is 0. n-grams are known by hashes with SPARE_BITS bits
+    more than number them. Extra columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_fold(F.col("doc_id"), folds) == held_out).alias("held"))
-    blocks = frozen(rows.mapInArrow(block_writer(block_tokens), BLOCKS), "blocks")
-    grams = blocks.agg(F.sum("grams")).first()[0]
+    blocks = frozen(rows.mapInArrow(block_writer(block_tokens, order), BLOCKS), "blocks")
+    senders, grams = blocks.agg(F.count(F.lit(1)), F.sum("grams")).first()
     if not grams:
         return docs.sparkSession.createDataFrame([], SCORES)
-    parts = -(-grams // part_grams)
-    keys = blocks.mapInArrow(key_writer(parts), KEYS)
-    totals = frozen(keys.repartition(parts, "part").groupBy("part").applyInArrow(totals_of_part, TOTALS), "totals")
+    parts = 1 << max(0, math.ceil(math.log2(grams / part_grams)))
+    bits = min(64, grams.bit_length() + SPARE_BITS)
+    span = 1
+    while parts // span > fan:
+        span *= fan
+    sent = blocks.mapInArrow(key_writer(parts, span, bits, order), KEYS)
+    totals = summed(sent, parts, span, senders, bits, fan)
     v, n = totals.agg(F.sum("seen"), F.sum("token_sum")).first()
-    return blocks.groupBy("block").cogroup(totals.select("block", "part", "totals").groupBy("block")).applyInArrow(scorer(n, v, mu), SCORES)
+    return blocks.groupBy("block").cogroup(totals.select("sender", "part", "totals").groupBy("sender")).applyInArrow(scorer(n, v, mu, least, order, bits), SCORES)
