@@ -47,14 +47,32 @@ def test_permutation_is_one():
 
 def test_shard_counts_meet_quotas():
     quotas = [0, 5, 1000, 20_000]
-    counts = mixing.shard_counts(quotas, 512)
-    assert [sum(c) for c in zip(*counts)] == quotas
+    rows = list(mixing.shard_counts(quotas, 0, 42, 512))
+    counts = [c.tolist() for _, c, _ in rows]
+    assert [r[0] for r in rows] == list(range(42)) and [sum(c) for c in zip(*counts)] == quotas
     assert {sum(c) for c in counts[:-1]} == {512}
     assert len({c[2] for c in counts}) > 3  # drawn, not split evenly
-    assert counts == mixing.shard_counts(quotas, 512)
+    before = np.zeros(4, np.int64)
+    for _, c, b in rows:
+        assert b.tolist() == before.tolist()
+        before += c
+    # any task draws the same shards from its own part of the tree
+    for first, last in ((0, 1), (5, 9), (41, 42), (7, 7)):
+        assert [(k, c.tolist(), b.tolist()) for k, c, b in mixing.shard_counts(quotas, first, last, 512)] == [(k, c.tolist(), b.tolist()) for k, c, b in rows[first:last]]
+    assert list(mixing.shard_counts([0, 0], 0, 10, 512)) == list(mixing.shard_counts([], 0, 10, 512)) == []
 
 
-def test_matches_brute_force_and_reruns(spark):
+def test_slots_are_the_shards_draws(spark):
+    plan = [{"source_no": k, "quota": q, "blocks": b} for k, (q, b) in enumerate([(0, 0), (700, 300), (90, 90), (2600, 1000)])]
+    got = sorted(map(tuple, mixing.slots(spark, plan, 64, 3, task_shards=4).collect()))
+    assert [(r[0], r[1]) for r in got] == [(k // 64, k % 64) for k in range(3390)]
+    assert got == sorted(map(tuple, mixing.slots(spark, plan, 64, 3, task_shards=50).collect()))
+    for p in plan[1:]:  # a full pass takes every block once
+        uses = Counter(r[3] for r in got if r[2] == p["source_no"])
+        assert sum(uses.values()) == p["quota"] and set(uses.values()) <= {p["quota"] // p["blocks"], -(-p["quota"] // p["blocks"])} and len(uses) == min(p["blocks"], p["quota"])
+
+
+def test_matches_brute_force_and_reruns(spark, monkeypatch):
     rnd = random.Random(9)
     docs = []
     for i in range(400):
@@ -63,6 +81,7 @@ def test_matches_brute_force_and_reruns(spark):
         docs.append((i, src, " ".join(f"w{j}" for j in range(n)), "x"))
     docs += [(7, "a", "twice told", "x"), (7, "a", "twice told", "x"), (900, "a", None, "x"), (901, "b", "\t \n", "x"), (None, "b", "no id", "x"), (902, "b", "long " * 30000, "x")]
     df = spark.createDataFrame(docs, "doc_id long, source string, text string, size string")
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
     laid, placed = mixing.mix(df.repartition(4), block=16, shard_slots=64)
     got = mixing.taken(laid, placed).collect()
     again = mixing.taken(*mixing.mix(df.repartition(7), block=16, shard_slots=64)).collect()

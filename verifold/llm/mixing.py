@@ -1,10 +1,11 @@
 """Mixing sources to target weights: fixed-length blocks, multinomial counts per output shard, pseudorandom permutations.
 
 Each source's documents are laid end to end in a pseudorandom order and cut into blocks of `block` words. The mix has as
-many slots as the targets have blocks; slots are dealt to shards. A shard's source counts are a multinomial draw whose
-probabilities are what is left of each source's quota, never above what is left, so that the shards together meet the
-quotas. The n-th slot of a source takes the block at place n of the source's permutation; after a full pass the next
-permutation goes on. Slots meet blocks by an equi-join on (source, block).
+many slots as the targets have blocks; slots are dealt to shards. The shards are the leaves of a binary tree: at each node the source
+counts of the left half are a multinomial draw from the quotas of the node, never above them, and the right half gets the
+rest, so that the shards together meet the quotas, and any task can draw its own shards from the seed, the quotas and the
+way down to them. The n-th slot of a source takes the block at place n of the source's permutation; after a full pass the
+next permutation goes on. Slots meet blocks by an equi-join on (source, block).
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, frozen, shuffle_width, words
+from .common import count_words, frozen, words
 
-BLOCK, SHARD_SLOTS, MOST, SEED, BUCKET_ROWS = 256, 4096, 3, 17, 4096
+BLOCK, SHARD_SLOTS, MOST, SEED, BUCKET_ROWS = 256, 4096, 3, 17, 512
+#: Shards that one task draws.
+TASK_SHARDS = 64
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -39,19 +42,36 @@ def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[fl
     return out
 
 
-def shard_counts(quotas: list[int], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> list[list[int]]:
-    """Slots of each source in each shard: multinomial draws by the remaining quotas, cut at what remains, the rest drawn again."""
-    left, rnd, out = np.array(quotas, np.int64), np.random.Generator(np.random.PCG64(seed)), []
-    while (total := int(left.sum())) > 0:
-        n, drawn = min(shard_slots, total), np.zeros(len(left), np.int64)
-        while (short := n - int(drawn.sum())) > 0:
-            rest = left - drawn
-            drawn += np.minimum(rnd.multinomial(short, rest / rest.sum()), rest)
-        out.append(drawn.tolist())
-        left -= drawn
+def drawn(left: np.ndarray, n: int, seed: tuple[int, ...]) -> np.ndarray:
+    """A multinomial draw of n slots by what is left of each source, cut at what is left, the rest drawn again."""
+    rnd, out = np.random.Generator(np.random.PCG64(list(seed))), np.zeros(len(left), np.int64)
+    while (short := n - int(out.sum())) > 0:
+        rest = left - out
+        out += np.minimum(rnd.multinomial(short, rest / rest.sum()), rest)
     return out
 
 
+def shard_counts(quotas: np.ndarray, first: int, last: int, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, counts, before) of the shards first to last - 1: slots of each source in the shard, and in all shards before it.
+
+    Only the nodes above those shards are drawn; a draw is seeded by its node alone.
+    """
+
+    def walk(a: int, b: int, left: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if b <= first or a >= last:
+            return
+        if b - a == 1:
+            yield a, left, before
+            return
+        middle = (a + b) // 2
+        half = drawn(left, (middle - a) * shard_slots, (seed, a, b))
+        yield from walk(a, middle, half, before)
+        yield from walk(middle, b, left - half, before + half)
+
+    quotas = np.asarray(quotas, np.int64)
+    yield from walk(0, -(-int(quotas.sum()) // shard_slots), quotas, np.zeros_like(quotas))
+
+
 def permuted(n: np.ndarray, size: np.ndarray, source: np.ndarray, seed: int = SEED, rounds: int = 4) -> np.ndarray:
     """Where a pseudorandom permutation of 0..size-1, another for each source and pass n // size, sends n % size.
 
@@ -98,44 +118,50 @@ def few(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def slots(spark: SparkSession, plan: list[dict], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """Rows (shard, slot, source_no, block_no): every slot of the mix and the block it takes."""
-    counts = shard_counts([p["quota"] for p in plan], shard_slots, seed)
-    first, runs = [0] * len(plan), []
-    for shard, drawn in enumerate(counts):
-        at = 0
-        for p, n in zip(plan, drawn):
-            if n:
-                runs.append((shard, at, p["source_no"], first[p["source_no"]], n, p["blocks"]))
-                first[p["source_no"]] += n
-                at += n
+def slots(spark: SparkSession, plan: list[dict], shard_slots: int = SHARD_SLOTS, seed: int = SEED, task_shards: int = TASK_SHARDS) -> DataFrame:
+    """Rows (shard, slot, source_no, block_no): every slot of the mix and the block it takes. Each task draws its own shards."""
+    plan = [p for p in plan if p["quota"]]
+    quotas, blocks, number = (np.array([p[k] for p in plan], np.int64) for k in ("quota", "blocks", "source_no"))
+    shards = -(-int(quotas.sum()) // shard_slots)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ids = x.column(0).to_numpy()
+            for s, e in zip(*_runs(ids)):
+                for shard, counts, before in shard_counts(quotas, int(ids[s]), int(ids[e - 1]) + 1, shard_slots, seed):
+                    which = np.repeat(np.arange(len(counts)), counts)
+                    nth = before[which] + np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    taken = permuted(nth, blocks[which], number[which], seed)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), shard)), pa.array(np.arange(len(which))), pa.array(number[which]), pa.array(taken)], names=["shard", "slot", "source_no", "block_no"])
+
+    return spark.range(0, shards, 1, max(1, -(-shards // task_shards))).mapInArrow(spread, "shard long, slot long, source_no long, block_no long")
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            each = f.loc[f.index.repeat(f["n"])].reset_index(drop=True)
-            k = each.groupby(["shard", "source_no"]).cumcount()
-            yield pd.DataFrame({"shard": each["shard"], "slot": each["at"] + k, "source_no": each["source_no"], "block_no": permuted((each["first"] + k).to_numpy(), each["blocks"].to_numpy(), each["source_no"].to_numpy(), seed)})
 
-    width = max(1, min(len(counts), shuffle_width(spark)))
-    drawn = spark.createDataFrame(runs, "shard int, at int, source_no int, first long, n int, blocks long").repartition(width, "shard")
-    return drawn.mapInPandas(spread, "shard int, slot int, source_no int, block_no long")
+def _runs(ids: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of consecutive numbers begin and end."""
+    cuts = (np.flatnonzero(np.diff(ids) != 1) + 1).tolist()
+    return ([0, *cuts], [*cuts, len(ids)]) if len(ids) else ([], [])
 
 
-def laid_out(docs: DataFrame, plan: list[dict], seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def laid_out(docs: DataFrame, plan: list[dict], seed: int = SEED, bucket_rows: int | None = None) -> DataFrame:
     """docs with source_no, source_size, target and start, the words of its source that stand before it.
 
-    A source's documents fall into buckets by the hash of their id, about `bucket_rows` in each; the running sum is one
-    over the buckets' totals and one inside a bucket, so that no task holds a source.
+    A source's documents fall into buckets by the hash of their id and text, about `bucket_rows` in each, and these into
+    groups of `bucket_rows`; the running sum is one over the groups' totals, one over the buckets' totals in a group and
+    one inside a bucket, so that no task holds a source.
     """
+    bucket_rows = bucket_rows or BUCKET_ROWS
     rows = [(p["source_no"], p["source"], p["source_size"], p["target"]) for p in plan]
     names = few(docs.sparkSession.createDataFrame(rows, "source_no int, _name string, source_size long, target double"), len(rows))
     known = docs.join(names, docs["source"].eqNullSafe(names["_name"]), "inner").drop("_name")
     width = max(1, math.ceil(known.count() / bucket_rows))
     mark = F.xxhash64(F.lit(seed), "doc_id", "_text_mark")
     dealt = known.withColumn("_mark", mark).withColumn("_bucket", F.pmod(F.col("_mark"), F.lit(width)).cast("int"))
-    totals = dealt.groupBy("source_no", "_bucket").agg(F.sum("size").alias("_sum"))
-    over = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("source_no", "_bucket", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
+    group = F.floor(F.col("_bucket") / bucket_rows).cast("int").alias("_group")
+    totals = frozen(dealt.groupBy("source_no", "_bucket").agg(F.sum("size").alias("_sum")).select("source_no", group, "_bucket", "_sum"), "bucket-sizes")
+    over = lambda keys, by: F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = totals.groupBy("source_no", "_group").agg(F.sum("_sum").alias("_sum")).select("source_no", "_group", over(["source_no"], "_group").alias("_groups"))
+    before = totals.withColumn("_buckets", over(["source_no", "_group"], "_bucket")).join(groups, ["source_no", "_group"]).select("source_no", "_bucket", (F.col("_groups") + F.col("_buckets")).alias("_before"))
     inside = Window.partitionBy("source_no", "_bucket").orderBy("_mark", "doc_id", "_text_mark", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
         dealt.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
