@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,37 +32,49 @@ def plain(pages):
     return out
 
 
-@pytest.mark.parametrize("compression", ["none", "gzip"])
-def test_round_trip_and_order(spark, compression):
+def test_round_trip_and_order(spark, tmp_path):
     rnd = random.Random(3)
     pages = []
     for i in range(300):
         url = rnd.choice(["http://a.example.com/x", "https://www.example.org/", f"http://h{i % 7}.net/p{i % 11}?q=é", None, "no scheme", "http://a.example.com/x"])
         html = rnd.choice(["", "short", "é" * 60, "<p>same page</p>\r\n\r\nWARC/1.1\r\n" * 9, f"<b>{i}</b>\n" * rnd.randrange(1, 40), None])
         pages.append((i, url, html))
-    pages += [(400, "http://long.net/", "x" * 3_000_000), (5, pages[5][1], pages[5][2]), (None, "http://n.net/", "<i>no id</i>" * 20)]
-    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, record_type string").repartition(5)
-    index = warc.captures(df.drop("record_type"), per_file=20, compression=compression)
+    pages += [(400, "http://long.net/", "x" * 3_000_000), (401, "http://longer.net/", "y" * 17_000_000), (5, pages[5][1], pages[5][2]), (None, "http://n.net/", "<i>no id</i>" * 20)]
+    df = spark.createDataFrame([(*p, "x", 0, "y") for p in pages], "page_id long, url string, html string, record_type string, payload_bytes int, _at string").repartition(5)
+    index = warc.captures(df, most=2500, rows=40)
     rows = index.orderBy("merge_part", "merge_at").collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
     got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows]
     assert sorted(got, key=key) == sorted(plain(pages), key=key)
     order = [(r.url_key or "", r.capture_ts, -1 if r.page_id is None else r.page_id) for r in rows]
     assert order == sorted(order)
-    assert len({r.archive for r in rows}) >= 15
+    assert len({r.archive for r in rows}) >= 15 and len({r.merge_part for r in rows}) >= 4
+    assert [r.merge_at for r in rows if r.merge_part == 0] == list(range(sum(r.merge_part == 0 for r in rows)))
     assert sorted((r.url or "" for r in rows)) == sorted(u or "" for _, u, _ in pages)
 
 
-def test_files_are_records_that_can_be_cut_by_length(spark, tmp_path):
-    df = spark.createDataFrame([(1, "http://a.b/c", "<p>\r\n\r\n</p>" * 20), (2, "http://a.b/d", "<p>\r\n\r\n</p>" * 20)], "page_id long, url string, html string").coalesce(1)
-    warc.write_archives(df, str(tmp_path / "w"), compression="none")
-    data = next((tmp_path / "w").glob("part-*")).read_bytes()
-    found = list(warc.records(data))
-    assert sum(n for _, n, _, _ in found) == len(data)
-    assert [h["warc-type"] for _, _, h, _ in found] == ["response", "revisit"]
-    assert found[1][2]["warc-refers-to"] == "<urn:page:1>" and found[0][2]["warc-record-id"] == "<urn:page:1>"
-    with pytest.raises(ValueError):
-        list(warc.records(data[:-6] + b"xxxxxx"))
+def test_index_names_places_that_can_be_read_alone(spark, tmp_path):
+    pages = [(i, f"http://a.b/{i % 5}", f"<p>{i % 9}\r\n\r\n</p>" * 20) for i in range(60)] + [(90, "http://big.net/", "z" * 17_000_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(df, str(tmp_path / "w"), most=1000)
+    files = {f.name: f.read_bytes() for f in (tmp_path / "w").glob("part-*")}
+    assert len(files) > 4 and all(len(d) < 1000 + 600 for n, d in files.items() if len(d) < 10_000)
+    html = {i: h.encode() for i, _, h in pages}
+    for d in files.values():  # any gzip reader reads an archive whole
+        assert gzip.decompress(d).startswith(b"WARC/1.1\r\n")
+    for r in warc.read_runs(spark, str(tmp_path / "w")).collect():
+        head, block = warc.parsed(gzip.decompress(files[r.archive][r.offset : r.offset + r.length]))
+        assert head["warc-record-id"] == f"<urn:page:{r.page_id}>"
+        assert block.partition(b"\r\n\r\n")[2] == (html[r.page_id] if r.record_type == "response" else b"")
+    assert warc.read_runs(spark, str(tmp_path / "w")).count() == len(pages)
+
+
+def test_damaged_archives_are_told(spark):
+    one = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert list(warc.records(warc.member(one) * 2)) == [(0, len(warc.member(one)), {"content-length": "3"}, b"abc"), (len(warc.member(one)), len(warc.member(one)), {"content-length": "3"}, b"abc")]
+    for bad in (warc.member(one)[:-9], warc.member(one[:-4] + b"xxxx"), warc.member(b"no record")):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.records(bad))
 
 
 def test_empty_table_and_url_keys(spark):
