@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, frozen, shuffle_width
+from .common import connected_components, frozen, private, shuffle_width
 
 LOW = 0x5555555555555555
 SEED = 42
@@ -358,17 +358,17 @@ def keep_first(docs: DataFrame, found: DataFrame | None = None, **how) -> DataFr
     Of rows that repeat that doc_id, one stays, the one with the smallest text; rows with a null id that no id
     represents stay, as nothing tells them apart.
     """
-    width = shuffle_width(docs.sparkSession)
+    width, p = shuffle_width(docs.sparkSession), private(docs)
     found = near_duplicates(docs, **how) if found is None else found
-    firsts = found.where("id = component_id").select(F.col("id").alias("_keep")).distinct().repartition(width)
-    kept = docs.join(firsts, docs["doc_id"] == F.col("_keep"), "left_semi")
-    again = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    firsts = found.where("id = component_id").select(F.col("id").alias(p + "keep")).distinct().repartition(width)
+    kept = docs.join(firsts, docs["doc_id"] == F.col(p + "keep"), "left_semi")
+    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias(p + "n")).where(F.col(p + "n") > 1).select(F.col("doc_id").alias(p + "again"))
     again = frozen(again, "repeated-ids")
     lone = docs.where(F.col("doc_id").isNull())
     if again.isEmpty():
         return kept.unionByName(lone)
-    one = kept.join(again, kept["doc_id"] == F.col("_again"), "left_semi")
-    rest = kept.join(again, kept["doc_id"] == F.col("_again"), "left_anti")
+    one = kept.join(again, kept["doc_id"] == F.col(p + "again"), "left_semi")
+    rest = kept.join(again, kept["doc_id"] == F.col(p + "again"), "left_anti")
     cols = [c for c in docs.columns if c != "doc_id"]
-    first = one.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in ["text", *[c for c in cols if c != "text"]]])).alias("_r"))
-    return rest.unionByName(first.select("doc_id", *[F.col("_r")[c].alias(c) for c in cols]).select(*docs.columns)).unionByName(lone)
+    first = one.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in ["text", *[c for c in cols if c != "text"]]])).alias(p + "r"))
+    return rest.unionByName(first.select("doc_id", *[F.col(p + "r")[c].alias(c) for c in cols]).select(*docs.columns)).unionByName(lone)
