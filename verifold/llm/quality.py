@@ -77,7 +77,7 @@ def fitting_ids(labels: DataFrame, most: int = FITTING_ROWS) -> DataFrame:
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> list[float]:
-    """log((t + prior) / (e + prior)) of each bucket; all 0 if no trusted document has a word.
+    """log((t + prior) / (e + prior)) of each bucket, to three digits; all 0 if no trusted document has a word.
 
     t are the bucket's n-grams in trusted documents, e as many as its share of all n-grams leads to expect. Counts cover
     all of docs in one pass. `trusted` is bounded, so it is broadcast; the driver gets one row per bucket.
@@ -89,7 +89,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
     t, r = sum(x.t for x in found), sum(x.r for x in found)
     out = [0.0] * buckets
     for x in found if t else ():
-        out[x.b] = math.log((x.t + prior) / (x.r * t / r + prior))
+        out[x.b] = round(math.log((x.t + prior) / (x.r * t / r + prior)), 3)
     return out
 
 
@@ -125,16 +125,23 @@ def numbers(values: list[float]) -> Column:
     return F.split(F.lit(",".join(format(v, ".6f") for v in values)), ",").cast("array<double>")
 
 
+def thousandths(values: list[float]) -> Column:
+    """A constant array in whole thousandths, as short a text as a plan has to carry."""
+    return F.split(F.lit(",".join(str(round(1000 * v)) for v in values)), ",").cast("array<int>")
+
+
 def ratio(h: Column, weights: list[float]) -> Column:
     """The mean weight of the n-grams of an array of word hashes; 0 without words."""
     n, k = F.size(h), len(weights)
 
-    def add(acc: Column, i: Column) -> Column:
-        one = F.get(numbers(weights), bucket(F.get(h, i), k))
-        return acc + F.when(i < n - 1, one + F.get(numbers(weights), bucket(pair(h, i), k))).otherwise(one)
+    def total(w: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            one = F.get(w, bucket(F.get(h, i), k))
+            return acc + F.when(i < n - 1, one + F.get(w, bucket(pair(h, i), k))).otherwise(one)
+
+        return F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(0).cast("long"), add)
 
-    total = F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(0.0), add)
-    return F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0))
+    return F.when(n > 0, let(thousandths(weights), total) / (1000 * (2 * n - 1))).otherwise(F.lit(0.0))
 
 
 def repeated_words(h: Column) -> Column:
