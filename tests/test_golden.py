@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verifold.functions import text, truth
-from verifold.operators import conflict, graph, history, identity, maintain, retrieval, state
+from verifold.operators import conflict, graph, history, identity, maintain, memory, retrieval, state
 
 T0 = datetime(2024, 1, 1)
 
@@ -99,7 +99,7 @@ def test_repair_and_tail(spark):
     assert got == {1: (50.0, "repaired"), 2: (7.0, "kept")}
     seed = spark.createDataFrame([(1, "n", at(4), 30.0, None)], "object_id long, key string, timestamp timestamp, num double, raw string")
     assert state.tail_replay(seed, rows((1, 5, 9, "ADD", 5))).first().num == 35.0
-    bad = state.compare(spark.createDataFrame([(1, "n", 20.0)], "object_id long, key string, num double"), spark.createDataFrame([(1, "n", 10.0)], "object_id long, key string, num double"))
+    bad = state.compare(*(spark.createDataFrame([(1, "n", x, None)], "object_id long, key string, num double, raw string") for x in (20.0, 10.0)))
     assert [(r.expected, r.actual) for r in bad.collect()] == [(20.0, 10.0)]
 
 
@@ -122,14 +122,17 @@ def test_causes_have_no_depth_limit(spark):
 
 def test_consolidation(spark):
     acts = ["ADD", "ADD", "ADD", "REMOVE"]
-    rows = [(1, T0 + timedelta(hours=i), i, "USER", a, "trees", 10.0, None, 0.9, 1.0, 1.0, 0.0) for i, a in enumerate(acts)]
-    ev = spark.createDataFrame(rows, "object_id long, timestamp timestamp, id long, actor string, action string, keys string, d_value double, consolidated_into string, confidence double, authority double, freshness double, corroboration double")
+    rows = [(1, T0 + timedelta(hours=i), i, "USER", a, "trees", json.dumps({"trees": 10 + i, "by": f"team {i}", "ok": [i]}), None, 0.9, 1.0, 1.0, 0.0) for i, a in enumerate(acts)]
+    ev = spark.createDataFrame(rows, "object_id long, timestamp timestamp, id long, actor string, action string, keys string, delta string, consolidated_into string, confidence double, authority double, freshness double, corroboration double")
     at = F.lit(str(T0 + timedelta(days=1))).cast("timestamp")
     marked = maintain.islands(ev, at)
     assert [(r.n, r.action) for r in maintain.runs(marked).collect()] == [(3, "ADD")]
     s = maintain.summaries(marked).first()
-    assert (s.d_value, s.n, s.actor, s.antecedents) == (30.0, 3, "SYSTEM", ["0", "1", "2"])
-    done = {r.id: r.consolidated_into for r in maintain.consolidate(ev, marked).collect()}
+    assert (json.loads(s.delta), s.n, s.actor, s.antecedents) == ({"trees": 33.0, "by": "team 2", "ok": [2]}, 3, "SYSTEM", ["0", "1", "2"])
+    log = {r.id: r for r in maintain.consolidate(ev, marked).collect()}
+    assert (log["summary-0"].action, log["summary-0"].timestamp, log["summary-0"].confidence, json.loads(log["summary-0"].delta)["trees"]) == ("ADD", T0 + timedelta(hours=2), 0.9, 33.0)
+    assert maintain.consolidated_count(marked).first().consolidated == 3
+    done = {k: r.consolidated_into for k, r in log.items()}
     assert done == {"0": "summary-0", "1": "summary-0", "2": "summary-0", "3": None, "summary-0": None}
     assert maintain.reduction(maintain.runs(marked)).first().saved == 2
 
@@ -180,6 +183,8 @@ def test_graph_and_text(spark):
     assert {(r.start, r.goal): r.path for r in graph.shortest_paths(edges, ask).collect()} == {("a", "c"): "a>b>c", ("a", "a"): "a"}
     two = {(r.source_id, r.target_id): r.confidence for r in graph.transitive(edges).collect()}
     assert two["a", "c"] == pytest.approx(0.648)
+    up = {(r.source_id, r.target_id): (r.confidence, r.is_inferred, r.writes) for r in graph.with_transitive(edges.unionByName(spark.createDataFrame([("a", "c", "part_of", 0.1)], edges.schema))).where("relation_type = 'part_of'").collect()}
+    assert up["a", "c"] == (pytest.approx(0.648), False, 2) and up["b", "a"] == (pytest.approx(0.36), True, 1)
     t = spark.createDataFrame([(1, "I like green tea."), (2, "My name is X, not Y"), (3, "meet a@b.org at 10.0.0.1 or http://x.y/z"), (4, None)], "id long, text string")
     kinds = {r.id: (r.k, r.n) for r in t.select("id", text.memory_type(F.col("text")).alias("k"), text.is_negated(F.col("text")).alias("n")).collect()}
     assert kinds == {1: ("preference", False), 2: ("identity", True), 3: ("event", False), 4: ("event", False)}
@@ -187,6 +192,99 @@ def test_graph_and_text(spark):
     assert [(r.id, r.object) for r in text.relation_patterns(t).collect()] == [(1, "green tea")]
 
 
+def test_every_trigger_of_texts(spark):
+    """Each phrase of each family, and texts that only look like one."""
+    kinds = {"I am here": "identity", "so i'm told": "identity", "I live in X": "identity", "My name is Y": "identity", "I prefer tea": "preference", "my favorite tea": "preference", "I like tea": "preference", "i always walk": "preference", "I usually walk": "preference"}
+    kinds |= {"i hate rain": "event", "they like it": "event", "I loved it": "event", "xi am": "event", "i amber": "event", "today i'm feeling fine": "identity", "": "event", "éi like": "event"}
+    negated = {"not now": True, "I don't": True, "no longer": True, "he stopped": True, "quit it": True, "it isn't": True, "they aren't": True, "never": False, "doesn't": False, "knot": False, "notable": False, "énot": False}
+    rows = spark.createDataFrame([(t,) for t in [*kinds, *negated]], "t string").select("t", text.memory_type(F.col("t")).alias("k"), text.is_negated(F.col("t")).alias("n")).collect()
+    by = {r.t: r for r in rows}
+    assert {t: by[t].k for t in kinds} == kinds and {t: by[t].n for t in negated} == negated
+    found = spark.createDataFrame([(1, "a_b+c@x-y.co.uk. and x@y"), (2, "see https://a.b/c?d=(e), 1.2.3.4 v1.2.3.45 1.2.3.4567")], "id long, text string")
+    assert {(r.id, r.label, r.value) for r in text.entities(found).collect()} == {(1, "EMAIL", "a_b+c@x-y.co.uk."), (2, "URL", "https://a.b/c?d=(e),"), (2, "IP", "1.2.3.4")}
+    fields = spark.createDataFrame([("m a.b%c@d.e.org. on 2024-01-31 or 01/02/2024, 12024-01-31",), ("none",)], "t string").select(text.regex_fields(F.col("t")).alias("f"), text.extracted(F.col("t"), F.array(F.lit("Ann"))).alias("e")).collect()
+    assert (fields[0].f.email, fields[0].f.date, fields[0].e.entities) == (["a.b%c@d.e.org"], ["2024-01-31", "01/02/2024"], ["Ann", "a.b%c@d.e.org"])
+    assert (fields[1].f.email, fields[1].f.date, fields[1].e.entities) == (None, None, ["Ann"])
+    named = [("PERSON", "Ann"), ("ORG", "Firm"), ("ORGANIZATION", "Org"), ("GPE", "Town"), ("LOC", "Lake"), ("LOCATION", "Place")]
+    said = ["my name is", "I am ", "I'm ", "call me ", "work at", "work for", "working at", "employed at", "job at", "live in", "from ", "based in", "located in", "unlike", "I like", "I prefer", "i love", "I ENJOY"]
+    docs = spark.createDataFrame([(i, f"{p} Thing.!") for i, p in enumerate(said)], "id long, text string")
+    every = spark.createDataFrame([(i, *n) for i in range(len(said)) for n in named], "id long, label string, value string")
+    got = {}
+    for r in text.relation_patterns(docs, every).collect():
+        got.setdefault(said[r.id], set()).add((r.relation, r.object))
+    name, work, place, pref = {("HAS_NAME", "Ann")}, {("WORKS_AT", "Firm"), ("WORKS_AT", "Org")}, {("LOCATED_IN", x) for x in ("Town", "Lake", "Place")}, {("PREFERS", "Thing")}
+    want = dict.fromkeys(said[:4], name) | dict.fromkeys(said[4:9], work) | dict.fromkeys(said[9:13], place) | dict.fromkeys(said[14:], pref)
+    assert got == want
+    long = spark.createDataFrame([(1, "I like " + "x" * 49), (2, "I like " + "x" * 50), (3, "I like  "), (4, "I enjoy what they like most")], "id long, text string")
+    assert {r.id: r.object for r in text.relation_patterns(long).collect()} == {1: "x" * 49, 4: "most"}
+    ways = {"short": "TRIVIAL", "INFO " + "word " * 20: "TRIVIAL", "7" * 60 + " w" * 20: "TRIVIAL", "mail a@b.org " + "zz " * 20: "STRUCTURED", "the and of to a in that is was he for it with": "NATURAL", "zz " * 100: "COMPLEX", "zz " * 70 + "a@b.org": "COMPLEX"}
+    assert {r.t: r.w for r in spark.createDataFrame([(t,) for t in ways], "t string").select("t", text.route(F.col("t")).alias("w")).collect()} == ways
+    assert len(text.NATURAL) == len(set(text.NATURAL))
+    assert {r.gram: r.n for r in text.ngram_profile(spark.createDataFrame([(1, "The the CAT")], "id long, text string")).collect()} == {"the": 2, "cat": 1}
+
+
+def plain_greedy(pairs):
+    """The scan as a loop: what is proposed is done with, but who is scanning goes on."""
+    done, out, scans = set(), [], {}
+    for p in pairs:
+        scans.setdefault((p["left_at"], p["left_id"]), []).append(p)
+    for (_, left), hits in sorted(scans.items()):
+        if left in done:
+            continue
+        for p in sorted(hits, key=lambda p: (-p["similarity"], p["right_id"])):
+            if p["right_id"] not in done:
+                out.append((p["source_id"], p["target_id"]))
+                done |= {p["source_id"], p["target_id"]}
+    return sorted(out)
+
+
+def test_greedy_scan_matches_a_loop(spark):
+    rnd = random.Random(3)
+    at = {i: rnd.randrange(40) for i in range(60)}
+    pairs = []
+    for a in range(60):
+        for b in rnd.sample([x for x in range(60) if x != a and x % 5 == a % 5], rnd.randrange(4)):
+            newer, older = (a, b) if at[a] > at[b] else (b, a)
+            pairs.append({"left_id": a, "right_id": b, "similarity": rnd.randrange(90, 100) / 100, "source_id": newer, "target_id": older, "reason": "", "left_at": at[a]})
+    schema = "left_id long, right_id long, similarity double, source_id long, target_id long, reason string, left_at long"
+    got = identity.greedy(spark.createDataFrame(pairs, schema).repartition(3)).collect()
+    assert sorted((r.source_id, r.target_id) for r in got) == plain_greedy(pairs)
+    two = [{"left_id": 1, "right_id": 2, "similarity": 0.99, "source_id": 2, "target_id": 1, "reason": "", "left_at": 1}, {"left_id": 3, "right_id": 1, "similarity": 0.98, "source_id": 3, "target_id": 1, "reason": "", "left_at": 3}]
+    assert [(r.source_id, r.target_id) for r in identity.greedy(spark.createDataFrame(two, schema)).collect()] == [(2, 1)]
+
+
+def test_replay_differences(spark):
+    schema = "object_id long, key string, num double, raw string"
+    old = spark.createDataFrame([(1, "t", None, '"a"'), (2, "t", None, '"a"'), (3, "n", 1.0, "1"), (4, "n", 1.0, None), (5, "x", None, "null"), (6, "n", 2.0, "2"), (7, "n", 1.0, "1")], schema)
+    new = spark.createDataFrame([(1, "t", None, '"a"'), (2, "t", None, '"b"'), (3, "n", 1.00001, "1.00001"), (4, "n", 1.5, None), (5, "x", None, "null"), (6, "n", None, '"2"'), (8, "n", 1.0, "1")], schema)
+    got = {r.object_id: (r.expected, r.actual, r.expected_raw, r.actual_raw) for r in state.compare(old, new).collect()}
+    assert got == {2: (None, None, '"a"', '"b"'), 4: (1.0, 1.5, None, None), 6: (2.0, None, None, '"2"'), 7: (1.0, None, None, None), 8: (None, 1.0, None, None)}
+    heads = "object_id long, confidence double, authority double, freshness double, corroboration double"
+    diff = state.compare_vectors(spark.createDataFrame([(1, 1.0, 0.5, 1.0, 0.0), (2, 1.0, 1.0, 1.0, 0.0)], heads), spark.createDataFrame([(1, 1.0, 0.7, 1.00001, 0.0), (2, 1.0, 1.0, 1.0, 0.0)], heads)).collect()
+    assert [(r.object_id, r.part, r.expected, r.actual) for r in diff] == [(1, "authority", 0.5, 0.7)]
+
+
+def test_memory_facade(spark):
+    rows = [(1, T0, "7", "My name is Ann", "user", 0.8, 0.5, "fact"), (2, T0 + timedelta(1), "7", "I like tea!", "user", 0.9, 0.95, "preference"), (3, T0, "8", "I like rain", "agent", 0.7, 0.5, "fact"), (4, T0, None, "no entity", "agent", 0.7, 0.5, "fact")]
+    told = spark.createDataFrame(rows, "ord long, timestamp timestamp, entity_id string, content string, source string, confidence double, authority double, memory_type string")
+    ev = memory.remembered(told, spark.createDataFrame([("8",)], "entity_id string"), "home")
+    got = {r.ord: (r.action, r.actor, r.authority, json.loads(r.delta)) for r in ev.collect()}
+    assert [got[i][:3] for i in (1, 2, 3, 4)] == [("ADD", "USER", 0.9), ("UPDATE", "USER", 0.95), ("UPDATE", "AGENT", 0.5), ("ADD", "AGENT", 0.5)]
+    assert got[2][3] == {"content": "I like tea!", "type": "preference", "namespace": "home"}
+    st = {r.object_id: (r.content, r.version) for r in memory.states(ev).collect()}
+    assert st["7"] == ("I like tea!", 2) and len(st) == 3
+    named = ev.where("ord = 1").select("id", F.lit("PERSON").alias("label"), F.lit("Ann").alias("value"))
+    made = {(r.kind, r.content, r.confidence) for r in memory.derived(ev, named).collect()}
+    assert made == {("relation", "USER HAS_NAME Ann", 0.95), ("relation", "USER PREFERS tea", 0.9), ("entity", "Ann", 0.9)}
+    full = memory.states(ev).withColumn("namespace", F.lit("home"))
+    assert memory.loaded(full, "home").count() == 3 and memory.loaded(full, "x").count() == 0 == memory.cleared(full, F.lit("home")).count()
+    assert memory.truth_scores(full, spark.createDataFrame([("7",), ("zz",)], "object_id string")).first().score == pytest.approx(0.9 + 1.2 * 0.95 + 0.8)
+    m = full.select(F.xxhash64("object_id").alias("id"), F.col("content").alias("text"), "confidence", "authority", "freshness", "corroboration")
+    q = spark.createDataFrame([(1, "tea rain")], "query_id long, query string")
+    assert retrieval.recall(m, q).count() == 1  # "tea!" is another word
+    assert retrieval.keyword_recall(m, spark.createDataFrame([(1, "i like")], q.schema), top=1).first().total_found == 2
+
+
 def test_recall_and_context(spark):
     m = spark.createDataFrame([(1, "green tea", 1.0, 1.0, 1.0, 0.0), (2, "black Tea pot", 0.1, 0.1, 0.1, 0.0), (3, "coffee", 1.0, 1.0, 1.0, 0.0)], "id long, text string, confidence double, authority double, freshness double, corroboration double")
     q = spark.createDataFrame([(7, "tea pot")], "query_id long, query string")

@@ -25,8 +25,35 @@ def test_micro_batches_repair_any_lateness(spark, tmp_path):
     q.awaitTermination()
     last = max(p["batchId"] for p in q.recentProgress)
     assert last >= 2
-    got = {x.object_id: x.num for x in spark.read.parquet(str(tmp_path / f"states/v{last}")).collect()}
+    got = {x.object_id: x.num for x in ingest.current_states(spark, str(tmp_path / "states")).collect()}
     assert got == {x.object_id: pytest.approx(x.num) for x in state.fold(r).collect()}
+    # two versions of a bucket at most, and one entity's batch touches one bucket
+    assert all(len(list(d.glob("epoch=*"))) <= 2 for d in (tmp_path / "states").glob("bucket=*"))
+    r.where("object_id = 3").limit(1).withColumn("id", F.lit(9999).cast("long")).withColumn("timestamp", F.lit(str(T0 + timedelta(days=9))).cast("timestamp")).withColumn("action", F.lit("UPDATE")).withColumn("num", F.lit(100.0)).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.fold_batches(source, str(tmp_path / "states"), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    assert len([d for d in (tmp_path / "states").glob(f"bucket=*/epoch={last + 1}")]) == 1
+    after = {x.object_id: x.num for x in ingest.current_states(spark, str(tmp_path / "states")).collect()}
+    assert {k for k in after if after[k] != got[k]} == {3}
+
+
+def test_stateful_fold_under_a_watermark(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda m: T0 + timedelta(minutes=m)
+    parts = [
+        [(1, "v", at(5), 2, "ADD", 5.0, None), (1, "v", at(1), 1, "PLANT", 10.0, None), (2, "v", at(2), 3, "ADD", 7.0, None)],
+        [(1, "v", at(3), 4, "REMOVE", 2.0, None), (9, "v", at(600), 5, "ADD", 1.0, None)],
+        [(2, "v", at(1), 6, "ADD", 3.0, None), (9, "v", at(2000), 7, "ADD", 1.0, None)],
+    ]
+    for i, p in enumerate(parts):
+        spark.createDataFrame(p, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        q = ingest.fold_stream(source.select("object_id", "timestamp", "id", "action", "num"), "1 hour").writeStream.outputMode("update").foreachBatch(lambda df, e: df.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    rows_ = spark.read.parquet(str(tmp_path / "out")).collect()
+    done = {}
+    for r in sorted(rows_, key=lambda r: r.version):
+        done[r.object_id] = (r.value, r.version, r.last_event_id)
+    assert done[1] == (13.0, 3, 2) and done[2] == (7.0, 1, 3) and 9 not in done  # in order; event 6 came behind the watermark, and of 9 one event still waits
 
 
 def test_records_are_sorted(spark):

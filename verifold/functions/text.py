@@ -5,34 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Word families of memory types, patterns of entities, thresholds of routing.
-IDENTITY = r"(^|[^a-z0-9_])(i am|my name is|i'm)([^a-z0-9_]|$)"
-PREFERENCE = r"(^|[^a-z0-9_])(like|love|prefer|enjoy|hate)([^a-z0-9_]|$)"
-EVENT = r"(^|[^a-z0-9_])(meeting|appointment|schedule|tomorrow|yesterday|today)([^a-z0-9_]|$)"
-NEGATION = r"(^|[^a-z0-9_])(not|never|don't|doesn't|no longer)([^a-z0-9_]|$)"
+# Word families of memory types (anything else, the temporal family included, is an event), entity patterns
+# by label, patterns of extracted fields, marks of logs, the words of natural language, phrases that state a relation.
+IDENTITY = r"\b(i am|i'm|i live in|my name is)\b"
+PREFERENCE = r"\b(i prefer|my favorite|i like|i always|i usually)\b"
+NEGATION = r"\b(not|don't|no longer|stopped|quit|isn't|aren't)\b"
 PATTERNS = {
-    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "URL": r"https?://[^\x20\x09-\x0D<>\x22]+",
-    "IP": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "EMAIL": r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+",
+    "URL": r"https?://\S+",
+    "IP": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
+}
+FIELDS = {
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "date": r"\b(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})\b",
 }
-DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
 LOG_WORDS = ("INFO", "WARN", "ERROR", "Exception")
+NATURAL = (
+    "the and of to a in that is was he for it with as his on be at by i this had not are but from or have an they which one you were "
+    "her all she there would their we him been has when who will no more if out so up said what its about than into them can only "
+    "other time new some could these two may first then do any my now"
+).split()
+NAME_PHRASES = ("my name is", "i am ", "i'm ", "call me ")
+WORK_PHRASES = ("work at", "work for", "working at", "employed at", "job at")
+PLACE_PHRASES = ("live in", "from ", "based in", "located in")
+LIKING_PHRASES = ("i like", "i prefer", "i love", "i enjoy")
 PREFERENCE_VERBS = ("like", "prefer", "love", "enjoy")
+RELATIONS = (("HAS_NAME", NAME_PHRASES, ("PERSON",), 0.95), ("WORKS_AT", WORK_PHRASES, ("ORG", "ORGANIZATION"), 0.9), ("LOCATED_IN", PLACE_PHRASES, ("GPE", "LOC", "LOCATION"), 0.85))
+
+
+def unicode_classes(pattern: str) -> str:
+    """A pattern whose classes and word boundaries know all letters and digits."""
+    return "(?U)" + pattern
+
+
+def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    out = text.contains(phrases[0])
+    for p in phrases[1:]:
+        out = out | text.contains(p)
+    return out
 
 
 def memory_type(text: Column) -> Column:
     """identity before preference before event, which is also the default."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.rlike(IDENTITY), "identity").when(low.rlike(PREFERENCE), "preference").otherwise("event")
+    return F.when(low.rlike(unicode_classes(IDENTITY)), "identity").when(low.rlike(unicode_classes(PREFERENCE)), "preference").otherwise("event")
 
 
 def is_negated(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(NEGATION)
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(unicode_classes(NEGATION))
 
 
 def entities(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, label, value, n): distinct entities found by pattern, of a value under several labels the first label."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(p), F.lit(0)), _labelled(k, label)) for k, (label, p) in enumerate(PATTERNS.items())])
+    found = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(unicode_classes(p)), F.lit(0)), _labelled(k, label)) for k, (label, p) in enumerate(PATTERNS.items())])
     each = docs.select(F.col(id_col).alias("id"), F.explode(found).alias("e")).select("id", "e.k", "e.label", "e.value")
     g = each.groupBy("id", "value").agg(F.min_by("label", "k").alias("label"), F.count(F.lit(1)).alias("n"))
     return g.select("id", "label", "value", "n")
@@ -43,30 +68,28 @@ def _labelled(k: int, label: str):
 
 
 def regex_fields(text: Column) -> Column:
-    """The e-mail addresses and dates of a text."""
-    t = F.coalesce(text, F.lit(""))
-    return F.struct(F.regexp_extract_all(t, F.lit(PATTERNS["EMAIL"]), F.lit(0)).alias("emails"), F.regexp_extract_all(t, F.lit(DATE), F.lit(0)).alias("dates"))
+    """The e-mail addresses and dates of a text as a struct; a field that isn't found is null."""
+    found = lambda p: F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(unicode_classes(p)), F.lit(0))
+    return F.struct(*[F.when(F.size(found(p)) > 0, found(p)).alias(k) for k, p in FIELDS.items()])
 
 
-def extracted(text: Column, persons: Column | None = None) -> Column:
-    """Entities, topics and metadata of a text; persons may come from a model."""
-    found = regex_fields(text)["emails"]
-    every = F.array_distinct(F.concat(persons, found)) if persons is not None else F.array_distinct(found)
+def extracted(text: Column, named: Column | None = None) -> Column:
+    """Entities, topics and metadata of a text; named, an array of names, may come from a model."""
+    found = F.coalesce(regex_fields(text)["email"], F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(named, found)) if named is not None else F.array_distinct(found)
     return F.struct(every.alias("entities"), F.array(F.lit("placeholder")).alias("topics"), F.struct(memory_type(text).alias("memory_type"), is_negated(text).alias("negation")).alias("metadata"))
 
 
 def digit_ratio(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[0-9]")) / F.greatest(F.length(text), F.lit(1))
+    return F.regexp_count(text, F.lit(r"\p{Nd}")) / F.greatest(F.length(text), F.lit(1))
 
 
-def route(text: Column, archetype: list[str], least: float = 0.1) -> Column:
+def route(text: Column, archetype: list[str] = NATURAL, least: float = 0.1) -> Column:
     """TRIVIAL for short texts, digits and logs; STRUCTURED for short texts with an address; NATURAL near the archetype's words; else COMPLEX."""
     t = F.coalesce(text, F.lit(""))
     start = F.substring(t, 1, 50)
-    logs = start.contains(LOG_WORDS[0])
-    for w in LOG_WORDS[1:]:
-        logs = logs | start.contains(w)
-    short = (F.length(t) < 200) & (t.rlike(PATTERNS["EMAIL"]) | t.rlike(PATTERNS["URL"]))
+    logs = contains_any(start, LOG_WORDS)
+    short = (F.length(t) < 200) & (t.rlike(unicode_classes(PATTERNS["EMAIL"])) | t.rlike(unicode_classes(PATTERNS["URL"])))
     return F.when((F.length(t) < 40) | (digit_ratio(t) > 0.4) | logs, "TRIVIAL").when(short, "STRUCTURED").when(unigram_cosine(t, archetype) > least, "NATURAL").otherwise("COMPLEX")
 
 
@@ -84,32 +107,33 @@ def unigram_cosine(text: Column, archetype: list[str]) -> Column:
 
 
 def ngram_profile(docs: DataFrame, n: int = 1, text_col: str = "text", id_col: str = "id") -> DataFrame:
-    """(id, gram, n): counts of word n-grams."""
-    w = F.array_remove(F.split(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    """(id, gram, n): counts of lower-cased word n-grams."""
+    w = F.array_remove(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
     split = docs.select(F.col(id_col).alias("id"), w.alias("_w")).where(F.size("_w") >= n)
     gram = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
     return split.select("id", F.explode(gram).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def preference(text: Column) -> Column:
-    """What follows the first verb of liking in a text, trimmed, if it is shorter than 50 characters; else null."""
+    """What follows the first verb of liking, the verbs tried in order, in a text that says "I like" or the like; null if it is empty or has 50 characters or more."""
     low = F.lower(text)
-    places = [F.when(F.instr(low, v) > 0, F.instr(low, v) + len(v)) for v in PREFERENCE_VERBS]
-    at = F.coalesce(*places)
-    rest = F.rtrim(F.trim(F.substring(text, at, F.length(text))), F.lit(".!"))
-    return F.when((F.length(rest) > 0) & (F.length(rest) < 50), rest)
+    at = F.coalesce(*[F.when(F.instr(low, v) > 0, F.instr(low, v) + len(v)) for v in PREFERENCE_VERBS])
+    rest = F.regexp_replace(F.substring(text, at, F.length(text)), r"(?U)^\s+|\s+$", "")
+    return F.when(contains_any(low, LIKING_PHRASES) & F.length(rest).between(1, 49), F.rtrim(rest, F.lit(".!")))
 
 
 def relation_patterns(docs: DataFrame, named: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, relation, object, confidence): preferences by pattern, and with entities (id, label, value) names, work and places."""
+    """(id, relation, object, confidence): preferences by pattern, and with entities (id, label, value) names, work and places.
+
+    A null text states nothing; an entity counts as often as it is given.
+    """
     pref = docs.select(F.col(id_col).alias("id"), F.lit("PREFERS").alias("relation"), preference(F.col(text_col)).alias("object"), F.lit(0.9).alias("confidence")).where("object is not null")
     if named is None:
         return pref
     low = F.lower(text_col)
-    rules = F.array(
-        F.struct((low.contains("my name is") | low.contains("i am ")).alias("on"), F.lit("PERSON").alias("label"), F.lit("HAS_NAME").alias("relation"), F.lit(0.95).alias("confidence")),
-        F.struct((low.contains("work at") | low.contains("work for")).alias("on"), F.lit("ORG").alias("label"), F.lit("WORKS_AT").alias("relation"), F.lit(0.9).alias("confidence")),
-        F.struct((low.contains("live in") | low.contains("from ")).alias("on"), F.lit("GPE").alias("label"), F.lit("LOCATED_IN").alias("relation"), F.lit(0.85).alias("confidence")),
-    )
+    rules = F.array(*[
+        F.struct(contains_any(low, phrases).alias("on"), F.lit(label).alias("label"), F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"))
+        for relation, phrases, labels, confidence in RELATIONS for label in labels
+    ])
     each = docs.select(F.col(id_col).alias("id"), F.explode(F.filter(rules, lambda r: r["on"])).alias("r")).select("id", "r.label", "r.relation", "r.confidence")
     return pref.unionByName(each.join(named, ["id", "label"]).select("id", "relation", F.col("value").alias("object"), "confidence"))

@@ -72,6 +72,21 @@ def transitive(edges: DataFrame, kind: str = "part_of", loss: float = HOP_LOSS)
     return g.withColumn("is_inferred", F.lit(True)).withColumn("metadata", F.create_map(F.lit("rule"), F.lit("transitivity")))
 
 
+def with_transitive(edges: DataFrame, kind: str = "part_of", loss: float = HOP_LOSS) -> DataFrame:
+    """edges with the inferred ones written after them: an explicit edge keeps that it is explicit, but takes the inferred confidence."""
+    log = edges.select(*KEY, "confidence", F.lit(False).alias("is_inferred"), F.create_map().cast("map<string,string>").alias("metadata"), F.lit(0).alias("ord"))
+    return upserted(log.unionByName(transitive(edges, kind, loss).withColumn("ord", F.lit(1))))
+
+
+def path_confidence(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """paths (start, goal, hops, path joined by >) with confidence, the product over the path's edges, of each the most confident relation."""
+    best = edges.groupBy("source_id", "target_id").agg(F.max("confidence").alias("_c"))
+    nodes = F.split("path", ">")
+    steps = paths.where("hops > 0").select("start", "goal", F.explode(F.transform(F.sequence(F.lit(0), F.col("hops").cast("int") - 1), lambda i: F.struct(F.get(nodes, i).alias("a"), F.get(nodes, i + 1).alias("b")))).alias("s"))
+    product = steps.join(best, (F.col("s.a") == F.col("source_id")) & (F.col("s.b") == F.col("target_id"))).groupBy("start", "goal").agg(F.product("_c").alias("_p"))
+    return paths.join(product, ["start", "goal"], "left").withColumn("confidence", F.coalesce("_p", F.lit(1.0))).drop("_p")
+
+
 def symmetric(edges: DataFrame, kinds: list[str]) -> DataFrame:
     """The reverse of edges whose kind holds both ways, where it isn't there yet."""
     back = edges.where(F.col("relation_type").isin(kinds)).select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relation_type", "confidence")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import frozen
+from . import state
 
 
 def take_snapshots(states: DataFrame) -> DataFrame:
@@ -85,3 +86,18 @@ def transfers(roots: DataFrame, known: DataFrame) -> DataFrame:
     pair = F.array(F.struct(F.col("object_id").alias("object_id"), F.lit("REMOVE").alias("action"), q.alias("num")), F.struct(F.col("transfer_to").alias("object_id"), F.lit("ADD").alias("action"), q.alias("num")))
     each = roots.select("id", "timestamp", F.explode(pair).alias("p")).select("p.object_id", F.lit("inventory").alias("key"), "timestamp", "id", "p.action", "p.num", F.col("p.num").cast("string").alias("raw"))
     return each.join(known.select("object_id").distinct(), "object_id", "left_semi")
+
+
+def transactions(roots: DataFrame, known: DataFrame) -> DataFrame:
+    """Long-form rows of root events (id, timestamp, object_id, action, delta, transfer_to, qty): an UPDATE that names a
+    transfer moves the quantity, any other event applies to its own entity alone, if that is known."""
+    moves = (F.col("action") == "UPDATE") & F.col("transfer_to").isNotNull()
+    moved = transfers(roots.where(moves), known)
+    alone = roots.where(~F.coalesce(moves, F.lit(False))).join(known.select("object_id").distinct(), "object_id", "left_semi")
+    rows = state.long_form(alone.select("id", "timestamp", "object_id", "action", "delta"))
+    return moved.unionByName(rows.select(*moved.columns))
+
+
+def provenance(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """(object_id, chain) of the entities asked for (rows object_id): the ids of their events in time order."""
+    return ancestry(events.join(ids.select("object_id").distinct(), "object_id", "left_semi")).select("object_id", "chain")

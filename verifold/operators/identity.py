@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +53,8 @@ def _matched(threshold: float, most: int | None):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             t = t.rename_columns(["kind", "id", "vec", "bl", "br"])
-            v = np.array(t.column("vec").to_pylist(), np.float64).reshape(t.num_rows, -1)
+            flat = pc.list_flatten(t.column("vec").combine_chunks())
+            v = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
             n = np.linalg.norm(v, axis=1, keepdims=True)
             return t.column("id").to_numpy(), np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
@@ -106,33 +106,39 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.95, top: int = 5,
     same = F.lower("_ln") == F.lower("_rn")
     return both.select(
         "left_id", "right_id", "similarity", F.when(newer, F.col("left_id")).otherwise(F.col("right_id")).alias("source_id"), F.when(newer, F.col("right_id")).otherwise(F.col("left_id")).alias("target_id"),
-        F.concat(F.format_string("Vector similarity %.4f", "_whole"), F.when(same, " + Exact name match").otherwise("")).alias("reason"),
+        F.concat(F.format_string("Vector similarity %.4f", "_whole"), F.when(same, " + Exact name match").otherwise("")).alias("reason"), F.col("_lt").alias("left_at"),
     )
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
-    """Proposals that a sequential scan by entity id emits: an entity that was proposed neither scans nor is hit again.
+    """Proposals that a sequential scan in order of left_at and left_id emits: both entities of a proposal are done with.
 
-    The scan is sequential by nature, so each connected group of pairs is scanned by itself; groups are found from the
-    pairs alone, which are few beside the entities.
+    What is done with neither scans nor is hit again, but an entity that is scanning goes on through its hits, the most
+    similar first. The scan is sequential by nature, so each connected group of pairs is scanned by itself; groups are
+    found from the pairs alone, which are few beside the entities.
     """
     from ..plans.graphs import components
 
     groups = components(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
-    schema = "left_id long, right_id long, similarity double, source_id long, target_id long, reason string"
+    names = ["left_id", "right_id", "similarity", "source_id", "target_id", "reason"]
 
     def scan(f: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        for left, own in f.sort_values(["left_id", "similarity", "right_id"], ascending=[True, False, True]).groupby("left_id", sort=True):
-            if left in gone:
+        done, out = set(), []
+        for (_, left), own in f.sort_values(["left_at", "left_id", "similarity", "right_id"], ascending=[True, True, False, True]).groupby(["left_at", "left_id"], sort=True):
+            if left in done:
                 continue
             for row in own.itertuples(index=False):
-                if row.right_id not in gone:
+                if row.right_id not in done:
                     out.append(row)
-                    gone.add(row.source_id)
-        return pd.DataFrame(out, columns=f.columns)[["left_id", "right_id", "similarity", "source_id", "target_id", "reason"]] if out else f.iloc[:0][["left_id", "right_id", "similarity", "source_id", "target_id", "reason"]]
+                    done |= {row.source_id, row.target_id}
+        return pd.DataFrame(out, columns=f.columns)[names] if out else f.iloc[:0][names]
+
+    return pairs.join(groups.select(F.col("node").alias("left_id"), "root"), "left_id").groupBy("root").applyInPandas(scan, "left_id long, right_id long, similarity double, source_id long, target_id long, reason string")
+
 
-    return pairs.join(groups.select(F.col("node").alias("left_id"), "root"), "left_id").groupBy("root").applyInPandas(scan, schema)
+def entity(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entities among ids (rows id), merged ones included; unknown ids give no row."""
+    return entities.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def band(similarity: Column, merge: float = 0.95, review: float = 0.85) -> Column:
@@ -161,6 +167,11 @@ def canonical(merges: DataFrame, max_rounds: int = 32) -> DataFrame:
     return merges.select("id").join(at, "id", "left").select("id", F.coalesce("to", "id").alias("canonical_id"))
 
 
-def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The shape of a plug-in model for mapInPandas: one frame in, one frame out."""
-    yield from it
+def model_embeddings(rows: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """rows with vec from a plug-in: model takes a pandas Series of texts and returns a list of floats for each, a batch at a time."""
+
+    @F.pandas_udf("array<double>")
+    def embedded(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in model(texts.fillna(""))])
+
+    return rows.withColumn("vec", embedded(F.col(text_col)))

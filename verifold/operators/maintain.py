@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import truth
+from ..sources.shared import frozen
+from . import identity, state
 
 RECENCY_DAYS, LEAST_SCORE = 90.0, 0.3
 
@@ -84,33 +86,71 @@ def runs(marked: DataFrame, least: int = 2) -> DataFrame:
     return g.where(F.col("n") >= least)
 
 
-def summaries(marked: DataFrame, value: str = "d_value", least: int = 2, replay_safe: bool = False) -> DataFrame:
-    """One SYSTEM event per run: numeric values summed, antecedents in order, truth vector of the first event.
+def consolidatable(events: DataFrame, at: Column, days: int = 7, most: float = 0.9) -> DataFrame:
+    """Policy: without events of the last days and without those more important than `most` (a null importance is a half)."""
+    keep = F.col("timestamp") <= at - F.expr(f"INTERVAL {days} DAYS")
+    return events.where(keep & (truth.importance(F.col("importance")) <= most)) if "importance" in events.columns else events.where(keep)
+
+
+def summaries(marked: DataFrame, least: int = 2, replay_safe: bool = False) -> DataFrame:
+    """One SYSTEM event per run of marked events (…, delta as JSON): per key of the delta the sum where all its values are
+    numbers, else the last; antecedents in order, namespace and truth vector of the first event, the time of the last.
 
     replay_safe keeps the last value of actions that replace, instead of the sum, so that a replay of the summary gives
-    what a replay of its sources gave. Values that are no numbers keep the last.
+    what a replay of its sources gave. values is the delta as a map of JSON texts, delta the same as one JSON text.
     """
     order = F.struct("timestamp", "id")
-    vector = [c for c in ("confidence", "authority", "freshness", "corroboration") if c in marked.columns]
-    total = F.when(F.count(F.lit(1)) == F.count(value), F.sum(value)).otherwise(F.max_by(value, order))
-    if replay_safe:
-        total = F.when(F.first("action").isin("UPDATE", "OBSERVE", "INFER"), F.max_by(value, order)).otherwise(total)
-    g = marked.groupBy("object_id", "island").agg(
-        F.count(F.lit(1)).alias("n"), F.first("action").alias("action"), total.alias(value), F.max("timestamp").alias("timestamp"),
+    firsts = [c for c in ("namespace", *truth.PARTS) if c in marked.columns]
+    runs_ = marked.groupBy("object_id", "island").agg(
+        F.count(F.lit(1)).alias("n"), F.first("action").alias("action"), F.max("timestamp").alias("timestamp"),
         F.transform(F.array_sort(F.collect_list(order)), lambda x: x["id"].cast("string")).alias("antecedents"),
-        *[F.min_by(c, order).alias(c) for c in vector],
-    )
-    named = g.where(F.col("n") >= least).withColumn("actor", F.lit("SYSTEM"))
+        *[F.min_by(c, order).alias(c) for c in firsts],
+    ).where(F.col("n") >= least)
+    rows = state.long_form(marked.select("object_id", "island", "timestamp", "id", "action", "delta"))
+    total = F.when(F.count(F.lit(1)) == F.count("num"), F.sum("num"))
+    if replay_safe:
+        total = F.when(F.first("action").isin(*state.REPLACES), F.when(F.count(F.lit(1)) == F.count("num"), F.max_by("num", order))).otherwise(total)
+    keys = rows.groupBy("object_id", "island", "key").agg(F.coalesce(total.cast("string"), F.max_by("raw", order)).alias("v"))
+    values = keys.groupBy("object_id", "island").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "v")))).alias("values"))
+    delta = F.to_json(F.transform_values("values", lambda _, v: F.parse_json(v)))
+    named = runs_.join(values, ["object_id", "island"], "left").withColumn("actor", F.lit("SYSTEM")).withColumn("delta", delta)
     return named.withColumn("summary_id", F.concat(F.lit("summary-"), F.element_at("antecedents", 1)))
 
 
-def consolidate(events: DataFrame, marked: DataFrame, least: int = 2) -> DataFrame:
-    """(id, object_id, consolidated_into) of all events, sources of a run pointing at its summary, and the summaries' own rows."""
-    made = summaries(marked, least=least)
+def consolidate(events: DataFrame, marked: DataFrame, least: int = 2, replay_safe: bool = False) -> DataFrame:
+    """All events, sources of a run pointing at its summary by consolidated_into, and the summaries as events of their own.
+
+    Columns: id (as text), object_id, timestamp, actor, action, delta, antecedents, consolidated_into and, where events
+    have them, namespace and the truth vector.
+    """
+    made = frozen(summaries(marked, least, replay_safe), "summaries")
+    more = [c for c in ("namespace", *truth.PARTS) if c in events.columns]
     into = marked.select("id", "object_id", "island").join(made.select("object_id", "island", "summary_id"), ["object_id", "island"]).select("id", F.col("summary_id").alias("_into"))
-    old = events.select("id", "object_id", "consolidated_into").join(into, "id", "left")
-    old = old.select(F.col("id").cast("string").alias("id"), "object_id", F.coalesce("_into", "consolidated_into").alias("consolidated_into"))
-    return old.unionByName(made.select(F.col("summary_id").alias("id"), "object_id", F.lit(None).cast("string").alias("consolidated_into")))
+    old = events.join(into, "id", "left").select(
+        F.col("id").cast("string").alias("id"), "object_id", "timestamp", "actor", "action", "delta",
+        (F.col("antecedents") if "antecedents" in events.columns else F.array().cast("array<string>")).alias("antecedents"),
+        F.coalesce("_into", "consolidated_into").alias("consolidated_into"), *more,
+    )
+    return old.unionByName(made.select(F.col("summary_id").alias("id"), "object_id", "timestamp", "actor", "action", "delta", "antecedents", F.lit(None).cast("string").alias("consolidated_into"), *more))
+
+
+def consolidated_count(marked: DataFrame, least: int = 2) -> DataFrame:
+    """One row: how many events summaries stand for."""
+    return runs(marked, least).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("consolidated"))
+
+
+def reinforced(states: DataFrame, accesses: DataFrame) -> DataFrame:
+    """states after accesses (id, at): fresh again, accessed last when they were, and counted; the rest as they were."""
+    hits = accesses.groupBy("id").agg(F.max("at").alias("_at"), F.count(F.lit(1)).alias("_n"))
+    joined = states.join(hits, "id", "left")
+    fresh = {"freshness": F.when(F.col("_n").isNotNull(), 1.0).otherwise(F.col("freshness"))} if "freshness" in states.columns else {}
+    return joined.withColumns({**fresh, "last_accessed": F.greatest("last_accessed", "_at"), "access_count": F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))}).drop("_at", "_n")
+
+
+def weekly_merges(entities: DataFrame, kinds: tuple = ("person", "organization", "place"), threshold: float = 0.98, digits: int = 6) -> DataFrame:
+    """Proposals of the greedy scan over entities (id, kind, name, created_at, vec) of some kinds, those above the threshold."""
+    pairs = frozen(identity.duplicate_pairs(entities.where(F.col("kind").isin(*kinds)), threshold, digits=digits), "weekly-pairs")
+    return identity.greedy(pairs).where(F.col("similarity") > threshold)
 
 
 def reduction(run_rows: DataFrame) -> DataFrame:
@@ -118,11 +158,13 @@ def reduction(run_rows: DataFrame) -> DataFrame:
     return run_rows.agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("saved"))
 
 
-def schedule(states: DataFrame, entities: DataFrame, at: Column, task: str = "all") -> dict[str, DataFrame]:
-    """What a maintenance run does, as frames to act on: daily decay, monthly pruning. Identity joins in by operators.identity."""
+def schedule(states: DataFrame, entities: DataFrame, at: Column, task: str = "all", vectors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What a maintenance run does, as frames to act on: daily decay, weekly merges where vectors are given, monthly pruning."""
     out = {}
     if task in ("daily", "all"):
         out["daily"] = decay(states, entities, at)
+    if task in ("weekly", "all") and vectors is not None:
+        out["weekly"] = weekly_merges(vectors)
     if task in ("monthly", "all"):
         out["monthly"] = prunable(states, at)
     return out

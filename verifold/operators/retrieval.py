@@ -36,10 +36,15 @@ def ranked(hits: DataFrame, score: str, top: int, ties: str = "id") -> DataFrame
 
 
 def keyword_recall(memories: DataFrame, queries: DataFrame, top: int = 10, least: float = 0.3, digits: int = 6) -> DataFrame:
-    """(query_id, id, relevance, score, rank): 0.6 truth and 0.4 relevance, at least `least`. memories carry a truth vector."""
+    """(query_id, id, relevance, score, rank, total_found): 0.6 truth and 0.4 relevance, at least `least`. memories carry a truth vector.
+
+    total_found counts a query's hits before the best `top` of them are taken.
+    """
     hits = keyword_relevance(memories, queries).join(memories.select("id", truth.score().alias("_t")), "id")
     scored = hits.withColumn("score", F.round(0.6 * F.col("_t") + 0.4 * F.col("relevance"), digits)).where(F.col("score") >= least)
-    return ranked(scored, "score", top).select("query_id", "id", F.round("relevance", digits).alias("relevance"), "score", "rank")
+    found = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_found"))
+    best = ranked(scored, "score", top).select("query_id", "id", F.round("relevance", digits).alias("relevance"), "score", "rank")
+    return best.join(found, "query_id")
 
 
 def vector_hits(vectors: DataFrame, queries: DataFrame, top: int, digits: int = 6) -> DataFrame:
@@ -56,6 +61,31 @@ def vector_recall(memories: DataFrame, queries: DataFrame, top: int = 10, least:
     return ranked(scored.where(F.col("score") >= least), "score", top).select("query_id", "id", "similarity", "score", "rank")
 
 
+def recall(memories: DataFrame, queries: DataFrame, top: int = 5, least: float = 0.3, digits: int = 6) -> DataFrame:
+    """(query_id, id, score, rank): by vectors where memories and queries have them (vec, kind), else by keywords (text, query)."""
+    if {"vec", "kind"} <= set(memories.columns) and {"vec", "kind"} <= set(queries.columns):
+        found = vector_recall(memories, queries.select(F.col("query_id").alias("id"), "kind", "vec"), top, least, digits)
+    else:
+        found = keyword_recall(memories, queries, top, least, digits)
+    return found.select("query_id", "id", "score", "rank")
+
+
+def faceted(hits: DataFrame, memories: DataFrame, kinds: list[str] | None = None, since: Column | None = None, until: Column | None = None, near: DataFrame | None = None) -> DataFrame:
+    """hits (query_id, id, score, …) that meet all facets asked for: a memory type, a span of time, a place in a graph (rows id); ranked anew."""
+    facts = memories
+    if kinds is not None:
+        facts = facts.where(F.col("memory_type").isin(kinds))
+    if since is not None:
+        facts = facts.where(F.col("timestamp") >= since)
+    if until is not None:
+        facts = facts.where(F.col("timestamp") <= until)
+    kept = hits.drop("rank").join(facts.select("id").distinct(), "id", "left_semi")
+    if near is not None:
+        kept = kept.join(near.select("id").distinct(), "id", "left_semi")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return kept.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
 def recency(at: Column, last: Column) -> Column:
     """0.99 for each whole day since; a half where nothing is known."""
     return F.when(last.isNull(), F.lit(0.5)).otherwise(F.pow(F.lit(0.99), F.floor(truth.days_between(at, last)).cast("double")))

@@ -81,10 +81,21 @@ def as_of(rows: DataFrame, at: Column) -> DataFrame:
 
 
 def compare(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """Keys whose stored state differs from the replayed one, or that only one side has."""
-    e = expected.select("object_id", "key", F.col("num").alias("expected"))
-    a = actual.select("object_id", "key", F.col("num").alias("actual"))
-    both = e.join(a, ["object_id", "key"], "full")
+    """Keys whose stored state differs from the replayed one, or that only one side has: (object_id, key, expected, actual, expected_raw, actual_raw).
+
+    Numbers may differ by the tolerance; any other values are compared by their JSON text, nulls alike.
+    """
+    side = lambda df, name: df.select("object_id", "key", F.col("num").alias(name), F.when(F.col("num").isNull(), F.col("raw")).alias(name + "_raw"), F.lit(True).alias("_" + name))
+    both = side(expected, "expected").join(side(actual, "actual"), ["object_id", "key"], "full")
+    e, a = F.col("expected"), F.col("actual")
+    same = F.when(e.isNotNull() & a.isNotNull(), F.abs(e - a) <= tolerance).otherwise(e.isNull() & a.isNull() & F.col("expected_raw").eqNullSafe(F.col("actual_raw")))
+    return both.where(F.col("_expected").isNull() | F.col("_actual").isNull() | ~same).drop("_expected", "_actual")
+
+
+def compare_vectors(expected: DataFrame, actual: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """(object_id, part, expected, actual): parts of the truth vectors of heads() that differ by more than the tolerance, or that one side lacks."""
+    side = lambda df, name: df.select("object_id", F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("v")) for c in VECTOR])).alias("p")).select("object_id", "p.part", F.col("p.v").alias(name))
+    both = side(expected, "expected").join(side(actual, "actual"), ["object_id", "part"], "full")
     return both.where(F.col("expected").isNull() | F.col("actual").isNull() | (F.abs(F.col("expected") - F.col("actual")) > tolerance))
 
 

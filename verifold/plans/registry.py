@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import truth
-from ..operators import conflict, graph, history, identity, maintain, retrieval, state
+from ..operators import conflict, graph, history, identity, maintain, memory, retrieval, state
 from ..sources import lens
 from ..sources.lens import as_of, events, table
 from ..sources.shared import frozen
@@ -17,8 +17,6 @@ from ..streaming import ingest
 
 DIGITS = 6
 MIDDLE = "2024-01-15 00:00:00"
-QUERIES = [(1, "the of and to"), (2, "le la des un"), (3, "der die und ein"), (4, "thing erst anre")]
-ARCHETYPE = ["the", "and", "of", "to", "a", "in", "is", "that"]
 
 
 def r(c, digits: int = DIGITS):
@@ -66,10 +64,22 @@ def state_as_of(s: SparkSession, d: str) -> DataFrame:
     return state.fold(rows).select("object_id", r(F.col("num"), 4).alias("value"))
 
 
+def typed_rows(s: SparkSession, d: str) -> DataFrame:
+    """Two keys per event: its value, a number, and its memory type, a text."""
+    ev = events(s, d)
+    kind = ev.select("object_id", F.lit("type").alias("key"), "timestamp", "id", "action", F.lit(None).cast("double").alias("num"), F.concat(F.lit('"'), "memory_type", F.lit('"')).alias("raw"))
+    return lens.value_rows(ev).unionByName(kind)
+
+
 def replay_verify(s: SparkSession, d: str) -> DataFrame:
-    rows = lens.value_rows(events(s, d))
+    rows = typed_rows(s, d)
     stored = state.fold(state.as_of(rows, F.lit("2024-01-30 12:00:00").cast("timestamp")))
-    return state.compare(stored, state.fold(rows)).select("object_id", "key", r(F.col("expected"), 4).alias("expected"), r(F.col("actual"), 4).alias("actual"))
+    return state.compare(stored, state.fold(rows)).select("object_id", "key", r(F.col("expected"), 4).alias("expected"), r(F.col("actual"), 4).alias("actual"), "expected_raw", "actual_raw")
+
+
+def replay_verify_vectors(s: SparkSession, d: str) -> DataFrame:
+    ev = events(s, d)
+    return state.compare_vectors(state.heads(state.as_of(ev, F.lit("2024-01-30 12:00:00").cast("timestamp"))), state.heads(ev))
 
 
 def late_event_repair(s: SparkSession, d: str) -> DataFrame:
@@ -135,6 +145,35 @@ def causal_ancestry(s: SparkSession, d: str) -> DataFrame:
     return history.causes(linked).groupBy("id").agg(F.count(F.lit(1)).alias("n_causes"), F.max("depth").cast("bigint").alias("depth"))
 
 
+def entity_provenance(s: SparkSession, d: str) -> DataFrame:
+    ids = table(s, d, "events").where("event_type = 'signup'").select(F.col("user_id").alias("object_id"))
+    return history.provenance(events(s, d), ids)
+
+
+def transaction_mixed(s: SparkSession, d: str) -> DataFrame:
+    """Updates of an even number move their value to the next user, any other event is its own user's alone; users above 100 aren't known."""
+    ev = events(s, d)
+    moves = (F.col("action") == "UPDATE") & (F.col("id") % 2 == 0)
+    roots = ev.select("id", "timestamp", "object_id", "action", F.to_json(F.struct(F.col("d_value").alias("inventory"))).alias("delta"), F.when(moves, F.col("object_id") + 1).alias("transfer_to"), F.col("d_value").alias("qty"))
+    known = ev.select("object_id").where("object_id <= 100").distinct()
+    return state.fold(history.transactions(roots, known)).select("object_id", r(F.col("num"), 4).alias("value"))
+
+
+def events_created(s: SparkSession, d: str) -> DataFrame:
+    """Every event made anew: fresh vectors, importances and faded copies."""
+    made = truth.create_events(events(s, d).select("actor", "action", "object_id", "delta", "confidence"), as_of())
+    faded = truth.faded(made, 0.25).withColumn("importance", truth.importance(F.when(F.col("confidence") > 0.6, F.col("confidence"))))
+    g = faded.groupBy("object_id", "action").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.max("authority").alias("authority"), F.max("freshness").alias("freshness"), F.min("importance").alias("importance"))
+    return g
+
+
+def state_upsert(s: SparkSession, d: str) -> DataFrame:
+    """The states of the first half of the month, replaced by newer ones where there are any."""
+    ev = events(s, d)
+    heads = lambda e: state.heads(e).select("object_id", "last_event_id", "updated_at")
+    return state.upsert(heads(state.as_of(ev, F.lit(MIDDLE).cast("timestamp"))), heads(ev.where("object_id % 2 = 0"))).select("object_id", "last_event_id")
+
+
 def decay_update(s: SparkSession, d: str) -> DataFrame:
     ev = events(s, d)
     kinds = ev.groupBy("object_id").agg(F.max_by("memory_type", F.struct("timestamp", "id")).alias("memory_type")).select(F.col("object_id").alias("id"), "memory_type")
@@ -142,24 +181,54 @@ def decay_update(s: SparkSession, d: str) -> DataFrame:
     return maintain.decay(states, kinds, as_of()).select("id", "memory_type", "old_freshness", "new_freshness", "stale")
 
 
-def pruning_candidates(s: SparkSession, d: str) -> DataFrame:
-    at = order_as_of(s, d)
-    found = lens.customer_states(s, d).join(F.broadcast(at)).withColumn("prune_score", r(maintain.pruning_score(F.col("_at"), F.col("last_accessed"), F.col("authority"), F.col("access_count"))))
-    return found.where(F.col("prune_score") < maintain.LEAST_SCORE).select("id", "prune_score")
+def order_as_of(s: SparkSession, d: str):
+    """The day after the latest order, as a literal: one scan of a column, one row to the driver."""
+    return F.lit(str(table(s, d, "orders").agg((F.max("o_orderdate") + F.expr("INTERVAL 1 DAY")).cast("string").alias("_at")).first()[0])).cast("timestamp_ntz")
 
 
-def order_as_of(s: SparkSession, d: str) -> DataFrame:
-    """One row: the day after the latest order."""
-    return table(s, d, "orders").agg((F.max("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("_at"))
+def pruning_candidates(s: SparkSession, d: str) -> DataFrame:
+    found = maintain.prunable(lens.customer_states(s, d), order_as_of(s, d))
+    return found.select("id", r(F.col("prune_score")).alias("prune_score"))
 
 
 def prune_apply(s: SparkSession, d: str) -> DataFrame:
-    done = maintain.prune(lens.customer_states(s, d), pruning_candidates(s, d).select("id"))
+    states = frozen(lens.customer_states(s, d), "customer-states")
+    done = maintain.prune(states, maintain.prunable(states, order_as_of(s, d)).select("id"))
     return done.select("id", "status")
 
 
+def prune_policy(s: SparkSession, d: str) -> DataFrame:
+    found = maintain.prunable(lens.customer_states(s, d), order_as_of(s, d), 0.5, keep_important=True)
+    return found.select("id", r(F.col("prune_score")).alias("prune_score"))
+
+
+def prune_recover(s: SparkSession, d: str) -> DataFrame:
+    """Pruned states of even number are recovered."""
+    states, at = frozen(lens.customer_states(s, d), "customer-states"), order_as_of(s, d)
+    gone = maintain.prunable(states, at).select("id")
+    done = maintain.recover(maintain.prune(states, gone), gone.where("id % 2 = 0"), at)
+    return done.select("id", "status", F.col("last_accessed").cast("timestamp_ntz").alias("last_accessed"))
+
+
+def prune_untrue(s: SparkSession, d: str) -> DataFrame:
+    return maintain.drop_untrue(state.heads(events(s, d)), 3.5).select("object_id", "last_event_id")
+
+
+def access_reinforced(s: SparkSession, d: str) -> DataFrame:
+    """Orders of the last priority are accesses to their customers."""
+    hits = table(s, d, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("id"), (F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")).alias("at"))
+    states = lens.customer_states(s, d).withColumn("freshness", F.lit(0.25))
+    return maintain.reinforced(states, hits).select("id", "freshness", F.col("last_accessed").cast("timestamp_ntz").alias("last_accessed"), F.col("access_count").cast("bigint").alias("access_count"))
+
+
+def weekly_merges(s: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("kind") == 0, "person").when(F.col("kind") == 1, "organization").when(F.col("kind") == 2, "place").otherwise("other")
+    found = maintain.weekly_merges(lens.vectors(s, d).withColumn("kind", kind), threshold=0.35, digits=5)
+    return found.select("source_id", "target_id", "similarity")
+
+
 def marked(s: SparkSession, d: str) -> DataFrame:
-    ev = events(s, d).withColumn("keys", F.lit("value,k")).withColumn("consolidated_into", F.lit(None).cast("string"))
+    ev = events(s, d).withColumn("keys", F.array_sort(F.json_object_keys("delta"))).withColumn("consolidated_into", F.lit(None).cast("string"))
     return maintain.islands(ev, F.lit(lens.AS_OF).cast("timestamp"))
 
 
@@ -167,19 +236,44 @@ def consolidation_runs(s: SparkSession, d: str) -> DataFrame:
     return maintain.runs(marked(s, d)).select("object_id", "actor", "action", "n", "first_id", "last_id")
 
 
+def in_delta(key: str, digits: int = 4):
+    return r(F.element_at("values", key).cast("double"), digits)
+
+
 def consolidation_summary(s: SparkSession, d: str) -> DataFrame:
     made = maintain.summaries(marked(s, d))
-    return made.select("object_id", "summary_id", "actor", "action", "n", r(F.col("d_value"), 4).alias("value"), F.array_join("antecedents", ",").alias("antecedents"), "confidence")
+    return made.select("object_id", "summary_id", "actor", "action", "n", in_delta("value").alias("value"), in_delta("k").alias("k"), F.array_join("antecedents", ",").alias("antecedents"), "confidence")
 
 
 def consolidation_replay_safe(s: SparkSession, d: str) -> DataFrame:
     made = maintain.summaries(marked(s, d), replay_safe=True)
-    return made.select("summary_id", "action", "n", r(F.col("d_value"), 4).alias("value"))
+    return made.select("summary_id", "action", "n", in_delta("value").alias("value"), in_delta("k").alias("k"))
 
 
 def consolidation_apply(s: SparkSession, d: str) -> DataFrame:
+    """The log after consolidation, its deltas read back from their JSON."""
     ev = events(s, d).withColumn("consolidated_into", F.lit(None).cast("string"))
-    return maintain.consolidate(ev, marked(s, d))
+    done = maintain.consolidate(ev, marked(s, d))
+    read = lambda k: r(F.get_json_object("delta", f"$.{k}").cast("double"), 4).alias(k)
+    return done.select("id", "object_id", "actor", "action", read("value"), read("k"), F.size("antecedents").cast("bigint").alias("antecedents"), "consolidated_into")
+
+
+def consolidation_replay(s: SparkSession, d: str) -> DataFrame:
+    """States from the consolidated log alone, sources left out: what a replay of the whole log gives."""
+    ev = events(s, d).withColumn("consolidated_into", F.lit(None).cast("string"))
+    done = maintain.consolidate(ev, marked(s, d), replay_safe=True)
+    rows = state.long_form(state.active(done).select("object_id", "timestamp", "id", "action", "delta"))
+    return state.fold(rows).select("object_id", "key", r(F.col("num"), 4).alias("value"))
+
+
+def consolidation_count(s: SparkSession, d: str) -> DataFrame:
+    return maintain.consolidated_count(marked(s, d))
+
+
+def consolidation_policy(s: SparkSession, d: str) -> DataFrame:
+    """Events older than a week, of a confidence of at most 0.9."""
+    kept = maintain.consolidatable(events(s, d).withColumn("importance", F.col("confidence")), F.lit(lens.AS_OF).cast("timestamp"))
+    return kept.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("newest_id"))
 
 
 def consolidation_saving(s: SparkSession, d: str) -> DataFrame:
@@ -190,12 +284,16 @@ def entity_active(s: SparkSession, d: str) -> DataFrame:
     return identity.active(lens.customers(s, d), "BUILDING").select("id", "entity_type", "name")
 
 
+def similar_pairs(s: SparkSession, d: str) -> DataFrame:
+    return identity.duplicate_pairs(lens.vectors(s, d), 0.35, digits=5)
+
+
 def duplicate_pairs(s: SparkSession, d: str) -> DataFrame:
-    return identity.duplicate_pairs(lens.vectors(s, d), 0.35, digits=5).select("left_id", "right_id", "similarity", "source_id", "target_id", "reason")
+    return similar_pairs(s, d).select("left_id", "right_id", "similarity", "source_id", "target_id", "reason")
 
 
 def duplicate_greedy(s: SparkSession, d: str) -> DataFrame:
-    return identity.greedy(frozen(duplicate_pairs(s, d), "pairs")).withColumn("band", identity.band(F.col("similarity")))
+    return identity.greedy(frozen(similar_pairs(s, d), "pairs")).withColumn("band", identity.band(F.col("similarity")))
 
 
 def merge_apply(s: SparkSession, d: str) -> DataFrame:
@@ -204,6 +302,17 @@ def merge_apply(s: SparkSession, d: str) -> DataFrame:
     return identity.canonical(done).join(done, "id").select("id", "merged_into", "canonical_id")
 
 
+def entity_lookup(s: SparkSession, d: str) -> DataFrame:
+    ids = table(s, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("id"))
+    return identity.entity(lens.customers(s, d), ids).select("id", "entity_type", "name")
+
+
+def entity_created(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("entity_type"), F.concat(F.lit('{"nation": '), "c_nationkey", F.lit("}")).alias("attributes"))
+    made = identity.create_entities(rows, as_of(), 32)
+    return made.select("name", "namespace", F.size("embedding").cast("bigint").alias("dimensions"), r(F.get("embedding", F.lit(0))).alias("first"), r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
 def bool_flip(s: SparkSession, d: str) -> DataFrame:
     """Whether an event's value is above 100 is the boolean that may flip."""
     rows = events(s, d).select("object_id", F.lit("high").alias("key"), "timestamp", "id", "action", (F.col("d_value") > 100).cast("string").alias("raw"))
@@ -215,6 +324,17 @@ def text_contradiction(s: SparkSession, d: str) -> DataFrame:
     return conflict.textual(c)
 
 
+def statement_contradiction(s: SparkSession, d: str) -> DataFrame:
+    """Users who say that they hate what they liked before."""
+    return conflict.textual(lens.statements(s, d))
+
+
+def topic_drift(s: SparkSession, d: str) -> DataFrame:
+    """Statements of a domain that speak of what it forbids."""
+    rows = lens.statements(s, d).withColumn("domain", F.when(F.col("namespace") % 2 == 0, "weather").otherwise("work"))
+    return rows.select("id", "domain", conflict.drifted(F.col("text"), F.col("domain"), {"weather": ["firm", "tea"], "work": ["rain"]}).alias("drifted"))
+
+
 def claims(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).withColumn("key", F.lit("value"))
 
@@ -279,6 +399,24 @@ def transitive_part_of(s: SparkSession, d: str) -> DataFrame:
     return graph.transitive(lens.relations(s, d)).select("source_id", "target_id", r(F.col("confidence")).alias("confidence"), "is_inferred")
 
 
+def transitive_upsert(s: SparkSession, d: str) -> DataFrame:
+    """Inferred edges written after the explicit ones, among them some that are there already."""
+    e = lens.relations(s, d)
+    some = table(s, d, "supplier").where("s_suppkey % 3 = 0").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    direct = some.select(F.concat(F.lit("S"), "s_suppkey").alias("source_id"), F.concat(F.lit("R"), "n_regionkey").alias("target_id"), F.lit("part_of").alias("relation_type"), F.lit(0.5).alias("confidence"))
+    up = graph.with_transitive(e.unionByName(direct))
+    return up.where("relation_type = 'part_of'").select("source_id", "target_id", r(F.col("confidence")).alias("confidence"), "is_inferred", "writes", F.element_at("metadata", "rule").alias("rule"))
+
+
+def path_confidence(s: SparkSession, d: str) -> DataFrame:
+    return graph.path_confidence(lens.relations(s, d), shortest_path(s, d)).select("start", "goal", "hops", r(F.col("confidence")).alias("confidence"))
+
+
+def relations_deleted(s: SparkSession, d: str) -> DataFrame:
+    e = lens.relations(s, d)
+    return graph.without(e, e.where("target_id IN ('N1', 'N2', 'R0')")).select("source_id", "target_id", "relation_type")
+
+
 def inverse_relations(s: SparkSession, d: str) -> DataFrame:
     e = lens.relations(s, d)
     both = graph.inverse(e, {"part_of": "contains", "located_in": "location_of"})
@@ -290,12 +428,13 @@ def single_location_conflicts(s: SparkSession, d: str) -> DataFrame:
     return graph.single_valued(e, "orders").select("source_id", "n_targets", "kept")
 
 
-def asked(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(QUERIES, "query_id long, query string")
+def asked(s: SparkSession, d: str) -> DataFrame:
+    """The texts whose id is divisible by 20 are the queries."""
+    return table(s, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def keyword_recall(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.keyword_recall(lens.memories(s, d), asked(s))
+    return retrieval.keyword_recall(lens.memories(s, d), asked(s, d))
 
 
 def vector_recall(s: SparkSession, d: str) -> DataFrame:
@@ -305,17 +444,57 @@ def vector_recall(s: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_recall(s: SparkSession, d: str) -> DataFrame:
-    """Vectors and documents of one number are one memory; query q is vector 20 * q and text q."""
-    v, m = lens.vectors(s, d), lens.memories(s, d)
-    q = asked(s)
-    ids = q.select((F.col("query_id") * 20).alias("id"))
-    near = retrieval.vector_hits(v.select("id", F.lit(0).alias("kind"), "vec"), v.join(F.broadcast(ids), "id", "left_semi").select("id", F.lit(0).alias("kind"), "vec"), 40, 5).withColumn("query_id", (F.col("query_id") / 20).cast("bigint"))
-    words = retrieval.ranked(retrieval.keyword_relevance(m, q).withColumn("relevance", r(F.col("relevance"))), "relevance", 20)
-    edges = v.select("id", (F.col("kind") / 4.0).alias("weight"))
+    """Vectors and documents of one number are one memory; those whose number is divisible by 20 ask."""
+    v, m = lens.vectors(s, d).withColumn("kind_", F.col("kind")).withColumn("kind", F.lit(0)), lens.memories(s, d)
+    near = retrieval.vector_hits(v.select("id", "kind", "vec"), v.where("id % 20 = 0").select("id", "kind", "vec"), 40, 5)
+    words = retrieval.ranked(retrieval.keyword_relevance(m, asked(s, d)).withColumn("relevance", r(F.col("relevance"))), "relevance", 20)
+    edges = v.select("id", (F.col("kind_") / 4.0).alias("weight"))
     facts = m.select("id", F.when(F.col("namespace") == "en", F.col("confidence")).alias("importance"), F.when(F.col("namespace") != "fr", F.timestamp_seconds(F.lit(1700000000) + F.col("id") * 3600)).alias("last_accessed"))
     return retrieval.hybrid_recall(near, words, edges, facts, as_of(), digits=8)
 
 
+def told(s: SparkSession, d: str) -> DataFrame:
+    """Statements as they are told to a memory; those of one user and kind are about one thing."""
+    st = lens.statements(s, d)
+    return st.select("ord", "timestamp", F.concat_ws("-", F.col("namespace").cast("string"), F.col("kind").cast("string")).alias("entity_id"), F.col("text").alias("content"), "source", (F.lit(0.5) + (F.col("id") % 50) / 100.0).cast("double").alias("confidence"), F.lit(0.5).alias("authority"), F.lit("fact").alias("memory_type"))
+
+
+def remember_events(s: SparkSession, d: str) -> DataFrame:
+    """Entities of the first kinds were seen before."""
+    seen = lens.statements(s, d).where("kind < 2").select(F.concat_ws("-", F.col("namespace").cast("string"), F.col("kind").cast("string")).alias("entity_id"))
+    made = memory.remembered(told(s, d), seen)
+    return made.select(F.col("ord").alias("event"), "object_id", "actor", "action", "authority", F.get_json_object("delta", "$.content").alias("content"))
+
+
+def remember_states(s: SparkSession, d: str) -> DataFrame:
+    made = memory.states(memory.remembered(told(s, d)))
+    return made.select("object_id", "content", "version", "confidence", "authority", r(truth.score()).alias("score"))
+
+
+def remember_relations(s: SparkSession, d: str) -> DataFrame:
+    ev = memory.remembered(told(s, d))
+    named = lens.statement_names(lens.statements(s, d)).withColumnRenamed("id", "ord").join(ev.select("id", "ord"), "ord").select("id", "label", "value")
+    return memory.derived(ev, named).groupBy("kind", "relation", "content").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"))
+
+
+def recall_faceted(s: SparkSession, d: str) -> DataFrame:
+    """Vector hits of two labels, of the numbers from 100 on, that a graph links to the first supplier's nation."""
+    v = lens.vectors(s, d)
+    asks = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.lit(0).alias("kind"), "vec")
+    hits = retrieval.recall(v.withColumn("kind", F.lit(0)), asks, 40, 0.0, 5)
+    memories = v.select("id", F.concat(F.lit("label "), F.col("kind").cast("string")).alias("memory_type"), F.timestamp_seconds(F.col("id")).alias("timestamp"))
+    near = table(s, d, "supplier").where("s_nationkey < 13").select(F.col("s_suppkey").alias("id")).unionByName(s.range(100, 400).select("id"))
+    kept = retrieval.faceted(hits, memories, ["label 1", "label 2"], F.timestamp_seconds(F.lit(40)), F.timestamp_seconds(F.lit(350)), near)
+    return kept.select("query_id", "id", "score", "rank")
+
+
+def recall_forgotten(s: SparkSession, d: str) -> DataFrame:
+    """Health of the memory after every third entity was forgotten."""
+    heads = state.heads(events(s, d)).withColumnRenamed("object_id", "id")
+    left = retrieval.forget(heads, heads.where("id % 3 = 0").select("id"))
+    return left.select("id", "freshness", r(truth.score()).alias("score"))
+
+
 def context_window(s: SparkSession, d: str) -> DataFrame:
     """A conversation's turns as ranked hits."""
     c = table(s, d, "conversations")
@@ -332,20 +511,31 @@ def memory_health(s: SparkSession, d: str) -> DataFrame:
     return retrieval.health(aged).select("total", r(F.col("average_score")).alias("average_score"), "low_truth", "stale", r(F.col("health")).alias("health"))
 
 
-def classify_text(s: SparkSession, d: str) -> DataFrame:
+def every_text(s: SparkSession, d: str) -> DataFrame:
+    """(kind, id, text) of conversations, documents and statements."""
     c = table(s, d, "conversations").select(F.lit("conversation").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    both = c.unionByName(table(s, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"))
-    return both.select("kind", "id", tx.memory_type(F.col("text")).alias("memory_type"), tx.is_negated(F.col("text")).alias("negated"))
+    docs = table(s, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    return c.unionByName(docs).unionByName(lens.statements(s, d).select(F.lit("statement").alias("kind"), "id", "text"))
+
+
+def classify_text(s: SparkSession, d: str) -> DataFrame:
+    return every_text(s, d).select("kind", "id", tx.memory_type(F.col("text")).alias("memory_type"), tx.is_negated(F.col("text")).alias("negated"))
+
+
+def extract_fields(s: SparkSession, d: str) -> DataFrame:
+    rows = every_text(s, d).select("kind", "id", tx.regex_fields(F.col("text")).alias("f"), tx.extracted(F.col("text")).alias("e"))
+    return rows.where("f.email is not null or f.date is not null").select("kind", "id", F.array_join("f.email", ",").alias("emails"), F.array_join("f.date", ",").alias("dates"), F.array_join("e.entities", ",").alias("entities"))
 
 
 def regex_entities(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
     pages = table(s, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.concat("url", F.lit(" "), "html").alias("text"))
-    return tx.entities(docs.unionByName(pages))
+    said = lens.statements(s, d).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), "text")
+    return tx.entities(docs.unionByName(pages).unionByName(said))
 
 
 def route_text(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", tx.route(F.col("text"), ARCHETYPE).alias("route"), r(tx.digit_ratio(F.col("text"))).alias("digit_ratio"))
+    return every_text(s, d).select("kind", "id", tx.route(F.col("text")).alias("route"), r(tx.digit_ratio(F.col("text"))).alias("digit_ratio"))
 
 
 def ngram_profile(s: SparkSession, d: str) -> DataFrame:
@@ -354,13 +544,14 @@ def ngram_profile(s: SparkSession, d: str) -> DataFrame:
 
 
 def relation_patterns(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("I like "), F.substring_index("text", " ", 4), F.lit(".")).alias("text"))
-    return tx.relation_patterns(c)
+    st = lens.statements(s, d)
+    names = lens.statement_names(st).select(F.concat(F.lit("statement"), F.col("id").cast("string")).alias("id"), "label", "value")
+    return tx.relation_patterns(every_text(s, d).select(F.concat("kind", F.col("id").cast("string")).alias("id"), "text"), names)
 
 
 def hash_embedding(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "documents").select("doc_id", identity.hash_embedding(F.col("text"), 64).alias("_v"))
-    return v.select("doc_id", F.size("_v").cast("bigint").alias("dimensions"), r(F.get("_v", F.lit(0))).alias("first"), r(F.get("_v", F.lit(63))).alias("last"), r(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    v = table(s, d, "documents").select("doc_id", identity.hash_embedding(F.col("text")).alias("_v"))
+    return v.select("doc_id", F.size("_v").cast("bigint").alias("dimensions"), F.array_join(F.transform(F.slice("_v", 1, 16), lambda x: ((x + 1) * 128).cast("int").cast("string")), ",").alias("bytes"), r(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 def ingest_validate(s: SparkSession, d: str) -> DataFrame:
@@ -379,8 +570,17 @@ def stream_state_fold(s: SparkSession, d: str) -> DataFrame:
     source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/in")
     query = ingest.fold_batches(source, f"{home}/states", f"{home}/log", f"{home}/checkpoint")
     query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress)
-    return s.read.parquet(f"{home}/states/v{last}").select("object_id", r(F.col("num"), 4).alias("value"))
+    return ingest.current_states(s, f"{home}/states").select("object_id", r(F.col("num"), 4).alias("value"))
+
+
+def event_messages(s: SparkSession, d: str) -> DataFrame:
+    """Events as messages, written and read back."""
+    from ..sources.shared import shared_path
+
+    path = shared_path(s, "messages")
+    ingest.messages(events(s, d).select("id", "object_id", "action", "d_value")).write.json(path)
+    back = s.read.schema("key string, value string").json(path)
+    return back.select("key", F.get_json_object("value", "$.id").cast("bigint").alias("id"), F.get_json_object("value", "$.action").alias("action"), r(F.get_json_object("value", "$.d_value").cast("double"), 4).alias("value"))
 
 
 def trace_round_trip(s: SparkSession, d: str) -> DataFrame:
@@ -407,5 +607,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         conflict_precedence, integrity_violations, burst_windows, relation_upsert, neighbors_both, shortest_path, common_neighbors, transitive_part_of,
         inverse_relations, single_location_conflicts, keyword_recall, vector_recall, hybrid_recall, context_window, memory_health, classify_text, regex_entities,
         route_text, ngram_profile, relation_patterns, hash_embedding, ingest_validate, stream_state_fold, trace_round_trip,
+        replay_verify_vectors, entity_provenance, transaction_mixed, events_created, state_upsert, prune_policy, prune_recover, prune_untrue, access_reinforced,
+        weekly_merges, consolidation_replay, consolidation_count, consolidation_policy, entity_lookup, entity_created, statement_contradiction, topic_drift,
+        transitive_upsert, path_confidence, relations_deleted, remember_events, remember_states, remember_relations, recall_faceted, recall_forgotten, extract_fields, event_messages,
     ]
     return {f.__name__: f for f in found}

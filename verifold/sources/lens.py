@@ -77,3 +77,44 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), "text", F.col("lang").alias("namespace"),
         (F.lit(0.5) + (F.col("doc_id") % 50) / 100.0).cast("double").alias("confidence"), F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.5).alias("authority"), F.lit(1.0).alias("freshness"), F.lit(0.0).alias("corroboration"),
     )
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sentence per event, of twelve kinds by number: (id, namespace, ord, timestamp, user, kind, text)."""
+    k, day = F.get_json_object("props", "$.k"), F.date_format("ts", "yyyy-MM-dd")
+    kind = F.col("event_id") % 12
+    said = [
+        F.concat(F.lit("I am from Town"), k, F.lit(" and I like tea "), k, F.lit(".")),
+        F.concat(F.lit("My favorite colour is shade "), k, F.lit("!")),
+        F.concat(F.lit("I hate rain on day "), k),
+        F.concat(F.lit("I always walk, call me P"), k),
+        F.concat(F.lit("He stopped work at Firm"), k),
+        F.concat(F.lit("I'm employed at Firm"), k, F.lit(", based in Town"), k),
+        F.concat(F.lit("I usually enjoy nothing unlike part "), k),
+        F.concat(F.lit("I prefer number "), k, F.lit(" of the very long list of things that nobody in this town has ever heard of.")),
+        F.concat(F.lit("I live in Town"), k, F.lit(". They aren't here.")),
+        F.concat(F.lit("Mail a"), k, F.lit("@x-"), k, F.lit(".org or see https://x"), k, F.lit(".org/a?b=1 from 10.0."), k, F.lit(".7 on "), day),
+        F.lit("I LOVE   quiet days!! "),
+        F.concat(F.lit("Schedule a meeting today, I like rain on day "), k),
+    ]
+    text = F.lit(None).cast("string")
+    for i, c in enumerate(said):
+        text = F.when(kind == i, c).otherwise(text)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("namespace"), F.col("event_id").alias("ord"), F.col("ts").alias("timestamp"),
+        F.when(F.col("event_id") % 5 == 0, "agent").otherwise("user").alias("source"), kind.alias("kind"), k.alias("k"), text.alias("text"),
+    )
+
+
+def statement_names(rows: DataFrame) -> DataFrame:
+    """(id, label, value) of the names in statements(), as a model would find them."""
+    name = lambda prefix: F.concat(F.lit(prefix), F.col("k"))
+    found = F.array(
+        F.when(F.col("kind") == 0, F.struct(F.lit("GPE").alias("label"), name("Town").alias("value"))),
+        F.when(F.col("kind") == 3, F.struct(F.lit("PERSON").alias("label"), name("P").alias("value"))),
+        F.when(F.col("kind") == 4, F.struct(F.lit("ORG").alias("label"), name("Firm").alias("value"))),
+        F.when(F.col("kind") == 5, F.struct(F.lit("ORGANIZATION").alias("label"), name("Firm").alias("value"))),
+        F.when(F.col("kind") == 5, F.struct(F.lit("LOCATION").alias("label"), name("Town").alias("value"))),
+        F.when(F.col("kind") == 8, F.struct(F.lit("LOC").alias("label"), name("Town").alias("value"))),
+    )
+    return rows.select("id", F.explode(F.array_compact(found)).alias("e")).select("id", "e.label", "e.value")

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a folder of our own only where that is unset."""
+    """A new path below spark.checkpoint.dir. Where that is unset: below the warehouse, which a cluster shares; on one machine a folder of our own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="verifold-")
+        local = spark.sparkContext.master.startswith("local")
+        base = tempfile.mkdtemp(prefix="verifold-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/verifold/{name}-{uuid.uuid4().hex}"
 

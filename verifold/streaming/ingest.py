@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -61,21 +60,14 @@ class Fold(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "us long, id long, action string, num double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        late = []
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
         for f in rows:
             for r in f.itertuples(index=False):
-                us = int(pd.Timestamp(r.timestamp).value // 1000)
-                if us < mark:
-                    late.append((key[0], us, int(r.id)))
-                else:
-                    self.waiting.appendValue((us, int(r.id), r.action, float(r.num)))
+                self.waiting.appendValue((int(pd.Timestamp(r.timestamp).value // 1000), int(r.id), r.action, float(r.num)))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        ends = [w[0] for w in self.waiting.get()] if self.waiting.exists() else []
-        if ends:
-            self.handle.registerTimer(max(ends) // 1000 + 1)
-        yield pd.DataFrame([(k, None, None, None, i, True) for k, _, i in late], columns=["object_id", "value", "version", "last_event_id", "late_id", "late"]).astype({"late": bool}) if late else pd.DataFrame(columns=["object_id", "value", "version", "last_event_id", "late_id", "late"])
+        if self.waiting.exists():
+            self.handle.registerTimer(max(w[0] for w in self.waiting.get()) // 1000 + 1)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         value, version, last, last_us = self.state.get() if self.state.exists() else (None, 0, None, 0)
@@ -87,17 +79,17 @@ class Fold(StatefulProcessor):
             version, last, last_us = version + 1, i, us
         self.waiting.clear()
         self.state.update((value, version, last, last_us))
-        yield pd.DataFrame([(key[0], value, version, last, None, False)], columns=["object_id", "value", "version", "last_event_id", "late_id", "late"])
+        yield pd.DataFrame([(key[0], value, version, last)], columns=["object_id", "value", "version", "last_event_id"])
 
     def close(self) -> None:
         pass
 
 
-FOLD_SCHEMA = "object_id long, value double, version long, last_event_id long, late_id long, late boolean"
+FOLD_SCHEMA = "object_id long, value double, version long, last_event_id long"
 
 
 def fold_stream(events: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Folded states of a stream of long-form rows; events behind the watermark come out as late rows for a repair batch.
+    """Folded states of a stream of long-form rows. Events behind the watermark are dropped by Spark; where they must count, use fold_batches().
 
     Needs the RocksDB state store. Output in update mode: the last row of an entity is its state.
     """
@@ -105,27 +97,72 @@ def fold_stream(events: DataFrame, delay: str = "30 days") -> DataFrame:
     return marked.groupBy("object_id").transformWithStateInPandas(Fold(), FOLD_SCHEMA, "update", "eventTime")
 
 
-def fold_batches(events: DataFrame, states_path: str, log_path: str, checkpoint: str):
+#: Log and states are kept in so many buckets of entities; a micro-batch reads and writes the buckets it touches.
+BUCKETS = 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _versions(states: DataFrame) -> dict[int, int]:
+    """The newest epoch of each bucket, from the folders' names: at most as many rows as there are buckets."""
+    return {r.bucket: r.epoch for r in states.groupBy("bucket").agg(F.max("epoch").alias("epoch")).collect()}
+
+
+def current_states(spark: SparkSession, states_path: str, buckets: list[int] | None = None, until: int | None = None) -> DataFrame:
+    """The states that fold_batches() left, of some buckets or all; until: as of that epoch."""
+    rows = spark.read.parquet(states_path)
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(buckets))
+    if until is not None:
+        rows = rows.where(F.col("epoch") <= until)
+    wanted = F.lit(False)
+    for k, v in sorted(_versions(rows).items()):
+        wanted = wanted | ((F.col("bucket") == k) & (F.col("epoch") == v))
+    return rows.where(wanted).drop("bucket", "epoch")
+
+
+def fold_batches(events: DataFrame, states_path: str, log_path: str, checkpoint: str, buckets: int = BUCKETS, every: str | None = None):
     """A stream that keeps states right under any lateness: each micro-batch goes to the log, and the entities it touches are folded anew.
 
-    States are versioned folders, the newest complete one counts; returns the started query (availableNow).
+    Log and states lie in buckets of entities; only touched buckets are read and written. A bucket's newest epoch counts,
+    the one before it stays until the next, so that a batch that is run again finds what it found. every: a processing-time
+    trigger like "10 seconds"; what is there at once (availableNow) unless given. Returns the started query.
     """
     from ..operators import state
 
+    def put(rows: DataFrame, path: str, epoch: int) -> None:
+        own = rows.withColumn("bucket", F.pmod(F.xxhash64("object_id"), F.lit(buckets)).cast("int")).withColumn("epoch", F.lit(epoch))
+        own.repartition("bucket").write.partitionBy("bucket", "epoch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/epoch={epoch}")
+        put(batch, log_path, epoch)
         touched = batch.select("object_id").distinct()
-        log = spark.read.parquet(log_path).drop("epoch").join(touched, "object_id", "left_semi")
-        fresh = state.fold(log)
-        if epoch:
-            old = spark.read.parquet(f"{states_path}/v{epoch - 1}").join(touched, "object_id", "left_anti")
-            fresh = old.unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{states_path}/v{epoch}")
-
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def to_json_lines(frame: pd.DataFrame) -> str:
-    """Rows of a frame as JSON lines, for a message sink."""
-    return "\n".join(json.dumps(r, default=str) for r in frame.to_dict("records"))
+        hit = [r.b for r in touched.select(F.pmod(F.xxhash64("object_id"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]
+        if not hit:
+            return
+        log = spark.read.parquet(log_path).where(F.col("bucket").isin(hit) & (F.col("epoch") <= epoch)).drop("bucket", "epoch")
+        fresh = state.fold(log.join(touched, "object_id", "left_semi"))
+        if _exists(spark, states_path):
+            fresh = fresh.unionByName(current_states(spark, states_path, hit, epoch - 1).join(touched, "object_id", "left_anti").select(*fresh.columns))
+        put(fresh, states_path, epoch)
+        done = spark.read.parquet(states_path).where(F.col("bucket").isin(hit)).select("bucket", "epoch").distinct().collect()
+        for k in hit:
+            for old in sorted(r.epoch for r in done if r.bucket == k and r.epoch <= epoch)[:-2]:
+                _drop(spark, f"{states_path}/bucket={k}/epoch={old}")
+
+    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def messages(events: DataFrame) -> DataFrame:
+    """(key, value) of events as a message sink takes them: the entity, and the event as JSON. Works on streams; a Kafka writer takes it as it is."""
+    return events.select(F.col("object_id").cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
