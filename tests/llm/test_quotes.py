@@ -31,23 +31,22 @@ def plain_parse(t):
 def plain_threads(messages):
     """One message at a time, against all earlier ones."""
     parsed = [(c, t, r, x, *plain_parse(x)) for c, t, r, x in messages]
-    first = {}
+    own = {}
     for c, t, r, x, _, units in parsed:
         if c is not None and t is not None:
-            for level, u in units:
-                if level == 0:
-                    first[c, u] = min(first.get((c, u), (t, x or "")), (t, x or ""))
+            own.setdefault(c, {})[t, x or ""] = {u for level, u in units if level == 0}
     parent = {}
     for c, t, r, x, _, units in parsed:
         if c is None or t is None:
             continue
         found = {}
-        for level, u in set(units):
-            if level > 0 and (c, u) in first and first[c, u][0] < t:
-                k = (level, first[c, u])
-                found[k] = found.get(k, 0) + len(u)
+        for (pt, px), held in own[c].items():
+            for level in {level for level, _ in units if level > 0}:
+                n = sum(len(u) for u in {u for k, u in units if k == level} & held)
+                if n and pt < t:
+                    found[level, pt, px] = n
         if found:
-            (level, (pt, px)), _ = max(found.items(), key=lambda kv: (-kv[0][0], kv[1], -kv[0][1][0]))
+            (_, pt, px), _ = max(found.items(), key=lambda kv: (-kv[0][0], kv[1], -kv[0][1]))
             parent[c, t, x] = (pt, px)
     out = []
     for c, t, r, x, top, units in parsed:
@@ -90,6 +89,46 @@ def test_threads_match_brute_force(spark):
     assert sum(r[5] is not None for r in got) > 40 and max(r[7] for r in got) >= 3
 
 
+def test_parent_is_the_best_of_all_holders(spark):
+    """A long paragraph that many messages end with must not outweigh the message that was quoted."""
+    long = "This signature is longer than what is said above it, and everybody's letter ends with it."
+    rnd = random.Random(5)
+    msgs = [(1, 0, "u", f"Opening.\n\n{long}")]
+    for t in range(1, 60):
+        ends = [x for x, on in ((long, rnd.random() < 0.8), ("A second line of goodbye.", rnd.random() < 0.5), (f"rare {t % 25}", rnd.random() < 0.5)) if on]
+        body = [f"Short {t % 40}", *ends]
+        q = msgs[rnd.randrange(len(msgs))][3].split("\n\n")
+        back = "\n>\n".join("> " + x for x in q if not x.startswith(">") and (x == q[0] or rnd.random() < 0.8))
+        msgs.append((1, t, "u", "\n\n".join([*body, *([back] if back and rnd.random() < 0.8 else [])])))
+    df = spark.createDataFrame(msgs, "conv_id long, turn long, role string, text string").repartition(3)
+    want = {r[1]: r[5] for r in plain_threads(msgs)}
+    for few in (0, 2, 16, 1000):
+        links = quotes.reply_links(quotes.parse(df), few).join(quotes.parse(df).select("msg", "turn"), "msg").collect()
+        assert {r.turn: r.parent_turn for r in links} == {t: p for t, p in want.items() if p is not None}
+    assert len({p for p in want.values() if p}) > 10
+
+
+def test_links_at_size_with_hot_phrases(spark):
+    """Ten thousand messages, a third in one conversation, all of them ending alike; replies quote what they answer."""
+    rnd = random.Random(7)
+    msgs, truth, bodies = [], {}, {}
+    for i in range(10_000):
+        c = 0 if i % 3 == 0 else 1 + rnd.randrange(400)
+        own = bodies.setdefault(c, [])
+        t, body = len(own), f"Message {c} {len(own)} says {rnd.randrange(10**6)}"
+        own.append(body)
+        text = body + "\n\nSent from my desk."
+        if t and rnd.random() < 0.7:
+            p = rnd.randrange(t)
+            truth[c, t] = p
+            text = f"> {own[p].upper()}\n>\n> Sent from my desk.\n\n" + text
+        msgs.append((c, t, "user", text))
+    got = quotes.threads(spark.createDataFrame(msgs, "conv_id long, turn long, role string, text string").repartition(8)).collect()
+    assert len(got) == len(msgs) and {(r.conv_id, r.turn): r.reply_to_turn for r in got if r.reply_to_turn is not None} == truth
+    place = {(r.conv_id, r.turn): k for k, r in enumerate(got)}
+    assert all(place[c, p] < place[c, t] for (c, t), p in truth.items())
+
+
 def test_order_bodies_and_nested_levels(spark):
     msgs = [(1, 0, "a", "First words."), (1, 1, "b", "> First words.\nSecond."), (1, 2, "a", "Other topic."), (1, 3, "c", "On 1 May b wrote:\n> > First words.\n> Second.\nThird."), (1, 4, "d", ">Other topic.\n\nFourth.")]
     rows = quotes.threads(spark.createDataFrame(msgs, "conv_id long, turn long, role string, text string")).collect()

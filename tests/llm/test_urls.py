@@ -54,3 +54,40 @@ def test_empty_table_and_hot_alias(spark):
     many = [(i, f"http://m.org/{i}", '<link rel=canonical href="http://m.org/es/x">') for i in range(300)]
     got = urls.judge(spark.createDataFrame(many, "page_id long, url string, html string")).collect()
     assert {r.verdict for r in got} == {"block"} and len(got) == 300
+
+
+def test_aliases_at_size(spark):
+    """Chains, stars and rings of links over some thousand pages, against a union by hand."""
+    import random
+
+    rnd = random.Random(11)
+    urls_ = [f"http://h{i % 50}.org/{'es/' if i % 23 == 0 else ''}{i}" if i % 5 else f"http://k{i}.net/{'de/' if i % 1000 == 0 else ''}{i}" for i in range(4000)]
+    links = [(i, i + 1) for i in range(0, 600) if i % 60] + [(2000, i) for i in range(1000, 1900)] + [(i, 3000 + (i + 1) % 20) for i in range(3000, 3020)]
+    links += [(rnd.randrange(4000), rnd.randrange(4000)) for _ in range(500)]
+    out = {}
+    for a, b in links:
+        out.setdefault(a, []).append(b)
+    how = lambda b: rnd.choice(['<link rel="canonical" href="%s">', "<link href='%s' rel=canonical />", '<meta http-equiv="refresh" content="0;url=%s">']) % urls_[b]
+    pages = [(i, u, "<html>" + "".join(map(how, out.get(i, []))) + "</html>") for i, u in enumerate(urls_)]
+    root = list(range(4000))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    said = {}
+    for i, u in enumerate(urls_):
+        v = plain_rule(*plain_split(u))[1]
+        said.setdefault(find(i), set()).add(v)
+    want = {}
+    for i, u in enumerate(urls_):
+        own = plain_rule(*plain_split(u))[1]
+        want[i] = own or ("allow" if "allow" in said[find(i)] else "block" if "block" in said[find(i)] else "allow")
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6)).collect()}
+    assert got == want
+    by_alias = sum(want[i] == "block" and plain_rule(*plain_split(u))[1] is None for i, u in enumerate(urls_))
+    assert by_alias > 20

@@ -3,7 +3,7 @@
 A line's quote level is the number of > signs before its text. A passage is a run of lines of one level without a blank
 line between; it is normalised (lower case, white space collapsed) and hashed, and so is each line of a longer one, so
 that a part quoted alone is found too. Quoted passages meet the messages of the conversation that hold them as their own
-text; a message replies to the one that matches most of its quotes of the lowest level. Depth and root of a reply come
+text; a message replies to the earlier one that matches most of its quotes of the lowest level. Depth and root of a reply come
 from doubling the parent pointers, and the messages come back without quotes in the order of conversation, root, depth
 and turn.
 """
@@ -19,6 +19,8 @@ from .quality import let
 PREFIX = r"^[ \t]*(?:>[ \t]?)+"
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió)\s*:\s*$"
 LEAST_CHARS = 1
+#: A passage that more messages of a conversation hold is met by combinations.
+FEW = 16
 
 
 def parsed_lines(text: Column) -> Column:
@@ -72,21 +74,34 @@ def parse(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     )
 
 
-def reply_links(parsed: DataFrame) -> DataFrame:
+def reply_links(parsed: DataFrame, few: int = FEW) -> DataFrame:
     """(msg, parent, parent_turn) for each distinct message whose quotes an earlier message of its conversation holds.
 
-    A passage stands for the first message that holds it, so that a phrase of many messages gives one row, not a pair
-    for each two of them. Of the candidates, those matched at the lowest level go first, then the one that matches most
-    characters, then the earliest. Messages without a conversation or a turn neither link nor are linked to.
+    Of the earlier messages, those matched at the lowest level go first, then the one that matches most characters, then
+    the earliest. All holders of a passage that at most `few` messages of the conversation hold are candidates. Of a
+    passage that more of them hold, the first message of each combination of such passages is: later ones with the same
+    combination match no more, unless by a rarer passage, which makes them candidates anyway. Each candidate is then
+    credited for all that is quoted of it, so that the choice is that over all pairs, without their being made. Messages
+    without a conversation or a turn neither link nor are linked to.
     """
+    width = shuffle_width(parsed.sparkSession)
     known = parsed.where("conv_id is not null and turn is not null")
     each = known.select("conv_id", "turn", "msg", F.explode("units").alias("u")).select("conv_id", "turn", "msg", "u.level", "u.hash", "u.chars")
-    first = each.where("level = 0").groupBy("conv_id", "hash").agg(F.min(F.struct("turn", "msg")).alias("o")).select("conv_id", "hash", F.col("o.turn").alias("parent_turn"), F.col("o.msg").alias("parent"))
+    quoted = frozen(each.where("level > 0").distinct(), "quoted")
+    asked = quoted.select("conv_id", "hash").distinct()
+    # what nobody quotes makes no candidate
+    own = each.where("level = 0").select("conv_id", "hash", F.col("turn").alias("parent_turn"), F.col("msg").alias("parent")).distinct().join(asked, ["conv_id", "hash"], "left_semi")
+    counts = own.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("held"))
+    held = frozen(own.join(counts, ["conv_id", "hash"]), "holders")
+    often = held.where(F.col("held") > few)
+    combined = often.groupBy("conv_id", "parent_turn", "parent").agg(F.xxhash64(F.array_sort(F.collect_set("hash"))).alias("both"))
+    firsts = combined.groupBy("conv_id", "both").agg(F.min(F.struct("parent_turn", "parent")).alias("f")).select("conv_id", F.col("f.parent").alias("parent")).distinct()
+    some = held.where(F.col("held") <= few).drop("held").unionByName(often.drop("held").join(firsts, ["conv_id", "parent"], "left_semi"))
     # dealt anew, so that adaptive execution can split the rows of a phrase quoted very often
-    quoted = each.where("level > 0").distinct()
-    met = quoted.join(first.repartition(shuffle_width(parsed.sparkSession)), ["conv_id", "hash"]).where("parent_turn < turn")
-    summed = met.groupBy("msg", "level", "parent", "parent_turn").agg(F.sum("chars").alias("chars"))
-    best = summed.groupBy("msg").agg(F.max(F.struct(-F.col("level"), F.col("chars"), -F.col("parent_turn"), F.col("parent"), F.col("parent_turn"))).alias("b"))
+    met = quoted.join(some.repartition(width), ["conv_id", "hash"]).where("parent_turn < turn").select("conv_id", "msg", "level", "parent", "parent_turn").distinct()
+    credit = met.join(quoted.select("msg", "level", "hash", "chars").distinct(), ["msg", "level"]).join(held.select("conv_id", "hash", "parent", "parent_turn"), ["conv_id", "hash", "parent", "parent_turn"], "left_semi")
+    summed = credit.groupBy("msg", "level", "parent", "parent_turn").agg(F.sum("chars").alias("chars"))
+    best = summed.groupBy("msg").agg(F.max(F.struct(-F.col("level"), F.col("chars"), -F.col("parent_turn"), F.bitwise_not("parent"), F.col("parent"), F.col("parent_turn"))).alias("b"))
     return best.select("msg", F.col("b.parent").alias("parent"), F.col("b.parent_turn").alias("parent_turn"))
 
 
@@ -119,8 +134,6 @@ def threads(messages: DataFrame, **columns: str) -> DataFrame:
     slim = parsed.select("conv_id", "turn", "role", "msg", "body", quotes, "max_level")
     plain = slim.where("max_level = 0").select("conv_id", "turn", "role", "body", "n_quotes", "max_level", F.lit(None).cast("long").alias("reply_to_turn"), F.col("turn").cast("long").alias("root_turn"), F.lit(0).alias("depth"))
     quoting = slim.where("max_level > 0")
-    if quoting.isEmpty():
-        return plain.orderBy("conv_id", "root_turn", "depth", "turn")
     links = frozen(reply_links(parsed), "replies")
     placed = frozen(links.join(depths(links), "msg").select("msg", "parent_turn", F.col("root_turn").alias("_root"), F.col("depth").alias("_depth")), "placed")
     linked = quoting.join(placed, "msg", "left").select(
