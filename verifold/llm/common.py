@@ -99,3 +99,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+
+def component_ids(kinds: DataFrame, parts: DataFrame, salts: int = 64) -> DataFrame:
+    """(node, component_id) for rows (node, first_id) and the components (node, root) among them: the smallest first_id of a component.
+
+    A component may hold a third of all nodes, so the nodes meet their component's row under a salt; one of a single node
+    has one row.
+    """
+    own = parts.select(F.col("node").alias("_n"), "root")
+    rooted = kinds.join(own, F.col("node") == F.col("_n"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts))
+    sizes = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_size"))
+    every = F.when(F.col("_size") > 1, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(salt("root")))
+    roots = sizes.select(F.col("root").alias("_root"), "component_id", F.explode(every).alias("_salt"))
+    met = rooted.join(roots, (F.col("root") == F.col("_root")) & (salt("node") == F.col("_salt")))
+    return met.select("node", "component_id")

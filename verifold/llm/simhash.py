@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, frozen, private, shuffle_width
+from .common import component_ids, connected_components, frozen, private, shuffle_width
 
 LOW = 0x5555555555555555
 SEED = 42
@@ -196,9 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = frozen(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "fingerprints")
     fps = frozen(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
     parts = connected_components(fingerprint_links(fps.select("fp"), radius, groups, block))
-    rooted = fps.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = frozen(rooted.join(roots, "root").select("fp", "component_id"), "components")
+    named = frozen(component_ids(fps.select(F.col("fp").alias("node"), "first_id"), parts).withColumnRenamed("node", "fp"), "components")
     return rows.join(named, "fp").select("id", "fp", "component_id")
 
 
@@ -344,9 +342,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = frozen(rows.groupBy("node", GUIDE, *WORDS).agg(F.min("id").alias("first_id")), "distinct-guides")
     met = met_in_cells(kinds, embedding(F.col(GUIDE)), choices_for(kinds.count()), ["node", GUIDE, *WORDS], block)
     parts = connected_components(met.mapInArrow(_copy_edges(), "a long, b long"))
-    rooted = kinds.select(F.col("node").alias("_n"), "first_id").join(parts, F.col("_n") == F.col("node"), "left").select("_n", "first_id", F.coalesce("root", "_n").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = frozen(rooted.join(roots, "root").select(F.col("_n").alias("node"), "component_id").distinct(), "components")
+    named = frozen(component_ids(kinds.groupBy("node").agg(F.min("first_id").alias("first_id")), parts), "components")
     return rows.join(named, "node").select("id", "component_id")
 
 
