@@ -55,11 +55,16 @@ def is_negated(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).rlike(unicode_classes(NEGATION))
 
 
-def entities(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, label, value, n): distinct entities found by pattern, of a value under several labels the first label."""
+def entities(docs: DataFrame, id_col: str = "id", text_col: str = "text", named: DataFrame | None = None) -> DataFrame:
+    """(id, label, value, n): distinct entities found by pattern, of a value under several labels the first label.
+
+    named (id, label, value) adds what a model finds, after the patterns: a value that they found keeps their label.
+    """
     found = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(unicode_classes(p)), F.lit(0)), _labelled(k, label)) for k, (label, p) in enumerate(PATTERNS.items())])
     each = docs.select(F.col(id_col).alias("id"), F.explode(found).alias("e")).select("id", "e.k", "e.label", "e.value")
-    g = each.groupBy("id", "value").agg(F.min_by("label", "k").alias("label"), F.count(F.lit(1)).alias("n"))
+    if named is not None:
+        each = each.unionByName(named.select("id", F.lit(len(PATTERNS)).alias("k"), "label", "value"))
+    g = each.groupBy("id", "value").agg(F.min_by("label", F.struct("k", "label")).alias("label"), F.count(F.lit(1)).alias("n"))
     return g.select("id", "label", "value", "n")
 
 

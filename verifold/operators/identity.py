@@ -153,6 +153,11 @@ def merge(entities: DataFrame, proposals: DataFrame, at: Column) -> DataFrame:
     return joined.withColumn("merged_into", F.coalesce("_t", "merged_into")).withColumn("updated_at", F.when(F.col("_t").isNotNull(), at).otherwise(F.col("updated_at"))).drop("_s", "_t")
 
 
+def live_vectors(vectors: DataFrame, entities: DataFrame) -> DataFrame:
+    """vectors (id, …) without those of entities that were merged into others."""
+    return vectors.join(entities.where(F.col("merged_into").isNotNull()).select("id"), "id", "left_anti")
+
+
 def merge_log(proposals: DataFrame, at: Column) -> DataFrame:
     return proposals.select("source_id", "target_id", F.col("similarity").alias("confidence"), "reason", at.alias("timestamp"))
 

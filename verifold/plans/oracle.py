@@ -148,6 +148,16 @@ SELECT kind, id, CASE WHEN length(text) < 40 OR ratio > 0.4 OR contains(substr(t
   WHEN cosine > 0.1 THEN 'NATURAL' ELSE 'COMPLEX' END AS route, round(ratio, 6) AS digit_ratio FROM m"""
 
 
+def scanned(pairs: str) -> str:
+    """CTEs of the greedy scan: one step per pair in scan order, with the list of what is done with."""
+    return f"""ordered AS (SELECT *, row_number() OVER (ORDER BY left_id, similarity DESC, right_id) AS n FROM {pairs}
+), walk(n, done, cur, open, emits) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(-1 AS BIGINT), false, false
+  UNION ALL SELECT n, CASE WHEN op AND NOT list_contains(done, right_id) THEN list_concat(done, [source_id, target_id]) ELSE done END, left_id, op, op AND NOT list_contains(done, right_id)
+  FROM (SELECT o.*, w.done, CASE WHEN w.cur = o.left_id THEN w.open ELSE NOT list_contains(w.done, o.left_id) END AS op FROM walk w JOIN ordered o ON o.n = w.n + 1)
+), emitted AS (SELECT o.* FROM walk w JOIN ordered o ON o.n = w.n WHERE w.emits)"""
+
+
 def word_in(alternatives: str) -> str:
     return f"regexp_matches(lower(coalesce(text, '')), '(^|[^\\pL\\pN_])({alternatives})($|[^\\pL\\pN_])')"
 
@@ -292,5 +302,9 @@ SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY sc
         "extract_fields": f"""WITH {EVERY}, f AS (SELECT kind, id, regexp_extract_all(coalesce(text, ''), '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{{2,}}\\b') AS e, regexp_extract_all(coalesce(text, ''), '\\b(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}})\\b') AS d FROM every)
 SELECT kind, id, CASE WHEN len(e) > 0 THEN array_to_string(e, ',') END AS emails, CASE WHEN len(d) > 0 THEN array_to_string(d, ',') END AS dates, coalesce(array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), ','), '') AS entities FROM f WHERE len(e) > 0 OR len(d) > 0""",
         "event_messages": f"WITH {EV} SELECT CAST(object_id AS VARCHAR) AS key, id, action, round(d_value, 4) AS value FROM ev",
+        "merged_vectors": f"WITH {DUPS} SELECT vec_id AS id, label AS kind FROM embeddings WHERE vec_id NOT IN (SELECT source_id FROM dups)",
+        "named_entities": f"WITH {ST}, t AS (SELECT id, text FROM st), f AS ({found} UNION ALL SELECT id, 3, label, value FROM names UNION ALL SELECT id, 3, 'PRODUCT', '10.0.' || k || '.7' FROM st WHERE kind = 9) SELECT id, arg_min(label, (k, label)) AS label, value, count(*) AS n FROM f GROUP BY id, value",
+        "duplicate_greedy": f"WITH RECURSIVE {DUPS}, {scanned('dups')} SELECT left_id, right_id, similarity, source_id, target_id, reason, CASE WHEN similarity > 0.95 THEN 'auto' WHEN similarity >= 0.85 THEN 'review' ELSE 'reject' END AS band FROM emitted",
+        "weekly_merges": f"WITH RECURSIVE {DUPS}, own AS (SELECT dups.* FROM dups JOIN embeddings ON vec_id = left_id WHERE label IN (0, 1, 2)), {scanned('own')} SELECT source_id, target_id, similarity FROM emitted WHERE similarity > 0.35",
     }
     return out

@@ -302,6 +302,20 @@ def merge_apply(s: SparkSession, d: str) -> DataFrame:
     return identity.canonical(done).join(done, "id").select("id", "merged_into", "canonical_id")
 
 
+def merged_vectors(s: SparkSession, d: str) -> DataFrame:
+    """What is left of the vectors after a merge."""
+    v = lens.vectors(s, d)
+    done = identity.merge(v.select("id", F.lit(None).cast("bigint").alias("merged_into"), F.lit(None).cast("timestamp").alias("updated_at")), duplicate_pairs(s, d), as_of())
+    return identity.live_vectors(v, done).select("id", "kind")
+
+
+def named_entities(s: SparkSession, d: str) -> DataFrame:
+    """Entities by pattern and by name; an address that is also named keeps its pattern's label."""
+    st = lens.statements(s, d)
+    more = st.where("kind = 9").select("id", F.lit("PRODUCT").alias("label"), F.concat(F.lit("10.0."), "k", F.lit(".7")).alias("value"))
+    return tx.entities(st, named=lens.statement_names(st).unionByName(more))
+
+
 def entity_lookup(s: SparkSession, d: str) -> DataFrame:
     ids = table(s, d, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("id"))
     return identity.entity(lens.customers(s, d), ids).select("id", "entity_type", "name")
@@ -609,6 +623,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         route_text, ngram_profile, relation_patterns, hash_embedding, ingest_validate, stream_state_fold, trace_round_trip,
         replay_verify_vectors, entity_provenance, transaction_mixed, events_created, state_upsert, prune_policy, prune_recover, prune_untrue, access_reinforced,
         weekly_merges, consolidation_replay, consolidation_count, consolidation_policy, entity_lookup, entity_created, statement_contradiction, topic_drift,
-        transitive_upsert, path_confidence, relations_deleted, remember_events, remember_states, remember_relations, recall_faceted, recall_forgotten, extract_fields, event_messages,
+        transitive_upsert, path_confidence, relations_deleted, remember_events, remember_states, remember_relations, recall_faceted, recall_forgotten, extract_fields, event_messages, merged_vectors, named_entities,
     ]
     return {f.__name__: f for f in found}
