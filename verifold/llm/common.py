@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import frozen, shared_path
+from ..plans.graphs import connected_components  # noqa: F401
+from ..sources.shared import frozen, shared_path  # noqa: F401
 
 shared_folder = shared_path
 
@@ -68,39 +69,6 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph given as rows (a, b): returns (node, root), root the smallest node.
-
-    Alternates large-star and small-star steps, so that no task ever holds a component; each round's edges are
-    written to the shared folder. Only nodes with an edge to another node are returned. Loops, repeated edges and
-    rows with a null are dropped, as they join nothing; an empty graph gives an empty result.
-    """
-    spark = edges.sparkSession
-    e = frozen(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _mark(e)
-    if not before[0]:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    width = shuffle_width(spark)
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # the smallest of a node and its neighbours; dealt anew so that adaptive execution can split a hot node's rows
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).repartition(width)
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m")).repartition(width)
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
-        e = frozen(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct(), "edges")
-        after = _mark(e)
-        if after == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-
-
 def component_ids(kinds: DataFrame, parts: DataFrame, salts: int = 64) -> DataFrame:
     """(node, component_id) for rows (node, first_id) and the components (node, root) among them: the smallest first_id of a component.
 
