@@ -82,6 +82,24 @@ def test_hot_cell_is_split_and_whole(spark):
     assert sorted(map(sorted, by_want.values())) == sorted(map(sorted, by_got.values()))
 
 
+def test_one_large_group_meets_by_its_pivot(spark):
+    """Near copies of one fingerprint: all but a few are linked to the pivot, and the rest still find each other."""
+    rnd = random.Random(2)
+    base = rnd.getrandbits(64)
+    fps = {base} | {base ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)}
+    far = [base ^ 0b111111 << 40 ^ (1 << k) for k in range(12)]  # six bits away, some linked to each other by two
+    fps |= set(far) | {far[0] ^ (1 << 50), base ^ 0b111 << 40}
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    links = simhash.fingerprint_links(df, block=32)
+    assert all(((r.a ^ r.b) % (1 << 64)).bit_count() <= 3 for r in links.collect())
+    roots = {r.node % (1 << 64): r.root for r in connected_components(links).collect()}
+    want = {f: c for _, f, c in plain_components([(f % 10**15, f) for f in fps])}
+    by = {}
+    for f in fps:
+        by.setdefault(roots.get(f, simhash._signed(f)), set()).add(want[f])
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len(set(want.values()))
+
+
 def test_manhattan_is_a_lower_bound():
     r = np.random.default_rng(0)
     a, b = r.integers(0, 2**64, 1000, dtype=np.uint64), r.integers(0, 2**64, 1000, dtype=np.uint64)

@@ -4,8 +4,9 @@ A fingerprint's 64 bits fall into 32 segments of two; the embedding is the vecto
 Manhattan distance of two embeddings never exceeds the Hamming distance of the fingerprints. The 32 coordinates are
 dealt to G groups; within distance 3, at least G - 3 groups agree in all their coordinates, so every linked pair meets
 in a grid cell made of some G - 3 groups. Cells are an equi-join key; pairs in a cell are tested by the Manhattan bound
-and then exactly. Of a cell only a spanning forest leaves the task, never all its pairs, and a cell with more than
-`block` fingerprints is split into pairs of blocks that separate tasks compare.
+and then exactly. Of a cell only a spanning forest leaves the task, never all its pairs. In a cell of more than `block`
+fingerprints those linked to one of them, its pivot, are spanned by that; only the others meet all, as pairs of blocks
+that separate tasks compare.
 
 Three bits of 64 are far less than a similarity of 0.8 between sets of five-word shingles allows: such texts differ in
 about 15 of 100 bits. near_copies() is the same embedding and grid for that: a guide of 64 bits over pairs of words, which
@@ -161,18 +162,35 @@ def groups_for(n: int, radius: int) -> int:
     return groups
 
 
-def met_in_cells(rows: DataFrame, emb: Column, masks: list[int], columns: list[str], block: int) -> DataFrame:
-    """(key, *columns), dealt by key and sorted: each row once for each mask. A cell of more than `block` rows becomes pairs of blocks."""
-    width = shuffle_width(rows.sparkSession)
+def met_in_cells(rows: DataFrame, emb: Column, masks: list[int], columns: list[str], block: int, linked) -> tuple[DataFrame, DataFrame | None]:
+    """(key, *columns), dealt by key and sorted: each row once for each mask; and edges that are already known. columns[0] is the node.
+
+    A cell of more than `block` rows gets a pivot. Rows that linked(row, pivot) says are linked to it give that edge and
+    need not meet each other; the others, few where the cell is one group of near copies, meet all rows of the cell, as
+    pairs of blocks.
+    """
+    width, node = shuffle_width(rows.sparkSession), columns[0]
     cells = rows.select(F.explode(F.array(*[F.xxhash64(F.lit(i), emb.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("key"), *columns)
-    hot = cells.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
-    hot = frozen(hot, "hot-cells")
-    dealt = cells
-    if not hot.isEmpty():
-        own = F.pmod(F.xxhash64(*columns), F.col("n").cast("long")).cast("int")
-        met = F.when(F.col("n").isNull(), F.array(F.col("key"))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own))))
-        dealt = cells.join(hot, "key", "left").select(F.explode(met).alias("key"), *columns)
-    return dealt.repartition(width, "key").sortWithinPartitions("key")
+    hot = frozen(cells.groupBy("key").count().where(F.col("count") > block).select("key"), "hot-cells")
+    deal = lambda df: df.repartition(width, "key").sortWithinPartitions("key")
+    if hot.isEmpty():
+        return deal(cells), None
+    inside = frozen(cells.join(hot, "key", "left_semi"), "hot-rows")
+    pivots = inside.groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_p"))
+    marked = frozen(inside.join(pivots, "key").withColumn("_near", linked(F.struct(*columns), F.col("_p"))), "near-pivots")
+    blocks = lambda c: F.ceil(F.count_if(c) / block).cast("int")
+    sizes = marked.groupBy("key").agg(blocks(F.col("_near")).alias("_l"), blocks(~F.col("_near")).alias("_r"))
+    own = lambda n: F.pmod(F.xxhash64(*columns), F.greatest(F.col(n), F.lit(1)).cast("long")).cast("int")
+    each = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), f)).otherwise(F.array().cast("array<long>"))
+    near = each("_r", lambda j: F.xxhash64("key", F.lit(0), own("_l"), j))
+    far = F.concat(each("_l", lambda i: F.xxhash64("key", F.lit(0), i, own("_r"))), each("_r", lambda j: F.xxhash64("key", F.lit(1), F.least(j, own("_r")), F.greatest(j, own("_r")))))
+    split = marked.join(sizes, "key").select(F.explode(F.when(F.col("_near"), near).otherwise(far)).alias("key"), *columns)
+    star = marked.where(F.col("_near") & (F.col(node) != F.col("_p")[node])).select(F.col(node).alias("a"), F.col("_p")[node].alias("b"))
+    return deal(cells.join(hot, "key", "left_anti").unionByName(split)), star
+
+
+def with_known(found: DataFrame, known: DataFrame | None) -> DataFrame:
+    return found if known is None else found.unionByName(known)
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 3, groups: int | None = None, block: int = 4096) -> DataFrame:
@@ -182,7 +200,9 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, groups: int | None = None
     from the number of fingerprints. `block` bounds the fingerprints that one task compares at once.
     """
     masks = cell_masks(groups or groups_for(fps.count(), radius), radius)
-    return met_in_cells(fps, embedding(F.col("fp")), masks, ["fp"], block).mapInArrow(_edges(radius), "a long, b long")
+    linked = lambda x, y: F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius
+    met, known = met_in_cells(fps, embedding(F.col("fp")), masks, ["fp"], block, linked)
+    return with_known(met.mapInArrow(_edges(radius), "a long, b long"), known)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, groups: int | None = None, block: int = 4096) -> DataFrame:
@@ -340,8 +360,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = ", ".join(f"{c} long" for c in (GUIDE, *WORDS))
     rows = frozen(text.mapInArrow(_guides, f"id long, {bits}").withColumn("node", F.xxhash64(GUIDE, *WORDS)), "guides")
     kinds = frozen(rows.groupBy("node", GUIDE, *WORDS).agg(F.min("id").alias("first_id")), "distinct-guides")
-    met = met_in_cells(kinds, embedding(F.col(GUIDE)), choices_for(kinds.count()), ["node", GUIDE, *WORDS], block)
-    parts = connected_components(met.mapInArrow(_copy_edges(), "a long, b long"))
+
+    def linked(x: Column, y: Column) -> Column:
+        bits = [F.bit_count(x[c].bitwiseXOR(y[c])) for c in (GUIDE, *WORDS)]
+        return (bits[0] <= GUIDE_RADIUS) & (sum(bits[2:], bits[1]) <= WIDE_RADIUS)
+
+    met, known = met_in_cells(kinds.drop("first_id"), embedding(F.col(GUIDE)), choices_for(kinds.count()), ["node", GUIDE, *WORDS], block, linked)
+    parts = connected_components(with_known(met.mapInArrow(_copy_edges(), "a long, b long"), known))
     named = frozen(component_ids(kinds.groupBy("node").agg(F.min("first_id").alias("first_id")), parts), "components")
     return rows.join(named, "node").select("id", "component_id")
 
