@@ -91,3 +91,25 @@ def test_aliases_at_size(spark):
     assert got == want
     by_alias = sum(want[i] == "block" and plain_rule(*plain_split(u))[1] is None for i, u in enumerate(urls_))
     assert by_alias > 8
+
+
+def test_sql_knows_the_links_too(spark):
+    """The registered SQL over pages whose links the given tables don't have."""
+    import duckdb
+    import pandas as pd
+
+    from verifold.llm.queries import OP10_SQL
+
+    pages = [
+        (1, "http://x.org/a", '<LINK rel="canonical" href="http://x.org/es/blocked">'), (2, "http://x.org/b?q", "<meta http-equiv=refresh content='0; url=/a'>"), (3, "http://x.org/f/c", "<link href=../z rel='canonical'><link rel=canonical href=d>"),
+        (4, "http://x.org/f/d", '<link rel="canonical" href="//x.org/es/no">'), (5, "http://y.org", '<link rel=canonical href="es/y">'), (6, "http://z.org/q", '<link rel=canonical href="http://a.net/de/1">'),
+        (7, "http://z.org/es/1", '<link rel=canonical href="http://z.org/q">'), (8, None, "<link rel=canonical href=/a>"), (9, "plain", "<link rel=canonical href=http://x.org/a>"), (10, "http://q.org/1", "<link rel=next href=http://x.org/a>"), (11, "http://q.org/2", None),
+    ]
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    cur = con.execute(OP10_SQL)
+    names = [c[0] for c in cur.description]
+    want = sorted(dict(zip(names, r)).items() for r in cur.fetchall())
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).select(*names).collect()
+    assert sorted(map(lambda r: sorted(r.items()), (x.asDict() for x in got)), key=str) == sorted((sorted(w) for w in want), key=str)
+    assert [r.verdict for r in sorted(got, key=lambda r: r.page_id)] == ["block", "block", "block", "block", "block", "allow", "block", "allow", "block", "allow", "allow"]

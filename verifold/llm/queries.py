@@ -93,8 +93,7 @@ SELECT page_id, payload_bytes, p.payload_digest,
 FROM p LEFT JOIN first ON p.payload_digest = first.payload_digest AND p.payload_bytes >= 100
 """
 
-#: Pages' html has canonical and refresh links only in double quotes and with full URLs in the tables given.
-OP10_SQL = """
+OP10_SQL = r"""
 WITH RECURSIVE rules(verdict, h, p) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), urls AS (
@@ -108,16 +107,26 @@ WITH RECURSIVE rules(verdict, h, p) AS (
   SELECT s.*, r.h || r.p AS rule, r.verdict,
     row_number() OVER (PARTITION BY page_id, url, md5(html) ORDER BY length(r.h || r.p) DESC NULLS LAST) AS n
   FROM split s LEFT JOIN rules r ON (s.host = r.h OR ends_with(s.host, '.' || r.h)) AND starts_with(s.path, r.p)
+), tags AS (
+  SELECT url, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag FROM pages)
+  UNION ALL
+  SELECT url, regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS tag FROM pages)
+), placed AS (
+  SELECT url, link, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)//', 1) AS scheme, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root,
+    regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)', 1) AS folder FROM tags WHERE url IS NOT NULL AND link <> ''
 ), links AS (
-  SELECT DISTINCT url AS a, regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"]+)"', 1) AS b FROM pages
-  WHERE url IS NOT NULL AND regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"]+)"', 1) <> ''
+  SELECT DISTINCT url AS a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || link WHEN starts_with(link, '/') THEN root || link WHEN folder = '' THEN root || '/' || link ELSE folder || link END AS b FROM placed
 ), edges AS (
   SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach(node, other) AS (
   SELECT a, a FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other
+), parts AS (
+  SELECT DISTINCT other, translate(regexp_extract(substr(other, strpos(other, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(other, strpos(other, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM reach WHERE contains(other, '://')
+), judged AS (
+  SELECT other, arg_max(r.verdict, length(r.h || r.p)) AS verdict FROM parts JOIN rules r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY other
 ), said AS (
-  SELECT node, max(CASE verdict WHEN 'allow' THEN 2 WHEN 'block' THEN 1 ELSE 0 END) AS said
-  FROM reach JOIN ruled ON ruled.url = reach.other AND n = 1 GROUP BY node
+  SELECT node, max(CASE verdict WHEN 'allow' THEN 2 WHEN 'block' THEN 1 ELSE 0 END) AS said FROM reach JOIN judged ON judged.other = reach.other GROUP BY node
 )
 SELECT page_id, host, path, rule, coalesce(verdict, CASE said WHEN 2 THEN 'allow' WHEN 1 THEN 'block' END, 'allow') AS verdict
 FROM ruled LEFT JOIN said ON said.node = ruled.url WHERE n = 1
