@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, mixing, quality, quotes, secret_scan, simhash, urls, warc
+from . import decontaminate, importance, langid, lm, mixing, neighbors, oracles, quality, quotes, repair, secret_scan, simhash, urls, warc
 from .common import table
 
 
@@ -58,6 +58,20 @@ def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations")).report()
+
+
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return neighbors.nearest(vectors, vectors.where("id % 100 = 0"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_mixture_langid": op9_mixture_langid,
         "op10_url_verdicts": op10_url_verdicts,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_cross_polytope": op12_cross_polytope,
+        "op13_importance_resample": op13_importance_resample,
         "pipeline": pipeline,
     }
 
@@ -134,4 +151,4 @@ FROM ruled LEFT JOIN said ON said.node = ruled.url WHERE n = 1
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_index": OP4_SQL, "op10_url_verdicts": OP10_SQL}
+    return {"op4_warc_index": OP4_SQL, "op10_url_verdicts": OP10_SQL, "op11_conversation_repair": oracles.OP11_SQL, "op13_importance_resample": oracles.OP13_SQL}
