@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,8 +15,12 @@ from pyspark.sql import functions as F
 from ..sources.shared import frozen
 
 DIMENSIONS = 1536
-#: At most so many vectors of a type meet in one task on each side.
+#: About so many vectors of a type meet in one task on each side.
 BLOCK = 2048
+#: Vectors whose angles to all others prune pairs of blocks, and the steps that an angle is taken in.
+PIVOTS, STEPS = 32, 128
+#: What a cosine may lose to doubles.
+ROUNDING = 1e-12
 
 
 def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -49,56 +56,163 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def comparable(vectors: DataFrame) -> DataFrame:
+    """(kind, size, id, vec) of vectors (id, kind, vec) that can be compared: with an id, not empty, every component finite.
+
+    size is the number of components; vectors of different sizes, as two models make them, never meet.
+    """
+    vec = F.col("vec").cast("array<double>")
+    sound = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vectors.where(F.col("id").isNotNull() & (F.size("vec") > 0) & F.coalesce(sound, F.lit(False))).select("kind", F.size("vec").alias("size"), "id", vec.alias("vec"))
+
+
+def unsound(vectors: DataFrame) -> DataFrame:
+    """The rows that comparable() leaves out, null and empty vectors among them, for a report."""
+    vec = F.col("vec").cast("array<double>")
+    sound = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vectors.where(~(F.col("id").isNotNull() & F.coalesce((F.size("vec") > 0) & sound, F.lit(False))))
+
+
+def _units(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one size as rows of length 1; a zero vector stays zero."""
+    v = pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    top = np.abs(v).max(axis=1, keepdims=True)  # first by the largest part, so that no square leaves the range of doubles
+    v = np.divide(v, top, out=np.zeros_like(v), where=top > 0)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
 def _matched(threshold: float, most: int | None):
+    names = ["left_id", "right_id", "similarity"]
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            t = t.rename_columns(["kind", "id", "vec", "bl", "br"])
-            flat = pc.list_flatten(t.column("vec").combine_chunks())
-            v = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            return t.column("id").to_numpy(), np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-
-        empty = pa.table({"left_id": pa.array([], pa.int64()), "right_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        (a, x), (b, y) = unit(left), unit(right)
-        s = x @ y.T
-        i, j = np.nonzero(s >= threshold)
+        left, right = (t.rename_columns(["id", "vec", "block", "other"]) for t in (left, right))
+        a, b = (t.column("id").combine_chunks() for t in (left, right))
+        if not len(a) or not len(b):
+            return pa.table([a.slice(0, 0), b.slice(0, 0), pa.array([], pa.float64())], names)
+        s = _units(left.column("vec").combine_chunks()) @ _units(right.column("vec").combine_chunks()).T
+        i, j = np.nonzero(s >= threshold - ROUNDING)
         v = s[i, j]
         if most is not None:  # of a left vector, no more hits than it may keep in the end; ties by the smaller id
-            order = np.lexsort((b[j], -np.round(v, 9), i))
+            place = np.empty(len(b), np.int64)
+            place[pc.sort_indices(b).to_numpy()] = np.arange(len(b))
+            order = np.lexsort((place[j], -np.round(v, 12), i))
             i, j, v = i[order], j[order], v[order]
             nth = np.arange(len(i)) - np.searchsorted(i, i)
             i, j, v = i[nth < most], j[nth < most], v[nth < most]
-        return pa.table({"left_id": pa.array(a[i], pa.int64()), "right_id": pa.array(b[j], pa.int64()), "similarity": pa.array(v)})
+        return pa.table([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(v)], names)
 
     return run
 
 
-def similar(left: DataFrame, right: DataFrame, threshold: float, most: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(left_id, right_id, similarity) of vectors (id, kind, vec) of one kind at a cosine of the threshold or above.
+def _angles(pivots: dict[int, np.ndarray]):
+    """Rows with their angles to the pivots of their size, the two nearest of them as a cell, and a step of the angle to the nearest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("size").to_numpy()
+            for n in np.unique(size):
+                own = b.take(pa.array(np.flatnonzero(size == n)))
+                angle = np.arccos(np.clip(_units(own.column("vec")) @ pivots[int(n)].T, -1, 1))
+                first, second = np.argsort(angle, axis=1, kind="stable")[:, :2].T
+                cell, step = first * PIVOTS + second, (angle[np.arange(len(first)), first] * (STEPS / np.pi)).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(angle) + 1) * angle.shape[1], pa.int32()), pa.array(angle.ravel()))
+                yield pa.RecordBatch.from_arrays([*own.columns, flat, pa.array(cell.astype(np.int32)), pa.array(step)], [*own.schema.names, "angles", "cell", "step"])
+
+    return run
+
 
-    Both sides are cut into blocks per kind; each pair of blocks is one task's matrix product, and only pairs above the
-    threshold leave it, at most `most` per left vector. Null vectors match nothing.
+def _blocks(marked: DataFrame, block: int) -> DataFrame:
+    """marked rows with block, the name of their block within (kind, size), of about so many vectors at most.
+
+    A cell of a quarter of a block or more has blocks of its own, by steps, so that their spans of angles stay narrow; smaller
+    cells share blocks. A step of more vectors than a block holds is dealt out by ids. The table of steps is small.
+    """
+    steps = marked.groupBy("kind", "size", "cell", "step").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.sum("_n").over(Window.partitionBy("kind", "size", "cell")) >= block / 4
+    upto = F.sum("_n").over(Window.partitionBy("kind", "size", "_own", F.when(F.col("_own"), F.col("cell"))).orderBy("cell", "step").rowsBetween(Window.unboundedPreceding, 0))
+    laid = steps.withColumn("_own", own).withColumn("_b", F.floor((upto - F.col("_n")) / block)).withColumn("_parts", F.ceil(F.col("_n") / block))
+    same = F.col("m.kind").eqNullSafe(F.col("l.kind")) & (F.col("m.size") == F.col("l.size")) & (F.col("m.cell") == F.col("l.cell")) & (F.col("m.step") == F.col("l.step"))
+    dealt = F.when(F.col("l._parts") > 1, F.concat_ws(".", "l.cell", "l.step", F.pmod(F.xxhash64("m.id"), F.col("l._parts"))))
+    return marked.alias("m").join(laid.alias("l"), same).select("m.*", F.concat_ws("/", F.when(F.col("l._own"), F.col("l.cell").cast("string")).otherwise("*"), "l._b", dealt).alias("block"))
+
+
+def _bounds(blocks: DataFrame, pivots: int) -> DataFrame:
+    ends = [f(F.get("angles", F.lit(i))).alias(f"{n}{i}") for i in range(pivots) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    return blocks.groupBy("kind", "size", "block").agg(F.count(F.lit(1)).alias("vectors"), *ends)
+
+
+def _block_pairs(one: DataFrame, two: DataFrame, pivots: int, angle: float) -> DataFrame:
+    """(block, other, near) of blocks of one kind and size. By the triangle inequality no two vectors are within an angle if
+    their angles to some pivot differ by more; near tells whether the blocks' spans of angles let any pair be."""
+    near = F.lit(True)
+    for i in range(pivots):
+        near = near & (F.col(f"a.hi{i}") + angle >= F.col(f"b.lo{i}")) & (F.col(f"b.hi{i}") + angle >= F.col(f"a.lo{i}"))
+    met = _bounds(one, pivots).alias("a").join(_bounds(two, pivots).alias("b"), F.col("a.kind").eqNullSafe(F.col("b.kind")) & (F.col("a.size") == F.col("b.size")))
+    return met.select(F.col("a.kind").alias("kind"), F.col("a.size").alias("size"), F.col("a.block").alias("block"), F.col("b.block").alias("other"), near.alias("near"))
+
+
+def _laid_out(left: DataFrame, right: DataFrame, threshold: float, block: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides in blocks, and the pairs of blocks."""
+    one, two = comparable(left), comparable(right)
+    angle = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    # pivots are a few vectors of each size, whatever their kind; below a right angle all pairs of blocks may matter
+    chosen: dict[int, list] = {}
+    if angle < math.pi / 2:
+        w = Window.partitionBy("size").orderBy(F.xxhash64("vec"), "vec")
+        nonzero = two.where(F.exists("vec", lambda x: x != 0)).select("size", "vec")
+        for r in nonzero.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= pivots).collect():
+            chosen.setdefault(r["size"], []).append(r.vec)
+    count = pivots if chosen else 0
+    if not chosen:
+        flat = [F.array().cast("array<double>").alias("angles"), F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(STEPS)).cast("int").alias("step")]
+        marked = [side.select("*", *flat) for side in (one, two)]
+    else:
+        # with fewer vectors than pivots the first is a pivot again; sizes that only one side has meet nothing
+        known = {n: _units(pa.array((v * pivots)[:pivots])) for n, v in chosen.items()}
+        schema = lambda side: f"kind {side.schema['kind'].dataType.simpleString()}, size int, id {side.schema['id'].dataType.simpleString()}, vec array<double>, angles array<double>, cell int, step int"
+        marked = [frozen(side.where(F.col("size").isin(list(known))).mapInArrow(_angles(known), schema(side)), "angles") for side in ((one,) if left is right else (one, two))]
+    blocks = [_blocks(m, block) for m in marked]
+    blocks = blocks * 2 if len(blocks) == 1 else blocks
+    return blocks[0], blocks[1], _block_pairs(blocks[0], blocks[1], count, angle)
+
+
+def block_counts(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """One row: how many pairs of blocks there are, and how many similar() visits."""
+    return _laid_out(left, right, threshold, block, pivots)[2].agg(F.count(F.lit(1)).alias("pairs"), F.count_if("near").alias("visited"))
+
+
+def similar(left: DataFrame, right: DataFrame, threshold: float, most: int | None = None, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """(left_id, right_id, similarity) of vectors (id, kind, vec) of one kind and size at a cosine of the threshold or above.
+
+    Vectors of a kind and size stand in blocks of neighbours, by their angles to a few pivots; pairs of blocks that the
+    triangle inequality rules out are not visited, any other is one task's matrix product, and only pairs at the threshold
+    leave it, at most `most` per left vector. Ids may be of any type. Vectors that are null, empty or hold a null or a
+    number that isn't finite match nothing; a zero vector has similarity 0 to all; null kinds are one kind; repeated rows
+    match as often as they come. The result is exact, the cosine as it is, not rounded.
     """
-    left, right = left.where("vec is not null and id is not null"), right.where("vec is not null and id is not null")
-    sizes = left.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_l")).join(right.groupBy("kind").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_r")), "kind")
-    cut = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = left.join(sizes, "kind").select("kind", "id", "vec", cut("_l").alias("bl"), each("_r").alias("br"))
+    one, two, pairs = _laid_out(left, right, threshold, block, pivots)
+    near = frozen(pairs.where("near").select("kind", "size", "block", "other", F.concat_ws("|", "kind", "size", "block", "other").alias("pair")), "block-pairs")
+
+    def sent(side: DataFrame, own: str) -> DataFrame:
+        same = F.col("v.kind").eqNullSafe(F.col("p.kind")) & (F.col("v.size") == F.col("p.size")) & (F.col("v.block") == F.col(f"p.{own}"))
+        return side.alias("v").join(near.alias("p"), same).select("v.id", "v.vec", F.concat_ws("|", "p.size", "p.block", "p.other").alias("block"), F.col("p.kind").alias("other"))
+
+    kinds = f"left_id {left.schema['id'].dataType.simpleString()}, right_id {right.schema['id'].dataType.simpleString()}, similarity double"
     # named anew, so that both sides may come from one frame
-    two = right.join(sizes, "kind").select("kind", "id", "vec", each("_l").alias("bl"), cut("_r").alias("br")).toDF("kind_r", "id_r", "vec_r", "bl_r", "br_r")
-    return one.groupBy("kind", "bl", "br").cogroup(two.groupBy("kind_r", "bl_r", "br_r")).applyInArrow(_matched(threshold, most), "left_id long, right_id long, similarity double")
+    a, b = sent(one, "block"), sent(two, "other").toDF("id_r", "vec_r", "block_r", "other_r")
+    return a.groupBy("block", "other").cogroup(b.groupBy("block_r", "other_r")).applyInArrow(_matched(threshold, most), kinds)
 
 
-def duplicate_pairs(entities: DataFrame, threshold: float = 0.95, top: int = 5, digits: int = 6) -> DataFrame:
+def duplicate_pairs(entities: DataFrame, threshold: float = 0.95, top: int = 5) -> DataFrame:
     """Proposals from entities (id, kind, name, created_at, vec): of each entity's `top` most similar of its type, itself among them, the others.
 
-    The newer of the two is the source, the older the target; at one time the hit is the source.
+    Ranks go by the cosine as it is, but for what doubles leave of equal ones. The newer of the two is the source, the older
+    the target; at one time the hit is the source.
     """
     vectors = entities.select("id", "kind", "vec")
-    hits = similar(vectors, vectors, threshold, top).withColumn("_whole", F.col("similarity")).withColumn("similarity", F.round("similarity", digits))
-    w = Window.partitionBy("left_id").orderBy(F.desc("similarity"), F.when(F.col("left_id") == F.col("right_id"), 0).otherwise(1), "right_id")
+    hits = similar(vectors, vectors, threshold, top)
+    w = Window.partitionBy("left_id").orderBy(F.desc(F.round("similarity", 12)), F.when(F.col("left_id") == F.col("right_id"), 0).otherwise(1), "right_id")
     near = hits.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= top) & (F.col("left_id") != F.col("right_id")))
     facts = entities.select("id", "name", "created_at")
     both = near.join(facts.toDF("left_id", "_ln", "_lt"), "left_id").join(facts.toDF("right_id", "_rn", "_rt"), "right_id")
@@ -106,7 +220,7 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.95, top: int = 5,
     same = F.lower("_ln") == F.lower("_rn")
     return both.select(
         "left_id", "right_id", "similarity", F.when(newer, F.col("left_id")).otherwise(F.col("right_id")).alias("source_id"), F.when(newer, F.col("right_id")).otherwise(F.col("left_id")).alias("target_id"),
-        F.concat(F.format_string("Vector similarity %.4f", "_whole"), F.when(same, " + Exact name match").otherwise("")).alias("reason"), F.col("_lt").alias("left_at"),
+        F.concat(F.format_string("Vector similarity %.4f", "similarity"), F.when(same, " + Exact name match").otherwise("")).alias("reason"), F.col("_lt").alias("left_at"),
     )
 
 
@@ -133,7 +247,7 @@ def greedy(pairs: DataFrame) -> DataFrame:
                     done |= {row.source_id, row.target_id}
         return pd.DataFrame(out, columns=f.columns)[names] if out else f.iloc[:0][names]
 
-    return pairs.join(groups.select(F.col("node").alias("left_id"), "root"), "left_id").groupBy("root").applyInPandas(scan, "left_id long, right_id long, similarity double, source_id long, target_id long, reason string")
+    return pairs.join(groups.select(F.col("node").alias("left_id"), "root"), "left_id").groupBy("root").applyInPandas(scan, ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in names))
 
 
 def entity(entities: DataFrame, ids: DataFrame) -> DataFrame:
@@ -148,7 +262,7 @@ def band(similarity: Column, merge: float = 0.95, review: float = 0.85) -> Colum
 
 def merge(entities: DataFrame, proposals: DataFrame, at: Column) -> DataFrame:
     """entities with sources pointing at their targets; of several proposals for a source, the most similar, then the smallest target, counts."""
-    best = proposals.groupBy(F.col("source_id").alias("_s")).agg(F.max_by("target_id", F.struct("similarity", -F.col("target_id"))).alias("_t"))
+    best = proposals.groupBy(F.col("source_id").alias("_s")).agg(F.min_by("target_id", F.struct(-F.col("similarity"), "target_id")).alias("_t"))
     joined = entities.join(best, F.col("id") == F.col("_s"), "left")
     return joined.withColumn("merged_into", F.coalesce("_t", "merged_into")).withColumn("updated_at", F.when(F.col("_t").isNotNull(), at).otherwise(F.col("updated_at"))).drop("_s", "_t")
 

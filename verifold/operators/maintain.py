@@ -147,9 +147,9 @@ def reinforced(states: DataFrame, accesses: DataFrame) -> DataFrame:
     return joined.withColumns({**fresh, "last_accessed": F.greatest("last_accessed", "_at"), "access_count": F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))}).drop("_at", "_n")
 
 
-def weekly_merges(entities: DataFrame, kinds: tuple = ("person", "organization", "place"), threshold: float = 0.98, digits: int = 6) -> DataFrame:
+def weekly_merges(entities: DataFrame, kinds: tuple = ("person", "organization", "place"), threshold: float = 0.98) -> DataFrame:
     """Proposals of the greedy scan over entities (id, kind, name, created_at, vec) of some kinds, those above the threshold."""
-    pairs = frozen(identity.duplicate_pairs(entities.where(F.col("kind").isin(*kinds)), threshold, digits=digits), "weekly-pairs")
+    pairs = frozen(identity.duplicate_pairs(entities.where(F.col("kind").isin(*kinds)), threshold), "weekly-pairs")
     return identity.greedy(pairs).where(F.col("similarity") > threshold)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import truth
-from . import identity
+from . import identity, keywords
 
 # Weights of the hybrid score and its edge limit.
 HYBRID = {"vector": 0.5, "keyword": 0.2, "graph": 0.15, "importance": 0.1, "recency": 0.05}
@@ -35,22 +35,26 @@ def ranked(hits: DataFrame, score: str, top: int, ties: str = "id") -> DataFrame
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
 
 
+def keyword_hits(memories: DataFrame, queries: DataFrame, top: int, digits: int = 6) -> DataFrame:
+    """(query_id, id, relevance, rank): each query's `top` memories (id, text) by the share of its words that they have."""
+    best = keywords.best_by_words(memories.select("id", "text", F.lit(0.0).alias("impact")), queries.select("query_id", F.col("query").alias("text")), tokens, top, digits=digits)
+    return best.select("query_id", "id", F.round("relevance", digits).alias("relevance"), "rank")
+
+
 def keyword_recall(memories: DataFrame, queries: DataFrame, top: int = 10, least: float = 0.3, digits: int = 6) -> DataFrame:
     """(query_id, id, relevance, score, rank, total_found): 0.6 truth and 0.4 relevance, at least `least`. memories carry a truth vector.
 
     total_found counts a query's hits before the best `top` of them are taken.
     """
-    hits = keyword_relevance(memories, queries).join(memories.select("id", truth.score().alias("_t")), "id")
-    scored = hits.withColumn("score", F.round(0.6 * F.col("_t") + 0.4 * F.col("relevance"), digits)).where(F.col("score") >= least)
-    found = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_found"))
-    best = ranked(scored, "score", top).select("query_id", "id", F.round("relevance", digits).alias("relevance"), "score", "rank")
-    return best.join(found, "query_id")
+    impact = memories.select("id", "text", (0.6 * truth.score()).alias("impact"))
+    best = keywords.best_by_words(impact, queries.select("query_id", F.col("query").alias("text")), tokens, top, 0.4, least, digits)
+    return best.withColumn("relevance", F.round("relevance", digits)).select("query_id", "id", "relevance", "score", "rank", "total_found")
 
 
 def vector_hits(vectors: DataFrame, queries: DataFrame, top: int, digits: int = 6) -> DataFrame:
-    """(query_id, id, similarity, rank): each query's `top` most similar vectors, exactly, by blocks. Both have id, kind, vec."""
-    hits = identity.similar(queries, vectors, -2.0, top).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("id"), F.round("similarity", digits).alias("similarity"))
-    return ranked(hits, "similarity", top)
+    """(query_id, id, similarity, rank): each query's `top` most similar vectors, exactly, by blocks. Both have id, kind, vec. Ranks go by the whole cosine."""
+    hits = identity.similar(queries, vectors, -2.0, top).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("id"), F.round("similarity", 12).alias("_s"))
+    return ranked(hits, "_s", top).withColumn("similarity", F.round("_s", digits)).select("query_id", "id", "similarity", "rank")
 
 
 def vector_recall(memories: DataFrame, queries: DataFrame, top: int = 10, least: float = 0.0, digits: int = 6) -> DataFrame:

@@ -91,9 +91,9 @@ DUPS = """hits AS (
   SELECT a.vec_id AS left_id, b.vec_id AS right_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS whole, round(whole, 5) AS similarity
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.35
 ), top AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, CASE WHEN left_id = right_id THEN 0 ELSE 1 END, right_id) AS n FROM hits) WHERE n <= 5 AND left_id <> right_id
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(whole, 12) DESC, CASE WHEN left_id = right_id THEN 0 ELSE 1 END, right_id) AS n FROM hits) WHERE n <= 5 AND left_id <> right_id
 ), dups AS (
-  SELECT left_id, right_id, similarity, greatest(left_id, right_id) AS source_id, least(left_id, right_id) AS target_id, printf('Vector similarity %.4f', whole) AS reason FROM top
+  SELECT left_id, right_id, whole, similarity, greatest(left_id, right_id) AS source_id, least(left_id, right_id) AS target_id, printf('Vector similarity %.4f', whole) AS reason FROM top
 )"""
 
 ASKED = "asked AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 20 = 0)"
@@ -150,7 +150,7 @@ SELECT kind, id, CASE WHEN length(text) < 40 OR ratio > 0.4 OR contains(substr(t
 
 def scanned(pairs: str) -> str:
     """CTEs of the greedy scan: one step per pair in scan order, with the list of what is done with."""
-    return f"""ordered AS (SELECT *, row_number() OVER (ORDER BY left_id, similarity DESC, right_id) AS n FROM {pairs}
+    return f"""ordered AS (SELECT *, row_number() OVER (ORDER BY left_id, whole DESC, right_id) AS n FROM {pairs}
 ), walk(n, done, cur, open, emits) AS (
   SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(-1 AS BIGINT), false, false
   UNION ALL SELECT n, CASE WHEN op AND NOT list_contains(done, right_id) THEN list_concat(done, [source_id, target_id]) ELSE done END, left_id, op, op AND NOT list_contains(done, right_id)
@@ -210,8 +210,8 @@ SELECT id, memory_type, old_freshness, round(f, 4) AS new_freshness, f < 0.1 AS
         "consolidation_apply": f"WITH {EV}, {ISLANDS} SELECT CAST(ev.id AS VARCHAR) AS id, ev.object_id, ev.actor, ev.action, round(ev.d_value, 4) AS value, round(CAST(ev.d_k AS DOUBLE), 4) AS k, CAST(0 AS BIGINT) AS antecedents, 'summary-' || first_id AS consolidated_into FROM ev LEFT JOIN isl ON isl.id = ev.id LEFT JOIN runs ON runs.object_id = isl.object_id AND runs.island = isl.island UNION ALL SELECT 'summary-' || first_id, object_id, 'SYSTEM', action, round(total, 4), round(total_k, 4), n, NULL FROM runs",
         "consolidation_saving": f"WITH {EV}, {ISLANDS} SELECT count(*) AS runs, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS saved FROM runs",
         "entity_active": "SELECT c_custkey AS id, c_mktsegment AS entity_type, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'",
-        "duplicate_pairs": f"WITH {DUPS} SELECT * FROM dups",
-        "merge_apply": f"""WITH RECURSIVE {DUPS}, best AS (SELECT source_id, arg_max(target_id, (similarity, -target_id)) AS target_id FROM dups GROUP BY 1
+        "duplicate_pairs": f"WITH {DUPS} SELECT left_id, right_id, similarity, source_id, target_id, reason FROM dups",
+        "merge_apply": f"""WITH RECURSIVE {DUPS}, best AS (SELECT source_id, arg_max(target_id, (whole, -target_id)) AS target_id FROM dups GROUP BY 1
 ), walk(id, cur, n) AS (SELECT vec_id, vec_id, 0 FROM embeddings UNION ALL SELECT id, target_id, n + 1 FROM walk JOIN best ON source_id = cur)
 SELECT e.vec_id AS id, b.target_id AS merged_into, c.cur AS canonical_id FROM embeddings e LEFT JOIN best b ON b.source_id = e.vec_id JOIN (SELECT id, arg_max(cur, n) AS cur FROM walk GROUP BY 1) c ON c.id = e.vec_id""",
         "bool_flip": f"WITH {EV}, x AS (SELECT id, object_id, CAST(d_value > 100 AS VARCHAR) AS now, lag(CAST(d_value > 100 AS VARCHAR)) OVER (PARTITION BY object_id ORDER BY timestamp, id) AS was FROM ev) SELECT id, object_id, was, now FROM x WHERE was <> now",
@@ -304,7 +304,17 @@ SELECT kind, id, CASE WHEN len(e) > 0 THEN array_to_string(e, ',') END AS emails
         "event_messages": f"WITH {EV} SELECT CAST(object_id AS VARCHAR) AS key, id, action, round(d_value, 4) AS value FROM ev",
         "merged_vectors": f"WITH {DUPS} SELECT vec_id AS id, label AS kind FROM embeddings WHERE vec_id NOT IN (SELECT source_id FROM dups)",
         "named_entities": f"WITH {ST}, t AS (SELECT id, text FROM st), f AS ({found} UNION ALL SELECT id, 3, label, value FROM names UNION ALL SELECT id, 3, 'PRODUCT', '10.0.' || k || '.7' FROM st WHERE kind = 9) SELECT id, arg_min(label, (k, label)) AS label, value, count(*) AS n FROM f GROUP BY id, value",
+        "entities_merged": """WITH made AS (
+  SELECT sha256(concat_ws(chr(31), c_name, c_mktsegment, '{"nation": ' || c_nationkey || '}')) AS id, c_mktsegment AS kind, md5(c_name || ': ' || c_mktsegment || ' {"nation": ' || c_nationkey || '}') AS h FROM customer
+), vectors AS (
+  SELECT id, kind, list_transform(range(16), lambda i: (16 * (strpos('0123456789abcdef', h[2 * i + 1]) - 1) + strpos('0123456789abcdef', h[2 * i + 2]) - 1) / 128e0 - 1e0) AS v FROM made
+), hits AS (
+  SELECT a.id AS left_id, b.id AS right_id, list_cosine_similarity(a.v, b.v) AS s FROM vectors a JOIN vectors b USING (kind) WHERE list_cosine_similarity(a.v, b.v) >= 0.7
+), top AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(s, 12) DESC, left_id <> right_id, right_id) AS n FROM hits) WHERE n <= 5 AND left_id <> right_id
+)
+SELECT made.id, arg_min(left_id, (-s, left_id)) AS merged_into FROM made LEFT JOIN top ON right_id = made.id GROUP BY made.id""",
         "duplicate_greedy": f"WITH RECURSIVE {DUPS}, {scanned('dups')} SELECT left_id, right_id, similarity, source_id, target_id, reason, CASE WHEN similarity > 0.95 THEN 'auto' WHEN similarity >= 0.85 THEN 'review' ELSE 'reject' END AS band FROM emitted",
-        "weekly_merges": f"WITH RECURSIVE {DUPS}, own AS (SELECT dups.* FROM dups JOIN embeddings ON vec_id = left_id WHERE label IN (0, 1, 2)), {scanned('own')} SELECT source_id, target_id, similarity FROM emitted WHERE similarity > 0.35",
+        "weekly_merges": f"WITH RECURSIVE {DUPS}, own AS (SELECT dups.* FROM dups JOIN embeddings ON vec_id = left_id WHERE label IN (0, 1, 2)), {scanned('own')} SELECT source_id, target_id, similarity FROM emitted WHERE whole > 0.35",
     }
     return out

@@ -223,8 +223,8 @@ def access_reinforced(s: SparkSession, d: str) -> DataFrame:
 
 def weekly_merges(s: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("kind") == 0, "person").when(F.col("kind") == 1, "organization").when(F.col("kind") == 2, "place").otherwise("other")
-    found = maintain.weekly_merges(lens.vectors(s, d).withColumn("kind", kind), threshold=0.35, digits=5)
-    return found.select("source_id", "target_id", "similarity")
+    found = maintain.weekly_merges(lens.vectors(s, d).withColumn("kind", kind), threshold=0.35)
+    return found.select("source_id", "target_id", r(F.col("similarity"), 5).alias("similarity"))
 
 
 def marked(s: SparkSession, d: str) -> DataFrame:
@@ -285,27 +285,27 @@ def entity_active(s: SparkSession, d: str) -> DataFrame:
 
 
 def similar_pairs(s: SparkSession, d: str) -> DataFrame:
-    return identity.duplicate_pairs(lens.vectors(s, d), 0.35, digits=5)
+    return identity.duplicate_pairs(lens.vectors(s, d), 0.35)
 
 
 def duplicate_pairs(s: SparkSession, d: str) -> DataFrame:
-    return similar_pairs(s, d).select("left_id", "right_id", "similarity", "source_id", "target_id", "reason")
+    return similar_pairs(s, d).select("left_id", "right_id", r(F.col("similarity"), 5).alias("similarity"), "source_id", "target_id", "reason")
 
 
 def duplicate_greedy(s: SparkSession, d: str) -> DataFrame:
-    return identity.greedy(frozen(similar_pairs(s, d), "pairs")).withColumn("band", identity.band(F.col("similarity")))
+    return identity.greedy(frozen(similar_pairs(s, d), "pairs")).withColumn("band", identity.band(F.col("similarity"))).withColumn("similarity", r(F.col("similarity"), 5))
 
 
 def merge_apply(s: SparkSession, d: str) -> DataFrame:
     ents = lens.vectors(s, d).select("id", F.lit(None).cast("bigint").alias("merged_into"), F.lit(None).cast("timestamp").alias("updated_at"))
-    done = frozen(identity.merge(ents, duplicate_pairs(s, d), as_of()).select("id", "merged_into"), "merged")
+    done = frozen(identity.merge(ents, similar_pairs(s, d), as_of()).select("id", "merged_into"), "merged")
     return identity.canonical(done).join(done, "id").select("id", "merged_into", "canonical_id")
 
 
 def merged_vectors(s: SparkSession, d: str) -> DataFrame:
     """What is left of the vectors after a merge."""
     v = lens.vectors(s, d)
-    done = identity.merge(v.select("id", F.lit(None).cast("bigint").alias("merged_into"), F.lit(None).cast("timestamp").alias("updated_at")), duplicate_pairs(s, d), as_of())
+    done = identity.merge(v.select("id", F.lit(None).cast("bigint").alias("merged_into"), F.lit(None).cast("timestamp").alias("updated_at")), similar_pairs(s, d), as_of())
     return identity.live_vectors(v, done).select("id", "kind")
 
 
@@ -327,6 +327,14 @@ def entity_created(s: SparkSession, d: str) -> DataFrame:
     return made.select("name", "namespace", F.size("embedding").cast("bigint").alias("dimensions"), r(F.get("embedding", F.lit(0))).alias("first"), r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
+def entities_merged(s: SparkSession, d: str) -> DataFrame:
+    """Entities made of customers, which carry ids by content, merged where their vectors are alike."""
+    rows = table(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("entity_type"), F.concat(F.lit('{"nation": '), "c_nationkey", F.lit("}")).alias("attributes"))
+    made = identity.create_entities(rows, as_of(), 32)
+    pairs = identity.duplicate_pairs(made.select("id", F.col("entity_type").alias("kind"), "name", "created_at", F.col("embedding").alias("vec")), 0.7)
+    return identity.merge(made, pairs, as_of()).select("id", "merged_into")
+
+
 def bool_flip(s: SparkSession, d: str) -> DataFrame:
     """Whether an event's value is above 100 is the boolean that may flip."""
     rows = events(s, d).select("object_id", F.lit("high").alias("key"), "timestamp", "id", "action", (F.col("d_value") > 100).cast("string").alias("raw"))
@@ -461,7 +469,7 @@ def hybrid_recall(s: SparkSession, d: str) -> DataFrame:
     """Vectors and documents of one number are one memory; those whose number is divisible by 20 ask."""
     v, m = lens.vectors(s, d).withColumn("kind_", F.col("kind")).withColumn("kind", F.lit(0)), lens.memories(s, d)
     near = retrieval.vector_hits(v.select("id", "kind", "vec"), v.where("id % 20 = 0").select("id", "kind", "vec"), 40, 5)
-    words = retrieval.ranked(retrieval.keyword_relevance(m, asked(s, d)).withColumn("relevance", r(F.col("relevance"))), "relevance", 20)
+    words = retrieval.keyword_hits(m, asked(s, d), 20)
     edges = v.select("id", (F.col("kind_") / 4.0).alias("weight"))
     facts = m.select("id", F.when(F.col("namespace") == "en", F.col("confidence")).alias("importance"), F.when(F.col("namespace") != "fr", F.timestamp_seconds(F.lit(1700000000) + F.col("id") * 3600)).alias("last_accessed"))
     return retrieval.hybrid_recall(near, words, edges, facts, as_of(), digits=8)
@@ -624,5 +632,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         replay_verify_vectors, entity_provenance, transaction_mixed, events_created, state_upsert, prune_policy, prune_recover, prune_untrue, access_reinforced,
         weekly_merges, consolidation_replay, consolidation_count, consolidation_policy, entity_lookup, entity_created, statement_contradiction, topic_drift,
         transitive_upsert, path_confidence, relations_deleted, remember_events, remember_states, remember_relations, recall_faceted, recall_forgotten, extract_fields, event_messages, merged_vectors, named_entities,
+        entities_merged,
     ]
     return {f.__name__: f for f in found}
