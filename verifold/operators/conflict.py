@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import truth
+from ..sources.shared import frozen
 
 # What makes a text a denial, and what each denial is turned into before texts are compared.
 TRIGGERS = ("not ", "don't", "hate")
@@ -29,16 +30,54 @@ def denials(text: Column) -> Column:
     return F.when(trigger, F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
+#: Texts meet by the rarest of their runs of so many characters.
+GRAM = 4
+
+
+def runs_of(text: Column, n: int) -> Column:
+    """The runs of n characters of a text, the text itself if it is shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substring(text, i, F.lit(n)))
+
+
+def contained(inner: DataFrame, outer: DataFrame, by: str, size: int = GRAM) -> DataFrame:
+    """(by, inner, outer) of distinct texts (by, text) of one group where the first is a part of the second.
+
+    A text is known by one run of characters, the one that fewest of the outer texts of its group have; it meets those that
+    have the run, and only these are compared. Texts shorter than a run are known by all they are, an empty one is a part of
+    every text. Null texts are part of nothing; null groups are no group.
+    """
+    have = outer.where(F.col("text").isNotNull() & F.col(by).isNotNull()).select(by, "text").distinct()
+    asks = inner.where(F.col("text").isNotNull() & F.col(by).isNotNull()).select(by, "text").distinct()
+    tried = asks.select(by, "text", F.explode(F.array_distinct(runs_of(F.col("text"), size))).alias("gram"))
+    # shorter runs, and the empty one, only where a group asks for a text that short
+    short = asks.where(F.length("text") < size).select(by).distinct()
+    less = F.array_distinct(F.concat(F.array(F.lit("")), *[runs_of(F.col("text"), n) for n in range(1, size)]))
+    outers = have.select(by, F.col("text").alias("outer"), F.explode(F.array_distinct(runs_of(F.col("text"), size))).alias("gram")).where(F.length("gram") == size)
+    posted = outers.unionByName(have.join(short, by, "left_semi").select(by, F.col("text").alias("outer"), F.explode(less).alias("gram")))
+    wanted = frozen(posted.join(tried.select(by, "gram").distinct(), [by, "gram"], "left_semi"), "grams")
+    counts = wanted.groupBy(by, "gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a text with a run that nobody has is a part of nothing
+    known = tried.join(counts, [by, "gram"], "left").groupBy(by, "text").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0).cast("long")), "gram")).alias("gram"))
+    met = known.withColumnRenamed("text", "inner").join(wanted, [by, "gram"])
+    return met.where(F.col("outer").contains(F.col("inner"))).select(by, "inner", "outer")
+
+
 def textual(memories: DataFrame, by: str = "namespace") -> DataFrame:
     """Denials and the first earlier text of their namespace that says the denied: (namespace, id, other_id).
 
     Only denials look back, and only within a namespace; of the earlier texts that contain or are contained in a
-    candidate, the first by order counts. memories: namespace, id, ord, text.
+    candidate, the first by order counts. memories: namespace, id, ord, text. Texts that repeat are compared once, and
+    only those that share a rare run of characters are compared at all.
     """
-    asks = memories.select(by, "id", "ord", F.explode(denials(F.col("text"))).alias("p"))
-    told = memories.select(F.col(by).alias("_b"), F.col("id").alias("other_id"), F.col("ord").alias("_o"), F.lower("text").alias("_t"))
-    met = asks.join(told, (F.col(by) == F.col("_b")) & (F.col("_o") < F.col("ord")) & (F.col("_t").contains(F.col("p")) | F.col("p").contains(F.col("_t"))))
-    return met.groupBy(by, "id").agg(F.min_by("other_id", F.struct("_o", "other_id")).alias("other_id"))
+    said = memories.where(F.col("text").isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("_b"), "id", "ord", F.col("text").alias("_raw"), F.lower("text").alias("text"))
+    asks = said.select("_b", "id", "ord", F.explode(denials(F.col("_raw"))).alias("p"))
+    wants = asks.select("_b", F.col("p").alias("text"))
+    both = contained(wants, said, "_b").select("_b", F.col("inner").alias("p"), F.col("outer").alias("t"))
+    both = both.unionByName(contained(said, wants, "_b").select("_b", F.col("outer").alias("p"), F.col("inner").alias("t"))).distinct()
+    # one text may be said often: an ask needs its first time alone, the others are later
+    first = said.groupBy("_b", F.col("text").alias("t")).agg(F.min(F.struct("ord", "id")).alias("_f"))
+    met = asks.join(both.join(first, ["_b", "t"]), ["_b", "p"]).where(F.col("_f.ord") < F.col("ord"))
+    return met.groupBy(F.col("_b").alias(by), "id").agg(F.min_by("_f.id", "_f").alias("other_id"))
 
 
 def arbitration_score(rows: DataFrame) -> Column:

@@ -162,6 +162,9 @@ def word_in(alternatives: str) -> str:
     return f"regexp_matches(lower(coalesce(text, '')), '(^|[^\\pL\\pN_])({alternatives})($|[^\\pL\\pN_])')"
 
 
+MULTI = f"WITH {EV}, rows_ AS (SELECT object_id, 'value' AS key, timestamp, id, action, d_value AS num FROM ev UNION ALL SELECT object_id, 'k', timestamp, id, action, CAST(d_k AS DOUBLE) FROM ev WHERE d_k IS NOT NULL), {folded('rows_')} SELECT object_id, key, round(num, 4) AS value FROM st"
+
+
 def oracle_sql() -> dict[str, str]:
     after = days(AS_OF, "timestamp")
     classify = f"""CASE WHEN {word_in("i am|i''m|i live in|my name is")} THEN 'identity' WHEN {word_in("i prefer|my favorite|i like|i always|i usually")} THEN 'preference' ELSE 'event' END"""
@@ -179,7 +182,12 @@ SELECT p.namespace, p.id, arg_min(m.id, (m.ord, m.id)) AS other_id FROM p JOIN m
         "decay_curve": f"SELECT memory_type, day, round({fresh('1e0', 'day')}, 6) AS freshness FROM (SELECT unnest(['fact', 'preference', 'event', 'prediction', 'identity', 'other']) AS memory_type), (SELECT CAST(range AS BIGINT) AS day FROM range(0, 101, 10))",
         "merge_truth_vectors": f"WITH {EV} SELECT object_id, max(authority) AS authority, max(freshness) AS freshness, sum(corroboration) + count(*) - 1 AS corroboration, round(list_reduce(list(confidence ORDER BY timestamp, id), lambda x, y: (x * x + y * y) / (x + y)), 6) AS confidence FROM ev GROUP BY 1",
         "state_fold": f"WITH {EV}, {VAL}, {HEADS}, {folded('val')} SELECT object_id, round(num, 4) AS value, version, last_event_id, round({score()}, 6) AS score FROM st JOIN heads USING (object_id)",
-        "state_fold_multi_key": f"WITH {EV}, rows_ AS (SELECT object_id, 'value' AS key, timestamp, id, action, d_value AS num FROM ev UNION ALL SELECT object_id, 'k', timestamp, id, action, CAST(d_k AS DOUBLE) FROM ev WHERE d_k IS NOT NULL), {folded('rows_')} SELECT object_id, key, round(num, 4) AS value FROM st",
+        "state_fold_multi_key": MULTI,
+        "state_fold_runs": MULTI,
+        "state_timeline_runs": f"WITH {EV}, {VAL}, {segmented('val')} SELECT id, object_id, round(sum(part) OVER (PARTITION BY object_id, key, segment ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING), 4) AS value FROM seg",
+        "snapshot_before_event": f"WITH {EV}, {VAL}, {SNAP} SELECT e.id, e.object_id, s.id AS snapshot_id, round(s.num, 4) AS value FROM ev e ASOF LEFT JOIN snaps s ON e.object_id = s.object_id AND e.timestamp > s.timestamp",
+        "late_routes": f"""WITH {EV}, r AS (SELECT id, action, CASE WHEN id % 50 = 0 THEN 1100e0 WHEN id % 7 = 0 THEN 180e0 ELSE 0e0 END AS late FROM ev)
+SELECT CASE WHEN late <= 30 THEN 'accept' WHEN late <= 365 THEN 'approve' ELSE 'reject' END AS route, action, count(*) AS n, min(id) AS first_id, max(late) AS most_late FROM r GROUP BY 1, 2""",
         "state_timeline": f"WITH {EV}, {VAL}, {segmented('val')} SELECT id, object_id, segment, round(sum(part) OVER (PARTITION BY object_id, key, segment ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING), 4) AS value FROM seg",
         "state_as_of": f"WITH {EV}, {VAL}, early AS (SELECT * FROM val WHERE timestamp <= TIMESTAMP '2024-01-15 00:00:00'), {folded('early')} SELECT object_id, round(num, 4) AS value FROM st",
         "replay_verify": f"""WITH {EV}, {VAL}, early AS (SELECT * FROM val WHERE {early}), {folded('early', 'a')}, {folded('val', 'b')}, t1 AS (SELECT object_id, arg_max(memory_type, (timestamp, id)) AS t FROM ev WHERE {early} GROUP BY 1), t2 AS (SELECT object_id, arg_max(memory_type, (timestamp, id)) AS t FROM ev GROUP BY 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import truth
-from ..operators import conflict, graph, history, identity, maintain, memory, retrieval, state
+from ..operators import conflict, graph, history, identity, maintain, memory, retrieval, scan, state
 from ..sources import lens
 from ..sources.lens import as_of, events, table
 from ..sources.shared import frozen
@@ -59,6 +59,31 @@ def state_timeline(s: SparkSession, d: str) -> DataFrame:
     return state.timeline(lens.value_rows(events(s, d))).select("id", "object_id", F.col("seg").alias("segment"), r(F.col("state"), 4).alias("value"))
 
 
+def state_fold_runs(s: SparkSession, d: str) -> DataFrame:
+    """The fold of every entity and key, with runs of the log as its tasks."""
+    rows = state.long_form(events(s, d)).select("object_id", "key", "timestamp", "id", "action", "num", "raw")
+    return scan.fold(rows).select("object_id", "key", r(F.col("num"), 4).alias("value"))
+
+
+def state_timeline_runs(s: SparkSession, d: str) -> DataFrame:
+    return scan.timeline(lens.value_rows(events(s, d))).select("id", "object_id", r(F.col("state"), 4).alias("value"))
+
+
+def snapshot_before_event(s: SparkSession, d: str) -> DataFrame:
+    """Each event with its entity's latest daily snapshot before it."""
+    facts = snapshots(s, d).select("object_id", "timestamp", F.col("id").alias("snapshot_id"), r(F.col("num"), 4).alias("value"))
+    met = scan.as_of(events(s, d).select("id", "object_id", "timestamp"), facts)
+    return met.select("id", "object_id", F.col("fact.snapshot_id").alias("snapshot_id"), F.col("fact.value").alias("value"))
+
+
+def late_routes(s: SparkSession, d: str) -> DataFrame:
+    """Events as they would come if every seventh were half a year late and every fiftieth three years: what is done with each."""
+    ev = events(s, d)
+    late = F.when(F.col("id") % 50 == 0, F.expr("INTERVAL 1100 DAYS")).when(F.col("id") % 7 == 0, F.expr("INTERVAL 180 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    routed = ingest.routed(ev.select("id", "action", (F.col("timestamp") - late).alias("timestamp"), F.col("timestamp").alias("arrived")))
+    return routed.groupBy("route", "action").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), r(F.max("days_late")).alias("most_late"))
+
+
 def state_as_of(s: SparkSession, d: str) -> DataFrame:
     rows = state.as_of(lens.value_rows(events(s, d)), F.lit(MIDDLE).cast("timestamp"))
     return state.fold(rows).select("object_id", r(F.col("num"), 4).alias("value"))
@@ -632,6 +657,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         replay_verify_vectors, entity_provenance, transaction_mixed, events_created, state_upsert, prune_policy, prune_recover, prune_untrue, access_reinforced,
         weekly_merges, consolidation_replay, consolidation_count, consolidation_policy, entity_lookup, entity_created, statement_contradiction, topic_drift,
         transitive_upsert, path_confidence, relations_deleted, remember_events, remember_states, remember_relations, recall_faceted, recall_forgotten, extract_fields, event_messages, merged_vectors, named_entities,
-        entities_merged,
+        entities_merged, state_fold_runs, state_timeline_runs, snapshot_before_event, late_routes,
     ]
     return {f.__name__: f for f in found}

@@ -51,6 +51,39 @@ def delay_ms(level: Column) -> Column:
     return F.when(level > 0.8, 100).when(level > 0.5, 10).otherwise(0)
 
 
+# How late an event may be to be taken as it comes, and to be taken if someone approves.
+ACCEPT_DAYS, APPROVE_DAYS = 30, 365
+ROUTES = ("accept", "approve", "reject")
+
+
+def routed(events: DataFrame, at: str = "timestamp", arrived: str = "arrived", accept: int = ACCEPT_DAYS, approve: int = APPROVE_DAYS) -> DataFrame:
+    """events with days_late, how long after its time an event arrived, and route: accept, approve or reject.
+
+    Events of the future are on time; without a time or an arrival there is nothing to go by, and an event is rejected.
+    Works on streams and batches alike.
+    """
+    days = (F.unix_micros(F.col(arrived).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / F.lit(8.64e10)
+    late = F.greatest(F.lit(0.0), days)
+    return events.withColumn("days_late", F.when(days.isNotNull(), late)).withColumn("route", F.when(days.isNull() | (late > approve), "reject").when(late > accept, "approve").otherwise("accept"))
+
+
+def route_stream(events: DataFrame, path: str, checkpoint: str, key: str = "id", at: str = "timestamp", arrived: str = "arrived", accept: int = ACCEPT_DAYS, approve: int = APPROVE_DAYS, within: str = "1 day", every: str | None = None):
+    """A stream of events written by route below path, once per key: what may be folded, what waits for approval, what is turned away.
+
+    An event that is sent again within the delay of its arrival is dropped, by a watermark on arrivals, so that state is
+    kept for that long only; lateness is by event time, and no event is too late for a route. Returns the started query.
+    Read one route with route_of().
+    """
+    once = routed(events.withColumn(arrived, F.col(arrived).cast("timestamp")), at, arrived, accept, approve).withWatermark(arrived, within).dropDuplicatesWithinWatermark([key])
+    writer = once.writeStream.format("parquet").partitionBy("route").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def route_of(spark: SparkSession, path: str, route: str) -> DataFrame:
+    """What route_stream() sent one way."""
+    return spark.read.parquet(path).where(F.col("route") == route).drop("route")
+
+
 class Fold(StatefulProcessor):
     """Per entity, events are kept until the watermark passes them, then folded in event order."""
 
