@@ -70,6 +70,17 @@ def test_matches_brute_force(spark, how):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_words_keep_their_counts_under_narrow_hashes(spark):
+    """n-grams that share few bits take each other's counts, words never do."""
+    docs = corpus()
+    got = sorted(([*r] for r in lm.scores(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spare_bits=-9).collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    model = Plain([t for i, t in docs if not held(i)], lm.ORDER, least=lm.LEAST)
+    want = sorted(([i, held(i), *model.row(t)] for i, t in docs), key=lambda r: (r[0] is None, r[0] or 0))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], rel=1e-9)
+    assert any(abs(a[6] - b[6]) > 0.1 for a, b in zip(got, want))
+
+
 def test_probabilities_sum_to_one():
     """Over the vocabulary and one unknown word, in contexts that were seen and in some that weren't."""
     model = Plain([t for _, t in corpus()], 3)

@@ -35,7 +35,8 @@ from .common import crc_fold, frozen
 ORDER, MU, LEAST = 3, 4.0, 2
 #: A block is closed at so many tokens; memory follows it. A range of the exchange has about so many n-grams.
 BLOCK_TOKENS, PART_GRAMS, FAN = 1_000_000, 2_000_000, 512
-#: n-grams are exchanged by so many bits of their hash beyond those that number them: one in 2^22 meets another.
+#: n-grams of two words and more are exchanged by so many bits of their hash beyond those that number them: one in 2^22
+#: meets another. Words, whose counts the base score is made of, are exchanged by all of theirs but one.
 SPARE_BITS = 22
 #: Tokens that one lane reads of a text.
 STRETCH = 256
@@ -240,18 +241,25 @@ def _load(x: dict, order: int) -> tuple[np.ndarray, np.ndarray, Block]:
     return unpacked(x["doc_ids"]), flags, Block(unpacked(x["sizes"]), unpacked(x["tokens"]), unpacked(x["vocab"]).view(np.uint64), (flags & 1).astype(bool), order)
 
 
-def _part(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     """The range of each key; parts is a power of two."""
-    return (keys >> np.uint64(bits - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
+    return (keys >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
+
+
+def exchange_keys(hashes: list[np.ndarray], bits: int) -> np.ndarray:
+    """Keys of words, all odd, and of longer n-grams, all even and of so many bits at most, so that neither takes the other's count."""
+    drop = np.uint64(64 - bits)
+    longer = np.concatenate([np.zeros(0, np.uint64), *hashes[1:]]) >> drop << drop
+    return np.concatenate((hashes[0] | np.uint64(1), longer & ~np.uint64(1)))
 
 
 _KEY_SCHEMA = pa.schema([("part", pa.int64()), ("sender", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _TOTAL_SCHEMA = pa.schema([("sender", pa.int64()), ("part", pa.int64()), ("totals", pa.binary()), ("seen", pa.int64()), ("token_sum", pa.int64())])
 
 
-def _dealt(sender: int, keys: np.ndarray, what: np.ndarray, parts: int, span: int, bits: int) -> pa.Table:
+def _dealt(sender: int, keys: np.ndarray, what: np.ndarray, parts: int, span: int) -> pa.Table:
     """Sorted keys of a sender, cut at ranges of `span` parts each."""
-    own = _part(keys, parts, bits) // span
+    own = _part(keys, parts) // span
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)])) if len(own) else np.zeros(1, np.int64)
     rows = [(int(own[s]), sender, packed_keys(keys[s:e]), packed(what[s:e])) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
     return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_KEY_SCHEMA)], schema=_KEY_SCHEMA)
@@ -263,10 +271,11 @@ def key_writer(parts: int, span: int, bits: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.to_pylist():
-                keys, counts, word = _load(x, order)[2].grams()
-                keys = keys >> np.uint64(64 - bits)
+                block = _load(x, order)[2]
+                _, counts, word = block.grams()
+                keys = exchange_keys(block.hashes, bits)
                 at = np.argsort(keys, kind="stable")
-                yield from _dealt(x["block"], keys[at], counts[at] << 1 | word[at], parts, span, bits).to_batches()
+                yield from _dealt(x["block"], keys[at], counts[at] << 1 | word[at], parts, span).to_batches()
 
     return run
 
@@ -299,7 +308,7 @@ def totals_of_part(table: pa.Table) -> pa.Table:
     return _returned(table, keys, sums[at], seen, token_sum)
 
 
-def summed(sent: DataFrame, parts: int, span: int, senders: int, bits: int, fan: int) -> DataFrame:
+def summed(sent: DataFrame, parts: int, span: int, senders: int, fan: int) -> DataFrame:
     """TOTALS for rows of KEYS that were dealt by ranges of `span` parts: what a bundle of senders sent to a range is summed
     and dealt to `fan` smaller ranges, until a range is one part."""
     ranges = parts // span
@@ -309,7 +318,7 @@ def summed(sent: DataFrame, parts: int, span: int, senders: int, bits: int, fan:
 
     def bundle(table: pa.Table) -> pa.Table:
         _, kinds, _, sums, word = _joined(table)
-        return _dealt(table.column("bundle")[0].as_py(), kinds, sums << 1 | word, parts, below, bits)
+        return _dealt(table.column("bundle")[0].as_py(), kinds, sums << 1 | word, parts, below)
 
     def unbundle(down: pa.Table, up: pa.Table) -> pa.Table:
         keys, _, at, _, _ = _joined(down)
@@ -318,7 +327,7 @@ def summed(sent: DataFrame, parts: int, span: int, senders: int, bits: int, fan:
         return _returned(down, keys, own, sum(up.column("seen").to_pylist()), sum(up.column("token_sum").to_pylist()))
 
     sent = frozen(sent.withColumn("bundle", F.col("part") * bundles + F.pmod(F.xxhash64("sender"), F.lit(bundles))), "sent")
-    up = summed(sent.groupBy("bundle").applyInArrow(bundle, KEYS), parts, below, ranges * bundles, bits, fan)
+    up = summed(sent.groupBy("bundle").applyInArrow(bundle, KEYS), parts, below, ranges * bundles, fan)
     return frozen(sent.groupBy("bundle").cogroup(up.groupBy("sender")).applyInArrow(unbundle, TOTALS), "totals")
 
 
@@ -331,7 +340,7 @@ def scorer(n: int, v: int, mu: float, least: int, order: int, bits: int):
         found = np.concatenate([unpacked(t) for _, t in parts]) if parts else np.empty(0, np.int64)
         for x in left.to_pylist():
             ids, flags, block = _load(x, order)
-            keys = np.concatenate(block.hashes) >> np.uint64(64 - bits)
+            keys = exchange_keys(block.hashes, bits)
             totals = np.empty(len(keys), np.int64)
             totals[np.argsort(keys, kind="stable")] = found
             size, known, base, score = block.scores(totals, n, v, mu, least)
@@ -342,12 +351,13 @@ def scorer(n: int, v: int, mu: float, least: int, order: int, bits: int):
     return run
 
 
-def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, mu: float = MU, least: int = LEAST, block_tokens: int = BLOCK_TOKENS, part_grams: int = PART_GRAMS, fan: int = FAN) -> DataFrame:
+def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, mu: float = MU, least: int = LEAST, block_tokens: int = BLOCK_TOKENS, part_grams: int = PART_GRAMS, fan: int = FAN, spare_bits: int = SPARE_BITS) -> DataFrame:
     """Rows of SCORES, one for each row of docs, under a model of the documents whose fold isn't `held_out`.
 
     A null text is empty: one token, its end. A null id falls into the fold of the empty id. Rows that repeat count as
-    often as they stand. With no training document every count is 0. n-grams are known by hashes with SPARE_BITS bits
-    more than number them. Extra columns are not read; an empty table gives an empty result.
+    often as they stand. With no training document every count is 0. Words are known by 63 bits of their hash, whatever the
+    size of the corpus, so that base_score has their own counts; longer n-grams by spare_bits more than number them, so that
+    one in 2 ** spare_bits takes another's count in score. Extra columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_fold(F.col("doc_id"), folds) == held_out).alias("held"))
     blocks = frozen(rows.mapInArrow(block_writer(block_tokens, order), BLOCKS), "blocks")
@@ -355,11 +365,11 @@ def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, order:
     if not grams:
         return docs.sparkSession.createDataFrame([], SCORES)
     parts = 1 << max(0, math.ceil(math.log2(grams / part_grams)))
-    bits = min(64, grams.bit_length() + SPARE_BITS)
+    bits = max(1, min(63, grams.bit_length() + spare_bits))
     span = 1
     while parts // span > fan:
         span *= fan
     sent = blocks.mapInArrow(key_writer(parts, span, bits, order), KEYS)
-    totals = summed(sent, parts, span, senders, bits, fan)
+    totals = summed(sent, parts, span, senders, fan)
     v, n = totals.agg(F.sum("seen"), F.sum("token_sum")).first()
     return blocks.groupBy("block").cogroup(totals.select("sender", "part", "totals").groupBy("sender")).applyInArrow(scorer(n, v, mu, least, order, bits), SCORES)
