@@ -114,7 +114,8 @@ def test_sets_match_a_loop():
         main = rnd.integers(0, 4, rnd.integers(1, 4))
         docs.append(np.array([rnd.normal(-20, 1, 4) + 4 * (np.arange(4) == rnd.choice(main)) for _ in range(rnd.integers(1, 40))], np.float32))
     sizes = np.array([len(d) for d in docs])
-    lang, share = langid.infer(np.concatenate(docs), sizes)
+    lang, share, sets = langid.infer(np.concatenate(docs), sizes)
+    assert sets.sum(1) == pytest.approx(np.ones(len(docs))) and sets.max(1) == pytest.approx(share) and ((sets > 0).sum(1) > 1).any()
     want = [plain_infer(d.astype(float).tolist()) for d in docs]
     assert lang.tolist() == [k for k, _ in want]
     assert share == pytest.approx([x for _, x in want], rel=1e-3)
@@ -135,7 +136,15 @@ def test_small_batches_and_many_languages(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([True] * len(texts)), texts], names=["a", "b", "c"])
     run = lambda cells: [r for b in langid.predictor(*model, langid.PENALTY, cells)([batch]) for r in b.to_pylist()]
     assert run(1 << 22) == run(60)
-    assert langid.buckets_for(4) == langid.BUCKETS and langid.buckets_for(600) == 8192 and langid.buckets_for(10**5) == langid.LEAST_BUCKETS
+    # likelihoods, and so verdicts, are the same beside 297 more languages
+    more = [(10_000 + 3 * k + j, " ".join("".join("bcdfghjklm"[int(c)] + "aeiou"[int(c) % 5] for c in f"{k * 7919 % 1000:03d}") for _ in range(30)), f"z{k:03d}") for k in range(297) for j in range(3)]
+    names, table = langid.train(df.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string")))
+    assert len(names) > 280 and len(table) == len(model[1]) == langid.BUCKETS
+    assert np.array_equal(table[:, [names.index(n) for n in model[0]]], model[1])
+    beside = [r for b in langid.predictor(names, table, langid.PENALTY)([batch]) for r in b.to_pylist()]
+    alone = run(1 << 22)
+    assert [r["lang_pred"] for r in beside[: len(out)]] == [r["lang_pred"] for r in alone[: len(out)]]
+    assert all(r["languages"][:1] == [r["lang_pred"]] and abs(sum(r["shares"]) - 1) < 1e-6 for r in alone if r["lang_pred"] != "und")
     # 600 languages of a word each
     word = lambda k: "".join("bcdfghjklm"[int(c)] + "aeiou"[int(c) % 5] for c in f"{k * 7919 % 1000:03d}") + "x" * (k % 7)
     rows = [(3 * k + j, " ".join([word(k)] * 5), f"l{k:03d}") for k in range(600) for j in range(6)]

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, frozen
 
-#: Trigram buckets; many languages share a model of at most MODEL_CELLS cells, with fewer buckets each.
-BUCKETS, LEAST_BUCKETS, MODEL_CELLS = 1 << 16, 1 << 8, 1 << 23
+#: Trigram buckets of a language, however many languages there are: 64 kB each in the model that every task gets.
+BUCKETS = 1 << 14
+#: What a task sums up of the training texts before it hands it on.
+COUNTED_CELLS = 1 << 23
 FOLDS, HELD_OUT = 3, 1
 #: At most so many labelled documents of a language are learned from, those whose ids hash lowest.
 TRAIN_ROWS = 1500
@@ -93,26 +95,19 @@ def count_trigrams(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             for k, name in enumerate(lang.dictionary.to_pylist()):
                 code, _ = trigrams(tokenised(x.column(1).filter(pa.array(own == k)))[1], buckets)
                 sums[name] = sums.get(name, 0) + np.bincount(code, minlength=buckets)
-                if len(sums) * buckets > MODEL_CELLS:
+                if len(sums) * buckets > COUNTED_CELLS:
                     yield from flush()
         yield from flush()
 
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def buckets_for(languages: int) -> int:
-    """Buckets of a model of so many languages: as many as MODEL_CELLS allows, from LEAST_BUCKETS to BUCKETS."""
-    return max(LEAST_BUCKETS, min(BUCKETS, 1 << (MODEL_CELLS // max(1, languages)).bit_length() - 1)) if languages <= MODEL_CELLS else LEAST_BUCKETS
-
-
 def train(docs: DataFrame, **how) -> tuple[list[str], np.ndarray]:
     """The languages by name and their log-likelihoods per bucket, smoothed by 1/2.
 
-    The driver gets at most MODEL_CELLS counts, as long as there are fewer than MODEL_CELLS / LEAST_BUCKETS languages.
+    The driver gets BUCKETS counts a language at most.
     """
-    rows = frozen(training_rows(docs, **how), "training-texts")
-    languages = rows.select("lang").distinct().count()
-    buckets = buckets_for(languages)
+    rows, buckets = frozen(training_rows(docs, **how), "training-texts"), BUCKETS
     found = count_trigrams(rows, buckets).toArrow()
     lang = found.column("lang").combine_chunks().dictionary_encode()
     names = sorted(lang.dictionary.to_pylist())
@@ -143,8 +138,8 @@ def fit(like: np.ndarray, first: np.ndarray, doc: np.ndarray, allowed: np.ndarra
     return share, np.add.reduceat(total * times, first)
 
 
-def infer(like: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Language and share of documents that have `sizes` > 0 rows of like each, rows standing for `times` words.
+def infer(like: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, its share and the shares of the whole chosen set, 0 outside it, of documents that have `sizes` > 0 rows of like each, rows standing for `times` words.
 
     Sets grow from the best single language by the languages' shares in the full mixture; a set of k costs
     penalty * (k - 1) * ln(words) / 2. Growth ends where a document's penalised likelihood falls.
@@ -157,8 +152,10 @@ def infer(like: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY, rounds:
     sums = np.add.reduceat(like.astype(np.float64) * times[:, None], first)
     rows = np.arange(len(sizes))
     best_lang, best_share, best_value = sums.argmax(1), np.ones(len(sizes)), sums.max(1)
+    best_set = np.zeros((len(sizes), k))
+    best_set[rows, best_lang] = 1
     if k == 1:
-        return best_lang, best_share
+        return best_lang, best_share, best_set
     full, _ = fit(like, first, doc, np.ones((len(sizes), k)), rounds, times)
     full[rows, best_lang] += 2  # the best single language comes first
     order = np.argsort(-full, axis=1, kind="stable")
@@ -175,21 +172,22 @@ def infer(like: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY, rounds:
         value = value - penalty * (size - 1) * np.log(words[at] + 1) / 2
         better = value > best_value[at]
         win = at[better]
-        best_value[win], best_lang[win], best_share[win] = value[better], share[better].argmax(1), share[better].max(1)
+        best_value[win], best_lang[win], best_share[win], best_set[win] = value[better], share[better].argmax(1), share[better].max(1), share[better]
         open_[at[~better]] = False
-    return best_lang, best_share
+    return best_lang, best_share, best_set
 
 
 def predictor(names: list[str], table: np.ndarray, penalty: float, cells: int = BATCH_CELLS):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
     buckets = len(table)
 
-    def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Language and share of each text."""
+    def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list, list]:
+        """Language and share of each text, and the chosen set with its shares, the largest first."""
         sizes, words = tokenised(texts)
         lang, score = np.full(len(sizes), "und", object), np.zeros(len(sizes))
+        sets, shares = [[] for _ in sizes], [[] for _ in sizes]
         if not len(words) or not names:
-            return lang, score
+            return lang, score, sets, shares
         kinds = words.dictionary_encode()
         code, n = trigrams(kinds.dictionary, buckets)
         kind = np.empty((len(n), len(names)), np.float32)  # a word's likelihood, once for all its places
@@ -212,27 +210,33 @@ def predictor(names: list[str], table: np.ndarray, penalty: float, cells: int =
         starts = np.concatenate(([0], np.cumsum(each)))
         for s, e in zip(cuts, [*cuts[1:], len(each)]):
             rows = slice(int(starts[s]), int(starts[e]))
-            best, share = infer(kind[word[rows]], each[s:e], penalty, times=times[rows])
+            best, share, chosen = infer(kind[word[rows]], each[s:e], penalty, times=times[rows])
             lang[has[s:e]], score[has[s:e]] = np.array(names, object)[best], share
-        return lang, score
+            for d, own in zip(has[s:e].tolist(), chosen):
+                order = np.argsort(-own, kind="stable")[: np.count_nonzero(own)]
+                sets[d], shares[d] = [names[i] for i in order], own[order].tolist()
+        return lang, score, sets, shares
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for at in range(0, x.num_rows, 128):
                 s = x.slice(at, 128)
-                lang, score = of(s.column(2))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], schema=schema)
+                lang, score, sets, shares = of(s.column(2))
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(sets, schema.field(4).type), pa.array(shares, schema.field(5).type)], schema=schema)
 
     return run
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, folds: int = FOLDS, held_out: int = HELD_OUT, penalty: float = PENALTY) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), one row for each row of docs, from its text alone.
+    """(doc_id, held_out, lang_pred, score, languages, shares), one row for each row of docs, from its text alone.
+
+    languages is the set that the penalised likelihood selects, shares their parts of the text, the largest first.
 
     lang_pred is `und` with score 0 for a null text, one without a letter, and wherever no language was learned; else the
     language with the largest share in the chosen set, ties to the first by name. A null id is kept and falls into the
-    fold of the empty id. The model is at most MODEL_CELLS floats and goes to every task; no language is left out.
+    fold of the empty id. The model, BUCKETS floats a language, goes to every task; no language is left out, and a
+    language's likelihoods don't depend on how many others there are.
     """
     names, table = model or train(docs, folds=folds, held_out=held_out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(predictor(names, table, penalty), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(predictor(names, table, penalty), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
