@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import component_ids, connected_components, frozen, private, shuffle_width
@@ -36,7 +36,11 @@ SEED = 42
 
 #: near_copies(): shingle widths of the guide and of the checked bits, 64-bit words of the latter, radii of both.
 GUIDE_SHINGLE, SHINGLE, WIDE = 2, 5, 4
-GUIDE_RADIUS, WIDE_RADIUS = 14, 50
+GUIDE_RADIUS, WIDE_RADIUS = 16, 56
+#: The similarity of the shingles themselves that a link needs, and how many of its nearest rows a row is checked against.
+LEAST_SIMILARITY, CHECKED = 0.8, 6
+#: Links that one task checks.
+LINKS = 4096
 #: Share of a guide's bits that near copies typically differ in, and the recall that the number of cells is set for.
 FLIP, CELL_RECALL = 0.1, 0.98
 GUIDE = "g"
@@ -254,22 +258,27 @@ def guide_and_wide(w: np.ndarray) -> list[int]:
     return [int(majority_bits(h)) for h in (shingle_hashes(w, GUIDE_SHINGLE), *(_mixed(five + np.uint64(k + 1)) for k in range(WIDE)))]
 
 
+def _word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text the hashes of its words, A-Z lower-cased."""
+    # lowered before the cast: ascii_lower misreads a slice that was cast
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()))
+    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    d = pc.list_flatten(split).cast(pa.large_binary()).dictionary_encode()
+    own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in d.dictionary.to_pylist()), np.uint64, len(d.dictionary))
+    empty = np.array([len(w) == 0 for w in d.dictionary.to_pylist()], bool)  # what splitting leaves at a text's edges
+    code = d.indices.to_numpy()
+    ends = np.cumsum(sizes)
+    return [own[c[~empty[c]]] for c in (code[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist()))]
+
+
 def _guides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), *[(c, pa.int64()) for c in (GUIDE, *WORDS)]])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), *[(c, pa.int64()) for c in (GUIDE, *WORDS)]])
     for x in batches:
         for at in range(0, x.num_rows, 256):
             s = x.slice(at, 256)
-            # lowered before the cast: ascii_lower misreads a slice that was cast
-            split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(s.column(1), "")).cast(pa.large_string()))
-            sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-            d = pc.list_flatten(split).cast(pa.large_binary()).dictionary_encode()
-            own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in d.dictionary.to_pylist()), np.uint64, len(d.dictionary))
-            empty = np.array([len(w) == 0 for w in d.dictionary.to_pylist()], bool)  # what splitting leaves at a text's edges
-            code = d.indices.to_numpy()
-            ends = np.cumsum(sizes)
-            rows = [guide_and_wide(own[c[~empty[c]]]) for c in (code[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist()))]
+            rows = [guide_and_wide(w) for w in _word_hashes(s.column(2))]
             bits = np.array(rows, np.uint64).reshape(len(rows), 1 + WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([s.column(0), *[pa.array(bits[:, k]) for k in range(1 + WIDE)]], schema=schema)
+            yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), *[pa.array(bits[:, k]) for k in range(1 + WIDE)]], schema=schema)
 
 
 def choices_for(n: int) -> list[int]:
@@ -305,35 +314,41 @@ def spanning(rows: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _copy_edges(few: int = 32):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _candidates(few: int = 32, nearest: int = CHECKED):
+    """Of rows (key, node, bits) that come by cells: pairs of nodes that are near by their bits, with their distance.
+
+    In cells of a few rows all such pairs; in larger ones those that span the groups, and each grouped row's nearest.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
+
+    def grouped(bits: np.ndarray) -> tuple[list[int], list[int]]:
+        pairs = spanning(bits)
+        own = np.unique(np.array(pairs, np.int64).ravel())
+        for i in own.tolist():
+            d = np.bitwise_count(bits[own, 1:] ^ bits[i, 1:]).sum(1, dtype=np.int64)
+            near = np.argsort(d, kind="stable")[: nearest + 1]
+            pairs += [(i, int(j)) for j in own[near[_near(bits[own[near]], bits[i])]] if j != i]
+        return [i for i, _ in pairs], [j for _, j in pairs]
 
     def settle(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
         size = ends - starts
-        small = np.repeat(size <= few, size)
-        a, b, root = [], [], {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
-        at = np.flatnonzero(small)
+        a, b = [], []
+        at = np.flatnonzero(np.repeat(size <= few, size))
         for k in range(1, min(few, int(size.max()))):  # small cells: all rows against those k places on
             at = at[at + k < len(key)]
             at = at[key[at + k] == key[at]]
-            for i in at[_near(bits[at], bits[at + k])].tolist() if len(at) else ():
-                if (x := find(i)) != (y := find(i + k)):
-                    root[x] = y
-                    a.append(i)
-                    b.append(i + k)
+            hit = at[_near(bits[at], bits[at + k])] if len(at) else at
+            a += hit.tolist()
+            b += (hit + k).tolist()
         for s, e in zip(starts[size > few].tolist(), ends[size > few].tolist()):
-            pairs = spanning(bits[s:e])
-            a += [s + i for i, _ in pairs]
-            b += [s + j for _, j in pairs]
-        return pa.RecordBatch.from_arrays([pa.array(node[np.array(v, np.int64)]) for v in (a, b)], schema=schema)
+            one, two = grouped(bits[s:e])
+            a += [s + i for i in one]
+            b += [s + j for j in two]
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        d = np.bitwise_count(bits[x, 1:] ^ bits[y, 1:]).sum(1, dtype=np.int32) if len(x) else np.zeros(0, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(d)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((0, 3 + WIDE), np.int64)
@@ -349,24 +364,81 @@ def _copy_edges(few: int = 32):
     return run
 
 
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of rows (node, text): the distinct hashes of a text's shingles, sorted."""
+    for x in batches:
+        for at in range(0, x.num_rows, 256):
+            s = x.slice(at, 256)
+            sets = [np.unique(shingle_hashes(w, SHINGLE)).tobytes() for w in _word_hashes(s.column(1))]
+            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+
+def _alike(least: float):
+    """Links (a, b) among those of (key, a, b, shingles of a) whose shingles are as similar as that, with (key, b, shingles of b)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = {b: np.frombuffer(x, np.uint64) for b, x in zip(right.column(1).to_pylist(), right.column(2).to_pylist(), strict=True)}
+        kept = []
+        for a, b, x in zip(*(left.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            one, two = np.frombuffer(x, np.uint64), held[b]
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            if both >= least * (len(one) + len(two) - both):
+                kept.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
+
+    return run
+
+
+def checked_links(links: DataFrame, texts: DataFrame, least: float = LEAST_SIMILARITY, most: int = LINKS) -> DataFrame:
+    """The links (a, b) whose texts have a Jaccard similarity of `least` or more in their five-word shingles.
+
+    texts: (node, text), a text of each node. A node's shingles travel once for each of its links as a, and once for each
+    task that checks links to it as b: the links of a node that many are linked to are dealt out.
+    """
+    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = frozen(texts.join(wanted, "node", "left_semi").mapInArrow(_shingle_sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    ends = links.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
+    tasks = max(1, math.ceil(links.count() / most))
+    key = lambda b, salt: F.pmod(F.xxhash64(b, salt), F.lit(tasks))
+    dealt = links.join(ends, "b").select("a", "b", key("b", F.pmod(F.xxhash64("a"), "_parts")).alias("key"))
+    left = dealt.join(sets.select(F.col("node").alias("a"), "shingles"), "a").select("key", "a", "b", "shingles")
+    each = ends.select("b", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda i: key("b", i))).alias("key_b")).distinct()
+    right = each.join(sets.select(F.col("node").alias("b"), "shingles"), "b").select("key_b", F.col("b").alias("b_r"), F.col("shingles").alias("shingles_r"))
+    return left.groupBy("key").cogroup(right.groupBy("key_b")).applyInArrow(_alike(least), "a long, b long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
     """Rows (id, component_id), one for each row of docs: near copies by five-word shingles at a similarity of 0.8 or more.
 
-    Two texts are linked if their guides differ in GUIDE_RADIUS or fewer bits and their five-word bits in WIDE_RADIUS or
-    fewer, which 95 of 100 pairs of similarity 0.8 do, and if they meet in a cell. Nulls, wordless texts, ties, repeated
-    rows and empty tables are as in near_duplicates(). Rows are known by a 64-bit hash of their fingerprints.
+    Candidates meet in cells, their guides differing in GUIDE_RADIUS or fewer bits and their five-word bits in WIDE_RADIUS or
+    fewer; of each row the CHECKED nearest, and in a cell of more than `block` rows its pivot, are checked on the shingles
+    themselves, so that no link is below the similarity, and only texts in a component through such links are copies. Nulls,
+    wordless texts, ties, repeated rows and empty tables are as in near_duplicates(). Rows are known by a 64-bit hash of
+    their fingerprints.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     bits = ", ".join(f"{c} long" for c in (GUIDE, *WORDS))
-    rows = frozen(text.mapInArrow(_guides, f"id long, {bits}").withColumn("node", F.xxhash64(GUIDE, *WORDS)), "guides")
-    kinds = frozen(rows.groupBy("node", GUIDE, *WORDS).agg(F.min("id").alias("first_id")), "distinct-guides")
+    rows = frozen(text.mapInArrow(_guides, f"id long, text_hash long, {bits}").withColumn("node", F.xxhash64(GUIDE, *WORDS)), "guides")
+    kinds = frozen(rows.groupBy("node", GUIDE, *WORDS).agg(F.min("id").alias("first_id"), F.min(F.struct("id", "text_hash")).alias("one")), "distinct-guides")
 
     def linked(x: Column, y: Column) -> Column:
         bits = [F.bit_count(x[c].bitwiseXOR(y[c])) for c in (GUIDE, *WORDS)]
         return (bits[0] <= GUIDE_RADIUS) & (sum(bits[2:], bits[1]) <= WIDE_RADIUS)
 
-    met, known = met_in_cells(kinds.drop("first_id"), embedding(F.col(GUIDE)), choices_for(kinds.count()), ["node", GUIDE, *WORDS], block, linked)
-    parts = connected_components(with_known(met.mapInArrow(_copy_edges(), "a long, b long"), known))
+    met, pivots = met_in_cells(kinds.drop("first_id", "one"), embedding(F.col(GUIDE)), choices_for(kinds.count()), ["node", GUIDE, *WORDS], block, linked)
+    pairs = frozen(met.mapInArrow(_candidates(), "a long, b long, d int"), "candidates")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).where("a <> b").distinct()
+    w = Window.partitionBy("a").orderBy("d", "b")
+    near = with_known(both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= CHECKED).select("a", "b"), pivots)
+    once = frozen(near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "pairs")
+    busy = once.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    weighed = once.join(busy.toDF("x", "_x"), "x").join(busy.toDF("y", "_y"), "y")
+    more = F.col("_x") > F.col("_y")  # b is the end with more links, which are dealt out
+    links = frozen(weighed.select(F.when(more, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(more, F.col("x")).otherwise(F.col("y")).alias("b")), "links")
+    used = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = kinds.join(used, "node", "left_semi").select("node", "one")
+    shown = text.join(first, F.col("id").eqNullSafe(F.col("one.id")) & (F.col("text_hash") == F.col("one.text_hash"))).select("node", "text")
+    parts = connected_components(checked_links(links, shown))
     named = frozen(component_ids(kinds.groupBy("node").agg(F.min("first_id").alias("first_id")), parts), "components")
     return rows.join(named, "node").select("id", "component_id")
 
