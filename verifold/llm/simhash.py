@@ -36,13 +36,13 @@ SEED = 42
 
 #: near_copies(): shingle widths of the guide and of the checked bits, 64-bit words of the latter, radii of both.
 GUIDE_SHINGLE, SHINGLE, WIDE = 2, 5, 4
-GUIDE_RADIUS, WIDE_RADIUS = 16, 56
+GUIDE_RADIUS, WIDE_RADIUS = 18, 60
 #: The similarity of the shingles themselves that a link needs, and how many of its nearest rows a row is checked against.
 LEAST_SIMILARITY, CHECKED = 0.8, 6
 #: Links that one task checks.
 LINKS = 4096
 #: Share of a guide's bits that near copies typically differ in, and the recall that the number of cells is set for.
-FLIP, CELL_RECALL = 0.1, 0.98
+FLIP, CELL_RECALL = 0.12, 0.99
 GUIDE = "g"
 WORDS = tuple(f"w{k}" for k in range(WIDE))
 
