@@ -314,10 +314,10 @@ def spanning(rows: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(few: int = 32, nearest: int = CHECKED):
+def _candidates(few: int = 8):
     """Of rows (key, node, bits) that come by cells: pairs of nodes that are near by their bits, with their distance.
 
-    In cells of a few rows all such pairs; in larger ones those that span the groups, and each grouped row's nearest.
+    In cells of a few rows all such pairs; in larger ones those that span the groups, and each grouped row with its nearest.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
 
@@ -326,9 +326,12 @@ def _candidates(few: int = 32, nearest: int = CHECKED):
         own = np.unique(np.array(pairs, np.int64).ravel())
         for i in own.tolist():
             d = np.bitwise_count(bits[own, 1:] ^ bits[i, 1:]).sum(1, dtype=np.int64)
-            near = np.argsort(d, kind="stable")[: nearest + 1]
-            pairs += [(i, int(j)) for j in own[near[_near(bits[own[near]], bits[i])]] if j != i]
-        return [i for i, _ in pairs], [j for _, j in pairs]
+            d[np.searchsorted(own, i)] = 1 << 20
+            j = int(own[d.argmin()])
+            if _near(bits[j : j + 1], bits[i])[0]:
+                pairs.append((i, j))
+        kept = {(min(p), max(p)) for p in pairs}
+        return [i for i, _ in kept], [j for _, j in kept]
 
     def settle(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.diff(key)) + 1
