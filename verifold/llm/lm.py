@@ -70,12 +70,19 @@ def unpacked(b: bytes) -> np.ndarray:
 
 
 def packed_keys(x: np.ndarray) -> bytes:
-    """Sorted unsigned hashes, by their differences."""
-    return packed(np.diff(x, prepend=np.uint64(0)).view(np.int64))
+    """Sorted exchange_keys() by their differences: those of longer n-grams without the bits that all of them lack, then those of words."""
+    odd = (x & np.uint64(1)).astype(bool)
+    longer, words = x[~odd], x[odd]
+    used = int(np.bitwise_or.reduce(longer)) if len(longer) else 0
+    drop = (used & -used).bit_length() - 1 if used else 0
+    one, two = (packed(np.diff(k, prepend=np.uint64(0)).view(np.int64)) for k in (longer >> np.uint64(drop), words))
+    return bytes([drop]) + len(one).to_bytes(8, "little") + one + two
 
 
 def unpacked_keys(b: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(b).view(np.uint64), dtype=np.uint64)
+    at = 9 + int.from_bytes(b[1:9], "little")
+    longer, words = (np.cumsum(unpacked(x).view(np.uint64), dtype=np.uint64) for x in (b[9:at], b[at:]))
+    return np.sort(np.concatenate((longer << np.uint64(b[0]), words)), kind="stable")
 
 
 def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
