@@ -255,9 +255,10 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def exchange_keys(hashes: list[np.ndarray], bits: int) -> np.ndarray:
     """Keys of words, all odd, and of longer n-grams, all even and of so many bits at most, so that neither takes the other's count."""
-    drop = np.uint64(64 - bits)
-    longer = np.concatenate([np.zeros(0, np.uint64), *hashes[1:]]) >> drop << drop
-    return np.concatenate((hashes[0] | np.uint64(1), longer & ~np.uint64(1)))
+    out = np.concatenate(hashes)
+    out[: len(hashes[0])] |= np.uint64(1)
+    out[len(hashes[0]) :] &= np.uint64((1 << 64) - (1 << (64 - bits)))  # bits are 63 at most
+    return out
 
 
 _KEY_SCHEMA = pa.schema([("part", pa.int64()), ("sender", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -279,8 +280,9 @@ def key_writer(parts: int, span: int, bits: int, order: int):
         for b in batches:
             for x in b.to_pylist():
                 block = _load(x, order)[2]
-                _, counts, word = block.grams()
+                counts, word = block.grams()[1:]
                 keys = exchange_keys(block.hashes, bits)
+                del block  # the larger part of what a task holds
                 at = np.argsort(keys, kind="stable")
                 yield from _dealt(x["block"], keys[at], counts[at] << 1 | word[at], parts, span).to_batches()
 
