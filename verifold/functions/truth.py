@@ -76,11 +76,10 @@ def merged(events: DataFrame, by: str = "object_id") -> DataFrame:
     return g.withColumn("confidence", F.aggregate(rest, first, lambda acc, x: merge_confidence(acc, x["confidence"]))).drop("_o")
 
 
-def decay_curve(spark: SparkSession, days: int = 100, kinds: tuple[str, ...] = (*RATES, "other")) -> DataFrame:
-    """Freshness of a fully fresh fact of each type at eleven points in time."""
+def decay_curve(facts: DataFrame, days: int = 100) -> DataFrame:
+    """(memory_type, day, freshness) at eleven points in time: how a fully fresh fact of each type that occurs in facts decays."""
     step = max(1, days // 10)
-    base = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in kinds])).alias("memory_type"))
-    each = base.select("memory_type", F.explode(F.sequence(F.lit(0), F.lit(days), F.lit(step))).alias("day"))
+    each = facts.select("memory_type").distinct().select("memory_type", F.explode(F.sequence(F.lit(0), F.lit(days), F.lit(step))).alias("day"))
     return each.select("memory_type", F.col("day").cast("long").alias("day"), freshness(F.lit(1.0), F.col("day").cast("double"), F.col("memory_type")).alias("freshness"))
 
 
@@ -89,6 +88,11 @@ def faded(events: DataFrame, by: float = 0.01) -> DataFrame:
     return events.withColumn("freshness", F.col("freshness") * (1 - by))
 
 
+def faded_count(events: DataFrame) -> DataFrame:
+    """One row: how many facts have a freshness that fading lowers."""
+    return events.agg(F.count_if(F.col("freshness") > 0).alias("decayed"))
+
+
 def valid_vector(prefix: str = "") -> Column:
     """Whether confidence, authority and freshness lie in [0, 1] and corroboration isn't negative."""
     c, a, f, r = (F.col(prefix + p) for p in PARTS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import truth
 from ..sources.shared import frozen
+from . import identity
 
 # What makes a text a denial, and what each denial is turned into before texts are compared.
 TRIGGERS = ("not ", "don't", "hate")
@@ -114,6 +115,54 @@ def drifted(text: Column, domain: Column, forbidden: dict[str, list[str]]) -> Co
     return out
 
 
+def _sound() -> Column:
+    """Whether vec has components, all of them finite."""
+    each = F.forall(F.col("vec").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce((F.size("vec") > 0) & each, F.lit(False))
+
+
+def _sums(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., dims, pos, total, n) of the vectors in rows: partial sums per task, so that a shuffle carries as many numbers as there are centroids."""
+    each = rows.where(_sound()).select(*by, F.size("vec").alias("dims"), F.posexplode(F.col("vec").cast("array<double>")).alias("pos", "x"))
+    return each.groupBy(*by, "dims", "pos").agg(F.sum("x").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def _vector(value: Column) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("pos", value.alias("x")))), lambda e: e["x"])
+
+
+def past_centroids(rows: DataFrame) -> DataFrame:
+    """(domain, dims, window, n, now, before_n, before) of rows (domain, window, vec): the centroid of each window of a
+    domain, and that of all its windows before, null in the first. Windows may be of any type that has an order.
+
+    Vectors of different lengths are different domains; those that are null or empty or hold anything not finite take no part.
+    """
+    w = Window.partitionBy("domain", "dims", "pos").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    run = _sums(rows, ["domain", "window"]).withColumn("past", F.sum("total").over(w)).withColumn("past_n", F.sum("n").over(w))
+    g = run.groupBy("domain", "dims", "window").agg(F.max("n").alias("n"), _vector(F.col("total") / F.col("n")).alias("now"), F.max("past_n").alias("before_n"), _vector(F.col("past") / F.col("past_n")).alias("before"))
+    return g.withColumn("before", F.when(F.col("before_n").isNotNull(), F.col("before")))
+
+
+def centroid_drift(rows: DataFrame, most: float = 0.3) -> DataFrame:
+    """(domain, dims, window, n, distance, drifted): how far, by cosine distance, a window's centroid is from that of all before it.
+
+    A domain's first window has no distance and hasn't drifted; nor has one whose centroid, or that before it, is zero.
+    """
+    d = past_centroids(rows).withColumn("distance", F.when(F.col("before").isNotNull(), 1 - identity.cosine(F.col("now"), F.col("before"))))
+    return d.select("domain", "dims", "window", "n", "distance", F.coalesce(F.col("distance") > most, F.lit(False)).alias("drifted"))
+
+
+def strays(rows: DataFrame, most: float = 1.0) -> DataFrame:
+    """rows (domain, window, vec, ...) with distance, from the centroid of their domain's earlier windows, and quarantined if that is above `most`.
+
+    Rows of a first window, and those whose vector takes no part, have no distance and pass.
+    """
+    past = past_centroids(rows).where("before is not null").select(F.col("domain").alias("_d"), F.col("window").alias("_w"), F.col("dims").alias("_n"), F.col("before").alias("_past"))
+    met = rows.join(past, (F.col("domain") == F.col("_d")) & (F.col("window") == F.col("_w")) & (F.size("vec") == F.col("_n")), "left")
+    far = F.when(F.col("_past").isNotNull() & _sound(), 1 - identity.cosine(F.col("vec"), F.col("_past")))
+    return met.withColumn("distance", far).withColumn("quarantined", F.coalesce(F.col("distance") > most, F.lit(False))).drop("_d", "_w", "_n", "_past")
+
+
 def violations(state: DataFrame, keys: list[str]) -> DataFrame:
     """State rows (object_id, key, num) that are negative where they must not be."""
     return state.where(F.col("key").isin(keys) & (F.col("num") < 0))

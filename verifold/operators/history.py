@@ -101,3 +101,32 @@ def transactions(roots: DataFrame, known: DataFrame) -> DataFrame:
 def provenance(events: DataFrame, ids: DataFrame) -> DataFrame:
     """(object_id, chain) of the entities asked for (rows object_id): the ids of their events in time order."""
     return ancestry(events.join(ids.select("object_id").distinct(), "object_id", "left_semi")).select("object_id", "chain")
+
+
+#: Two lanes of 60 bits of an id's MD5; a set's hash is the sum of its ids' lanes, so that it doesn't depend on order and parts can be added.
+LANES = ((1, 15), (16, 15))
+LANE_SIZE = 1 << 60
+
+
+def set_hash(events: DataFrame) -> DataFrame:
+    """(object_id, n_events, low, high): a fingerprint of an entity's event ids that needs no list of them.
+
+    Works on batches and streams; of two disjoint parts of a log, added() gives that of both. An id that comes twice counts
+    twice, so streams that repeat events drop the repeats first. Null ids take no part.
+    """
+    digest = F.md5(F.col("id").cast("string").cast("binary"))
+    lane = lambda i, n: F.sum(F.conv(F.substring(digest, i, n), 16, 10).cast("decimal(20,0)"))
+    (a, an), (b, bn) = LANES
+    g = events.where("id is not null").groupBy("object_id").agg(F.count(F.lit(1)).alias("n_events"), lane(a, an).alias("low"), lane(b, bn).alias("high"))
+    return _wrapped(g)
+
+
+def _wrapped(g: DataFrame) -> DataFrame:
+    size = F.lit(LANE_SIZE).cast("decimal(20,0)")
+    return g.select("object_id", "n_events", F.pmod("low", size).cast("long").alias("low"), F.pmod("high", size).cast("long").alias("high"))
+
+
+def added(parts: DataFrame) -> DataFrame:
+    """The set hashes of entities from those of parts of their events, in any order."""
+    big = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
+    return _wrapped(parts.groupBy("object_id").agg(F.sum("n_events").alias("n_events"), big("low"), big("high")))

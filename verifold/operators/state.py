@@ -118,3 +118,23 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "object_id", order: str =
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("_new"))
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+
+
+def deleted(states: DataFrame, gone: DataFrame, key: str = "object_id") -> DataFrame:
+    """states without those of the keys in gone; a null key deletes nothing."""
+    return states.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def counted(states: DataFrame, by: str = "namespace") -> DataFrame:
+    """(namespace, n): how many states each namespace holds, and under a null namespace with is_total how many there are in all."""
+    return states.rollup(by).agg(F.count(F.lit(1)).alias("n"), F.grouping(by).cast("boolean").alias("is_total"))
+
+
+def intervals(timeline: DataFrame) -> DataFrame:
+    """(object_id, key, value, valid_from, valid_to): each state of a timeline from its event to the next, the last without an end.
+
+    Of events at one time the last by id counts, so that no two intervals of an entity's key hold one instant.
+    """
+    last = timeline.groupBy("object_id", "key", "timestamp").agg(F.max_by("state", "id").alias("value"))
+    w = Window.partitionBy("object_id", "key").orderBy("timestamp")
+    return last.select("object_id", "key", "value", F.col("timestamp").alias("valid_from"), F.lead("timestamp").over(w).alias("valid_to"))

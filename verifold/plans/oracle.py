@@ -84,6 +84,33 @@ REL = """rel AS (
   UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 'part_of', 0.8e0 FROM nation
   UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 'located_in', 0.95e0 FROM customer)"""
 
+SPANS = f"""{segmented("val", "sp_seg")}, sp_line AS (
+  SELECT *, sum(part) OVER (PARTITION BY object_id, segment ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS state FROM sp_seg
+), spans AS (
+  SELECT object_id, value, timestamp AS valid_from, lead(timestamp) OVER (PARTITION BY object_id ORDER BY timestamp) AS valid_to
+  FROM (SELECT object_id, timestamp, arg_max(state, id) AS value FROM sp_line GROUP BY ALL))"""
+
+LINKS = """links AS (
+  SELECT a.id AS s, b.id AS t, a.confidence AS c, CASE WHEN b.action = 'REMOVE' THEN 'caused' ELSE 'happened_before' END AS kind
+  FROM ev a JOIN ev b ON a.object_id = b.object_id AND (a.timestamp, a.id) < (b.timestamp, b.id) AND epoch_us(b.timestamp) - epoch_us(a.timestamp) <= 43200000000)"""
+
+
+def chained(kind: str, hops: int, least: str, implied: str) -> str:
+    return f"""way AS (
+  SELECT s AS start, t AS goal, [s, t] AS path, c AS confidence FROM links WHERE kind = '{kind}' AND c >= {least}
+  UNION ALL
+  SELECT start, t, list_append(path, t), confidence * c FROM way JOIN links ON goal = s WHERE kind = '{kind}' AND len(path) <= {hops} AND confidence * c >= {least} AND NOT list_contains(path, t)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY start, goal ORDER BY round(confidence, 12) DESC, len(path), path) AS n FROM way
+), chain AS (
+  SELECT start AS source_id, goal AS target_id, CASE WHEN len(path) = 2 THEN '{kind}' ELSE '{implied}' END AS relation_type, len(path) - 1 AS hops, array_to_string(path, '>') AS path, round(confidence, 6) AS confidence, len(path) > 2 AS is_inferred FROM best WHERE n = 1)"""
+
+
+CENTERS = """v AS (SELECT vec_id AS id, label AS domain, vec_id // 100 AS win, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings
+), x AS (SELECT domain, win, pos, sum(vec[pos]) AS total, count(*) AS n FROM v, range(1, 65) AS p(pos) WHERE pos <= len(vec) GROUP BY ALL
+), y AS (SELECT *, sum(total) OVER w AS past, sum(n) OVER w AS past_n FROM x WINDOW w AS (PARTITION BY domain, pos ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), centers AS (SELECT domain, win, max(n) AS n, list(total / n ORDER BY pos) AS now, list(past / past_n ORDER BY pos) FILTER (WHERE past_n > 0) AS before FROM y GROUP BY ALL)"""
+
 OEDGE = """oe AS (
   SELECT CAST(o_custkey AS VARCHAR) AS source_id, o_orderpriority AS target_id, CAST(o_orderkey % 100 / 1e2 AS DOUBLE) AS confidence, o_orderkey % 2 = 0 AS is_inferred, o_orderstatus AS k, CAST(o_orderkey AS VARCHAR) AS v, o_orderkey AS ord FROM orders)"""
 
@@ -179,7 +206,7 @@ SELECT p.namespace, p.id, arg_min(m.id, (m.ord, m.id)) AS other_id FROM p JOIN m
         "truth_score": f"WITH {EV} SELECT id, round({score()}, 6) AS score FROM ev",
         "freshness_decay": f"WITH {EV} SELECT id, memory_type, round({fresh('freshness', after)}, 6) AS freshness FROM ev",
         "legacy_decay": f"WITH {EV} SELECT id, round(greatest(0.01e0, confidence * exp(-(CASE memory_type WHEN 'identity' THEN 0.0005e0 WHEN 'preference' THEN 0.005e0 ELSE 0.02e0 END) * {after})), 6) AS importance FROM ev",
-        "decay_curve": f"SELECT memory_type, day, round({fresh('1e0', 'day')}, 6) AS freshness FROM (SELECT unnest(['fact', 'preference', 'event', 'prediction', 'identity', 'other']) AS memory_type), (SELECT CAST(range AS BIGINT) AS day FROM range(0, 101, 10))",
+        "decay_curve": f"WITH {EV} SELECT memory_type, day, round({fresh('1e0', 'day')}, 6) AS freshness FROM (SELECT DISTINCT memory_type FROM ev), (SELECT CAST(range AS BIGINT) AS day FROM range(0, 101, 10))",
         "merge_truth_vectors": f"WITH {EV} SELECT object_id, max(authority) AS authority, max(freshness) AS freshness, sum(corroboration) + count(*) - 1 AS corroboration, round(list_reduce(list(confidence ORDER BY timestamp, id), lambda x, y: (x * x + y * y) / (x + y)), 6) AS confidence FROM ev GROUP BY 1",
         "state_fold": f"WITH {EV}, {VAL}, {HEADS}, {folded('val')} SELECT object_id, round(num, 4) AS value, version, last_event_id, round({score()}, 6) AS score FROM st JOIN heads USING (object_id)",
         "state_fold_multi_key": MULTI,
@@ -297,6 +324,16 @@ SELECT name, 'user' AS namespace, CAST(32 AS BIGINT) AS dimensions, round(v[1],
 SELECT coalesce(e.source_id, inf.source_id) AS source_id, coalesce(e.target_id, inf.target_id) AS target_id, round(coalesce(c, confidence), 6) AS confidence, e.source_id IS NULL AS is_inferred, CAST((c IS NOT NULL)::INT + (confidence IS NOT NULL)::INT AS BIGINT) AS writes, CASE WHEN c IS NOT NULL THEN 'transitivity' END AS rule
 FROM e FULL JOIN inf ON e.source_id = inf.source_id AND e.target_id = inf.target_id""",
         "path_confidence": "SELECT DISTINCT 'S' || s_suppkey AS start, 'R' || n_regionkey AS goal, CAST(2 AS BIGINT) AS hops, round(0.9e0 * 0.8e0, 6) AS confidence FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+        "temporal_chains": f"WITH RECURSIVE {EV}, {LINKS}, {chained('happened_before', 3, '0e0', 'happened_before')} SELECT source_id, target_id, relation_type, hops, confidence, is_inferred FROM chain",
+        "causal_chains": f"WITH RECURSIVE {EV}, {LINKS}, {chained('caused', 4, '2e-1', 'may_have_caused')} SELECT source_id, target_id, relation_type, hops, path, confidence, is_inferred FROM chain",
+        "centroid_drift": f"""WITH {CENTERS} SELECT domain, win AS "window", n, round(1 - list_cosine_similarity(now, before), 5) AS distance, coalesce(1 - list_cosine_similarity(now, before) > 0.3, false) AS drifted FROM centers""",
+        "quarantined_vectors": f"""WITH {CENTERS} SELECT id, domain, win AS "window", round(1 - list_cosine_similarity(vec, before), 5) AS distance, coalesce(1 - list_cosine_similarity(vec, before) > 0.7, false) AS quarantined FROM v LEFT JOIN centers USING (domain, win)""",
+        "state_store_counts": f"WITH {EV}, h AS (SELECT object_id, arg_max(memory_type, (timestamp, id)) AS namespace FROM ev WHERE object_id % 5 <> 0 GROUP BY 1) SELECT namespace, count(*) AS n, false AS is_total FROM h GROUP BY 1 UNION ALL SELECT NULL, count(*), true FROM h",
+        "state_intervals": f"WITH {EV}, {VAL}, {SPANS} SELECT object_id, round(value, 4) AS value, valid_from, valid_to FROM spans",
+        "sql_state_at": f"WITH {EV}, {VAL}, {SPANS} SELECT id, ev.object_id, round(value, 4) AS value FROM ev JOIN spans ON ev.object_id = spans.object_id AND valid_from <= timestamp - INTERVAL 1 HOUR AND (valid_to IS NULL OR timestamp - INTERVAL 1 HOUR < valid_to)",
+        "sql_neighbors": f"WITH {REL}, n AS (SELECT DISTINCT source_id AS node FROM rel WHERE relation_type = 'part_of') SELECT node, target_id AS neighbor, 'out' AS direction, relation_type, confidence FROM n JOIN rel ON source_id = node UNION ALL SELECT node, source_id, 'in', relation_type, confidence FROM n JOIN rel ON target_id = node",
+        "sql_reached": f"WITH {REL}, a AS (SELECT source_id AS node, target_id AS reached, 1 AS hops, confidence FROM rel WHERE source_id LIKE 'C%') SELECT node, reached, CAST(hops AS BIGINT) AS hops, round(confidence, 6) AS confidence FROM (FROM a UNION ALL SELECT node, target_id, 2, a.confidence * rel.confidence FROM a JOIN rel ON source_id = reached)",
+        "ancestry_set_hash": f"WITH {EV}, m AS (SELECT object_id, md5(CAST(id AS VARCHAR)) AS h FROM ev) SELECT object_id, count(*) AS n_events, CAST(sum(CAST('0x' || h[1:15] AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS low, CAST(sum(CAST('0x' || h[16:30] AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS high FROM m GROUP BY 1",
         "relations_deleted": f"WITH {REL} SELECT source_id, target_id, relation_type FROM rel WHERE target_id NOT IN ('N1', 'N2', 'R0')",
         "recall_faceted": """WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0
 ), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS k FROM n) WHERE k <= 80

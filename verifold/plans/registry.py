@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables, truth
 from ..functions import text as tx
-from ..functions import truth
-from ..operators import conflict, graph, history, identity, maintain, memory, retrieval, scan, state
+from ..operators import chains, conflict, graph, history, identity, maintain, memory, retrieval, scan, state
 from ..sources import lens
 from ..sources.lens import as_of, events, table
 from ..sources.shared import frozen
@@ -38,7 +38,7 @@ def legacy_decay(s: SparkSession, d: str) -> DataFrame:
 
 
 def decay_curve(s: SparkSession, d: str) -> DataFrame:
-    return truth.decay_curve(s).withColumn("freshness", r(F.col("freshness")))
+    return truth.decay_curve(events(s, d)).withColumn("freshness", r(F.col("freshness")))
 
 
 def merge_truth_vectors(s: SparkSession, d: str) -> DataFrame:
@@ -459,6 +459,85 @@ def path_confidence(s: SparkSession, d: str) -> DataFrame:
     return graph.path_confidence(lens.relations(s, d), shortest_path(s, d)).select("start", "goal", "hops", r(F.col("confidence")).alias("confidence"))
 
 
+def event_links(s: SparkSession, d: str) -> DataFrame:
+    """Events of one user lead to the next ones within twelve hours: to errors as causes, to all others in time."""
+    ev = events(s, d)
+    links = chains.follows(ev, 43_200, ["object_id"])
+    errors = ev.where("action = 'REMOVE'").select(F.col("id").alias("target_id"), F.lit("caused").alias("_caused"))
+    return links.join(errors, "target_id", "left").withColumn("relation_type", F.coalesce("_caused", "relation_type")).drop("_caused")
+
+
+def temporal_chains(s: SparkSession, d: str) -> DataFrame:
+    """What comes before what by up to three steps in time."""
+    found = chains.chains(event_links(s, d), "happened_before", 3)
+    return found.select("source_id", "target_id", "relation_type", "hops", r(F.col("confidence")).alias("confidence"), "is_inferred")
+
+
+def causal_chains(s: SparkSession, d: str) -> DataFrame:
+    """Which errors led to which, by up to four steps, as far as a chain's confidence is 0.2 or more."""
+    found = chains.chains(event_links(s, d), "caused", 4, 0.2)
+    return found.select("source_id", "target_id", "relation_type", "hops", F.array_join("path", ">").alias("path"), r(F.col("confidence")).alias("confidence"), "is_inferred")
+
+
+def windowed_vectors(s: SparkSession, d: str) -> DataFrame:
+    return lens.vectors(s, d).select("id", F.col("kind").alias("domain"), F.floor(F.col("created_at") / 100).alias("window"), "vec")
+
+
+def centroid_drift(s: SparkSession, d: str) -> DataFrame:
+    """How far each window of a label moved from the label's centroid before it."""
+    return conflict.centroid_drift(windowed_vectors(s, d), 0.3).select("domain", "window", "n", r(F.col("distance"), 5).alias("distance"), "drifted")
+
+
+def quarantined_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Vectors far from their label's centroid so far."""
+    return conflict.strays(windowed_vectors(s, d), 0.7).select("id", "domain", "window", r(F.col("distance"), 5).alias("distance"), "quarantined")
+
+
+def state_store_counts(s: SparkSession, d: str) -> DataFrame:
+    """States by the kind of their last event, and in all, after every fifth was deleted."""
+    heads = state.heads(events(s, d)).join(events(s, d).select(F.col("id").alias("last_event_id"), F.col("memory_type").alias("namespace")), "last_event_id")
+    return state.counted(state.deleted(heads, heads.where("object_id % 5 = 0")))
+
+
+def state_intervals(s: SparkSession, d: str) -> DataFrame:
+    held = state.intervals(state.timeline(lens.value_rows(events(s, d))))
+    return held.select("object_id", r(F.col("value"), 4).alias("value"), "valid_from", "valid_to")
+
+
+def sql_state_at(s: SparkSession, d: str) -> DataFrame:
+    """By SQL: the state of each event's entity an hour before the event."""
+    tables.register_states(state.intervals(state.timeline(lens.value_rows(events(s, d)))))
+    ev = events(s, d)
+    return s.sql("SELECT e.id, e.object_id, round(f.value, 4) AS value FROM {ev} e, LATERAL state_at(e.object_id, e.timestamp - INTERVAL 1 HOUR) f WHERE f.key = 'value'", ev=ev)
+
+
+def sql_neighbors(s: SparkSession, d: str) -> DataFrame:
+    """By SQL: the neighbours of every supplier and nation."""
+    e = lens.relations(s, d)
+    tables.register_graph(e)
+    nodes = e.where("relation_type = 'part_of'").select(F.col("source_id").alias("node")).distinct()
+    return s.sql("SELECT n.node, f.neighbor, f.direction, f.relation_type, f.confidence FROM {nodes} n, LATERAL neighbors_of(n.node) f", nodes=nodes)
+
+
+def sql_reached(s: SparkSession, d: str) -> DataFrame:
+    """By SQL: what every customer reaches by outgoing edges."""
+    tables.register_graph(lens.relations(s, d))
+    nodes = lens.customers(s, d).select(F.concat(F.lit("C"), "id").alias("node"))
+    return s.sql("SELECT n.node, f.node AS reached, CAST(f.hops AS BIGINT) AS hops, round(f.confidence, 6) AS confidence FROM {nodes} n, LATERAL reached_from(n.node) f", nodes=nodes)
+
+
+def ancestry_set_hash(s: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of entities' event sets, left by a stream of the log."""
+    from ..sources.shared import shared_path
+
+    home = shared_path(s, "fingerprints")
+    rows = events(s, d).select("object_id", "id")
+    rows.repartition(4, "id").write.parquet(f"{home}/in")
+    source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{home}/in")
+    ingest.fingerprint_stream(source, f"{home}/parts", f"{home}/checkpoint").awaitTermination()
+    return ingest.current_fingerprints(s, f"{home}/parts")
+
+
 def relations_deleted(s: SparkSession, d: str) -> DataFrame:
     e = lens.relations(s, d)
     return graph.without(e, e.where("target_id IN ('N1', 'N2', 'R0')")).select("source_id", "target_id", "relation_type")
@@ -658,5 +737,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         weekly_merges, consolidation_replay, consolidation_count, consolidation_policy, entity_lookup, entity_created, statement_contradiction, topic_drift,
         transitive_upsert, path_confidence, relations_deleted, remember_events, remember_states, remember_relations, recall_faceted, recall_forgotten, extract_fields, event_messages, merged_vectors, named_entities,
         entities_merged, state_fold_runs, state_timeline_runs, snapshot_before_event, late_routes,
+        temporal_chains, causal_chains, centroid_drift, quarantined_vectors, state_store_counts, state_intervals, sql_state_at, sql_neighbors, sql_reached, ancestry_set_hash,
     ]
     return {f.__name__: f for f in found}

@@ -196,6 +196,28 @@ def fold_batches(events: DataFrame, states_path: str, log_path: str, checkpoint:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def fingerprint_stream(events: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """A stream of events (id, object_id) whose micro-batches leave the set hash of what each brought, below path by batch.
+
+    A batch that is run again overwrites its own part, so nothing counts twice; parts are added when they are read, by
+    current_fingerprints(), and no list of ids is ever kept. Returns the started query.
+    """
+    from ..operators import history
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        history.set_hash(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    writer = events.select("object_id", "id").writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def current_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """What fingerprint_stream() has seen of each entity so far."""
+    from ..operators import history
+
+    return history.added(spark.read.parquet(path).drop("epoch"))
+
+
 def messages(events: DataFrame) -> DataFrame:
     """(key, value) of events as a message sink takes them: the entity, and the event as JSON. Works on streams; a Kafka writer takes it as it is."""
     return events.select(F.col("object_id").cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
