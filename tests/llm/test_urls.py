@@ -56,6 +56,17 @@ def test_empty_table_and_hot_alias(spark):
     assert {r.verdict for r in got} == {"block"} and len(got) == 300
 
 
+def test_columns_of_any_name_are_kept(spark):
+    pages = [("http://x.org/a", '<link rel=canonical href="http://x.org/es/x">', 1, 2, 3, 4, 5, 6), ("http://y.org/", None, 1, 2, 3, None, 5, 6), (None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(pages, "url string, html string, _r int, _own int, _node int, _alias int, root int, _own_rule int")
+    for given in (df, df.drop("html"), df.where("html is null")):
+        got = urls.judge(given)
+        extra = ["_r", "_own", "_node", "_alias", "root", "_own_rule"]
+        assert sorted(got.columns) == sorted(["url", *extra, "host", "path", "rule", "verdict"])
+        assert sorted(map(str, got.select("url", *extra).collect())) == sorted(map(str, given.select("url", *extra).collect()))
+    assert {r.url: r.verdict for r in urls.judge(df).collect()} == {"http://x.org/a": "block", "http://y.org/": "allow", None: "allow"}
+
+
 def test_aliases_at_size(spark):
     """Chains, stars and rings of links over some thousand pages, against a union by hand."""
     import random

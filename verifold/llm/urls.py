@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, connected_components, frozen, shuffle_width
+from .common import ascii_lower, connected_components, frozen, private, shuffle_width
 
 # Fixed rules of the contract: (verdict, host, path).
 RULES = [
@@ -71,28 +71,31 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects
 
     redirects may give more edges as (url, other). A null url, or one without ://, has an empty host and path, fits no
     rule, has no aliases and gets the default. Repeated rows and many pages of one URL are judged alike; URLs are joined
-    by their whole text. Columns of pages with one of the four names are replaced; an empty table stays empty.
+    by their whole text. Columns of pages with one of the four names are replaced, all others kept, whatever they
+    are called; an empty table stays empty.
     """
+    name = private(pages)
+    found, own, node, alias = (name + c for c in ("found", "rule", "node", "alias"))
     host, path = host_and_path(F.col("url"))
-    ruled = pages.withColumn("host", host).withColumn("path", path).withColumn("_r", rule_for(F.col("host"), F.col("path"), rules)).drop("html")
-    plain = ruled.withColumn("rule", F.col("_r.rule")).withColumn("_own", F.col("_r.verdict")).drop("_r")
+    ruled = pages.withColumn("host", host).withColumn("path", path).withColumn(found, rule_for(F.col("host"), F.col("path"), rules)).drop("html")
+    plain = ruled.withColumn("rule", F.col(found)["rule"]).withColumn(own, F.col(found)["verdict"]).drop(found)
     edges = link_edges(pages) if "html" in pages.columns else None
     if redirects is not None:
         more = redirects.select("url", "other").where("url is not null and other is not null and url <> other")
         edges = more if edges is None else edges.unionByName(more)
     if edges is None:
-        return plain.withColumn("verdict", F.coalesce("_own", F.lit(default))).drop("_own")
+        return plain.withColumn("verdict", F.coalesce(own, F.lit(default))).drop(own)
     edges = frozen(edges.select(F.col("url").alias("a"), F.col("other").alias("b")).distinct(), "links")
     parts = connected_components(edges)
     members = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
     # only URLs on an edge have aliases; each carries its own explicit verdict into its component
     h, p = host_and_path(F.col("node"))
-    marks = members.withColumn("_v", rule_for(h, p, rules)["verdict"])
-    said = marks.groupBy("root").agg(F.max(F.when(F.col("_v") == "allow", 2).when(F.col("_v") == "block", 1).otherwise(0)).alias("_said")).where("_said > 0")
-    verdicts = members.join(said, "root").select(F.col("node").alias("_node"), F.when(F.col("_said") == 2, "allow").otherwise("block").alias("_alias"))
+    marks = members.withColumn("v", rule_for(h, p, rules)["verdict"])
+    said = marks.groupBy("root").agg(F.max(F.when(F.col("v") == "allow", 2).when(F.col("v") == "block", 1).otherwise(0)).alias("said")).where("said > 0")
+    verdicts = members.join(said, "root").select(F.col("node").alias(node), F.when(F.col("said") == 2, "allow").otherwise("block").alias(alias))
     verdicts = frozen(verdicts, "aliases").repartition(shuffle_width(pages.sparkSession))
     # most pages have an explicit verdict or no alias at all; with no alias anywhere there is nothing to join
     if verdicts.isEmpty():
-        return plain.withColumn("verdict", F.coalesce("_own", F.lit(default))).drop("_own")
-    joined = plain.join(verdicts, F.col("url") == F.col("_node"), "left")
-    return joined.withColumn("verdict", F.coalesce("_own", "_alias", F.lit(default))).drop("_own", "_alias", "_node")
+        return plain.withColumn("verdict", F.coalesce(own, F.lit(default))).drop(own)
+    joined = plain.join(verdicts, F.col("url") == F.col(node), "left")
+    return joined.withColumn("verdict", F.coalesce(own, alias, F.lit(default))).drop(own, alias, node)
