@@ -329,8 +329,8 @@ FROM e FULL JOIN inf ON e.source_id = inf.source_id AND e.target_id = inf.target
         "centroid_drift": f"""WITH {CENTERS} SELECT domain, win AS "window", n, round(1 - list_cosine_similarity(now, before), 5) AS distance, coalesce(1 - list_cosine_similarity(now, before) > 0.3, false) AS drifted FROM centers""",
         "quarantined_vectors": f"""WITH {CENTERS} SELECT id, domain, win AS "window", round(1 - list_cosine_similarity(vec, before), 5) AS distance, coalesce(1 - list_cosine_similarity(vec, before) > 0.7, false) AS quarantined FROM v LEFT JOIN centers USING (domain, win)""",
         "state_store_counts": f"WITH {EV}, h AS (SELECT object_id, arg_max(memory_type, (timestamp, id)) AS namespace FROM ev WHERE object_id % 5 <> 0 GROUP BY 1) SELECT namespace, count(*) AS n, false AS is_total FROM h GROUP BY 1 UNION ALL SELECT NULL, count(*), true FROM h",
-        "state_intervals": f"WITH {EV}, {VAL}, {SPANS} SELECT object_id, round(value, 4) AS value, valid_from, valid_to FROM spans",
-        "sql_state_at": f"WITH {EV}, {VAL}, {SPANS} SELECT id, ev.object_id, round(value, 4) AS value FROM ev JOIN spans ON ev.object_id = spans.object_id AND valid_from <= timestamp - INTERVAL 1 HOUR AND (valid_to IS NULL OR timestamp - INTERVAL 1 HOUR < valid_to)",
+        "state_intervals": f"WITH {EV}, {VAL}, {SPANS} SELECT object_id, round(value, 4) + 0e0 AS value, valid_from, valid_to FROM spans",
+        "sql_state_at": f"WITH {EV}, {VAL}, {SPANS} SELECT id, ev.object_id, round(value, 4) + 0e0 AS value FROM ev JOIN spans ON ev.object_id = spans.object_id AND valid_from <= timestamp - INTERVAL 1 HOUR AND (valid_to IS NULL OR timestamp - INTERVAL 1 HOUR < valid_to)",
         "sql_neighbors": f"WITH {REL}, n AS (SELECT DISTINCT source_id AS node FROM rel WHERE relation_type = 'part_of') SELECT node, target_id AS neighbor, 'out' AS direction, relation_type, confidence FROM n JOIN rel ON source_id = node UNION ALL SELECT node, source_id, 'in', relation_type, confidence FROM n JOIN rel ON target_id = node",
         "sql_reached": f"WITH {REL}, a AS (SELECT source_id AS node, target_id AS reached, 1 AS hops, confidence FROM rel WHERE source_id LIKE 'C%') SELECT node, reached, CAST(hops AS BIGINT) AS hops, round(confidence, 6) AS confidence FROM (FROM a UNION ALL SELECT node, target_id, 2, a.confidence * rel.confidence FROM a JOIN rel ON source_id = reached)",
         "ancestry_set_hash": f"WITH {EV}, m AS (SELECT object_id, md5(CAST(id AS VARCHAR)) AS h FROM ev) SELECT object_id, count(*) AS n_events, CAST(sum(CAST('0x' || h[1:15] AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS low, CAST(sum(CAST('0x' || h[16:30] AS HUGEINT)) % 1152921504606846976 AS BIGINT) AS high FROM m GROUP BY 1",

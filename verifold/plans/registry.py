@@ -501,14 +501,14 @@ def state_store_counts(s: SparkSession, d: str) -> DataFrame:
 
 def state_intervals(s: SparkSession, d: str) -> DataFrame:
     held = state.intervals(state.timeline(lens.value_rows(events(s, d))))
-    return held.select("object_id", r(F.col("value"), 4).alias("value"), "valid_from", "valid_to")
+    return held.select("object_id", (r(F.col("value"), 4) + 0.0).alias("value"), "valid_from", "valid_to")
 
 
 def sql_state_at(s: SparkSession, d: str) -> DataFrame:
     """By SQL: the state of each event's entity an hour before the event."""
     tables.register_states(state.intervals(state.timeline(lens.value_rows(events(s, d)))))
     ev = events(s, d)
-    return s.sql("SELECT e.id, e.object_id, round(f.value, 4) AS value FROM {ev} e, LATERAL state_at(e.object_id, e.timestamp - INTERVAL 1 HOUR) f WHERE f.key = 'value'", ev=ev)
+    return s.sql("SELECT e.id, e.object_id, round(f.value, 4) + 0D AS value FROM {ev} e, LATERAL state_at(e.object_id, e.timestamp - INTERVAL 1 HOUR) f WHERE f.key = 'value'", ev=ev)
 
 
 def sql_neighbors(s: SparkSession, d: str) -> DataFrame:

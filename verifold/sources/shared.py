@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset: below the warehouse, which a cluster shares; on one machine a folder of our own."""
+    """A new path below spark.checkpoint.dir. Where that is unset: a folder of our own on one machine, an error on a cluster,
+    as no folder is known there that all executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local")
-        base = tempfile.mkdtemp(prefix="verifold-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="verifold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/verifold/{name}-{uuid.uuid4().hex}"
 
