@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +60,41 @@ def is_negated(text: Column) -> Column:
 def entities(docs: DataFrame, id_col: str = "id", text_col: str = "text", named: DataFrame | None = None) -> DataFrame:
     """(id, label, value, n): distinct entities found by pattern, of a value under several labels the first label.
 
-    named (id, label, value) adds what a model finds, after the patterns: a value that they found keeps their label.
+    named (id, label, value) adds what a model finds, after the patterns: a value that they found keeps their label. Where
+    named has a column order, labels of a smaller order go first.
     """
     found = F.concat(*[F.transform(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(unicode_classes(p)), F.lit(0)), _labelled(k, label)) for k, (label, p) in enumerate(PATTERNS.items())])
     each = docs.select(F.col(id_col).alias("id"), F.explode(found).alias("e")).select("id", "e.k", "e.label", "e.value")
     if named is not None:
-        each = each.unionByName(named.select("id", F.lit(len(PATTERNS)).alias("k"), "label", "value"))
+        later = F.col("order") if "order" in named.columns else F.lit(0)
+        each = each.unionByName(named.select("id", (F.lit(len(PATTERNS)) + later).cast("int").alias("k"), "label", "value"))
     g = each.groupBy("id", "value").agg(F.min_by("label", F.struct("k", "label")).alias("label"), F.count(F.lit(1)).alias("n"))
     return g.select("id", "label", "value", "n")
 
 
+# Labels that a model is sure of, those it is half sure of, and the confidence below which another model is asked.
+SURE_LABELS, HALF_SURE_LABELS, LEAST_SURE = ("PERSON", "ORG", "GPE", "PRODUCT"), ("CARDINAL", "DATE"), 0.6
+
+
+def label_confidence(named: DataFrame) -> DataFrame:
+    """(id, confidence) of texts with entities (id, label, value): 1 with a sure label, a half with one half sure, else 0."""
+    each = F.when(F.col("label").isin(*SURE_LABELS), 1.0).when(F.col("label").isin(*HALF_SURE_LABELS), 0.5).otherwise(0.0)
+    return named.groupBy("id").agg(F.max(each).alias("confidence"))
+
+
+def hybrid_entities(docs: DataFrame, model: Callable[[DataFrame], DataFrame], fallback: Callable[[DataFrame], DataFrame], id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, label, value, n) by patterns, by a model and, for texts that it isn't sure of, by another: the first to find a value names it.
+
+    Both plug-ins take rows of docs and return (id, label, value); the second sees only texts whose confidence is below
+    LEAST_SURE, those without any entity of the first among them.
+    """
+    first = model(docs).select("id", "label", "value")
+    sure = label_confidence(first).where(F.col("confidence") >= LEAST_SURE).select(F.col("id").alias("_sure"))
+    second = fallback(docs.join(sure, F.col(id_col) == F.col("_sure"), "left_anti")).select("id", "label", "value")
+    both = first.withColumn("order", F.lit(0)).unionByName(second.withColumn("order", F.lit(1)))
+    return entities(docs, id_col, text_col, both)
+
+
 def _labelled(k: int, label: str):
     return lambda v: F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), v.alias("value"))
 

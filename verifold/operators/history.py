@@ -98,6 +98,19 @@ def transactions(roots: DataFrame, known: DataFrame) -> DataFrame:
     return moved.unionByName(rows.select(*moved.columns))
 
 
+def transacted(roots: DataFrame, known: DataFrame) -> DataFrame:
+    """(object_id, key, num, raw, version, last_event_id, updated_at and the truth vector): the states that root events leave.
+
+    Both sides of a transfer take the id, time and truth vector of their root, and so does the entity of any other event.
+    An entity of which events say nothing has a row with a null key.
+    """
+    moves = F.coalesce((F.col("action") == "UPDATE") & F.col("transfer_to").isNotNull(), F.lit(False))
+    sides = F.when(moves, F.array_distinct(F.array("object_id", "transfer_to"))).otherwise(F.array("object_id"))
+    vector = [c for c in state.VECTOR if c in roots.columns]
+    touched = roots.select("id", "timestamp", *vector, F.explode(sides).alias("object_id")).join(known.select("object_id").distinct(), "object_id", "left_semi")
+    return state.heads(touched).join(state.fold(transactions(roots, known)), "object_id", "left")
+
+
 def provenance(events: DataFrame, ids: DataFrame) -> DataFrame:
     """(object_id, chain) of the entities asked for (rows object_id): the ids of their events in time order."""
     return ancestry(events.join(ids.select("object_id").distinct(), "object_id", "left_semi")).select("object_id", "chain")

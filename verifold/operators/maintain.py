@@ -153,18 +153,26 @@ def weekly_merges(entities: DataFrame, kinds: tuple = ("person", "organization",
     return identity.greedy(pairs).where(F.col("similarity") > threshold)
 
 
+def merged_weekly(entities: DataFrame, proposals: DataFrame, at: Column) -> DataFrame:
+    """entities after the weekly run: sources of its proposals point at their targets, all others stay as they are."""
+    lacking = {c: F.lit(None).cast(t) for c, t in (("merged_into", entities.schema["id"].dataType), ("updated_at", "timestamp")) if c not in entities.columns}
+    return identity.merge(entities.withColumns(lacking), proposals, at)
+
+
 def reduction(run_rows: DataFrame) -> DataFrame:
     """How many events consolidation saves."""
     return run_rows.agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("saved"))
 
 
-def schedule(states: DataFrame, entities: DataFrame, at: Column, task: str = "all", vectors: DataFrame | None = None) -> dict[str, DataFrame]:
-    """What a maintenance run does, as frames to act on: daily decay, weekly merges where vectors are given, monthly pruning."""
+def schedule(states: DataFrame, entities: DataFrame, at: Column, task: str = "all", vectors: DataFrame | None = None, alike: float = 0.98) -> dict[str, DataFrame]:
+    """What a maintenance run does, as frames to act on: daily decay, monthly pruning and, where vectors are given (entities
+    as weekly_merges() takes them), weekly proposals above `alike` and merged, the entities after them."""
     out = {}
     if task in ("daily", "all"):
         out["daily"] = decay(states, entities, at)
     if task in ("weekly", "all") and vectors is not None:
-        out["weekly"] = weekly_merges(vectors)
+        out["weekly"] = frozen(weekly_merges(vectors, threshold=alike), "weekly")
+        out["merged"] = merged_weekly(vectors, out["weekly"], at)
     if task in ("monthly", "all"):
         out["monthly"] = prunable(states, at)
     return out

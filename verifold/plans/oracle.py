@@ -361,5 +361,23 @@ SELECT kind, id, CASE WHEN len(e) > 0 THEN array_to_string(e, ',') END AS emails
 SELECT made.id, arg_min(left_id, (-s, left_id)) AS merged_into FROM made LEFT JOIN top ON right_id = made.id GROUP BY made.id""",
         "duplicate_greedy": f"WITH RECURSIVE {DUPS}, {scanned('dups')} SELECT left_id, right_id, similarity, source_id, target_id, reason, CASE WHEN similarity > 0.95 THEN 'auto' WHEN similarity >= 0.85 THEN 'review' ELSE 'reject' END AS band FROM emitted",
         "weekly_merges": f"WITH RECURSIVE {DUPS}, own AS (SELECT dups.* FROM dups JOIN embeddings ON vec_id = left_id WHERE label IN (0, 1, 2)), {scanned('own')} SELECT source_id, target_id, similarity FROM emitted WHERE whole > 0.35",
+        "weekly_applied": f"""WITH RECURSIVE {DUPS}, own AS (SELECT dups.* FROM dups JOIN embeddings ON vec_id = left_id WHERE label IN (0, 1, 2)), {scanned('own')}, best AS (SELECT source_id, arg_min(target_id, (-whole, target_id)) AS merged_into FROM emitted WHERE whole > 0.35 GROUP BY 1)
+SELECT vec_id AS id, CASE label WHEN 0 THEN 'person' WHEN 1 THEN 'organization' WHEN 2 THEN 'place' ELSE 'other' END AS kind, merged_into FROM embeddings LEFT JOIN best ON source_id = vec_id""",
+        "transaction_states": f"""WITH {EV}, e AS (SELECT *, action = 'UPDATE' AND id % 2 = 0 AS moves FROM ev WHERE true), rows_ AS (
+  SELECT object_id, 'inventory' AS key, timestamp, id, action, d_value AS num FROM e WHERE NOT moves UNION ALL SELECT object_id, 'inventory', timestamp, id, 'REMOVE', d_value FROM e WHERE moves UNION ALL SELECT object_id + 1, 'inventory', timestamp, id, 'ADD', d_value FROM e WHERE moves
+), known AS (SELECT * FROM rows_ WHERE object_id <= 100 AND object_id IN (SELECT object_id FROM ev)), {folded('known')}, tops AS (
+  SELECT known.object_id, count(*) AS version, arg_max(ev.id, (ev.timestamp, ev.id)) AS last_event_id, arg_max(ev.confidence, (ev.timestamp, ev.id)) AS confidence, arg_max(ev.authority, (ev.timestamp, ev.id)) AS authority FROM known JOIN ev ON ev.id = known.id GROUP BY 1
+) SELECT object_id, round(num, 4) AS value, version, last_event_id, confidence, authority FROM st JOIN tops USING (object_id)""",
+        "snapshot_compact": f"WITH {EV}, {VAL}, {SNAP} SELECT object_id, id, coalesce(c_mktsegment, 'user') AS namespace FROM snaps LEFT JOIN customer ON c_custkey = object_id WHERE timestamp >= {AS_OF} - INTERVAL 10 DAY",
+        "merge_log": f"WITH {DUPS} SELECT source_id, target_id, similarity AS confidence, reason, {AS_OF} AS timestamp FROM dups",
+        "hybrid_entities": f"WITH {ST}, t AS (SELECT id, text FROM st), f AS ({found} UNION ALL SELECT id, 3, label, value FROM names WHERE label IN ('GPE', 'LOC') UNION ALL SELECT id, 4, 'B-' || label, value FROM names WHERE label <> 'GPE' AND id NOT IN (SELECT id FROM names WHERE label = 'GPE')) SELECT id, arg_min(label, (k, label)) AS label, value, count(*) AS n FROM f GROUP BY id, value",
+        "ingest_identified": """SELECT event_id AS id, 'accepted' AS status, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE sha256(event_id || chr(31) || '{"action":"ADD","delta":{"value":1}}') END AS object_id FROM events""",
     }
+    out["decay_counts"] = f"SELECT count(*) AS updated, count(*) FILTER (WHERE stale) AS stale FROM ({out['decay_update']})"
+    out["recall_grounded"] = f"""WITH {EV}, hits AS ({out['vector_recall']}), c AS (
+  SELECT object_id, count(*) AS n_events, count(*) FILTER (WHERE actor = 'USER' AND action = 'PLANT') AS n_planted, count(*) FILTER (WHERE action = 'REMOVE' AND timestamp >= TIMESTAMP '2024-01-29 00:00:00') AS n_failed, arg_min(id, (timestamp, id)) AS first_id, arg_max(id, (timestamp, id)) AS last_id FROM ev GROUP BY 1
+) SELECT query_id, id, score, n_events, n_planted, n_failed, first_id, last_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits JOIN c ON object_id = id WHERE n_planted > 0 AND n_failed > 0"""
+    out["recall_evidence"] = f"""WITH {EV}, hits AS ({out['vector_recall']}), p AS (SELECT *, (row_number() OVER (ORDER BY object_id, timestamp, id) - 1) // 4096 AS run FROM ev WHERE object_id IN (SELECT id FROM hits)), g AS (
+  SELECT object_id, run, count(*) AS n, min(timestamp) AS first_at, max(timestamp) AS last_at, string_agg(CAST(id AS VARCHAR), ',' ORDER BY timestamp, id) AS ids FROM p GROUP BY 1, 2
+) SELECT object_id, row_number() OVER (PARTITION BY object_id ORDER BY run) - 1 AS part, n, first_at, last_at, ids FROM g"""
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables, truth
 from ..functions import text as tx
-from ..operators import chains, conflict, graph, history, identity, maintain, memory, retrieval, scan, state
+from ..operators import chains, conflict, evidence, graph, history, identity, maintain, memory, retrieval, scan, state
 from ..sources import lens
 from ..sources.lens import as_of, events, table
 from ..sources.shared import frozen
@@ -140,6 +140,12 @@ def snapshot_retention(s: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("object_id", "tier").agg(F.count(F.lit(1)).alias("kept"), F.max("id").alias("newest_id"))
 
 
+def snapshot_compact(s: SparkSession, d: str) -> DataFrame:
+    """The snapshots of the last ten days, in the namespace of their customer."""
+    kept = history.compact(snapshots(s, d), F.lit(lens.AS_OF).cast("timestamp_ntz"), 10)
+    return history.with_namespace(kept, lens.customers(s, d).withColumnRenamed("entity_type", "namespace")).select("object_id", "id", "namespace")
+
+
 def snapshot_hash(s: SparkSession, d: str) -> DataFrame:
     rounded = state.fold(lens.value_rows(events(s, d))).select("object_id", "key", F.format_string("%d", F.round(F.col("num") * 100).cast("bigint")).alias("raw"), F.lit(None).cast("double").alias("num"))
     return history.take_snapshots(rounded).select("object_id", "state_hash")
@@ -184,6 +190,15 @@ def transaction_mixed(s: SparkSession, d: str) -> DataFrame:
     return state.fold(history.transactions(roots, known)).select("object_id", r(F.col("num"), 4).alias("value"))
 
 
+def transaction_states(s: SparkSession, d: str) -> DataFrame:
+    """The states of transaction_mixed with the truth vector of the root that came last."""
+    ev = events(s, d)
+    moves = (F.col("action") == "UPDATE") & (F.col("id") % 2 == 0)
+    roots = ev.select("id", "timestamp", "object_id", "action", *truth.PARTS, F.to_json(F.struct(F.col("d_value").alias("inventory"))).alias("delta"), F.when(moves, F.col("object_id") + 1).alias("transfer_to"), F.col("d_value").alias("qty"))
+    left = history.transacted(roots, ev.select("object_id").where("object_id <= 100").distinct())
+    return left.select("object_id", r(F.col("num"), 4).alias("value"), "version", "last_event_id", "confidence", "authority")
+
+
 def events_created(s: SparkSession, d: str) -> DataFrame:
     """Every event made anew: fresh vectors, importances and faded copies."""
     made = truth.create_events(events(s, d).select("actor", "action", "object_id", "delta", "confidence"), as_of())
@@ -206,6 +221,10 @@ def decay_update(s: SparkSession, d: str) -> DataFrame:
     return maintain.decay(states, kinds, as_of()).select("id", "memory_type", "old_freshness", "new_freshness", "stale")
 
 
+def decay_counts(s: SparkSession, d: str) -> DataFrame:
+    return maintain.decay_totals(decay_update(s, d))
+
+
 def order_as_of(s: SparkSession, d: str):
     """The day after the latest order, as a literal: one scan of a column, one row to the driver."""
     return F.lit(str(table(s, d, "orders").agg((F.max("o_orderdate") + F.expr("INTERVAL 1 DAY")).cast("string").alias("_at")).first()[0])).cast("timestamp_ntz")
@@ -247,11 +266,22 @@ def access_reinforced(s: SparkSession, d: str) -> DataFrame:
 
 
 def weekly_merges(s: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("kind") == 0, "person").when(F.col("kind") == 1, "organization").when(F.col("kind") == 2, "place").otherwise("other")
-    found = maintain.weekly_merges(lens.vectors(s, d).withColumn("kind", kind), threshold=0.35)
+    found = maintain.weekly_merges(kinds(s, d), threshold=0.35)
     return found.select("source_id", "target_id", r(F.col("similarity"), 5).alias("similarity"))
 
 
+def kinds(s: SparkSession, d: str) -> DataFrame:
+    """Vectors whose first labels are the kinds that merge."""
+    kind = F.when(F.col("kind") == 0, "person").when(F.col("kind") == 1, "organization").when(F.col("kind") == 2, "place").otherwise("other")
+    return lens.vectors(s, d).withColumn("kind", kind)
+
+
+def weekly_applied(s: SparkSession, d: str) -> DataFrame:
+    """What the weekly run of the schedule leaves of the entities."""
+    done = maintain.schedule(lens.customer_states(s, d), lens.customers(s, d), as_of(), "weekly", kinds(s, d), 0.35)
+    return done["merged"].select("id", "kind", "merged_into")
+
+
 def marked(s: SparkSession, d: str) -> DataFrame:
     ev = events(s, d).withColumn("keys", F.array_sort(F.json_object_keys("delta"))).withColumn("consolidated_into", F.lit(None).cast("string"))
     return maintain.islands(ev, F.lit(lens.AS_OF).cast("timestamp"))
@@ -334,6 +364,18 @@ def merged_vectors(s: SparkSession, d: str) -> DataFrame:
     return identity.live_vectors(v, done).select("id", "kind")
 
 
+def merge_log(s: SparkSession, d: str) -> DataFrame:
+    log = identity.merge_log(similar_pairs(s, d), as_of())
+    return log.select("source_id", "target_id", r(F.col("confidence"), 5).alias("confidence"), "reason", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+def hybrid_entities(s: SparkSession, d: str) -> DataFrame:
+    """Entities of patterns, of a model that knows towns only, and of another for texts that the first isn't sure of."""
+    model = lambda rows: lens.statement_names(rows).where("label IN ('GPE', 'LOC')")
+    fallback = lambda rows: lens.statement_names(rows).where("label <> 'GPE'").withColumn("label", F.concat(F.lit("B-"), "label"))
+    return tx.hybrid_entities(lens.statements(s, d), model, fallback)
+
+
 def named_entities(s: SparkSession, d: str) -> DataFrame:
     """Entities by pattern and by name; an address that is also named keeps its pattern's label."""
     st = lens.statements(s, d)
@@ -614,6 +656,19 @@ def recall_faceted(s: SparkSession, d: str) -> DataFrame:
     return kept.select("query_id", "id", "score", "rank")
 
 
+def recall_grounded(s: SparkSession, d: str) -> DataFrame:
+    """Vector hits whose user signed up by their own word and had an error in the last two days."""
+    last = F.col("timestamp") >= F.lit("2024-01-29 00:00:00").cast("timestamp_ntz")
+    facets = {"planted": (F.col("actor") == "USER") & (F.col("action") == "PLANT"), "failed": (F.col("action") == "REMOVE") & last}
+    return evidence.grounded(vector_recall(s, d).select("query_id", "id", "score"), events(s, d), facets)
+
+
+def recall_evidence(s: SparkSession, d: str) -> DataFrame:
+    """The events behind the entities that vector hits name."""
+    found = evidence.cited(vector_recall(s, d), events(s, d))
+    return found.select("object_id", "part", "n", "first_at", "last_at", F.array_join("ids", ",").alias("ids"))
+
+
 def recall_forgotten(s: SparkSession, d: str) -> DataFrame:
     """Health of the memory after every third entity was forgotten."""
     heads = state.heads(events(s, d)).withColumnRenamed("object_id", "id")
@@ -686,6 +741,13 @@ def ingest_validate(s: SparkSession, d: str) -> DataFrame:
     return ingest.checked(ev.unionByName(pages)).groupBy("kind", "status", "action").agg(F.count(F.lit(1)).alias("n"), F.count("object_id").alias("with_object"))
 
 
+def ingest_identified(s: SparkSession, d: str) -> DataFrame:
+    """Records of even events name their user, the others are entities of their own."""
+    named = F.when(F.col("id") % 2 == 0, F.concat(F.lit(',"object_id":"'), F.col("object_id").cast("string"), F.lit('"'))).otherwise(F.lit(""))
+    records = events(s, d).select("id", F.concat(F.lit('{"action":"ADD"'), named, F.lit(',"delta":{"value":1}}')).alias("value"))
+    return ingest.identified(ingest.checked(records)).select("id", "status", "object_id")
+
+
 def stream_state_fold(s: SparkSession, d: str) -> DataFrame:
     """The log as a stream in several micro-batches; the states it leaves."""
     from ..sources.shared import shared_path
@@ -737,6 +799,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         weekly_merges, consolidation_replay, consolidation_count, consolidation_policy, entity_lookup, entity_created, statement_contradiction, topic_drift,
         transitive_upsert, path_confidence, relations_deleted, remember_events, remember_states, remember_relations, recall_faceted, recall_forgotten, extract_fields, event_messages, merged_vectors, named_entities,
         entities_merged, state_fold_runs, state_timeline_runs, snapshot_before_event, late_routes,
-        temporal_chains, causal_chains, centroid_drift, quarantined_vectors, state_store_counts, state_intervals, sql_state_at, sql_neighbors, sql_reached, ancestry_set_hash,
+        temporal_chains, causal_chains, centroid_drift, transaction_states, decay_counts, snapshot_compact, weekly_applied, merge_log, hybrid_entities, recall_grounded, recall_evidence, ingest_identified, quarantined_vectors, state_store_counts, state_intervals, sql_state_at, sql_neighbors, sql_reached, ancestry_set_hash,
     ]
     return {f.__name__: f for f in found}

@@ -33,6 +33,13 @@ def checked(records: DataFrame, value: str = "value", slab: int = SLAB_BYTES) ->
     )
 
 
+def identified(rows: DataFrame, key: str = "id", value: str = "value") -> DataFrame:
+    """checked() rows with an object_id each: a record that names none is an entity of its own, by a hash of its key and text,
+    so that a batch that is run again names it the same. Without key and text there is none."""
+    own = F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), value), 256)
+    return rows.withColumn("object_id", F.coalesce("object_id", F.when(F.col(key).isNotNull() | F.col(value).isNotNull(), own)))
+
+
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted records, and the rest for a dead-letter table."""
     return rows.where("status = 'accepted'"), rows.where("status <> 'accepted'")
