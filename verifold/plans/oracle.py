@@ -373,6 +373,7 @@ SELECT vec_id AS id, CASE label WHEN 0 THEN 'person' WHEN 1 THEN 'organization'
         "hybrid_entities": f"WITH {ST}, t AS (SELECT id, text FROM st), f AS ({found} UNION ALL SELECT id, 3, label, value FROM names WHERE label IN ('GPE', 'LOC') UNION ALL SELECT id, 4, 'B-' || label, value FROM names WHERE label <> 'GPE' AND id NOT IN (SELECT id FROM names WHERE label = 'GPE')) SELECT id, arg_min(label, (k, label)) AS label, value, count(*) AS n FROM f GROUP BY id, value",
         "ingest_identified": """SELECT event_id AS id, 'accepted' AS status, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE sha256(event_id || chr(31) || '{"action":"ADD","delta":{"value":1}}') END AS object_id FROM events""",
     }
+    out["events_played_back"] = f"SELECT event_type, CASE WHEN {days(AS_OF, 'ts')} > 365 THEN 'reject' WHEN {days(AS_OF, 'ts')} > 30 THEN 'approve' ELSE 'accept' END AS route, count(*) AS n, count(user_id) AS with_user, CAST(sum(event_id) AS BIGINT) AS ids, round(sum(value), 2) AS value FROM events GROUP BY 1, 2"
     out["decay_counts"] = f"SELECT count(*) AS updated, count(*) FILTER (WHERE stale) AS stale FROM ({out['decay_update']})"
     out["recall_grounded"] = f"""WITH {EV}, hits AS ({out['vector_recall']}), c AS (
   SELECT object_id, count(*) AS n_events, count(*) FILTER (WHERE actor = 'USER' AND action = 'PLANT') AS n_planted, count(*) FILTER (WHERE action = 'REMOVE' AND timestamp >= TIMESTAMP '2024-01-29 00:00:00') AS n_failed, arg_min(id, (timestamp, id)) AS first_id, arg_max(id, (timestamp, id)) AS last_id FROM ev GROUP BY 1

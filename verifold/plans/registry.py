@@ -13,7 +13,7 @@ from ..operators import chains, conflict, evidence, graph, history, identity, ma
 from ..sources import lens
 from ..sources.lens import as_of, events, table
 from ..sources.shared import frozen
-from ..streaming import ingest
+from ..streaming import ingest, load
 
 DIGITS = 6
 MIDDLE = "2024-01-15 00:00:00"
@@ -761,6 +761,19 @@ def stream_state_fold(s: SparkSession, d: str) -> DataFrame:
     return ingest.current_states(s, f"{home}/states").select("object_id", r(F.col("num"), 4).alias("value"))
 
 
+def events_played_back(s: SparkSession, d: str) -> DataFrame:
+    """The recorded events as a stream from their own source, all due at once; what arrived, by type."""
+    from ..sources.shared import shared_path
+
+    s.dataSource.register(load.EventLoad)
+    home = shared_path(s, "played")
+    source = s.readStream.format("event_load").options(path=f"{d}/events.parquet", rate="1e9", started="0", batch="4096").load()
+    routed = ingest.routed(source.withColumn("arrived", F.lit(lens.AS_OF).cast("timestamp")), "ts")
+    routed.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = s.read.parquet(f"{home}/out")
+    return got.groupBy("event_type", "route").agg(F.count(F.lit(1)).alias("n"), F.count("user_id").alias("with_user"), F.sum("event_id").alias("ids"), r(F.sum("value"), 2).alias("value"))
+
+
 def event_messages(s: SparkSession, d: str) -> DataFrame:
     """Events as messages, written and read back."""
     from ..sources.shared import shared_path
@@ -799,6 +812,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         weekly_merges, consolidation_replay, consolidation_count, consolidation_policy, entity_lookup, entity_created, statement_contradiction, topic_drift,
         transitive_upsert, path_confidence, relations_deleted, remember_events, remember_states, remember_relations, recall_faceted, recall_forgotten, extract_fields, event_messages, merged_vectors, named_entities,
         entities_merged, state_fold_runs, state_timeline_runs, snapshot_before_event, late_routes,
-        temporal_chains, causal_chains, centroid_drift, transaction_states, decay_counts, snapshot_compact, weekly_applied, merge_log, hybrid_entities, recall_grounded, recall_evidence, ingest_identified, quarantined_vectors, state_store_counts, state_intervals, sql_state_at, sql_neighbors, sql_reached, ancestry_set_hash,
+        temporal_chains, causal_chains, centroid_drift, transaction_states, decay_counts, snapshot_compact, weekly_applied, merge_log, hybrid_entities, recall_grounded, recall_evidence, ingest_identified, events_played_back, quarantined_vectors, state_store_counts, state_intervals, sql_state_at, sql_neighbors, sql_reached, ancestry_set_hash,
     ]
     return {f.__name__: f for f in found}
