@@ -120,6 +120,26 @@ def test_matches_brute_force_and_reruns(spark, monkeypatch):
     assert mine == {k: pieces.get(k, 0) for k in mine}
 
 
+def test_equal_rows_are_split(spark, monkeypatch):
+    docs = [(7, "a", "told again and again")] * 700 + [(8, "a", None)] * 90 + [(i, "b" if i % 2 else "a", "x " * i) for i in range(30)]
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    laid, placed = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(4), block=8, shard_slots=64)
+    got = mixing.taken(laid, placed).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len((t or "").split())) for i, _, t in docs)
+    ends = defaultdict(int)
+    for r in sorted((r for r in got if r["size"]), key=lambda r: (r.source_no, r.start)):
+        assert r.start == ends[r.source_no]
+        ends[r.source_no] += r["size"]
+    assert all(0 <= r.taken <= 3 * r["size"] for r in got)
+    for s in ("a", "b"):
+        own = [r for r in got if r.source == s]
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, abs=8)
+    # the copies of one row are cut into parts of 16, each a group of its own
+    many = spark.createDataFrame([(1, 3, 100, 10), (2, 5, 1, 0)], "source_no long, size long, _copies long, start long")
+    assert sorted(tuple(r) for r in mixing.copied(many).collect()) == sorted([(1, 3, 10 + 3 * k) for k in range(100)] + [(2, 5, 0)])
+
+
 def test_text_of_pieces_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a", "one two three four five"), (2, "b", "six seven")], "doc_id long, source string, text string")
     laid, placed = mixing.mix(df, block=2)

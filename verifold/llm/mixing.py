@@ -23,6 +23,8 @@ from .common import count_words, frozen, words
 BLOCK, SHARD_SLOTS, MOST, SEED, BUCKET_ROWS = 256, 4096, 3, 17, 512
 #: Shards that one task draws.
 TASK_SHARDS = 64
+#: Equal rows that one task lays out.
+COPIES = 4096
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -148,9 +150,11 @@ def laid_out(docs: DataFrame, plan: list[dict], seed: int = SEED, bucket_rows: i
 
     A source's documents fall into buckets by the hash of their id and text, about `bucket_rows` in each, and these into
     groups of `bucket_rows`; the running sum is one over the groups' totals, one over the buckets' totals in a group and
-    one inside a bucket, so that no task holds a source.
+    one inside a bucket, so that no task holds a source. Rows that are equal in all columns are one row with a count until
+    their starts are known, and then lie end to end.
     """
     bucket_rows = bucket_rows or BUCKET_ROWS
+    docs = frozen(docs.groupBy(*docs.columns).agg(F.count(F.lit(1)).alias("_copies")), "distinct")
     rows = [(p["source_no"], p["source"], p["source_size"], p["target"]) for p in plan]
     names = few(docs.sparkSession.createDataFrame(rows, "source_no int, _name string, source_size long, target double"), len(rows))
     known = docs.join(names, docs["source"].eqNullSafe(names["_name"]), "inner").drop("_name")
@@ -158,17 +162,29 @@ def laid_out(docs: DataFrame, plan: list[dict], seed: int = SEED, bucket_rows: i
     mark = F.xxhash64(F.lit(seed), "doc_id", "_text_mark")
     dealt = known.withColumn("_mark", mark).withColumn("_bucket", F.pmod(F.col("_mark"), F.lit(width)).cast("int"))
     group = F.floor(F.col("_bucket") / bucket_rows).cast("int").alias("_group")
-    totals = frozen(dealt.groupBy("source_no", "_bucket").agg(F.sum("size").alias("_sum")).select("source_no", group, "_bucket", "_sum"), "bucket-sizes")
+    totals = frozen(dealt.groupBy("source_no", "_bucket").agg(F.sum(F.col("size") * F.col("_copies")).alias("_sum")).select("source_no", group, "_bucket", "_sum"), "bucket-sizes")
     over = lambda keys, by: F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = totals.groupBy("source_no", "_group").agg(F.sum("_sum").alias("_sum")).select("source_no", "_group", over(["source_no"], "_group").alias("_groups"))
     before = totals.withColumn("_buckets", over(["source_no", "_group"], "_bucket")).join(groups, ["source_no", "_group"]).select("source_no", "_bucket", (F.col("_groups") + F.col("_buckets")).alias("_before"))
     inside = Window.partitionBy("source_no", "_bucket").orderBy("_mark", "doc_id", "_text_mark", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dealt.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    started = (
+        dealt.withColumn("_in", F.coalesce(F.sum(F.col("size") * F.col("_copies")).over(inside), F.lit(0)))
         .join(before, ["source_no", "_bucket"])
         .withColumn("start", F.col("_before") + F.col("_in"))
         .drop("_mark", "_bucket", "_before", "_in")
     )
+    return copied(frozen(started, "started"))
+
+
+def copied(started: DataFrame, most: int | None = None) -> DataFrame:
+    """Each row as often as _copies says, one after the other from its start on; those of a row with many are many tasks' work."""
+    most = most or COPIES
+    first, last = F.col("_part") * most, F.least((F.col("_part") + 1) * most, F.col("_copies")) - 1
+    own = started.where(F.col("_copies") <= most).withColumn("_part", F.lit(0).cast("long"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / most).cast("long")))
+    hot = started.where(F.col("_copies") > most).withColumn("_part", parts).repartition("source_no", "start", "_part")
+    each = own.unionByName(hot).withColumn("_copy", F.explode(F.sequence(first, last)))
+    return each.withColumn("start", F.col("start") + F.col("_copy") * F.col("size")).drop("_copies", "_part", "_copy")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
