@@ -101,11 +101,14 @@ def summaries(marked: DataFrame, least: int = 2, replay_safe: bool = False) -> D
     """
     order = F.struct("timestamp", "id")
     firsts = [c for c in ("namespace", *truth.PARTS) if c in marked.columns]
+    # single events are most of a log, and go before any delta is read; the count needs no exchange beyond that of islands()
+    size = F.count(F.lit(1)).over(Window.partitionBy("object_id", "island"))
+    marked = marked.withColumn("_size", size).where(F.col("_size") >= least).drop("_size")
     runs_ = marked.groupBy("object_id", "island").agg(
         F.count(F.lit(1)).alias("n"), F.first("action").alias("action"), F.max("timestamp").alias("timestamp"),
         F.transform(F.array_sort(F.collect_list(order)), lambda x: x["id"].cast("string")).alias("antecedents"),
         *[F.min_by(c, order).alias(c) for c in firsts],
-    ).where(F.col("n") >= least)
+    )
     rows = state.long_form(marked.select("object_id", "island", "timestamp", "id", "action", "delta"))
     total = F.when(F.count(F.lit(1)) == F.count("num"), F.sum("num"))
     if replay_safe:
