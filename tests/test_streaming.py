@@ -36,6 +36,25 @@ def test_micro_batches_repair_any_lateness(spark, tmp_path):
     assert {k for k in after if after[k] != got[k]} == {3}
 
 
+def test_what_comes_in_order_needs_no_log(spark, tmp_path):
+    """Rows in order are folded onto the stored states, though the log is gone; equal times go by id."""
+    sets = [
+        [(1, "v", T0, 1, "PLANT", 10.0, None), (1, "v", T0, 2, "ADD", 1.0, None), (2, "t", T0, 3, "UPDATE", None, '"a"'), (3, "v", T0, 4, "ADD", 4.0, None), (None, "v", T0, 5, "ADD", 4.0, None)],
+        [(1, "v", T0, 6, "ADD", 5.0, None), (2, "t", T0 + timedelta(1), 7, "ADD", 2.0, None), (1, "w", T0 - timedelta(9), 8, "REMOVE", 2.0, None)],
+        [(1, "v", T0 + timedelta(1), 9, "REMOVE", 3.0, None), (2, "t", T0 + timedelta(2), 10, "OBSERVE", None, '"b"')],
+    ]
+    paths = [str(tmp_path / x) for x in ("states", "log", "cp")]
+    for k, part in enumerate(sets):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k == 1:
+            (tmp_path / "log").rename(tmp_path / "gone")
+        ingest.fold_batches(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), *paths).awaitTermination()
+        got = {(x.object_id, x.key): (x.num, x.raw) for x in ingest.current_states(spark, paths[0]).collect()}
+        seen = spark.createDataFrame([r for p in sets[: k + 1] for r in p if r[0] is not None], SCHEMA)
+        assert got == {(x.object_id, x.key): (x.num, x.raw) for x in state.fold(seen).collect()}
+    assert got[1, "v"] == (13.0, None) and got[2, "t"] == (None, '"b"')
+
+
 def test_stateful_fold_under_a_watermark(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     at = lambda m: T0 + timedelta(minutes=m)

@@ -169,14 +169,49 @@ def current_states(spark: SparkSession, states_path: str, buckets: list[int] | N
     return rows.where(wanted).drop("bucket", "epoch")
 
 
+def _with_last(rows: DataFrame) -> DataFrame:
+    """state.fold() of rows with last_at and last_id, the time and id of the last of them."""
+    from ..operators import state
+
+    last = rows.groupBy("object_id", "key").agg(F.max(F.struct("timestamp", "id")).alias("_l"))
+    return _by_key(state.fold(rows), last.select("object_id", "key", F.col("_l.timestamp").alias("last_at"), F.col("_l.id").alias("last_id")), "inner")
+
+
+def _by_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """A join of both by entity and key, of which a null is one."""
+    named = right.withColumnRenamed("object_id", "_o").withColumnRenamed("key", "_k")
+    return left.join(named, (F.col("object_id") == F.col("_o")) & F.col("key").eqNullSafe(F.col("_k")), how).drop("_o", "_k")
+
+
+def _refolded(log: DataFrame, own: DataFrame, old: DataFrame) -> DataFrame:
+    """The states old after a micro-batch's own rows, which are in the log by then. A key whose first row of the batch isn't
+    after its state's last event is late."""
+    firsts = own.groupBy("bucket", "object_id", "key").agg(F.min(F.struct(F.col("timestamp").alias("last_at"), F.col("id").alias("last_id"))).alias("_first"))
+    met = _by_key(firsts, old.select("object_id", "key", F.struct("last_at", "last_id").alias("_last")), "left")
+    late = met.where(F.col("_first") <= F.col("_last")).select("bucket", "object_id", "key")
+    touched, own = firsts.select("object_id", "key"), own.drop("bucket")
+    seeds = _by_key(old, touched, "left_semi").select("object_id", "key", F.col("last_at").alias("timestamp"), F.lit(-1).cast("long").alias("id"), F.lit("UPDATE").alias("action"), "num", "raw")
+    onto = _by_key(seeds.unionByName(own.select(*seeds.columns)), late.drop("bucket"), "left_anti")
+    parts = [_by_key(old, touched, "left_anti"), _with_last(onto)]
+    behind = [r.bucket for r in late.select("bucket").distinct().collect()]
+    if behind:
+        again = log.where(F.col("bucket").isin(behind)).drop("bucket", "epoch")
+        parts.append(_with_last(_by_key(again, late.drop("bucket"), "left_semi")))
+    out = parts[0].select("object_id", "key", "num", "raw", "last_at", "last_id")
+    for more in parts[1:]:
+        out = out.unionByName(more.select(*out.columns))
+    return out
+
+
 def fold_batches(events: DataFrame, states_path: str, log_path: str, checkpoint: str, buckets: int = BUCKETS, every: str | None = None):
-    """A stream that keeps states right under any lateness: each micro-batch goes to the log, and the entities it touches are folded anew.
+    """A stream that keeps states right under any lateness: each micro-batch goes to the log; what is later than all that an
+    entity's key has seen is folded onto its stored state, and keys with late events are folded anew from the log.
 
-    Log and states lie in buckets of entities; only touched buckets are read and written. A bucket's newest epoch counts,
+    Log and states lie in buckets of entities; only touched buckets of states are read and written, and of the log only
+    those with late events are read. Events without an entity are logged, and have no state. A bucket's newest epoch counts,
     the one before it stays until the next, so that a batch that is run again finds what it found. every: a processing-time
     trigger like "10 seconds"; what is there at once (availableNow) unless given. Returns the started query.
     """
-    from ..operators import state
 
     def put(rows: DataFrame, path: str, epoch: int) -> None:
         own = rows.withColumn("bucket", F.pmod(F.xxhash64("object_id"), F.lit(buckets)).cast("int")).withColumn("epoch", F.lit(epoch))
@@ -185,14 +220,18 @@ def fold_batches(events: DataFrame, states_path: str, log_path: str, checkpoint:
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         put(batch, log_path, epoch)
-        touched = batch.select("object_id").distinct()
-        hit = [r.b for r in touched.select(F.pmod(F.xxhash64("object_id"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]
+        if not _exists(spark, log_path):
+            return
+        kept = spark.read.parquet(log_path)
+        own = kept.where((F.col("epoch") == epoch) & F.col("object_id").isNotNull())
+        hit = [r.bucket for r in own.select("bucket").distinct().collect()]
         if not hit:
             return
-        log = spark.read.parquet(log_path).where(F.col("bucket").isin(hit) & (F.col("epoch") <= epoch)).drop("bucket", "epoch")
-        fresh = state.fold(log.join(touched, "object_id", "left_semi"))
         if _exists(spark, states_path):
-            fresh = fresh.unionByName(current_states(spark, states_path, hit, epoch - 1).join(touched, "object_id", "left_anti").select(*fresh.columns))
+            old = current_states(spark, states_path, hit, epoch - 1)
+            fresh = _refolded(kept.where(F.col("epoch") <= epoch), own.drop("epoch"), old)
+        else:
+            fresh = _with_last(kept.where(F.col("bucket").isin(hit) & (F.col("epoch") <= epoch) & F.col("object_id").isNotNull()).drop("bucket", "epoch"))
         put(fresh, states_path, epoch)
         done = spark.read.parquet(states_path).where(F.col("bucket").isin(hit)).select("bucket", "epoch").distinct().collect()
         for k in hit:
