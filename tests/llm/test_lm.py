@@ -108,3 +108,9 @@ def test_packing():
     x = np.sort(np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64))
     assert (lm.unpacked_keys(lm.packed_keys(x)) == x).all()
     assert (lm.unpacked(lm.packed(x.view(np.int64))).view(np.uint64) == x).all()
+
+
+def test_exchange_is_one_level_at_size():
+    """A GB of texts has some 570 million n-grams; a second level writes all of them again."""
+    assert lm.ranges(290_000_000)[1] == lm.ranges(3_500_000_000)[1] == lm.ranges(17_000_000_000)[1] == 1
+    assert lm.ranges(10**12)[1] > 1

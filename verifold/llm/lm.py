@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import crc_fold, frozen
 
 ORDER, MU, LEAST = 3, 4.0, 2
-#: A block is closed at so many tokens; memory follows it. A range of the exchange has about so many n-grams.
-BLOCK_TOKENS, PART_GRAMS, FAN = 1_000_000, 2_000_000, 512
+#: A block is closed at so many tokens; memory follows it. A range of the exchange has about so many n-grams. Dealing further
+#: writes all n-grams anew, so a sender deals to as many ranges as some 30 GB of texts need.
+BLOCK_TOKENS, PART_GRAMS, FAN = 1_000_000, 4_000_000, 8192
 #: n-grams of two words and more are exchanged by so many bits of their hash beyond those that number them: one in 2^22
 #: meets another. Words, whose counts the base score is made of, are exchanged by all of theirs but one.
 SPARE_BITS = 22
@@ -360,6 +361,14 @@ def scorer(n: int, v: int, mu: float, least: int, order: int, bits: int):
     return run
 
 
+def ranges(grams: int, part_grams: int = PART_GRAMS, fan: int = FAN) -> tuple[int, int]:
+    """How many parts the n-grams are counted in, and of how many parts a range is that blocks deal to."""
+    parts, span = 1 << max(0, math.ceil(math.log2(grams / part_grams))), 1
+    while parts // span > fan:
+        span *= fan
+    return parts, span
+
+
 def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, order: int = ORDER, mu: float = MU, least: int = LEAST, block_tokens: int = BLOCK_TOKENS, part_grams: int = PART_GRAMS, fan: int = FAN, spare_bits: int = SPARE_BITS) -> DataFrame:
     """Rows of SCORES, one for each row of docs, under a model of the documents whose fold isn't `held_out`.
 
@@ -373,11 +382,8 @@ def scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, order:
     senders, grams = blocks.agg(F.count(F.lit(1)), F.sum("grams")).first()
     if not grams:
         return docs.sparkSession.createDataFrame([], SCORES)
-    parts = 1 << max(0, math.ceil(math.log2(grams / part_grams)))
+    parts, span = ranges(grams, part_grams, fan)
     bits = max(1, min(63, grams.bit_length() + spare_bits))
-    span = 1
-    while parts // span > fan:
-        span *= fan
     sent = blocks.mapInArrow(key_writer(parts, span, bits, order), KEYS)
     totals = summed(sent, parts, span, senders, fan)
     v, n = totals.agg(F.sum("seen"), F.sum("token_sum")).first()
