@@ -31,6 +31,8 @@ def denials(text: Column) -> Column:
     return F.when(trigger, F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
+#: Namespaces of at most so many distinct denied texts compare each of their texts with all of these.
+DIRECT = 256
 #: Texts meet by the rarest of their runs of so many characters.
 GRAM = 4
 
@@ -54,30 +56,41 @@ def contained(inner: DataFrame, outer: DataFrame, by: str, size: int = GRAM) ->
     short = asks.where(F.length("text") < size).select(by).distinct()
     less = F.array_distinct(F.concat(F.array(F.lit("")), *[runs_of(F.col("text"), n) for n in range(1, size)]))
     outers = have.select(by, F.col("text").alias("outer"), F.explode(F.array_distinct(runs_of(F.col("text"), size))).alias("gram")).where(F.length("gram") == size)
-    posted = outers.unionByName(have.join(short, by, "left_semi").select(by, F.col("text").alias("outer"), F.explode(less).alias("gram")))
-    wanted = frozen(posted.join(tried.select(by, "gram").distinct(), [by, "gram"], "left_semi"), "grams")
+    posted = outers.unionByName(have.join(short.hint("merge"), by, "left_semi").select(by, F.col("text").alias("outer"), F.explode(less).alias("gram")))
+    wanted = frozen(posted.join(tried.select(by, "gram").distinct().hint("merge"), [by, "gram"], "left_semi"), "grams")
     counts = wanted.groupBy(by, "gram").agg(F.count(F.lit(1)).alias("_n"))
     # a text with a run that nobody has is a part of nothing
-    known = tried.join(counts, [by, "gram"], "left").groupBy(by, "text").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0).cast("long")), "gram")).alias("gram"))
-    met = known.withColumnRenamed("text", "inner").join(wanted, [by, "gram"])
+    known = tried.join(counts.hint("merge"), [by, "gram"], "left").groupBy(by, "text").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0).cast("long")), "gram")).alias("gram"))
+    met = known.withColumnRenamed("text", "inner").join(wanted.hint("merge"), [by, "gram"])
     return met.where(F.col("outer").contains(F.col("inner"))).select(by, "inner", "outer")
 
 
-def textual(memories: DataFrame, by: str = "namespace") -> DataFrame:
+def textual(memories: DataFrame, by: str = "namespace", direct: int = DIRECT) -> DataFrame:
     """Denials and the first earlier text of their namespace that says the denied: (namespace, id, other_id).
 
     Only denials look back, and only within a namespace; of the earlier texts that contain or are contained in a
-    candidate, the first by order counts. memories: namespace, id, ord, text. Texts that repeat are compared once, and
-    only those that share a rare run of characters are compared at all.
+    candidate, the first by order counts. memories: namespace, id, ord, text; what has no order is earlier than nothing.
+    A namespace's texts meet its distinct candidates as they are while these are at most `direct`; in other namespaces
+    only texts that share a rare run of characters are compared.
     """
-    said = memories.where(F.col("text").isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("_b"), "id", "ord", F.col("text").alias("_raw"), F.lower("text").alias("text"))
-    asks = said.select("_b", "id", "ord", F.explode(denials(F.col("_raw"))).alias("p"))
-    wants = asks.select("_b", F.col("p").alias("text"))
-    both = contained(wants, said, "_b").select("_b", F.col("inner").alias("p"), F.col("outer").alias("t"))
-    both = both.unionByName(contained(said, wants, "_b").select("_b", F.col("outer").alias("p"), F.col("inner").alias("t"))).distinct()
-    # one text may be said often: an ask needs its first time alone, the others are later
-    first = said.groupBy("_b", F.col("text").alias("t")).agg(F.min(F.struct("ord", "id")).alias("_f"))
-    met = asks.join(both.join(first, ["_b", "t"]), ["_b", "p"]).where(F.col("_f.ord") < F.col("ord"))
+    said = memories.where(F.col("text").isNotNull() & F.col(by).isNotNull() & F.col("ord").isNotNull()).select(F.col(by).alias("_b"), "id", "ord", F.col("text").alias("_raw"), F.lower("text").alias("text"))
+    asks = frozen(said.where(F.size(denials(F.col("_raw"))) > 0).select("_b", "id", "ord", F.explode(denials(F.col("_raw"))).alias("p")), "asks")
+    wants = asks.select("_b", "p").distinct()
+    counts = wants.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    busy = frozen(counts.where(F.col("_n") > direct).select("_b"), "busy")
+    texts = said.groupBy("_b", "text").agg(F.min(F.struct("ord", "id")).alias("_f"))
+    # merged, not broadcast: Parquet files say little about the size of what is made of them
+    crowded = not busy.isEmpty()
+    few = wants.join(busy.hint("merge"), "_b", "left_anti") if crowded else wants
+    # an ask needs the first time alone that its candidate is met: if that isn't earlier, none is; so texts that repeat count once
+    found = texts.join(few.hint("merge"), "_b").where(F.col("text").contains(F.col("p")) | F.col("p").contains(F.col("text"))).groupBy("_b", "p").agg(F.min("_f").alias("_f"))
+    if crowded:
+        own = said.join(busy.hint("merge"), "_b", "left_semi").select("_b", "text")
+        many = wants.join(busy.hint("merge"), "_b", "left_semi").select("_b", F.col("p").alias("text"))
+        both = contained(many, own, "_b").select("_b", F.col("inner").alias("p"), F.col("outer").alias("t"))
+        both = both.unionByName(contained(own, many, "_b").select("_b", F.col("outer").alias("p"), F.col("inner").alias("t"))).distinct()
+        found = found.unionByName(both.join(texts.withColumnRenamed("text", "t").hint("merge"), ["_b", "t"]).groupBy("_b", "p").agg(F.min("_f").alias("_f")))
+    met = asks.join(found, ["_b", "p"]).where(F.col("_f.ord") < F.col("ord"))
     return met.groupBy(F.col("_b").alias(by), "id").agg(F.min_by("_f.id", "_f").alias("other_id"))
 
 
