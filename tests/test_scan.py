@@ -88,6 +88,20 @@ def test_textual_equals_the_pairwise_rule(spark):
     assert {r.id: r.other_id for r in conflict.textual(df).collect()} == want and want
 
 
+def test_textual_in_crowded_namespaces_and_others(spark, tmp_path, monkeypatch):
+    """Namespaces with few candidates make no rows of runs of characters, and nothing that a file's size hides is broadcast."""
+    said = ["I like rain on day %d", "I hate rain on day %d", "don't go on day %d", "Go on day %d", "not now %d"]
+    rows = [(ns, 1000 * ns + i, i if i % 9 else None, said[i % 5] % (i % 7)) for ns in range(3) for i in range(30 * (1 + ns))]
+    spark.createDataFrame(rows, "namespace long, id long, ord long, text string").write.parquet(f"{tmp_path}/said")
+    df = spark.read.parquet(f"{tmp_path}/said")
+    split = {r.id: r.other_id for r in conflict.textual(df, direct=15).collect()}
+    assert split == {r.id: r.other_id for r in conflict.textual(df, direct=0).collect()} and split
+    monkeypatch.setattr(conflict, "contained", None)
+    assert {r.id: r.other_id for r in conflict.textual(df).collect()} == split
+    plan = conflict.textual(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+
+
 def test_late_events_take_three_ways(spark, tmp_path):
     day = lambda d: T0 + timedelta(days=d)
     rows = [(1, day(500), day(500)), (2, day(500), day(530)), (3, day(500), day(530.5)), (4, day(500), day(865)), (5, day(500), day(866)), (6, day(900), day(865)), (7, None, day(865))]
