@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,34 @@ def test_ranks_are_not_rounded(spark):
     assert [r.id for r in sorted(hits, key=lambda r: r.rank)] == [1, 3, 2]
 
 
+def test_ranks_by_as_many_digits_as_asked_for(spark):
+    """Hits that are equal at these digits come by their ids, within a block and over blocks."""
+    near = lambda c: [c, math.sqrt(1 - c * c)]
+    rows = [(i, "a", near(0.98 + (i % 4) * 1e-7)) for i in range(2, 60)] + [(1, "a", [1.0, 0.0])]
+    hits = retrieval.vector_hits(frame(spark, rows), frame(spark, rows[-1:]), 6, 5, 5).collect()
+    assert [r.id for r in sorted(hits, key=lambda r: r.rank)] == [1, 2, 3, 4, 5, 6]
+    got = identity.similar(frame(spark, rows[-1:]), frame(spark, rows), -2.0, 6, block=8, digits=5).collect()
+    assert {r.right_id for r in got} >= {1, 2, 3, 4, 5, 6}
+
+
+def test_blocks_grow_with_rows_and_products_are_bounded(monkeypatch):
+    """What is sent falls with the size of a block; a task's best hits don't depend on the products that it holds at once."""
+    assert identity.block_for(900_000, 32) > 50_000 and identity.block_for(900_000, 1536) < 3000 and identity.block_for(100, 3) == identity.BLOCK
+    rnd = np.random.default_rng(8)
+    side = lambda n: pa.table([pa.array(np.arange(n)), pa.array(rnd.normal(size=(n, 6)).round(1).tolist()), pa.array(["b"] * n), pa.array(["k"] * n)], ["id", "vec", "block", "other"])
+    left, right = side(70), side(400)
+    u, v = (identity._units(t.column("vec").combine_chunks()) for t in (left, right))
+    s = u @ v.T
+    for block, products in ((2048, 1 << 21), (32, 500)):
+        monkeypatch.setattr(identity, "BLOCK", block)
+        monkeypatch.setattr(identity, "PRODUCTS", products)
+        got = identity._matched(-2.0, 7, 2)(left, right).to_pylist()
+        for i in range(70):
+            assert [r["right_id"] for r in got if r["left_id"] == i] == sorted(range(400), key=lambda j: (-identity._half_up(s[i, j], 2), j))[:7]
+        got = identity._matched(0.8, None, 12, {6: v[:5]})(left, right).to_pylist()
+        assert {(r["left_id"], r["right_id"]) for r in got} == set(zip(*(z.tolist() for z in np.nonzero(s >= 0.8))))
+
+
 def test_pivots_prune_and_lose_nothing(spark):
     rnd = np.random.default_rng(3)
     centres = rnd.normal(size=(40, 24))

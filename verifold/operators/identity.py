@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..sources.shared import frozen
 
 DIMENSIONS = 1536
-#: About so many vectors of a type meet in one task on each side.
-BLOCK = 2048
+#: So many vectors of a type meet in one task on each side at least; of short vectors more, up to so many components, as what
+#: is sent grows with the square of the number of blocks. A task holds so many products at once.
+BLOCK, COMPONENTS, PRODUCTS = 2048, 1 << 22, 1 << 21
 #: Vectors whose angles to all others prune pairs of blocks, and the steps that an angle is taken in.
 PIVOTS, STEPS = 32, 128
 #: What a cosine may lose to doubles.
@@ -82,24 +83,74 @@ def _units(vectors: pa.Array) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
-def _matched(threshold: float, most: int | None):
+def _half_up(v: np.ndarray, digits: int) -> np.ndarray:
+    """v rounded as Spark and SQL do, times 10 ** digits."""
+    return np.sign(v) * np.floor(np.abs(v) * 10.0**digits + 0.5)
+
+
+def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows i of a with rows j of b, a bounded part at a time."""
+    step = max(1, PRODUCTS // a.shape[1])
+    parts = [np.einsum("ij,ij->i", a[i[k : k + step]], b[j[k : k + step]]) for k in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def _spans(units: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of the pivots they are near, and the least and largest angles to each pivot of every BLOCK of them."""
+    angle = np.arccos(np.clip(units @ pivots.T, -1, 1))
+    order = np.lexsort((angle.min(axis=1), *np.argsort(angle, axis=1, kind="stable")[:, 1::-1].T))
+    cuts = np.arange(0, len(order), BLOCK)
+    return order, np.minimum.reduceat(angle[order], cuts), np.maximum.reduceat(angle[order], cuts)
+
+
+def _matched(threshold: float, most: int | None, digits: int = 12, pivots: dict[int, np.ndarray] | None = None):
     names = ["left_id", "right_id", "similarity"]
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = (t.rename_columns(["id", "vec", "block", "other"]) for t in (left, right))
         a, b = (t.column("id").combine_chunks() for t in (left, right))
         if not len(a) or not len(b):
             return pa.table([a.slice(0, 0), b.slice(0, 0), pa.array([], pa.float64())], names)
-        s = _units(left.column("vec").combine_chunks()) @ _units(right.column("vec").combine_chunks()).T
-        i, j = np.nonzero(s >= threshold - ROUNDING)
-        v = s[i, j]
-        if most is not None:  # of a left vector, no more hits than it may keep in the end; ties by the smaller id
+        place = None
+        if most is not None:  # of ids in order, for ties
             place = np.empty(len(b), np.int64)
             place[pc.sort_indices(b).to_numpy()] = np.arange(len(b))
-            order = np.lexsort((place[j], -np.round(v, 12), i))
-            i, j, v = i[order], j[order], v[order]
-            nth = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j, v = i[nth < most], j[nth < most], v[nth < most]
+        x, y = (_units(t.column("vec").combine_chunks()) for t in (left, right))
+        slack = 1e-6 + 2.5e-7 * x.shape[1]  # what products of singles may be off by
+        x32, y32 = x.astype(np.float32), y.astype(np.float32)
+        if pivots:  # blocks of neighbours within the task, of which the triangle inequality rules pairs out
+            own = pivots[x.shape[1]]
+            (order_x, low, high), (order_y, low_r, high_r) = _spans(x, own), _spans(y, own)
+            near = ((high[:, None] + reach >= low_r) & (high_r + reach >= low[:, None])).all(axis=2)
+            pieces = ((order_x[n * BLOCK : (n + 1) * BLOCK], order_y[np.repeat(hit, BLOCK)[: len(order_y)]]) for n, hit in enumerate(near))
+        else:
+            pieces = iter([(np.arange(len(a)), None)])
+        found = []
+        for rows, cols in pieces:
+            side = y32 if cols is None else y32[cols]
+            if not len(side):
+                continue
+            step = max(1, PRODUCTS // len(side))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                s = x32[part] @ side.T
+                least = threshold - slack
+                if most is not None and len(side) > most:  # the best of some columns are a bound for the best of all
+                    some = s[:, : max(BLOCK, 2 * most)]
+                    kth = np.partition(some, some.shape[1] - most, axis=1)[:, some.shape[1] - most]
+                    least = np.maximum(least, kth.astype(np.float64) - 2 * slack - 10.0**-digits)[:, None]
+                i, j = np.nonzero(s >= least)
+                i, j = part[i], j if cols is None else cols[j]
+                v = _dots(x, y, i, j)
+                i, j, v = (z[v >= threshold - ROUNDING] for z in (i, j, v))
+                if most is not None:  # of a left vector, no more hits than it may keep in the end; ties by the smaller id
+                    order = np.lexsort((place[j], -_half_up(v, digits), i))
+                    i, j, v = i[order], j[order], v[order]
+                    nth = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j, v = i[nth < most], j[nth < most], v[nth < most]
+                found.append((i, j, v))
+        i, j, v = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(v)], names)
 
     return run
@@ -152,9 +203,16 @@ def _block_pairs(one: DataFrame, two: DataFrame, pivots: int, angle: float) -> D
     return met.select(F.col("a.kind").alias("kind"), F.col("a.size").alias("size"), F.col("a.block").alias("block"), F.col("b.block").alias("other"), near.alias("near"))
 
 
-def _laid_out(left: DataFrame, right: DataFrame, threshold: float, block: int, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both sides in blocks, and the pairs of blocks."""
+def block_for(n: int, size: int) -> int:
+    """Vectors of a block among n vectors of so many components: a sixteenth of them, as far as a task can hold it."""
+    return max(BLOCK, min(n // 16, COMPONENTS // max(size, 1)))
+
+
+def _laid_out(left: DataFrame, right: DataFrame, threshold: float, block: int | None, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, np.ndarray]]:
+    """Both sides in blocks, the pairs of blocks, and the pivots by size."""
     one, two = comparable(left), comparable(right)
+    if block is None:
+        block = block_for(*two.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(1))).first())
     angle = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
     # pivots are a few vectors of each size, whatever their kind; below a right angle all pairs of blocks may matter
     chosen: dict[int, list] = {}
@@ -163,7 +221,7 @@ def _laid_out(left: DataFrame, right: DataFrame, threshold: float, block: int, p
         nonzero = two.where(F.exists("vec", lambda x: x != 0)).select("size", "vec")
         for r in nonzero.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= pivots).collect():
             chosen.setdefault(r["size"], []).append(r.vec)
-    count = pivots if chosen else 0
+    count, known = pivots if chosen else 0, {}
     if not chosen:
         flat = [F.array().cast("array<double>").alias("angles"), F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(STEPS)).cast("int").alias("step")]
         marked = [side.select("*", *flat) for side in (one, two)]
@@ -174,7 +232,7 @@ def _laid_out(left: DataFrame, right: DataFrame, threshold: float, block: int, p
         marked = [frozen(side.where(F.col("size").isin(list(known))).mapInArrow(_angles(known), schema(side)), "angles") for side in ((one,) if left is right else (one, two))]
     blocks = [_blocks(m, block) for m in marked]
     blocks = blocks * 2 if len(blocks) == 1 else blocks
-    return blocks[0], blocks[1], _block_pairs(blocks[0], blocks[1], count, angle)
+    return blocks[0], blocks[1], _block_pairs(blocks[0], blocks[1], count, angle), known
 
 
 def block_counts(left: DataFrame, right: DataFrame, threshold: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
@@ -182,16 +240,16 @@ def block_counts(left: DataFrame, right: DataFrame, threshold: float, block: int
     return _laid_out(left, right, threshold, block, pivots)[2].agg(F.count(F.lit(1)).alias("pairs"), F.count_if("near").alias("visited"))
 
 
-def similar(left: DataFrame, right: DataFrame, threshold: float, most: int | None = None, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, threshold: float, most: int | None = None, block: int | None = None, pivots: int = PIVOTS, digits: int = 12) -> DataFrame:
     """(left_id, right_id, similarity) of vectors (id, kind, vec) of one kind and size at a cosine of the threshold or above.
 
     Vectors of a kind and size stand in blocks of neighbours, by their angles to a few pivots; pairs of blocks that the
-    triangle inequality rules out are not visited, any other is one task's matrix product, and only pairs at the threshold
-    leave it, at most `most` per left vector. Ids may be of any type. Vectors that are null, empty or hold a null or a
+    triangle inequality rules out are not visited, any other is one task's matrix products, and only pairs at the threshold
+    leave it, at most `most` per left vector, the best by the cosine at so many digits, ties by the smaller id. Ids may be of any type. Vectors that are null, empty or hold a null or a
     number that isn't finite match nothing; a zero vector has similarity 0 to all; null kinds are one kind; repeated rows
     match as often as they come. The result is exact, the cosine as it is, not rounded.
     """
-    one, two, pairs = _laid_out(left, right, threshold, block, pivots)
+    one, two, pairs, known = _laid_out(left, right, threshold, block, pivots)
     near = frozen(pairs.where("near").select("kind", "size", "block", "other", F.concat_ws("|", "kind", "size", "block", "other").alias("pair")), "block-pairs")
 
     def sent(side: DataFrame, own: str) -> DataFrame:
@@ -201,7 +259,7 @@ def similar(left: DataFrame, right: DataFrame, threshold: float, most: int | Non
     kinds = f"left_id {left.schema['id'].dataType.simpleString()}, right_id {right.schema['id'].dataType.simpleString()}, similarity double"
     # named anew, so that both sides may come from one frame
     a, b = sent(one, "block"), sent(two, "other").toDF("id_r", "vec_r", "block_r", "other_r")
-    return a.groupBy("block", "other").cogroup(b.groupBy("block_r", "other_r")).applyInArrow(_matched(threshold, most), kinds)
+    return a.groupBy("block", "other").cogroup(b.groupBy("block_r", "other_r")).applyInArrow(_matched(threshold, most, digits, known), kinds)
 
 
 def duplicate_pairs(entities: DataFrame, threshold: float = 0.95, top: int = 5) -> DataFrame:

@@ -51,24 +51,27 @@ def keyword_recall(memories: DataFrame, queries: DataFrame, top: int = 10, least
     return best.withColumn("relevance", F.round("relevance", digits)).select("query_id", "id", "relevance", "score", "rank", "total_found")
 
 
-def vector_hits(vectors: DataFrame, queries: DataFrame, top: int, digits: int = 6) -> DataFrame:
-    """(query_id, id, similarity, rank): each query's `top` most similar vectors, exactly, by blocks. Both have id, kind, vec. Ranks go by the whole cosine."""
-    hits = identity.similar(queries, vectors, -2.0, top).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("id"), F.round("similarity", 12).alias("_s"))
-    return ranked(hits, "_s", top).withColumn("similarity", F.round("_s", digits)).select("query_id", "id", "similarity", "rank")
+def vector_hits(vectors: DataFrame, queries: DataFrame, top: int, digits: int = 6, by: int = 12) -> DataFrame:
+    """(query_id, id, similarity, rank): each query's `top` most similar vectors, exactly, by blocks. Both have id, kind, vec.
+
+    Ranks go by the cosine at `by` digits, which are all that doubles carry unless fewer are asked for; ties by the smaller id.
+    """
+    hits = identity.similar(queries, vectors, -2.0, top, digits=by).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("id"), "similarity", F.round("similarity", by).alias("_s"))
+    return ranked(hits, "_s", top).withColumn("similarity", F.round("similarity", digits)).select("query_id", "id", "similarity", "rank")
 
 
-def vector_recall(memories: DataFrame, queries: DataFrame, top: int = 10, least: float = 0.0, digits: int = 6) -> DataFrame:
-    """(query_id, id, similarity, score, rank): twice as many by cosine, then by 0.4 confidence, 0.3 authority, 0.2 freshness and 0.1 cosine."""
-    near = vector_hits(memories.select("id", "kind", "vec"), queries, 2 * top, digits).drop("rank")
+def vector_recall(memories: DataFrame, queries: DataFrame, top: int = 10, least: float = 0.0, digits: int = 6, by: int = 12) -> DataFrame:
+    """(query_id, id, similarity, score, rank): twice as many by cosine at `by` digits, then by 0.4 confidence, 0.3 authority, 0.2 freshness and 0.1 cosine."""
+    near = vector_hits(memories.select("id", "kind", "vec"), queries, 2 * top, digits, by).drop("rank")
     facts = memories.select("id", F.coalesce("confidence", F.lit(0.5)).alias("_c"), F.coalesce("authority", F.lit(0.5)).alias("_a"), F.coalesce("freshness", F.lit(1.0)).alias("_f"))
     scored = near.join(facts, "id").withColumn("score", F.round(0.4 * F.col("_c") + 0.3 * F.col("_a") + 0.2 * F.col("_f") + 0.1 * F.col("similarity"), digits + 3))
     return ranked(scored.where(F.col("score") >= least), "score", top).select("query_id", "id", "similarity", "score", "rank")
 
 
-def recall(memories: DataFrame, queries: DataFrame, top: int = 5, least: float = 0.3, digits: int = 6) -> DataFrame:
+def recall(memories: DataFrame, queries: DataFrame, top: int = 5, least: float = 0.3, digits: int = 6, by: int = 12) -> DataFrame:
     """(query_id, id, score, rank): by vectors where memories and queries have them (vec, kind), else by keywords (text, query)."""
     if {"vec", "kind"} <= set(memories.columns) and {"vec", "kind"} <= set(queries.columns):
-        found = vector_recall(memories, queries.select(F.col("query_id").alias("id"), "kind", "vec"), top, least, digits)
+        found = vector_recall(memories, queries.select(F.col("query_id").alias("id"), "kind", "vec"), top, least, digits, by)
     else:
         found = keyword_recall(memories, queries, top, least, digits)
     return found.select("query_id", "id", "score", "rank")
