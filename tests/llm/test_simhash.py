@@ -220,6 +220,26 @@ def test_near_texts_below_the_similarity_stay_apart(spark):
         assert {r.id: r.component_id for r in simhash.near_copies(df, block=block).collect()} == want
 
 
+def test_candidates_beyond_the_nearest_are_checked(spark, monkeypatch):
+    """Copies are found as well where few of a row's candidates, or none but a crowded cell's pivot, are checked at first."""
+    rnd = random.Random(12)
+    base = [rnd.choice([f"w{i}" for i in range(4000)]) for _ in range(300)]
+    docs = []
+    for i in range(60):  # near by their bits to all the others, each a copy of one of them alone
+        v = list(base)
+        for at in rnd.sample(range(300), 9):
+            v[at] = f"own{rnd.randrange(9999)}"
+        u = list(v)
+        u[rnd.randrange(300)] = "edit"
+        docs += [(2 * i, " ".join(v)), (2 * i + 1, " ".join(u))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = {r.id: r.component_id for r in simhash.near_copies(df, checked=1000).collect()}
+    plain = lambda a, b: len(five(docs[a][1]) & five(docs[b][1])) >= 0.8 * len(five(docs[a][1]) | five(docs[b][1]))
+    assert all(want[2 * i] == want[2 * i + 1] for i in range(60)) and all(plain(2 * i, 2 * i + 1) for i in range(60))
+    for checked, block in ((0, 4096), (1, 4096), (0, 16)):
+        assert {r.id: r.component_id for r in simhash.near_copies(df, checked=checked, block=block).collect()} == want
+
+
 def test_groups_and_choices_grow_with_rows():
     assert simhash.groups_for(10**5, 3) == 6 < simhash.groups_for(10**10, 3)
     few, many = simhash.choices_for(1000), simhash.choices_for(10**10)

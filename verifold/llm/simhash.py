@@ -367,6 +367,32 @@ def _candidates(few: int = 8):
     return run
 
 
+def _unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, bits, root) that come by cells: all pairs x < y that are near by their bits and of different roots."""
+
+    def settle(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(held[:, 0])) + 1))
+        ends = np.append(starts[1:], len(held))
+        mixed = np.minimum.reduceat(held[:, -1], starts) != np.maximum.reduceat(held[:, -1], starts)
+        for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+            node, root, bits = held[s:e, 1], held[s:e, -1], np.ascontiguousarray(held[s:e, 2:-1]).view(np.uint64)
+            for i in range(e - s - 1):
+                j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+                j = j[_near(bits[j], bits[i])]
+                if len(j):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["x", "y"])
+
+    held = np.empty((0, 4 + WIDE), np.int64)
+    for x in batches:
+        held = np.concatenate((held, np.stack([c.to_numpy() for c in x.columns], axis=1)))
+        if len(held) and held[0, 0] != held[-1, 0]:
+            last = int(np.searchsorted(held[:, 0], held[-1, 0]))  # the last cell may go on in the next batch
+            yield from settle(held[:last])
+            held = held[last:]
+    if len(held):
+        yield from settle(held)
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, shingles) of rows (node, text): the distinct hashes of a text's shingles, sorted."""
     for x in batches:
@@ -410,12 +436,13 @@ def checked_links(links: DataFrame, texts: DataFrame, least: float = LEAST_SIMIL
     return left.groupBy("key").cogroup(right.groupBy("key_b")).applyInArrow(_alike(least), "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, checked: int = CHECKED) -> DataFrame:
     """Rows (id, component_id), one for each row of docs: near copies by five-word shingles at a similarity of 0.8 or more.
 
     Candidates meet in cells, their guides differing in GUIDE_RADIUS or fewer bits and their five-word bits in WIDE_RADIUS or
-    fewer; of each row the CHECKED nearest, and in a cell of more than `block` rows its pivot, are checked on the shingles
-    themselves, so that no link is below the similarity, and only texts in a component through such links are copies. Nulls,
+    fewer; of each row the `checked` nearest, and in a cell of more than `block` rows its pivot, are checked on the shingles
+    themselves, so that no link is below the similarity, and only texts in a component through such links are copies. Then all
+    other candidates of the cells are checked whose ends these links haven't joined, so that no candidate is lost. Nulls,
     wordless texts, ties, repeated rows and empty tables are as in near_duplicates(). Rows are known by a 64-bit hash of
     their fingerprints.
     """
@@ -428,20 +455,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bits = [F.bit_count(x[c].bitwiseXOR(y[c])) for c in (GUIDE, *WORDS)]
         return (bits[0] <= GUIDE_RADIUS) & (sum(bits[2:], bits[1]) <= WIDE_RADIUS)
 
-    met, pivots = met_in_cells(kinds.drop("first_id", "one"), embedding(F.col(GUIDE)), choices_for(kinds.count()), ["node", GUIDE, *WORDS], block, linked)
+    def alike(once: DataFrame) -> DataFrame:
+        """The pairs (x, y) that hold on the shingles, as links (a, b)."""
+        busy = once.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        weighed = once.join(busy.toDF("x", "_x"), "x").join(busy.toDF("y", "_y"), "y")
+        more = F.col("_x") > F.col("_y")  # b is the end with more links, which are dealt out
+        links = frozen(weighed.select(F.when(more, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(more, F.col("x")).otherwise(F.col("y")).alias("b")), "links")
+        used = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        first = kinds.join(used, "node", "left_semi").select("node", "one")
+        shown = text.join(first, F.col("id").eqNullSafe(F.col("one.id")) & (F.col("text_hash") == F.col("one.text_hash"))).select("node", "text")
+        return frozen(checked_links(links, shown), "alike")
+
+    masks, own = choices_for(kinds.count()), kinds.drop("first_id", "one")
+    met, pivots = met_in_cells(own, embedding(F.col(GUIDE)), masks, ["node", GUIDE, *WORDS], block, linked)
     pairs = frozen(met.mapInArrow(_candidates(), "a long, b long, d int"), "candidates")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).where("a <> b").distinct()
     w = Window.partitionBy("a").orderBy("d", "b")
-    near = with_known(both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= CHECKED).select("a", "b"), pivots)
+    near = with_known(both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= checked).select("a", "b"), pivots)
     once = frozen(near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "pairs")
-    busy = once.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    weighed = once.join(busy.toDF("x", "_x"), "x").join(busy.toDF("y", "_y"), "y")
-    more = F.col("_x") > F.col("_y")  # b is the end with more links, which are dealt out
-    links = frozen(weighed.select(F.when(more, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(more, F.col("x")).otherwise(F.col("y")).alias("b")), "links")
-    used = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = kinds.join(used, "node", "left_semi").select("node", "one")
-    shown = text.join(first, F.col("id").eqNullSafe(F.col("one.id")) & (F.col("text_hash") == F.col("one.text_hash"))).select("node", "text")
-    parts = connected_components(checked_links(links, shown))
+    edges = alike(once)
+    parts = connected_components(edges)
+    # what was passed over lies between rows that had a candidate each and that the checked links haven't joined
+    some = with_known(pairs.select("a", "b"), pivots).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = own.join(some, "node", "left_semi").join(parts.select(F.col("node").alias("_m"), "root"), F.col("node") == F.col("_m"), "left").drop("_m")
+    labels = frozen(labels.withColumn("root", F.coalesce("root", "node")), "labels")
+    again = met_in_cells(labels, embedding(F.col(GUIDE)), masks, ["node", GUIDE, *WORDS, "root"], block, lambda x, y: x["root"] == y["root"])[0]
+    rest = again.mapInArrow(_unjoined, "x long, y long").distinct()
+    rest = frozen(rest.join(once.toDF("_x", "_y"), (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_anti"), "rest")
+    if not rest.isEmpty():
+        parts = connected_components(edges.unionByName(alike(rest)))
     named = frozen(component_ids(kinds.groupBy("node").agg(F.min("first_id").alias("first_id")), parts), "components")
     return rows.join(named, "node").select("id", "component_id")
 
