@@ -68,3 +68,11 @@ def test_shards_below_the_bound_are_not_scored():
         assert run(rows, ask(1.1)).column("id").to_pylist() == [0, 1, None]
     finally:
         keywords.Shard.postings = shard_postings
+
+
+def test_large_tables_make_few_shards(spark, monkeypatch):
+    """Shards after the first grow with the table, so that queries aren't sent to ever more of them."""
+    assert keywords.shard_size(3_000_000) == 65536 and keywords.shard_size(500_000) > 15_000 and keywords.shard_size(10) == 4096
+    monkeypatch.setattr(keywords, "SHARDS", 3)
+    memories, queries = corpus(1500, 4)
+    assert got(spark, memories, queries, top=5, weight=0.4, least=0.3, shard=64, asking=8, wide=512) == brute(memories, queries, 5, 0.4, 0.3)

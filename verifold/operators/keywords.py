@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 from ..plans.order import numbered
 from ..sources.shared import frozen
 
-#: Memories in a shard, a multiple of 64, and queries that meet it in one task.
-SHARD, ASKING = 4096, 4096
-#: Words of at least so many memories of a shard are kept as bit sets too.
+#: Memories in the first shard, a multiple of 64, and queries that meet it in one task. Of the other shards so many at most: what
+#: is sent grows with the number of shards and of blocks of queries.
+SHARD, ASKING, WIDE = 4096, 4096, 65536
+#: Shards that a large table has beside the first one at least.
+SHARDS = 32
+#: Words of at least so many memories of a shard, and of at least a 64th of them, are kept as bit sets too.
 DENSE = 32
 
 
@@ -44,12 +47,15 @@ class Shard:
         order = np.argsort(codes, kind="stable")  # by word, and within a word by impact
         self.words, self.owner = coded.dictionary, owner[order]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.words)))]).astype(np.int64)
-        held = np.diff(self.start)
-        self.dense = np.cumsum(held >= DENSE) * (held >= DENSE) - 1  # the row of a word's bit set, -1 if it has none
-        bits = np.zeros((int((held >= DENSE).sum()), -(-self.size // 64) * 64), bool)
-        row = np.repeat(self.dense, held)
-        bits[row[row >= 0], self.owner[row >= 0]] = True
-        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        big = np.flatnonzero(np.diff(self.start) >= max(DENSE, self.size // 64))
+        self.dense = np.full(len(self.words), -1, np.int64)  # the row of a word's bit set, -1 if it has none
+        self.dense[big] = np.arange(len(big))
+        self.bits = np.empty((len(big), -(-self.size // 64)), np.uint64)
+        for at in range(0, len(big), 256):
+            some = np.zeros((len(big[at : at + 256]), self.bits.shape[1] * 64), bool)
+            for row, w in zip(some, big[at : at + 256]):
+                row[self.owner[self.start[w] : self.start[w + 1]]] = True
+            self.bits[at : at + 256] = np.packbits(some, axis=1).view(np.uint64)
 
     def postings(self, codes: np.ndarray) -> np.ndarray:
         """The memories of some words, one after another."""
@@ -120,7 +126,12 @@ def _searched(weight: float, top: int, least: float, digits: int):
     return run
 
 
-def best_by_words(memories: DataFrame, queries: DataFrame, split: Callable[[Column], Column], top: int, weight: float = 1.0, least: float = 0.0, digits: int = 6, shard: int = SHARD, asking: int = ASKING) -> DataFrame:
+def shard_size(n: int, shard: int = SHARD, wide: int = WIDE) -> int:
+    """Memories, of n, in each shard but the first."""
+    return max(shard, min(n // SHARDS, wide))
+
+
+def best_by_words(memories: DataFrame, queries: DataFrame, split: Callable[[Column], Column], top: int, weight: float = 1.0, least: float = 0.0, digits: int = 6, shard: int = SHARD, asking: int = ASKING, wide: int = WIDE) -> DataFrame:
     """(query_id, id, relevance, score, rank, total_found) of memories (id, text, impact) for queries (query_id, text); split gives a text's distinct words.
 
     relevance is the share of a query's words that a memory has, the score impact plus weight times relevance, rounded; hits
@@ -129,25 +140,26 @@ def best_by_words(memories: DataFrame, queries: DataFrame, split: Callable[[Colu
     """
     spark = memories.sparkSession
     placed = numbered(memories.where("impact IS NOT NULL").select("id", "text", F.col("impact").cast("double").alias("impact")), [F.desc("impact"), F.asc("id")])
-    rows = placed.withColumn("shard", F.floor(F.col("position") / shard).cast("int"))
     asked = frozen(queries.select("query_id", split(F.col("text")).alias("words")).where(F.size("words") > 0).select("query_id", F.size("words").alias("n"), "words"), "asked")
-    blocks = max(1, math.ceil(asked.count() / asking))
-    shards = placed.agg(F.max("position")).first()[0]
-    shards = 0 if shards is None else shards // shard + 1
+    n_asked, n = asked.count(), placed.agg(F.max("position")).first()[0]
+    n = 0 if n is None else n + 1
+    each = shard_size(n, shard, wide)
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {placed.schema['id'].dataType.simpleString()}, relevance double, score double, found long"
 
-    def met(first: int, last: int, known: DataFrame) -> DataFrame:
-        own = rows.where(F.col("position").between(first * shard, (last + 1) * shard - 1)).withColumn("words", split(F.col("text"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "position", "impact", "id", "words")
-        sent = known.withColumn("_s", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    def met(own: DataFrame, place: Column, shards: int, together: int, known: DataFrame) -> DataFrame:
+        blocks = max(1, math.ceil(n_asked / together))
+        own = own.withColumn("shard", place.cast("int")).withColumn("words", split(F.col("text"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "position", "impact", "id", "words")
+        sent = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
         pairs = own.groupBy("shard", "block").cogroup(sent.select("_s", "_b", "query_id", "n", "words", "safe").groupBy("_s", "_b"))
         return frozen(pairs.applyInArrow(_searched(weight, top, least, digits), kinds), "found")
 
-    found = met(0, 0, asked.withColumn("safe", F.lit(float("-inf")))) if shards else spark.createDataFrame([], kinds)
-    if shards > 1:  # a query that has its fill from the best shard asks the others for better ones only
+    found = met(placed.where(F.col("position") < shard), F.lit(0), 1, asking, asked.withColumn("safe", F.lit(float("-inf")))) if n else spark.createDataFrame([], kinds)
+    if n > shard:  # a query that has its fill from the best shard asks the others for better ones only
         w = Window.partitionBy("query_id").orderBy(F.desc("score"))
         safe = found.where("id IS NOT NULL").withColumn("_n", F.row_number().over(w)).where(F.col("_n") == top).groupBy(F.col("query_id").alias("_q")).agg(F.max("score").alias("_safe"))
         known = asked.join(safe, F.col("query_id") == F.col("_q"), "left").withColumn("safe", F.coalesce("_safe", F.lit(float("-inf"))))
-        found = found.unionByName(met(1, shards - 1, known))
+        place = F.floor((F.col("position") - shard) / each)
+        found = found.unionByName(met(placed.where(F.col("position") >= shard), place, math.ceil((n - shard) / each), max(asking, wide), known))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = found.where("id IS NOT NULL").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).drop("found")
     return best.join(found.groupBy("query_id").agg(F.sum("found").alias("total_found")), "query_id")
