@@ -118,3 +118,25 @@ def test_two_sides_and_empty(spark):
     best = identity.similar(left, right, 0.5, most=1, block=1000).collect()
     assert {(r.left_id, r.right_id) for r in best} == {(i, i) for i in range(20)}
     assert identity.similar(frame(spark, []), right, 0.9).isEmpty() and identity.similar(left, frame(spark, []), 0.9).isEmpty()
+
+
+def test_repeated_entities_are_met_once_and_take_ranks(spark, monkeypatch):
+    """Each row of an entity takes ranks, but a proposal comes once; numbers stand for long ids while vectors meet."""
+    near = lambda c: [c, math.sqrt(1 - c * c)]
+    rows = [("a", "k", [1.0, 0.0])] * 2 + [("b", "k", near(0.99)), ("c", "k", near(0.98))] + [("d", "k", near(0.97))] * 3
+    met, similar = [], identity.similar
+    monkeypatch.setattr(identity, "similar", lambda left, right, *how: met.append((left.schema["id"].dataType.simpleString(), left.count())) or similar(left, right, *how))
+    got = sorted((r.left_id, r.right_id) for r in identity.duplicate_pairs(frame(spark, rows, "string").withColumns({"name": F.lit("n"), "created_at": F.lit(1)}), 0.9, 5).collect())
+    # four rows of five are a's own, all of d's
+    assert got == [("a", "b"), ("b", "c"), ("b", "d"), ("c", "b"), ("c", "d")]
+    assert met == [("bigint", 4)]
+
+
+def test_singles_stay_singles(spark):
+    """Vectors of singles are sent as singles, and give the cosines of their doubles."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, "a", rnd.normal(size=7).astype(np.float32).tolist()) for i in range(80)]
+    df = frame(spark, rows)
+    singles = df.withColumn("vec", F.col("vec").cast("array<float>"))
+    assert identity._laid_out(singles, singles, 0.5, None, 8)[0].schema["vec"].dataType.simpleString() == "array<float>"
+    assert pairs(singles, 0.5) == pairs(df, 0.5) and pairs(singles, -2.0, most=3) == pairs(df, -2.0, most=3)

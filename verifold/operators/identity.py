@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.order import numbered
 from ..sources.shared import frozen
 
 DIMENSIONS = 1536
@@ -57,12 +58,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def comparable(vectors: DataFrame) -> DataFrame:
+def comparable(vectors: DataFrame, number: str = "double") -> DataFrame:
     """(kind, size, id, vec) of vectors (id, kind, vec) that can be compared: with an id, not empty, every component finite.
 
     size is the number of components; vectors of different sizes, as two models make them, never meet.
     """
-    vec = F.col("vec").cast("array<double>")
+    vec = F.col("vec").cast(f"array<{number}>")
     sound = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vectors.where(F.col("id").isNotNull() & (F.size("vec") > 0) & F.coalesce(sound, F.lit(False))).select("kind", F.size("vec").alias("size"), "id", vec.alias("vec"))
 
@@ -74,13 +75,42 @@ def unsound(vectors: DataFrame) -> DataFrame:
     return vectors.where(~(F.col("id").isNotNull() & F.coalesce((F.size("vec") > 0) & sound, F.lit(False))))
 
 
+def _raw(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one size as rows of numbers as they come."""
+    return pc.list_flatten(vectors).to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+class Units:
+    """Rows of numbers whose units are made where they are used, so that a task holds no doubles of all of them."""
+
+    def __init__(self, raw: np.ndarray):
+        self.raw, self.step = raw, max(1, PRODUCTS // raw.shape[1])
+        self.top, self.norm = np.zeros((2, len(raw), 1))
+        for k in range(0, len(raw), self.step):
+            part = raw[k : k + self.step].astype(np.float64)
+            top = np.abs(part).max(axis=1, keepdims=True)  # first by the largest part, so that no square leaves the range of doubles
+            top[top == 0] = 1
+            self.top[k : k + self.step], norm = top, np.linalg.norm(part / top, axis=1, keepdims=True)
+            self.norm[k : k + self.step] = np.where(norm > 0, norm, 1)
+
+    def of(self, rows: np.ndarray | slice) -> np.ndarray:
+        """Rows of length 1; a zero vector stays zero."""
+        return self.raw[rows].astype(np.float64) / self.top[rows] / self.norm[rows]
+
+    def parts(self) -> Iterator[np.ndarray]:
+        return (self.of(slice(k, k + self.step)) for k in range(0, len(self.raw), self.step))
+
+    def singles(self) -> np.ndarray:
+        out, at = np.empty(self.raw.shape, np.float32), 0
+        for part in self.parts():
+            out[at : at + len(part)] = part
+            at += len(part)
+        return out
+
+
 def _units(vectors: pa.Array) -> np.ndarray:
     """Vectors of one size as rows of length 1; a zero vector stays zero."""
-    v = pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-    top = np.abs(v).max(axis=1, keepdims=True)  # first by the largest part, so that no square leaves the range of doubles
-    v = np.divide(v, top, out=np.zeros_like(v), where=top > 0)
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+    return Units(_raw(vectors)).of(slice(None))
 
 
 def _half_up(v: np.ndarray, digits: int) -> np.ndarray:
@@ -88,16 +118,15 @@ def _half_up(v: np.ndarray, digits: int) -> np.ndarray:
     return np.sign(v) * np.floor(np.abs(v) * 10.0**digits + 0.5)
 
 
-def _dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Products of rows i of a with rows j of b, a bounded part at a time."""
-    step = max(1, PRODUCTS // a.shape[1])
-    parts = [np.einsum("ij,ij->i", a[i[k : k + step]], b[j[k : k + step]]) for k in range(0, len(i), step)]
+def _dots(a: Units, b: Units, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of units i of a with units j of b, a bounded part at a time."""
+    parts = [np.einsum("ij,ij->i", a.of(i[k : k + a.step]), b.of(j[k : k + a.step])) for k in range(0, len(i), a.step)]
     return np.concatenate(parts) if parts else np.empty(0)
 
 
-def _spans(units: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(units: Units, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows in order of the pivots they are near, and the least and largest angles to each pivot of every BLOCK of them."""
-    angle = np.arccos(np.clip(units @ pivots.T, -1, 1))
+    angle = np.concatenate([np.arccos(np.clip(part @ pivots.T, -1, 1)) for part in units.parts()])
     order = np.lexsort((angle.min(axis=1), *np.argsort(angle, axis=1, kind="stable")[:, 1::-1].T))
     cuts = np.arange(0, len(order), BLOCK)
     return order, np.minimum.reduceat(angle[order], cuts), np.maximum.reduceat(angle[order], cuts)
@@ -116,11 +145,13 @@ def _matched(threshold: float, most: int | None, digits: int = 12, pivots: dict[
         if most is not None:  # of ids in order, for ties
             place = np.empty(len(b), np.int64)
             place[pc.sort_indices(b).to_numpy()] = np.arange(len(b))
-        x, y = (_units(t.column("vec").combine_chunks()) for t in (left, right))
-        slack = 1e-6 + 2.5e-7 * x.shape[1]  # what products of singles may be off by
-        x32, y32 = x.astype(np.float32), y.astype(np.float32)
+        x, y = (Units(_raw(t.column("vec").combine_chunks())) for t in (left, right))
+        del left, right
+        size = x.raw.shape[1]
+        slack = 1e-6 + 2.5e-7 * size  # what products of singles may be off by
+        x32, y32 = x.singles(), y.singles()
         if pivots:  # blocks of neighbours within the task, of which the triangle inequality rules pairs out
-            own = pivots[x.shape[1]]
+            own = pivots[size]
             (order_x, low, high), (order_y, low_r, high_r) = _spans(x, own), _spans(y, own)
             near = ((high[:, None] + reach >= low_r) & (high_r + reach >= low[:, None])).all(axis=2)
             pieces = ((order_x[n * BLOCK : (n + 1) * BLOCK], order_y[np.repeat(hit, BLOCK)[: len(order_y)]]) for n, hit in enumerate(near))
@@ -149,8 +180,8 @@ def _matched(threshold: float, most: int | None, digits: int = 12, pivots: dict[
                     i, j, v = i[order], j[order], v[order]
                     nth = np.arange(len(i)) - np.searchsorted(i, i)
                     i, j, v = i[nth < most], j[nth < most], v[nth < most]
-                found.append((i, j, v))
-        i, j, v = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                found.append((i.astype(np.int32), j.astype(np.int32), v))
+        i, j, v = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))
         return pa.table([a.take(pa.array(i)), b.take(pa.array(j)), pa.array(v)], names)
 
     return run
@@ -167,7 +198,7 @@ def _angles(pivots: dict[int, np.ndarray]):
                 angle = np.arccos(np.clip(_units(own.column("vec")) @ pivots[int(n)].T, -1, 1))
                 first, second = np.argsort(angle, axis=1, kind="stable")[:, :2].T
                 cell, step = first * PIVOTS + second, (angle[np.arange(len(first)), first] * (STEPS / np.pi)).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(angle) + 1) * angle.shape[1], pa.int32()), pa.array(angle.ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(angle) + 1) * angle.shape[1], pa.int32()), pa.array(angle.ravel().astype(np.float32)))
                 yield pa.RecordBatch.from_arrays([*own.columns, flat, pa.array(cell.astype(np.int32)), pa.array(step)], [*own.schema.names, "angles", "cell", "step"])
 
     return run
@@ -210,7 +241,9 @@ def block_for(n: int, size: int) -> int:
 
 def _laid_out(left: DataFrame, right: DataFrame, threshold: float, block: int | None, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, np.ndarray]]:
     """Both sides in blocks, the pairs of blocks, and the pivots by size."""
-    one, two = comparable(left), comparable(right)
+    # numbers that are singles on both sides are sent and held as such; they become doubles where they are multiplied
+    number = "float" if all(side.schema["vec"].dataType.simpleString() == "array<float>" for side in (left, right)) else "double"
+    one, two = comparable(left, number), comparable(right, number)
     if block is None:
         block = block_for(*two.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(1))).first())
     angle = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
@@ -223,12 +256,12 @@ def _laid_out(left: DataFrame, right: DataFrame, threshold: float, block: int |
             chosen.setdefault(r["size"], []).append(r.vec)
     count, known = pivots if chosen else 0, {}
     if not chosen:
-        flat = [F.array().cast("array<double>").alias("angles"), F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(STEPS)).cast("int").alias("step")]
+        flat = [F.array().cast("array<float>").alias("angles"), F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(STEPS)).cast("int").alias("step")]
         marked = [side.select("*", *flat) for side in (one, two)]
     else:
         # with fewer vectors than pivots the first is a pivot again; sizes that only one side has meet nothing
         known = {n: _units(pa.array((v * pivots)[:pivots])) for n, v in chosen.items()}
-        schema = lambda side: f"kind {side.schema['kind'].dataType.simpleString()}, size int, id {side.schema['id'].dataType.simpleString()}, vec array<double>, angles array<double>, cell int, step int"
+        schema = lambda side: f"kind {side.schema['kind'].dataType.simpleString()}, size int, id {side.schema['id'].dataType.simpleString()}, vec array<{number}>, angles array<float>, cell int, step int"
         marked = [frozen(side.where(F.col("size").isin(list(known))).mapInArrow(_angles(known), schema(side)), "angles") for side in ((one,) if left is right else (one, two))]
     blocks = [_blocks(m, block) for m in marked]
     blocks = blocks * 2 if len(blocks) == 1 else blocks
@@ -266,14 +299,21 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.95, top: int = 5)
     """Proposals from entities (id, kind, name, created_at, vec): of each entity's `top` most similar of its type, itself among them, the others.
 
     Ranks go by the cosine as it is, but for what doubles leave of equal ones. The newer of the two is the source, the older
-    the target; at one time the hit is the source.
+    the target; at one time the hit is the source. Rows that repeat are met once, but take ranks as often as they come: a hit
+    takes one for each two rows of its ends, the entity itself the first. While vectors meet, numbers in order of the ids stand
+    for these, as ids may be long texts. Of rows of one id and vector with other names or times, the least of these count.
     """
-    vectors = entities.select("id", "kind", "vec")
-    hits = similar(vectors, vectors, threshold, top)
-    w = Window.partitionBy("left_id").orderBy(F.desc(F.round("similarity", 12)), F.when(F.col("left_id") == F.col("right_id"), 0).otherwise(1), "right_id")
-    near = hits.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= top) & (F.col("left_id") != F.col("right_id")))
-    facts = entities.select("id", "name", "created_at")
-    both = near.join(facts.toDF("left_id", "_ln", "_lt"), "left_id").join(facts.toDF("right_id", "_rn", "_rt"), "right_id")
+    once = entities.where(F.col("id").isNotNull()).groupBy("id", "kind", "vec").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("name", "created_at")).alias("_f"))
+    rows = frozen(numbered(once, [F.asc("id"), F.asc("kind"), F.asc("vec")]), "entities")
+    vectors = rows.select(F.col("position").alias("id"), "kind", "vec")
+    hits = similar(vectors, vectors, threshold, top).where("left_id <> right_id").toDF("_l", "_r", "similarity")
+    w = Window.partitionBy("_l").orderBy(F.desc(F.round("similarity", 12)), "_r")
+    near = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") < top).drop("_n")
+    facts = lambda e: rows.select(F.col("position").alias(f"_{e}"), F.col("id").alias(f"{e}_id"), F.col("copies").alias(f"_{e}c"), F.col("_f.name").alias(f"_{e}n"), F.col("_f.created_at").alias(f"_{e}t"))
+    both = near.join(facts("l"), "_l").join(facts("r"), "_r").withColumnsRenamed({"l_id": "left_id", "r_id": "right_id"}).where("left_id <> right_id")
+    if not rows.where("copies > 1").isEmpty():
+        before = F.coalesce(F.sum(F.col("_lc") * F.col("_rc")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        both = both.withColumn("_n", F.col("_lc") * F.col("_lc") + before).where(F.col("_n") < top)
     newer = F.col("_lt") > F.col("_rt")
     same = F.lower("_ln") == F.lower("_rn")
     return both.select(
