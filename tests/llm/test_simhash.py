@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -245,3 +246,31 @@ def test_groups_and_choices_grow_with_rows():
     few, many = simhash.choices_for(1000), simhash.choices_for(10**10)
     size = lambda m: (m % (1 << 64)).bit_count() // 2
     assert size(few[0]) == 8 < size(many[0]) and len(few) < len(many) < 150
+
+
+def test_loose_candidates_make_no_row_for_a_pair(spark):
+    """A cell gives at most a forest of its roots, and blocks of a group find every link between roots as all pairs do."""
+    cell = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([7] * 60, range(60), [1 << i % 9 for i in range(60)], *[[0] * 60] * simhash.WIDE, range(100, 160))], [str(i) for i in range(4 + simhash.WIDE)])
+    pairs = [p for b in simhash._unjoined(iter([cell])) for p in b.to_pylist()]
+    assert 0 < len(pairs) <= 59 and {r for p in pairs for r in p.values()} == set(range(100, 160))
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(90):
+        v = list(base)
+        for at in rnd.sample(range(120), rnd.choice([1, 3, 6])):
+            v[at] = f"own{rnd.randrange(60)}"
+        docs.append((i, " ".join(v), i % 40 if i < 60 else 999))
+    rows = spark.createDataFrame([(i, root, 5) for i, _, root in docs], "node long, root long, group long")
+    texts = spark.createDataFrame([d[:2] for d in docs], "node long, text string")
+    want = {(a, b) for a, x, r in docs for b, y, q in docs if r < q and len(five(x) & five(y)) >= 0.8 * len(five(x) | five(y)) for a, b in [(r, q)]}
+
+    def parts(edges):
+        at = {r: r for _, _, r in docs}
+        for a, b in edges:
+            at = {k: at[b] if v == at[a] else v for k, v in at.items()}
+        return sorted(sorted(k for k in at if at[k] == v) for v in set(at.values()))
+
+    for most in (4, 512):
+        got = {(docs[r.a][2], docs[r.b][2]) for r in simhash.links_within(rows, texts, most=most).collect()}
+        assert parts(got) == parts(want) and len(parts(want)) > 1 and got <= want | {(b, a) for a, b in want}

@@ -41,6 +41,8 @@ GUIDE_RADIUS, WIDE_RADIUS = 18, 60
 LEAST_SIMILARITY, CHECKED = 0.8, 6
 #: Links that one task checks.
 LINKS = 4096
+#: Rows of a block of loose candidates, and bytes of shingles that such a block holds on the mean.
+MET, HELD = 512, 1 << 23
 #: Share of a guide's bits that near copies typically differ in, and the recall that the number of cells is set for.
 FLIP, CELL_RECALL = 0.12, 0.99
 GUIDE = "g"
@@ -166,6 +168,18 @@ def groups_for(n: int, radius: int) -> int:
     return groups
 
 
+def in_blocks(marked: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """(key, *columns) of rows (key, _near, *columns): keys of pairs of blocks of so many rows, so that under some new key each
+    row that isn't near meets all rows of its old one. Rows that are near don't meet each other on purpose."""
+    blocks = lambda c: F.ceil(F.count_if(c) / block).cast("int")
+    sizes = marked.groupBy("key").agg(blocks(F.col("_near")).alias("_l"), blocks(~F.col("_near")).alias("_r"))
+    own = lambda n: F.pmod(F.xxhash64(*columns), F.greatest(F.col(n), F.lit(1)).cast("long")).cast("int")
+    each = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), f)).otherwise(F.array().cast("array<long>"))
+    near = each("_r", lambda j: F.xxhash64("key", F.lit(0), own("_l"), j))
+    far = F.concat(each("_l", lambda i: F.xxhash64("key", F.lit(0), i, own("_r"))), each("_r", lambda j: F.xxhash64("key", F.lit(1), F.least(j, own("_r")), F.greatest(j, own("_r")))))
+    return marked.join(sizes, "key").select(F.explode(F.when(F.col("_near"), near).otherwise(far)).alias("key"), *columns)
+
+
 def met_in_cells(rows: DataFrame, emb: Column, masks: list[int], columns: list[str], block: int, linked) -> tuple[DataFrame, DataFrame | None]:
     """(key, *columns), dealt by key and sorted: each row once for each mask; and edges that are already known. columns[0] is the node.
 
@@ -182,13 +196,7 @@ def met_in_cells(rows: DataFrame, emb: Column, masks: list[int], columns: list[s
     inside = frozen(cells.join(hot, "key", "left_semi"), "hot-rows")
     pivots = inside.groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_p"))
     marked = frozen(inside.join(pivots, "key").withColumn("_near", linked(F.struct(*columns), F.col("_p"))), "near-pivots")
-    blocks = lambda c: F.ceil(F.count_if(c) / block).cast("int")
-    sizes = marked.groupBy("key").agg(blocks(F.col("_near")).alias("_l"), blocks(~F.col("_near")).alias("_r"))
-    own = lambda n: F.pmod(F.xxhash64(*columns), F.greatest(F.col(n), F.lit(1)).cast("long")).cast("int")
-    each = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), f)).otherwise(F.array().cast("array<long>"))
-    near = each("_r", lambda j: F.xxhash64("key", F.lit(0), own("_l"), j))
-    far = F.concat(each("_l", lambda i: F.xxhash64("key", F.lit(0), i, own("_r"))), each("_r", lambda j: F.xxhash64("key", F.lit(1), F.least(j, own("_r")), F.greatest(j, own("_r")))))
-    split = marked.join(sizes, "key").select(F.explode(F.when(F.col("_near"), near).otherwise(far)).alias("key"), *columns)
+    split = in_blocks(marked, columns, block)
     star = marked.where(F.col("_near") & (F.col(node) != F.col("_p")[node])).select(F.col(node).alias("a"), F.col("_p")[node].alias("b"))
     return deal(cells.join(hot, "key", "left_anti").unionByName(split)), star
 
@@ -368,19 +376,18 @@ def _candidates(few: int = 8):
 
 
 def _unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node, bits, root) that come by cells: all pairs x < y that are near by their bits and of different roots."""
+    """Of rows (key, node, bits, root) that come by cells: pairs (x, y) of roots that span those which near rows of the cell connect."""
 
     def settle(held: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate(([0], np.flatnonzero(np.diff(held[:, 0])) + 1))
         ends = np.append(starts[1:], len(held))
         mixed = np.minimum.reduceat(held[:, -1], starts) != np.maximum.reduceat(held[:, -1], starts)
         for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-            node, root, bits = held[s:e, 1], held[s:e, -1], np.ascontiguousarray(held[s:e, 2:-1]).view(np.uint64)
-            for i in range(e - s - 1):
-                j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-                j = j[_near(bits[j], bits[i])]
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["x", "y"])
+            root, bits = held[s:e, -1], np.ascontiguousarray(held[s:e, 2:-1]).view(np.uint64)
+            if pairs := spanning(bits):
+                x, y = root[np.array(pairs).T]
+                if len(two := np.unique(np.sort(np.stack((x, y), axis=1)[x != y], axis=1), axis=0)):
+                    yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], ["x", "y"])
 
     held = np.empty((0, 4 + WIDE), np.int64)
     for x in batches:
@@ -436,13 +443,66 @@ def checked_links(links: DataFrame, texts: DataFrame, least: float = LEAST_SIMIL
     return left.groupBy("key").cogroup(right.groupBy("key_b")).applyInArrow(_alike(least), "a long, b long")
 
 
+def _alike_within(least: float):
+    """Of rows (key, node, root, near, shingles) of one key: links (a, b) that span the roots which rows as similar as that connect.
+
+    Where some rows are near, the others meet these only.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        node, root, near = (t.column(c).to_numpy() for c in ("node", "root", "near"))
+        shingles = t.column("shingles").combine_chunks()
+        size = pc.binary_length(shingles).to_numpy().astype(np.int64) // 8
+        code = np.unique(np.frombuffer(b"".join(shingles.to_pylist()), np.uint64), return_inverse=True)[1]
+        posted = np.repeat(np.arange(len(node)), size)[np.argsort(code, kind="stable")]
+        start = np.concatenate(([0], np.cumsum(np.bincount(code))))
+        ends, joined, links = np.cumsum(size), {}, []
+
+        def end(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        for i in np.flatnonzero(~near).tolist():
+            own = code[ends[i] - size[i] : ends[i]]
+            held = start[own + 1] - start[own]
+            both = np.bincount(posted[np.repeat(start[own] - np.cumsum(held) + held, held) + np.arange(int(held.sum()))], minlength=len(node))
+            meets = (near if near.any() else np.arange(len(node)) > i) & (root != root[i])
+            for j in np.flatnonzero(meets & (both >= least * (size[i] + size - both))).tolist():
+                x, y = end(int(root[i])), end(int(root[j]))
+                if x != y:
+                    joined[x] = y
+                    links.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def links_within(rows: DataFrame, texts: DataFrame, least: float = LEAST_SIMILARITY, most: int = MET, held: int = HELD) -> DataFrame:
+    """Links (a, b) that join all roots of a group which texts of a Jaccard similarity of `least` or more connect.
+
+    rows: (node, root, group); texts: (node, text), a text of each node. Rows of different roots meet, those of a group's most
+    frequent root the others only, as pairs of blocks of at most `most` rows or about `held` bytes; no row is made for a pair.
+    """
+    sizes = rows.groupBy("group", "root").agg(F.count(F.lit(1)).alias("_n"))
+    top = sizes.groupBy("group").agg(F.max_by("root", F.struct("_n", "root")).alias("_top"), F.max("_n").alias("_most"))
+    sets = texts.mapInArrow(_shingle_sets, "node long, shingles binary").dropDuplicates(["node"])
+    # a group of single rows has no root that others share
+    marked = rows.join(top, "group").join(sets, "node").select(F.xxhash64("group").alias("key"), ((F.col("root") == F.col("_top")) & (F.col("_most") > 1)).alias("_near"), "node", "root", "shingles")
+    marked = frozen(marked.withColumn("near", F.col("_near")), "loose")
+    mean = marked.agg(F.avg(F.length("shingles"))).first()[0] or 1
+    met = in_blocks(marked, ["node", "root", "near", "shingles"], max(1, min(most, int(held / mean))))
+    return met.groupBy("key").applyInArrow(_alike_within(least), "a long, b long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, checked: int = CHECKED) -> DataFrame:
     """Rows (id, component_id), one for each row of docs: near copies by five-word shingles at a similarity of 0.8 or more.
 
     Candidates meet in cells, their guides differing in GUIDE_RADIUS or fewer bits and their five-word bits in WIDE_RADIUS or
     fewer; of each row the `checked` nearest, and in a cell of more than `block` rows its pivot, are checked on the shingles
-    themselves, so that no link is below the similarity, and only texts in a component through such links are copies. Then all
-    other candidates of the cells are checked whose ends these links haven't joined, so that no candidate is lost. Nulls,
+    themselves, so that no link is below the similarity, and only texts in a component through such links are copies. Then
+    components that other candidates of the cells connect are held against each other whole, so that no candidate is lost;
+    they meet in blocks, and no row is made for a pair of them. Nulls,
     wordless texts, ties, repeated rows and empty tables are as in near_duplicates(). Rows are known by a 64-bit hash of
     their fingerprints.
     """
@@ -455,16 +515,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bits = [F.bit_count(x[c].bitwiseXOR(y[c])) for c in (GUIDE, *WORDS)]
         return (bits[0] <= GUIDE_RADIUS) & (sum(bits[2:], bits[1]) <= WIDE_RADIUS)
 
-    def alike(once: DataFrame) -> DataFrame:
-        """The pairs (x, y) that hold on the shingles, as links (a, b)."""
-        busy = once.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        weighed = once.join(busy.toDF("x", "_x"), "x").join(busy.toDF("y", "_y"), "y")
-        more = F.col("_x") > F.col("_y")  # b is the end with more links, which are dealt out
-        links = frozen(weighed.select(F.when(more, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(more, F.col("x")).otherwise(F.col("y")).alias("b")), "links")
-        used = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def shown(used: DataFrame) -> DataFrame:
+        """A text of each of these nodes."""
         first = kinds.join(used, "node", "left_semi").select("node", "one")
-        shown = text.join(first, F.col("id").eqNullSafe(F.col("one.id")) & (F.col("text_hash") == F.col("one.text_hash"))).select("node", "text")
-        return frozen(checked_links(links, shown), "alike")
+        return text.join(first, F.col("id").eqNullSafe(F.col("one.id")) & (F.col("text_hash") == F.col("one.text_hash"))).select("node", "text")
 
     masks, own = choices_for(kinds.count()), kinds.drop("first_id", "one")
     met, pivots = met_in_cells(own, embedding(F.col(GUIDE)), masks, ["node", GUIDE, *WORDS], block, linked)
@@ -473,17 +527,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     w = Window.partitionBy("a").orderBy("d", "b")
     near = with_known(both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= checked).select("a", "b"), pivots)
     once = frozen(near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "pairs")
-    edges = alike(once)
+    busy = once.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    weighed = once.join(busy.toDF("x", "_x"), "x").join(busy.toDF("y", "_y"), "y")
+    more = F.col("_x") > F.col("_y")  # b is the end with more links, which are dealt out
+    links = frozen(weighed.select(F.when(more, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(more, F.col("x")).otherwise(F.col("y")).alias("b")), "links")
+    edges = frozen(checked_links(links, shown(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "alike")
     parts = connected_components(edges)
     # what was passed over lies between rows that had a candidate each and that the checked links haven't joined
     some = with_known(pairs.select("a", "b"), pivots).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = own.join(some, "node", "left_semi").join(parts.select(F.col("node").alias("_m"), "root"), F.col("node") == F.col("_m"), "left").drop("_m")
     labels = frozen(labels.withColumn("root", F.coalesce("root", "node")), "labels")
     again = met_in_cells(labels, embedding(F.col(GUIDE)), masks, ["node", GUIDE, *WORDS, "root"], block, lambda x, y: x["root"] == y["root"])[0]
-    rest = again.mapInArrow(_unjoined, "x long, y long").distinct()
-    rest = frozen(rest.join(once.toDF("_x", "_y"), (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_anti"), "rest")
+    rest = frozen(again.mapInArrow(_unjoined, "x long, y long").distinct().toDF("a", "b"), "rest")
     if not rest.isEmpty():
-        parts = connected_components(edges.unionByName(alike(rest)))
+        groups = connected_components(rest).toDF("_m", "group")
+        groups = groups.unionByName(groups.select(F.col("group").alias("_m"), "group").distinct())
+        loose = frozen(labels.join(groups, F.col("root") == F.col("_m")).select("node", "root", "group"), "grouped")
+        found = frozen(links_within(loose, shown(loose.select("node"))), "more-links")
+        parts = connected_components(edges.unionByName(found))
     named = frozen(component_ids(kinds.groupBy("node").agg(F.min("first_id").alias("first_id")), parts), "components")
     return rows.join(named, "node").select("id", "component_id")
 
