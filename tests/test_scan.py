@@ -114,3 +114,15 @@ def test_late_events_take_three_ways(spark, tmp_path):
         ingest.route_stream(source, str(tmp_path / "out"), str(tmp_path / "cp"), within="400 days").awaitTermination()
     for route in ingest.ROUTES:
         assert sorted(r.id for r in ingest.route_of(spark, str(tmp_path / "out"), route).collect()) == sorted(i for i, x in got.items() if x == route)
+
+
+def test_crowded_namespaces_cut_no_other_texts_into_runs(spark, monkeypatch):
+    """Only texts that begin and end as a candidate's parts do are looked for within candidates; all else is as in all pairs."""
+    rows = [(i, f"i like rain on day {i}") for i in range(0, 40, 2)] + [(100 + i, f"my favorite colour is shade {i}") for i in range(30)] + [(200, "rain"), (201, "day 7"), (202, "i"), (203, "")]
+    rows += [(300 + i, f"I hate rain on day {i}") for i in range(30)]
+    df = spark.createDataFrame([(1, i, i, t) for i, t in rows], "namespace long, id long, ord long, text string")
+    met, contained = [], conflict.contained
+    monkeypatch.setattr(conflict, "contained", lambda inner, outer, *how: met.append({r.text for r in inner.collect()}) or contained(inner, outer, *how))
+    got = {r.id: r.other_id for r in conflict.textual(df, direct=3).collect()}
+    assert got == {r.id: r.other_id for r in conflict.textual(df, direct=1000).collect()} and len(got) == 30
+    assert len(met) == 2 and not any(t.startswith("my favorite") for t in met[1]) and {"rain", "i", ""} <= met[1]

@@ -35,6 +35,8 @@ def denials(text: Column) -> Column:
 DIRECT = 256
 #: Texts meet by the rarest of their runs of so many characters.
 GRAM = 4
+#: So many distinct runs are broadcast at most; more are merged.
+GRAMS = 1 << 18
 
 
 def runs_of(text: Column, n: int) -> Column:
@@ -45,8 +47,8 @@ def runs_of(text: Column, n: int) -> Column:
 def contained(inner: DataFrame, outer: DataFrame, by: str, size: int = GRAM) -> DataFrame:
     """(by, inner, outer) of distinct texts (by, text) of one group where the first is a part of the second.
 
-    A text is known by one run of characters, the one that fewest of the outer texts of its group have; it meets those that
-    have the run, and only these are compared. Texts shorter than a run are known by all they are, an empty one is a part of
+    A text is known by one run of characters, the one that fewest of all outer texts have; it meets those of its group that
+    have the run, and only these are compared. Of outer texts only such runs are sent, not all that they have. Texts shorter than a run are known by all they are, an empty one is a part of
     every text. Null texts are part of nothing; null groups are no group.
     """
     have = outer.where(F.col("text").isNotNull() & F.col(by).isNotNull()).select(by, "text").distinct()
@@ -57,10 +59,12 @@ def contained(inner: DataFrame, outer: DataFrame, by: str, size: int = GRAM) ->
     less = F.array_distinct(F.concat(F.array(F.lit("")), *[runs_of(F.col("text"), n) for n in range(1, size)]))
     outers = have.select(by, F.col("text").alias("outer"), F.explode(F.array_distinct(runs_of(F.col("text"), size))).alias("gram")).where(F.length("gram") == size)
     posted = outers.unionByName(have.join(short.hint("merge"), by, "left_semi").select(by, F.col("text").alias("outer"), F.explode(less).alias("gram")))
-    wanted = frozen(posted.join(tried.select(by, "gram").distinct().hint("merge"), [by, "gram"], "left_semi"), "grams")
-    counts = wanted.groupBy(by, "gram").agg(F.count(F.lit(1)).alias("_n"))
+    small = lambda df: F.broadcast(df) if df.count() <= GRAMS else df.hint("merge")
+    counts = frozen(posted.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")), "grams")
     # a text with a run that nobody has is a part of nothing
-    known = tried.join(counts.hint("merge"), [by, "gram"], "left").groupBy(by, "text").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0).cast("long")), "gram")).alias("gram"))
+    known = tried.join(small(counts), "gram", "left").groupBy(by, "text").agg(F.min_by(F.struct("gram", "_n"), F.struct(F.coalesce("_n", F.lit(0).cast("long")), "gram")).alias("_g"))
+    known = frozen(known.where("_g._n IS NOT NULL").select(by, "text", F.col("_g.gram").alias("gram")), "known")
+    wanted = posted.join(small(known.select("gram").distinct()), "gram", "left_semi")
     met = known.withColumnRenamed("text", "inner").join(wanted.hint("merge"), [by, "gram"])
     return met.where(F.col("outer").contains(F.col("inner"))).select(by, "inner", "outer")
 
@@ -81,14 +85,21 @@ def textual(memories: DataFrame, by: str = "namespace", direct: int = DIRECT) ->
     texts = said.groupBy("_b", "text").agg(F.min(F.struct("ord", "id")).alias("_f"))
     # merged, not broadcast: Parquet files say little about the size of what is made of them
     crowded = not busy.isEmpty()
+    texts = frozen(texts, "texts") if crowded else texts
     few = wants.join(busy.hint("merge"), "_b", "left_anti") if crowded else wants
     # an ask needs the first time alone that its candidate is met: if that isn't earlier, none is; so texts that repeat count once
     found = texts.join(few.hint("merge"), "_b").where(F.col("text").contains(F.col("p")) | F.col("p").contains(F.col("text"))).groupBy("_b", "p").agg(F.min("_f").alias("_f"))
     if crowded:
-        own = said.join(busy.hint("merge"), "_b", "left_semi").select("_b", "text")
+        own = frozen(texts.join(busy.hint("merge"), "_b", "left_semi").select("_b", "text"), "crowded")
         many = wants.join(busy.hint("merge"), "_b", "left_semi").select("_b", F.col("p").alias("text"))
         both = contained(many, own, "_b").select("_b", F.col("inner").alias("p"), F.col("outer").alias("t"))
-        both = both.unionByName(contained(own, many, "_b").select("_b", F.col("outer").alias("p"), F.col("inner").alias("t"))).distinct()
+        # a part of a candidate begins and ends with runs of its namespace's candidates; few texts do, and no others are cut into runs
+        runs = frozen(many.select("_b", F.explode(runs_of(F.col("text"), GRAM)).alias("gram")).distinct(), "runs")
+        parts = own.where(F.length("text") >= GRAM).withColumns({"first": F.left("text", F.lit(GRAM)), "last": F.right("text", F.lit(GRAM))})
+        for end in ("first", "last"):
+            parts = parts.join(runs.withColumnRenamed("gram", end).hint("merge"), ["_b", end], "left_semi")
+        parts = parts.select("_b", "text").unionByName(own.where(F.length("text") < GRAM))
+        both = both.unionByName(contained(parts, many, "_b").select("_b", F.col("outer").alias("p"), F.col("inner").alias("t"))).distinct()
         found = found.unionByName(both.join(texts.withColumnRenamed("text", "t").hint("merge"), ["_b", "t"]).groupBy("_b", "p").agg(F.min("_f").alias("_f")))
     met = asks.join(found, ["_b", "p"]).where(F.col("_f.ord") < F.col("ord"))
     return met.groupBy(F.col("_b").alias(by), "id").agg(F.min_by("_f.id", "_f").alias("other_id"))
