@@ -76,3 +76,46 @@ def test_large_tables_make_few_shards(spark, monkeypatch):
     monkeypatch.setattr(keywords, "SHARDS", 3)
     memories, queries = corpus(1500, 4)
     assert got(spark, memories, queries, top=5, weight=0.4, least=0.3, shard=64, asking=8, wide=512) == brute(memories, queries, 5, 0.4, 0.3)
+
+
+def shares(spark, memories, queries, kind="long", **how):
+    text = lambda rows: [(r[0], None if r[1] is None else " ".join(r[1])) for r in rows]
+    m, q = spark.createDataFrame(text(memories), f"id {kind}, text string"), spark.createDataFrame(text(queries), "query_id long, text string")
+    rows = keywords.best_by_share(m, q, retrieval.tokens, **how).select("query_id", "id", F.round("relevance", 6), "rank").collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[3]))
+
+
+def by_share(memories, queries, top, digits=6):
+    return [(q, i, rel, k) for q, i, rel, _, k, _ in brute([(i, w, 0.0) for i, w, _ in memories], queries, top, 1.0, 0.0, digits)]
+
+
+@pytest.mark.parametrize(("top", "most"), [(3, 1 << 25), (20, 500)])
+def test_shares_equal_all_pairs_over_many_shards(spark, top, most):
+    memories, queries = corpus(400, top)
+    memories += [(2000, None, 0.0), (2001, [], 0.0), (None, ["w1", "all"], 0.0), (7, ["w1", "all"], 0.0)]
+    queries += [(100, []), (101, None), (102, ["nowhere"]), (103, ["all"]), *[(i, w) for i, w, _ in memories[::40] if w]]
+    queries = [*{q: (q, w) for q, w in queries}.values()]
+    got = shares(spark, memories, queries, top=top, shard=64, asking=17, wide=128, most=most)
+    assert got == by_share([r for r in memories if r[0] is not None], queries, top)
+
+
+def test_shares_of_text_ids_and_empty(spark):
+    memories, queries = corpus(150, 9, lambda i: f"m-{i}")
+    assert shares(spark, memories, queries, "string", top=5, shard=64) == by_share(memories, queries, 5)
+    assert shares(spark, [], queries, top=5) == [] and shares(spark, corpus(9, 1)[0], [], top=5) == []
+
+
+def test_frequent_words_are_not_read_for_those_who_cannot_have_enough():
+    """Without impacts each pair that shares a word was scored: here 120 postings of 10,120 are enough to find who has 45 of 50 words."""
+    import numpy as np
+    import pyarrow as pa
+
+    often = [f"often{k}" for k in range(10)]
+    lists = keywords.Lists(pa.array([[*often, *([f"rare{k}" for k in range(40)] if i < 3 else [])] for i in range(1000)]))
+    own, read, postings = np.arange(len(lists.words)), [], lists.postings
+    lists.postings = lambda ranks: read.append(len(postings(ranks))) or postings(ranks)
+    near, held = lists.sharing(own, 45)
+    assert near.tolist() == [0, 1, 2] and held.tolist() == [50, 50, 50] and read == [120]
+    near, held = lists.sharing(own, 1)
+    assert len(near) == 1000 and sorted(set(held.tolist())) == [10, 50] and read[1] == 10_120
+    assert lists.sharing(own, 51)[0].tolist() == []

@@ -6,6 +6,11 @@ memory is at most its impact plus what all the words that the shard knows would
 a prefix of it can still enter the query's best, and shards whose bound is below what the first shard gave aren't scored
 at all. How many memories share a word is the size of a union of bit sets. No row is made for a query and a memory that
 share a word, and a word that all memories have is in no task more than once for each memory of a shard.
+
+Where nothing but the share of a query's words counts, no impact bounds a memory. Then the memories of the most words come
+first, as they share most with any query: what the best of them have is what others must have too. A memory that has k of
+a query's m words has one of any m - k + 1, so that only the postings of its rarest words are read; of the frequent ones,
+bit sets are asked about the memories that can still have k, which are few.
 """
 
 from __future__ import annotations
@@ -29,6 +34,10 @@ SHARD, ASKING, WIDE = 4096, 4096, 65536
 SHARDS = 32
 #: Words of at least so many memories of a shard, and of at least a 64th of them, are kept as bit sets too.
 DENSE = 32
+#: Words of memories in one task; of queries twice as many. Of the memories that come first a quarter, as they meet smaller blocks.
+WORDS = 1 << 25
+#: Lists of fewer memories are gathered together.
+SHORT = 64
 
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -163,3 +172,135 @@ def best_by_words(memories: DataFrame, queries: DataFrame, split: Callable[[Colu
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = found.where("id IS NOT NULL").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).drop("found")
     return best.join(found.groupBy("query_id").agg(F.sum("found").alias("total_found")), "query_id")
+
+
+class Lists:
+    """Postings by word, words of few memories first; of words of many memories bit sets instead of lists can be asked."""
+
+    def __init__(self, words: pa.Array):
+        self.size = len(words)
+        coded = pc.list_flatten(words).dictionary_encode()
+        codes, self.words = coded.indices.to_numpy(), coded.dictionary
+        found = np.bincount(codes, minlength=len(self.words))
+        by = np.argsort(found, kind="stable")
+        self.rank = np.empty(len(by), np.int64)  # of a code
+        self.rank[by] = np.arange(len(by))
+        self.start = np.concatenate([[0], np.cumsum(found[by])]).astype(np.int64)
+        laid = (self.rank[codes] << 32) | pc.list_parent_indices(words).to_numpy()
+        laid.sort()
+        self.owner = laid & 0xFFFFFFFF
+        self.common = int(np.searchsorted(found[by], max(DENSE, self.size // 128)))  # the first word that has a bit set
+        self.short = int(np.searchsorted(found[by], SHORT))  # the first word whose list is copied by itself
+        self.room = np.empty(1 << 16, np.int64)
+        self.bits = np.empty((len(by) - self.common, -(-self.size // 8)), np.uint8)
+        for at in range(self.common, len(by), 256):
+            some = np.zeros((min(256, len(by) - at), self.size), bool)
+            for k, row in enumerate(some, at):
+                row[self.owner[self.start[k] : self.start[k + 1]]] = True
+            self.bits[at - self.common : at - self.common + 256] = np.packbits(some, axis=1)
+
+    def sharing(self, own: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The memories that have at least `least` of some words, given by sorted ranks, and how many each has."""
+        m = len(own)
+        if m < least:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        read = min(m, max(m - least + 1 + least // 10, int(np.searchsorted(own, self.common))))
+        held = np.bincount(self.postings(own[:read]), minlength=self.size)
+        near = np.flatnonzero(held >= least - (m - read))
+        held, at = held[near], read
+        while at < m and len(near):
+            to = min(m, at + max(16, 8192 // len(near)))
+            some = self.bits[own[at:to, None] - self.common, near >> 3] & (128 >> (near & 7)).astype(np.uint8)
+            held = held + np.count_nonzero(some, axis=0)
+            good = held >= least - (m - to)
+            near, held, at = near[good], held[good], to
+        return near, held
+
+    def postings(self, own: np.ndarray) -> np.ndarray:
+        """The memories of some words, one after another, valid until the next call: short lists by one index, the others by a copy each."""
+        first, last = self.start[own], self.start[own + 1]
+        few = int(np.searchsorted(own, self.short))
+        size = (last - first)[:few]
+        ends = np.cumsum(size)
+        here = np.repeat(first[:few] - ends + size, size)
+        here += np.arange(len(here))
+        lists = [self.owner[here]]
+        lists += [self.owner[a:b] for a, b in zip(first[few:].tolist(), last[few:].tolist())]
+        total = len(here) + int((last - first)[few:].sum())
+        if total > len(self.room):
+            self.room = np.empty(2 * total, np.int64)
+        return np.concatenate(lists, out=self.room[:total])
+
+
+def _shared(top: int, digits: int):
+    """Of a shard (id, words) and queries (query_id, n, words, safe): each query's best memories by the share of its words, none below safe."""
+    names = ["query_id", "id", "relevance", "score"]
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows, asked = rows.rename_columns(["_s", "_b", "id", "words"]), asked.rename_columns(["_s", "_b", "query_id", "n", "words", "safe"])
+        ids, named = (t.column(c).combine_chunks() for t, c in ((rows, "id"), (asked, "query_id")))
+        if not len(ids) or not len(named):
+            return pa.table([named.slice(0, 0), ids.slice(0, 0), pa.array([], pa.float64()), pa.array([], pa.float64())], names)
+        shard = Lists(pc.split_pattern(rows.column("words").combine_chunks(), " "))
+        place = np.empty(len(ids), np.int64)  # of ids in order, for ties
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        words = pc.split_pattern(asked.column("words").combine_chunks(), " ")
+        code = pc.index_in(pc.list_flatten(words), shard.words)
+        owner, known = pc.list_parent_indices(words).to_numpy(), code.is_valid().to_numpy(zero_copy_only=False)
+        codes, owner = shard.rank[pc.fill_null(code, 0).to_numpy()[known]], owner[known]
+        ends = np.searchsorted(owner, np.arange(len(named) + 1))
+        n, safe = asked.column("n").to_numpy(), asked.column("safe").to_numpy()
+        # what is below would be rounded below safe
+        least = np.maximum(1, np.ceil((np.maximum(safe, 0.0) - 10.0**-digits) * n)).astype(np.int64)
+        who, which, both = [], [], []
+        for q in np.flatnonzero(np.diff(ends) >= least):
+            near, held = shard.sharing(np.sort(codes[ends[q] : ends[q + 1]]), int(least[q]))
+            if len(near) > top:
+                exact = rounded(held / n[q], digits)
+                kept = np.flatnonzero(exact >= np.partition(exact, len(exact) - top)[len(exact) - top])
+                kept = kept[np.lexsort((place[near[kept]], -exact[kept]))[:top]]
+                near, held = near[kept], held[kept]
+            who.append(np.full(len(near), q)), which.append(near), both.append(held)
+        who, which, both = (np.concatenate([np.empty(0, np.int64), *x]) for x in (who, which, both))
+        relevance = both / n[who]
+        return pa.table([named.take(pa.array(who)), ids.take(pa.array(which)), pa.array(relevance), pa.array(rounded(relevance, digits))], names)
+
+    return run
+
+
+def best_by_share(memories: DataFrame, queries: DataFrame, split: Callable[[Column], Column], top: int, digits: int = 6, shard: int = SHARD, asking: int = ASKING, wide: int = WIDE, most: int = WORDS) -> DataFrame:
+    """(query_id, id, relevance, rank) of memories (id, text) for queries (query_id, text); split gives a text's distinct words, none with a space.
+
+    The `top` best by the share of a query's words that a memory has, rounded, ties to the smaller id; who shares no word is
+    no hit, nor is a null id; repeated rows count each. Hits are not counted, so that most pairs that share a word aren't met.
+    """
+    spark = memories.sparkSession
+    laid = lambda rows, key: rows.select(key, split(F.col("text")).alias("w")).select(key, F.size("w").alias("n"), F.array_join("w", " ").alias("words"), F.monotonically_increasing_id().alias("seq"))
+    held = frozen(laid(memories.where("id IS NOT NULL"), "id"), "held").where("n > 0")
+    asked = frozen(laid(queries, "query_id"), "asked").where("n > 0").select("query_id", "n", "words")
+    size = F.struct(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    n, n_asked = held.agg(size).first()[0], asked.agg(size).first()[0]
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {held.schema['id'].dataType.simpleString()}, relevance double, score double"
+    if not n.rows or not n_asked.rows:
+        return spark.createDataFrame([], kinds.replace("score double", "rank long"))
+
+    def met(own: DataFrame, shards: int, together: int, known: DataFrame) -> DataFrame:
+        blocks = max(math.ceil(n_asked.rows / together), math.ceil(n_asked.words / (2 * most)))
+        own = own.withColumn("_s", F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        sent = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        pairs = own.select("_s", "_b", "id", "words").groupBy("_s", "_b").cogroup(sent.select("_s", "_b", "query_id", "n", "words", "safe").groupBy("_s", "_b"))
+        return frozen(pairs.applyInArrow(_shared(top, digits), kinds), "shared")
+
+    longest = held.select("n", "seq").orderBy(F.desc("n"), "seq").limit(shard).collect()
+    first = max(1, int((np.cumsum([r.n for r in longest]) <= most // 4).sum()))
+    last = longest[first - 1]
+    ahead = (F.col("n") > last.n) | ((F.col("n") == last.n) & (F.col("seq") <= last.seq))
+    found = met(held.where(ahead), 1, shard_size(n_asked.rows, asking, wide), asked.withColumn("safe", F.lit(0.0)))
+    if n.rows > first:  # the others are asked for what the longest don't have better
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        safe = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == top).select(F.col("query_id").alias("_q"), F.col("score").alias("_safe"))
+        known = asked.join(safe, F.col("query_id") == F.col("_q"), "left").withColumn("safe", F.coalesce("_safe", F.lit(0.0)))
+        shards = max(math.ceil((n.rows - first) / shard_size(n.rows, shard, wide)), math.ceil(n.words / most))
+        found = found.unionByName(met(held.where(~ahead), shards, max(asking, wide), known))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).select("query_id", "id", "relevance", "rank")

@@ -37,7 +37,7 @@ def ranked(hits: DataFrame, score: str, top: int, ties: str = "id") -> DataFrame
 
 def keyword_hits(memories: DataFrame, queries: DataFrame, top: int, digits: int = 6) -> DataFrame:
     """(query_id, id, relevance, rank): each query's `top` memories (id, text) by the share of its words that they have."""
-    best = keywords.best_by_words(memories.select("id", "text", F.lit(0.0).alias("impact")), queries.select("query_id", F.col("query").alias("text")), tokens, top, digits=digits)
+    best = keywords.best_by_share(memories.select("id", "text"), queries.select("query_id", F.col("query").alias("text")), tokens, top, digits)
     return best.select("query_id", "id", F.round("relevance", digits).alias("relevance"), "rank")
 
 
