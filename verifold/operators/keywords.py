@@ -9,8 +9,8 @@ share a word, and a word that all memories have is in no task more than once for
 
 Where nothing but the share of a query's words counts, no impact bounds a memory. Then the memories of the most words come
 first, as they share most with any query: what the best of them have is what others must have too. A memory that has k of
-a query's m words has one of any m - k + 1, so that only the postings of its rarest words are read; of the frequent ones,
-bit sets are asked about the memories that can still have k, which are few.
+a query's m words has one of any m - k + 1, so that only the postings of its rarest words are read; the frequent ones are
+looked up in the bit sets of the memories that can still have k, which are few.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ DENSE = 32
 #: Words of memories in one task; of queries twice as many. Of the memories that come first a quarter, as they meet smaller blocks.
 WORDS = 1 << 25
 #: Lists of fewer memories are gathered together.
-SHORT = 64
+SHORT = 128
 
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -175,7 +175,7 @@ def best_by_words(memories: DataFrame, queries: DataFrame, split: Callable[[Colu
 
 
 class Lists:
-    """Postings by word, words of few memories first; of words of many memories bit sets instead of lists can be asked."""
+    """Postings by word, words of few memories first; which words of many memories a memory has is also in its bit set."""
 
     def __init__(self, words: pa.Array):
         self.size = len(words)
@@ -186,34 +186,36 @@ class Lists:
         self.rank = np.empty(len(by), np.int64)  # of a code
         self.rank[by] = np.arange(len(by))
         self.start = np.concatenate([[0], np.cumsum(found[by])]).astype(np.int64)
-        laid = (self.rank[codes] << 32) | pc.list_parent_indices(words).to_numpy()
-        laid.sort()
-        self.owner = laid & 0xFFFFFFFF
-        self.common = int(np.searchsorted(found[by], max(DENSE, self.size // 128)))  # the first word that has a bit set
+        self.common = int(np.searchsorted(found[by], max(DENSE, self.size // 128)))  # the first word that bit sets have
         self.short = int(np.searchsorted(found[by], SHORT))  # the first word whose list is copied by itself
         self.room = np.empty(1 << 16, np.int64)
-        self.bits = np.empty((len(by) - self.common, -(-self.size // 8)), np.uint8)
-        for at in range(self.common, len(by), 256):
-            some = np.zeros((min(256, len(by) - at), self.size), bool)
-            for k, row in enumerate(some, at):
-                row[self.owner[self.start[k] : self.start[k + 1]]] = True
-            self.bits[at - self.common : at - self.common + 256] = np.packbits(some, axis=1)
+        ranks, memory = self.rank[codes], pc.list_parent_indices(words).to_numpy()
+        self.bits = np.zeros((self.size, -(-(len(by) - self.common) // 64)), np.uint64)  # a memory's common words
+        together = max(1, (1 << 24) // max(1, self.bits.shape[1] * 64))
+        ends = np.searchsorted(memory, np.arange(0, self.size + together, together))
+        for k, at in enumerate(range(0, self.size, together)):
+            some = np.zeros((min(together, self.size - at), self.bits.shape[1] * 64), bool)
+            r, m = ranks[ends[k] : ends[k + 1]], memory[ends[k] : ends[k + 1]]
+            some[m[r >= self.common] - at, r[r >= self.common] - self.common] = True
+            self.bits[at : at + together] = np.packbits(some, axis=1).view(np.uint64)
+        laid = (ranks << 32) | memory
+        laid.sort()
+        self.owner = laid & 0xFFFFFFFF
 
     def sharing(self, own: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """The memories that have at least `least` of some words, given by sorted ranks, and how many each has."""
         m = len(own)
         if m < least:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        read = min(m, max(m - least + 1 + least // 10, int(np.searchsorted(own, self.common))))
+        read = min(m, max(m - least + 1 + least // 6, int(np.searchsorted(own, self.common))))
         held = np.bincount(self.postings(own[:read]), minlength=self.size)
         near = np.flatnonzero(held >= least - (m - read))
-        held, at = held[near], read
-        while at < m and len(near):
-            to = min(m, at + max(16, 8192 // len(near)))
-            some = self.bits[own[at:to, None] - self.common, near >> 3] & (128 >> (near & 7)).astype(np.uint8)
-            held = held + np.count_nonzero(some, axis=0)
-            good = held >= least - (m - to)
-            near, held, at = near[good], held[good], to
+        held = held[near]
+        if read < m and len(near):
+            rest = np.zeros(self.bits.shape[1] * 64, bool)
+            rest[own[read:] - self.common] = True
+            held = held + np.bitwise_count(self.bits[near] & np.packbits(rest).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near, held = near[held >= least], held[held >= least]
         return near, held
 
     def postings(self, own: np.ndarray) -> np.ndarray:
@@ -268,7 +270,7 @@ def _shared(top: int, digits: int):
     return run
 
 
-def best_by_share(memories: DataFrame, queries: DataFrame, split: Callable[[Column], Column], top: int, digits: int = 6, shard: int = SHARD, asking: int = ASKING, wide: int = WIDE, most: int = WORDS) -> DataFrame:
+def best_by_share(memories: DataFrame, queries: DataFrame, split: Callable[[Column], Column], top: int, digits: int = 6, shard: int = SHARD, asking: int = ASKING // 2, wide: int = WIDE, most: int = WORDS) -> DataFrame:
     """(query_id, id, relevance, rank) of memories (id, text) for queries (query_id, text); split gives a text's distinct words, none with a space.
 
     The `top` best by the share of a query's words that a memory has, rounded, ties to the smaller id; who shares no word is
