@@ -183,13 +183,14 @@ class Lists:
         codes, self.words = coded.indices.to_numpy(), coded.dictionary
         found = np.bincount(codes, minlength=len(self.words))
         by = np.argsort(found, kind="stable")
-        self.rank = np.empty(len(by), np.int64)  # of a code
+        self.rank = np.empty(len(by), np.int32)  # of a code
         self.rank[by] = np.arange(len(by))
         self.start = np.concatenate([[0], np.cumsum(found[by])]).astype(np.int64)
         self.common = int(np.searchsorted(found[by], max(DENSE, self.size // 128)))  # the first word that bit sets have
         self.short = int(np.searchsorted(found[by], SHORT))  # the first word whose list is copied by itself
         self.room = np.empty(1 << 16, np.int64)
-        ranks, memory = self.rank[codes], pc.list_parent_indices(words).to_numpy()
+        ranks, memory = self.rank[codes], pc.list_parent_indices(words).to_numpy().astype(np.int32)
+        del coded, codes
         self.bits = np.zeros((self.size, -(-(len(by) - self.common) // 64)), np.uint64)  # a memory's common words
         together = max(1, (1 << 24) // max(1, self.bits.shape[1] * 64))
         ends = np.searchsorted(memory, np.arange(0, self.size + together, together))
@@ -198,9 +199,11 @@ class Lists:
             r, m = ranks[ends[k] : ends[k + 1]], memory[ends[k] : ends[k + 1]]
             some[m[r >= self.common] - at, r[r >= self.common] - self.common] = True
             self.bits[at : at + together] = np.packbits(some, axis=1).view(np.uint64)
-        laid = (ranks << 32) | memory
-        laid.sort()
-        self.owner = laid & 0xFFFFFFFF
+        self.owner = ranks.astype(np.int64)
+        self.owner <<= 32
+        self.owner |= memory
+        self.owner.sort()
+        self.owner &= 0xFFFFFFFF
 
     def sharing(self, own: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """The memories that have at least `least` of some words, given by sorted ranks, and how many each has."""
@@ -248,9 +251,10 @@ def _shared(top: int, digits: int):
         place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
         words = pc.split_pattern(asked.column("words").combine_chunks(), " ")
         code = pc.index_in(pc.list_flatten(words), shard.words)
-        owner, known = pc.list_parent_indices(words).to_numpy(), code.is_valid().to_numpy(zero_copy_only=False)
-        codes, owner = shard.rank[pc.fill_null(code, 0).to_numpy()[known]], owner[known]
-        ends = np.searchsorted(owner, np.arange(len(named) + 1))
+        known = code.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])[words.offsets.to_numpy()]
+        codes = shard.rank[code.drop_null().to_numpy()]
+        del words, code, known
         n, safe = asked.column("n").to_numpy(), asked.column("safe").to_numpy()
         # what is below would be rounded below safe
         least = np.maximum(1, np.ceil((np.maximum(safe, 0.0) - 10.0**-digits) * n)).astype(np.int64)
