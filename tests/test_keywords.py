@@ -119,3 +119,32 @@ def test_frequent_words_are_not_read_for_those_who_cannot_have_enough():
     near, held = lists.sharing(own, 1)
     assert len(near) == 1000 and sorted(set(held.tolist())) == [10, 50] and read[1] == 10_120
     assert lists.sharing(own, 51)[0].tolist() == []
+
+
+def test_words_are_sent_as_one_text_and_few_postings_are_read(monkeypatch):
+    """Lists of texts took most of the disk; whoever cannot have enough words isn't scored, however many queries are looked up at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    memories, queries = corpus(200, 3)
+    memories = [(i, sorted(w), 1.0) for i, w, _ in memories if w]
+    queries = [(q, sorted(w)) for q, w in queries if w]
+
+    def found(joined, safe=0.0):
+        words = lambda rows: pa.array([" ".join(r[1]) if joined else r[1] for r in rows])
+        rows = pa.table({"shard": [1] * len(memories), "block": [0] * len(memories), "position": range(len(memories)), "impact": [1.0] * len(memories), "id": [r[0] for r in memories], "words": words(memories)})
+        asked = pa.table({"_s": [1] * len(queries), "_b": [0] * len(queries), "query_id": [r[0] for r in queries], "n": [len(r[1]) for r in queries], "words": words(queries), "safe": [safe] * len(queries)})
+        return sorted(keywords._searched(0.4, 5, 0.3, 6)(rows, asked).to_pylist(), key=str)
+
+    whole = found(False)
+    monkeypatch.setattr(keywords, "TOGETHER", 7)
+    assert found(True) == whole
+    counts = [r for r in whole if r["id"] is None]
+    assert [r for r in found(True, 1.2) if r["id"] is None] == counts and [r for r in found(True, 1.2) if r["id"] is not None and r["score"] >= 1.2] == [r for r in whole if r["id"] is not None and r["score"] >= 1.2]
+    often = [f"often{k}" for k in range(10)]
+    shard = keywords.Shard(np.ones(1000), pa.array([[*often, *([f"rare{k}" for k in range(40)] if i < 3 else [])] for i in range(1000)]))
+    read, postings = [], shard.lists.postings
+    shard.lists.postings = lambda ranks: read.append(len(postings(ranks))) or postings(ranks)
+    near, held = shard.having(np.arange(50), 45, 2)
+    assert near.tolist() == [0, 1] and held.tolist() == [50, 50] and read == [120]
+    assert shard.sharing(np.arange(50)) == 1000

@@ -38,6 +38,8 @@ DENSE = 32
 WORDS = 1 << 25
 #: Lists of fewer memories are gathered together.
 SHORT = 128
+#: Queries that meet the shards after the first in one task, as long as WORDS allows; so many have their words looked up at once.
+ASKED, TOGETHER = 1 << 18, 1 << 14
 
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -45,135 +47,6 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.floor(np.round(x * 10.0**digits, 3) + 0.5) / 10.0**digits
 
 
-class Shard:
-    """Postings of memories in impact order."""
-
-    def __init__(self, impact: np.ndarray, words: pa.Array):
-        self.impact, self.size = impact, len(impact)
-        owner = pc.list_parent_indices(words).to_numpy()
-        coded = pc.list_flatten(words).dictionary_encode()
-        codes = coded.indices.to_numpy()
-        order = np.argsort(codes, kind="stable")  # by word, and within a word by impact
-        self.words, self.owner = coded.dictionary, owner[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.words)))]).astype(np.int64)
-        big = np.flatnonzero(np.diff(self.start) >= max(DENSE, self.size // 64))
-        self.dense = np.full(len(self.words), -1, np.int64)  # the row of a word's bit set, -1 if it has none
-        self.dense[big] = np.arange(len(big))
-        self.bits = np.empty((len(big), -(-self.size // 64)), np.uint64)
-        for at in range(0, len(big), 256):
-            some = np.zeros((len(big[at : at + 256]), self.bits.shape[1] * 64), bool)
-            for row, w in zip(some, big[at : at + 256]):
-                row[self.owner[self.start[w] : self.start[w + 1]]] = True
-            self.bits[at : at + 256] = np.packbits(some, axis=1).view(np.uint64)
-
-    def postings(self, codes: np.ndarray) -> np.ndarray:
-        """The memories of some words, one after another."""
-        size = self.start[codes + 1] - self.start[codes]
-        return self.owner[np.repeat(self.start[codes] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-
-    def sharing(self, codes: np.ndarray) -> int:
-        """How many memories have one of some words."""
-        rows = self.dense[codes]
-        union = np.bitwise_or.reduce(self.bits[rows[rows >= 0]], axis=0) if (rows >= 0).any() else np.zeros(-(-self.size // 64), np.uint64)
-        seen = np.unpackbits(union.view(np.uint8))
-        seen[self.postings(codes[rows < 0])] = 1
-        return int(seen.sum())
-
-
-def _searched(weight: float, top: int, least: float, digits: int):
-    """Of a shard (position, impact, id, words) and queries (query_id, n, words, safe): each query's best hits and, with a null id, how many there are."""
-    names = ["query_id", "id", "relevance", "score", "found"]
-    slack = 10.0**-digits
-
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        rows, asked = rows.sort_by("position"), asked.rename_columns(["_s", "_b", "query_id", "n", "words", "safe"])
-        ids, named = (t.column(c).combine_chunks() for t, c in ((rows, "id"), (asked, "query_id")))
-        if not len(ids) or not len(named):
-            return pa.table([named.slice(0, 0), ids.slice(0, 0), *(pa.array([], k) for k in (pa.float64(), pa.float64(), pa.int64()))], names)
-        shard = Shard(rows.column("impact").to_numpy(), rows.column("words").combine_chunks())
-        place = np.empty(shard.size, np.int64)  # of ids in order, for ties
-        place[pc.sort_indices(ids).to_numpy()] = np.arange(shard.size)
-        words = asked.column("words").combine_chunks()
-        code = pc.index_in(pc.list_flatten(words), shard.words)
-        owner, known = pc.list_parent_indices(words).to_numpy(), code.is_valid().to_numpy(zero_copy_only=False)
-        codes, owner = pc.fill_null(code, 0).to_numpy()[known], owner[known]
-        ends = np.searchsorted(owner, np.arange(len(named) + 1))
-        n, safe = asked.column("n").to_numpy(), asked.column("safe").to_numpy()
-        who, which, relevance, score, found = [], [], [], [], []
-        for q in range(len(named)):
-            own = codes[ends[q] : ends[q + 1]].astype(np.int64)
-            if not len(own):
-                continue
-            # impacts fall: beyond the prefix not even all words would do
-            reach = shard.impact + weight * (len(own) / n[q])
-            prefix = int(np.searchsorted(-reach, -(max(safe[q], least) - slack), "right"))
-            if shard.impact[-1] + weight / n[q] >= least + slack:  # whoever shares a word is a hit
-                hits, prefix_all = shard.sharing(own), prefix
-            else:
-                hits, prefix_all = None, shard.size
-            if prefix_all:
-                posted = shard.postings(own)
-                held = np.bincount(posted[posted < prefix_all] if prefix_all < shard.size else posted, minlength=prefix_all)
-                near = np.flatnonzero(held)
-                exact = rounded(shard.impact[near] + weight * (held[near] / n[q]), digits)
-                good = exact >= least
-                hits = int(good.sum()) if hits is None else hits
-                near, exact = near[good], exact[good]
-                if len(near) > top:
-                    kept = exact >= np.partition(exact, len(exact) - top)[len(exact) - top]
-                    near, exact = near[kept], exact[kept]
-                order = np.lexsort((place[near], -exact))[:top]
-                who += [q] * len(order)
-                which += near[order].tolist()
-                relevance += (held[near[order]] / n[q]).tolist()
-                score += exact[order].tolist()
-                found += [None] * len(order)
-            if hits:
-                who.append(q), which.append(None), relevance.append(None), score.append(None), found.append(hits)
-        return pa.table([named.take(pa.array(who, pa.int64())), ids.take(pa.array(which, pa.int64())), pa.array(relevance, pa.float64()), pa.array(score, pa.float64()), pa.array(found, pa.int64())], names)
-
-    return run
-
-
-def shard_size(n: int, shard: int = SHARD, wide: int = WIDE) -> int:
-    """Memories, of n, in each shard but the first."""
-    return max(shard, min(n // SHARDS, wide))
-
-
-def best_by_words(memories: DataFrame, queries: DataFrame, split: Callable[[Column], Column], top: int, weight: float = 1.0, least: float = 0.0, digits: int = 6, shard: int = SHARD, asking: int = ASKING, wide: int = WIDE) -> DataFrame:
-    """(query_id, id, relevance, score, rank, total_found) of memories (id, text, impact) for queries (query_id, text); split gives a text's distinct words.
-
-    relevance is the share of a query's words that a memory has, the score impact plus weight times relevance, rounded; hits
-    share a word and score at least `least`. Each query gets its `top` best, ties to the smaller id, and how many hits it
-    has in all. A null impact is no hit; queries and memories without words have none; repeated rows count each.
-    """
-    spark = memories.sparkSession
-    placed = numbered(memories.where("impact IS NOT NULL").select("id", "text", F.col("impact").cast("double").alias("impact")), [F.desc("impact"), F.asc("id")])
-    asked = frozen(queries.select("query_id", split(F.col("text")).alias("words")).where(F.size("words") > 0).select("query_id", F.size("words").alias("n"), "words"), "asked")
-    n_asked, n = asked.count(), placed.agg(F.max("position")).first()[0]
-    n = 0 if n is None else n + 1
-    each = shard_size(n, shard, wide)
-    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {placed.schema['id'].dataType.simpleString()}, relevance double, score double, found long"
-
-    def met(own: DataFrame, place: Column, shards: int, together: int, known: DataFrame) -> DataFrame:
-        blocks = max(1, math.ceil(n_asked / together))
-        own = own.withColumn("shard", place.cast("int")).withColumn("words", split(F.col("text"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("shard", "block", "position", "impact", "id", "words")
-        sent = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = own.groupBy("shard", "block").cogroup(sent.select("_s", "_b", "query_id", "n", "words", "safe").groupBy("_s", "_b"))
-        return frozen(pairs.applyInArrow(_searched(weight, top, least, digits), kinds), "found")
-
-    found = met(placed.where(F.col("position") < shard), F.lit(0), 1, asking, asked.withColumn("safe", F.lit(float("-inf")))) if n else spark.createDataFrame([], kinds)
-    if n > shard:  # a query that has its fill from the best shard asks the others for better ones only
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"))
-        safe = found.where("id IS NOT NULL").withColumn("_n", F.row_number().over(w)).where(F.col("_n") == top).groupBy(F.col("query_id").alias("_q")).agg(F.max("score").alias("_safe"))
-        known = asked.join(safe, F.col("query_id") == F.col("_q"), "left").withColumn("safe", F.coalesce("_safe", F.lit(float("-inf"))))
-        place = F.floor((F.col("position") - shard) / each)
-        found = found.unionByName(met(placed.where(F.col("position") >= shard), place, math.ceil((n - shard) / each), max(asking, wide), known))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = found.where("id IS NOT NULL").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).drop("found")
-    return best.join(found.groupBy("query_id").agg(F.sum("found").alias("total_found")), "query_id")
-
-
 class Lists:
     """Postings by word, words of few memories first; which words of many memories a memory has is also in its bit set."""
 
@@ -205,13 +78,13 @@ class Lists:
         self.owner.sort()
         self.owner &= 0xFFFFFFFF
 
-    def sharing(self, own: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The memories that have at least `least` of some words, given by sorted ranks, and how many each has."""
+    def sharing(self, own: np.ndarray, least: int, upto: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The memories, of all or the first, that have at least `least` of some words, given by sorted ranks, and how many each has."""
         m = len(own)
         if m < least:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         read = min(m, max(m - least + 1 + least // 6, int(np.searchsorted(own, self.common))))
-        held = np.bincount(self.postings(own[:read]), minlength=self.size)
+        held = np.bincount(self.postings(own[:read]), minlength=self.size)[:upto]
         near = np.flatnonzero(held >= least - (m - read))
         held = held[near]
         if read < m and len(near):
@@ -237,6 +110,149 @@ class Lists:
         return np.concatenate(lists, out=self.room[:total])
 
 
+class Shard:
+    """Postings of memories in impact order; words of many memories are bit sets too, by the memory and by the word."""
+
+    def __init__(self, impact: np.ndarray, words: pa.Array):
+        self.impact, self.size, self.lists = impact, len(impact), Lists(words)
+        self.words, lists = self.lists.words, self.lists
+        count = len(lists.rank) - lists.common
+        self.bits = np.empty((count, -(-self.size // 64)), np.uint64)  # the memories of a common word
+        for at in range(0, count, 256):
+            some = np.zeros((min(256, count - at), self.bits.shape[1] * 64), bool)
+            for k, row in enumerate(some):
+                w = lists.common + at + k
+                row[lists.owner[lists.start[w] : lists.start[w + 1]]] = True
+            self.bits[at : at + 256] = np.packbits(some, axis=1).view(np.uint64)
+
+    def postings(self, codes: np.ndarray) -> np.ndarray:
+        """The memories of some words, one after another, valid until the next call."""
+        return self.lists.postings(np.sort(self.lists.rank[codes]))
+
+    def sharing(self, codes: np.ndarray) -> int:
+        """How many memories have one of some words."""
+        rows = self.lists.rank[codes] - self.lists.common
+        union = np.bitwise_or.reduce(self.bits[rows[rows >= 0]], axis=0) if (rows >= 0).any() else np.zeros(self.bits.shape[1], np.uint64)
+        seen = np.unpackbits(union.view(np.uint8)).view(bool)
+        seen[self.postings(codes[rows < 0])] = True
+        return int(np.count_nonzero(seen))
+
+    def having(self, codes: np.ndarray, least: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the first memories, those that have at least `least` of some words, and how many each has."""
+        return self.lists.sharing(np.sort(self.lists.rank[codes]), least, upto)
+
+
+def _listed(words: pa.Array) -> pa.Array:
+    """Words as lists, also where they come as one text, with spaces between them."""
+    return pc.split_pattern(words, " ") if pa.types.is_string(words.type) or pa.types.is_large_string(words.type) else words
+
+
+def _searched(weight: float, top: int, least: float, digits: int):
+    """Of a shard (position, impact, id, words) and queries (query_id, n, words, safe): each query's best hits and, with a null id, how many there are."""
+    names = ["query_id", "id", "relevance", "score", "found"]
+    slack = 10.0**-digits
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows, asked = rows.sort_by("position"), asked.rename_columns(["_s", "_b", "query_id", "n", "words", "safe"])
+        ids, named = (t.column(c).combine_chunks() for t, c in ((rows, "id"), (asked, "query_id")))
+        if not len(ids) or not len(named):
+            return pa.table([named.slice(0, 0), ids.slice(0, 0), *(pa.array([], k) for k in (pa.float64(), pa.float64(), pa.int64()))], names)
+        shard = Shard(rows.column("impact").to_numpy(), _listed(rows.column("words").combine_chunks()))
+        del rows
+        place = np.empty(shard.size, np.int64)  # of ids in order, for ties
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(shard.size)
+        rising, best, counts = -shard.impact, [], []
+        for at in range(0, len(named), TOGETHER):
+            part = asked.slice(at, TOGETHER)
+            words = _listed(part.column("words").combine_chunks())
+            code = pc.index_in(pc.list_flatten(words), shard.words)
+            owner, known = pc.list_parent_indices(words).to_numpy(), code.is_valid().to_numpy(zero_copy_only=False)
+            codes, owner = code.drop_null().to_numpy(), owner[known]
+            ends = np.searchsorted(owner, np.arange(len(part) + 1))
+            n, safe = part.column("n").to_numpy(), part.column("safe").to_numpy()
+            for q in range(len(part)):
+                own = codes[ends[q] : ends[q + 1]]
+                if not len(own):
+                    continue
+                # impacts fall: beyond the prefix not even all words would do
+                bar = max(safe[q], least)
+                prefix = int(np.searchsorted(rising, weight * (len(own) / n[q]) - bar + 2 * slack, "right"))
+                if shard.impact[-1] + weight / n[q] >= least + slack:  # whoever shares a word is a hit
+                    hits = shard.sharing(own)
+                else:
+                    hits, prefix, bar = None, shard.size, least
+                if prefix:
+                    # nor do fewer words, even of the first memory
+                    few = max(1, math.ceil((bar - 2 * slack - shard.impact[0]) * n[q] / weight)) if weight > 0 and bar > float("-inf") else 1
+                    near, held = shard.having(own, few, prefix)
+                    relevance = held / n[q]
+                    exact = rounded(shard.impact[near] + weight * relevance, digits)
+                    good = exact >= least
+                    hits = int(good.sum()) if hits is None else hits
+                    if len(near) > top:
+                        good &= exact >= np.partition(exact, len(exact) - top)[len(exact) - top]
+                    near, relevance, exact = near[good], relevance[good], exact[good]
+                    order = np.lexsort((place[near], -exact))[:top]
+                    best.append((np.full(len(order), at + q), near[order], relevance[order], exact[order]))
+                if hits:
+                    counts.append((at + q, hits))
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))
+        who, which, relevance, score = (np.concatenate(x) for x in zip(none, *best))
+        met, hits = np.array(counts, np.int64).reshape(-1, 2).T
+        hit, count = (pa.table([named.take(pa.array(q)), *more], names) for q, more in (
+            (who, (ids.take(pa.array(which)), pa.array(relevance), pa.array(score), pa.nulls(len(who), pa.int64()))),
+            (met, (pa.nulls(len(met), ids.type), pa.nulls(len(met), pa.float64()), pa.nulls(len(met), pa.float64()), pa.array(hits))),
+        ))
+        return pa.concat_tables([hit, count]).combine_chunks()
+
+    return run
+
+
+def shard_size(n: int, shard: int = SHARD, wide: int = WIDE) -> int:
+    """Memories, of n, in each shard but the first."""
+    return max(shard, min(n // SHARDS, wide))
+
+
+def _laid(rows: DataFrame, key: str, split: Callable[[Column], Column], *more: str) -> DataFrame:
+    """(key, n, words, ...) of rows (key, text, ...), the words as one text, which is smaller than a list of texts where it is sent."""
+    return rows.select(key, split(F.col("text")).alias("w"), *more).select(key, F.size("w").alias("n"), F.array_join("w", " ").alias("words"), *more)
+
+
+def best_by_words(memories: DataFrame, queries: DataFrame, split: Callable[[Column], Column], top: int, weight: float = 1.0, least: float = 0.0, digits: int = 6, shard: int = SHARD, asking: int = ASKING, wide: int = WIDE, most: int = WORDS) -> DataFrame:
+    """(query_id, id, relevance, score, rank, total_found) of memories (id, text, impact) for queries (query_id, text); split gives a text's distinct words, none with a space.
+
+    relevance is the share of a query's words that a memory has, the score impact plus weight times relevance, rounded; hits
+    share a word and score at least `least`. Each query gets its `top` best, ties to the smaller id, and how many hits it
+    has in all. A null impact is no hit; queries and memories without words have none; repeated rows count each.
+    """
+    spark = memories.sparkSession
+    held = frozen(_laid(memories.where("impact IS NOT NULL").select("id", "text", F.col("impact").cast("double").alias("impact")), "id", split, "impact"), "held").where("n > 0")
+    placed = numbered(held, [F.desc("impact"), F.asc("id")])
+    asked = frozen(_laid(queries, "query_id", split), "asked").where("n > 0")
+    size = F.struct(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    n, n_asked = held.agg(size).first()[0], asked.agg(size).first()[0]
+    each = min(shard_size(n.rows, shard, wide), math.ceil(n.rows / max(1, math.ceil(n.words / most))))
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {placed.schema['id'].dataType.simpleString()}, relevance double, score double, found long"
+
+    def met(own: DataFrame, place: Column, shards: int, blocks: int, known: DataFrame) -> DataFrame:
+        own = own.withColumn("shard", place.cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1)))).select("shard", "block", "position", "impact", "id", "words")
+        sent = known.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).cast("int"))
+        pairs = own.groupBy("shard", "block").cogroup(sent.select("_s", "_b", "query_id", "n", "words", "safe").groupBy("_s", "_b"))
+        return frozen(pairs.applyInArrow(_searched(weight, top, least, digits), kinds), "found")
+
+    found = met(placed.where(F.col("position") < shard), F.lit(0), 1, math.ceil(n_asked.rows / asking), asked.withColumn("safe", F.lit(float("-inf")))) if n.rows else spark.createDataFrame([], kinds)
+    if n.rows > shard:  # a query that has its fill from the best shard asks the others for better ones only
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        safe = found.where("id IS NOT NULL").withColumn("_n", F.row_number().over(w)).where(F.col("_n") == top).groupBy(F.col("query_id").alias("_q")).agg(F.max("score").alias("_safe"))
+        known = asked.join(safe, F.col("query_id") == F.col("_q"), "left").withColumn("safe", F.coalesce("_safe", F.lit(float("-inf"))))
+        place = F.floor((F.col("position") - shard) / each)
+        blocks = max(math.ceil(n_asked.rows / max(asking, ASKED)), math.ceil(n_asked.words / (2 * most)))
+        found = found.unionByName(met(placed.where(F.col("position") >= shard), place, math.ceil((n.rows - shard) / each), blocks, known))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = found.where("id IS NOT NULL").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top).drop("found")
+    return best.join(found.groupBy("query_id").agg(F.sum("found").alias("total_found")), "query_id")
+
+
 def _shared(top: int, digits: int):
     """Of a shard (id, words) and queries (query_id, n, words, safe): each query's best memories by the share of its words, none below safe."""
     names = ["query_id", "id", "relevance", "score"]
@@ -281,9 +297,8 @@ def best_by_share(memories: DataFrame, queries: DataFrame, split: Callable[[Colu
     no hit, nor is a null id; repeated rows count each. Hits are not counted, so that most pairs that share a word aren't met.
     """
     spark = memories.sparkSession
-    laid = lambda rows, key: rows.select(key, split(F.col("text")).alias("w")).select(key, F.size("w").alias("n"), F.array_join("w", " ").alias("words"), F.monotonically_increasing_id().alias("seq"))
-    held = frozen(laid(memories.where("id IS NOT NULL"), "id"), "held").where("n > 0")
-    asked = frozen(laid(queries, "query_id"), "asked").where("n > 0").select("query_id", "n", "words")
+    held = frozen(_laid(memories.where("id IS NOT NULL"), "id", split).withColumn("seq", F.monotonically_increasing_id()), "held").where("n > 0")
+    asked = frozen(_laid(queries, "query_id", split), "asked").where("n > 0")
     size = F.struct(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
     n, n_asked = held.agg(size).first()[0], asked.agg(size).first()[0]
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {held.schema['id'].dataType.simpleString()}, relevance double, score double"
